@@ -24,7 +24,18 @@ from pyspark.sql import functions as F
 
 from ..schema import CHUNKS, DOCUMENTS, LIBRARIES
 
-_EMPTY_MAP = F.create_map().cast("map<string,string>")
+
+def _empty_map():
+    return F.create_map().cast("map<string,string>")
+
+
+def _sort_by_pos(arr):
+    """Sort an array of structs by ``(pos, id)`` (structs holding maps have no
+    natural order, so the comparator names the keys)."""
+    def cmp(a, b):
+        return (F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1)
+                .when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    return F.array_sort(arr, cmp)
 
 
 # ---------------------------------------------------------------------------
@@ -61,12 +72,12 @@ def flatten(nested: DataFrame, keep_empty_documents: bool = True):
     Document positions come from ``posexplode``; a chunk's ``document_id`` is
     always its parent's (the parent wins, Q13).  Documents without chunks stay
     in ``documents`` (``explode_outer`` for counts), and give no chunk rows."""
-    libs = nested.select("library_id", F.coalesce("metadata", _EMPTY_MAP).alias("metadata"))
+    libs = nested.select("library_id", F.coalesce("metadata", _empty_map()).alias("metadata"))
     docs_x = nested.select("library_id", F.posexplode(F.coalesce(
         "documents", F.array().cast(nested.schema["documents"].dataType))).alias("doc_pos", "d"))
     docs = docs_x.select("library_id", F.col("d.id").alias("document_id"),
                          F.col("doc_pos").cast("long").alias("doc_pos"),
-                         F.coalesce("d.metadata", _EMPTY_MAP).alias("metadata"))
+                         F.coalesce("d.metadata", _empty_map()).alias("metadata"))
     chunk_type = nested.schema["documents"].dataType.elementType["chunks"].dataType
     ch_x = docs_x.select("library_id", F.col("d.id").alias("document_id"),
                          F.posexplode(F.coalesce("d.chunks", F.array().cast(chunk_type)))
@@ -76,7 +87,7 @@ def flatten(nested: DataFrame, keep_empty_documents: bool = True):
                          F.col("chunk_pos").cast("long").alias("chunk_pos"),
                          F.col("c.text").alias("text"),
                          F.col("c.embedding").alias("embedding"),
-                         F.coalesce("c.metadata", _EMPTY_MAP).alias("metadata"))
+                         F.coalesce("c.metadata", _empty_map()).alias("metadata"))
     return libs, docs, chunks
 
 
@@ -85,7 +96,7 @@ def renest_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     document without chunks keeps an empty list (left join from documents).
     The group is one document, bounded by that document's size."""
     packed = (chunks.groupBy("library_id", "document_id").agg(
-        F.array_sort(F.collect_list(F.struct(
+        _sort_by_pos(F.collect_list(F.struct(
             F.col("chunk_pos").alias("pos"), F.col("chunk_id").alias("id"),
             "document_id", "text", "embedding", "metadata"))).alias("_c")))
     chunk_list = F.transform(F.col("_c"), lambda s: F.struct(
@@ -112,7 +123,7 @@ def renest_libraries(libraries: DataFrame, documents: DataFrame, chunks: DataFra
     snapshot shape).  The library is the group, so use this only for
     libraries of bounded size; :func:`library_documents` is the scalable form."""
     docs = renest_documents(documents, chunks)
-    packed = docs.groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct(
+    packed = docs.groupBy("library_id").agg(_sort_by_pos(F.collect_list(F.struct(
         F.col("doc_pos").alias("pos"), F.col("document_id").alias("id"),
         "chunks", "metadata"))).alias("_d"))
     doc_list = F.transform(F.col("_d"), lambda s: F.struct(
