@@ -277,13 +277,15 @@ def topk_one(index: DataFrame, query: list[float], k: int = 5,
 
 
 def full_ranking(index: DataFrame, query: list[float], library_id: str | None = None) -> DataFrame:
-    """T5: every vector ranked (what T1 returns when k >= n)."""
+    """T5: every vector scored against one query, in descending order (what
+    T1 returns when k >= n).  ``orderBy`` is a range-partitioned sort, so no
+    task holds more than its slice; :func:`vellum.operators.rank.positions`
+    numbers the rows when dense ranks are needed."""
     idx = index if library_id is None else index.filter(F.col("library_id") == library_id)
     qv = literal_vector(query)
     scored = idx.select("library_id", "chunk_id",
                         (vec_dot("vector", qv) * F.col("inv_norm") * inv_norm(qv)).alias("score"))
-    w = Window.partitionBy("library_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    return scored.orderBy(F.col("score").desc(), F.col("chunk_id").asc())
 
 
 def score_expr(vector: Column | str, inv: Column | str, query: Column) -> Column:
