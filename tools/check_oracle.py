@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from vellum.catalog import ORACLE, QUERIES, load_all  # noqa: E402
 from vellum.session import local_session  # noqa: E402
@@ -21,14 +22,16 @@ from vellum.sources.tables import TABLES  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6) + 0.0
-    if hasattr(v, "item"):
-        return _norm(v.item())
+    if hasattr(v, "item") and not isinstance(v, (str, bytes)):
+        v = v.item()
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)):
+        if isinstance(v, float) and math.isnan(v):
+            return None
+        return round(float(v), 6) + 0.0
     return v
 
 
