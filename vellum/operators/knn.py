@@ -166,30 +166,52 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
             .mapInPandas(run, CAND_SCHEMA))
 
 
+def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "library_id",
+                 left_id: str, right_id: str, left_block_rows: int, right_block_rows: int,
+                 right_route_col: str | None = None, left_route_col: str | None = None) -> DataFrame:
+    """Co-group two keyed tables block by block: within each ``key`` value the
+    left rows are hashed into ``ceil(n_left / left_block_rows)`` blocks and the
+    right rows into ``ceil(n_right / right_block_rows)`` blocks, and ``fn``
+    runs once per (key, left block, right block) with both sides as pandas
+    frames.  Every left row meets every right row of its key exactly once,
+    and one call never holds more than about one block of each side.
+
+    By default right rows are replicated to every left block; with
+    ``right_route_col`` a right row goes only to the left block that
+    ``left_route_col`` (hashed the same way) assigns to its value.
+    """
+    l_stats = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
+    r_stats = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
+    blocks = (l_stats.join(r_stats, key)
+              .select(key,
+                      F.ceil(F.col("_nl") / F.lit(left_block_rows)).cast("int").alias("_nb"),
+                      F.ceil(F.col("_nr") / F.lit(right_block_rows)).cast("int").alias("_nqb")))
+    l_hash = left_route_col or left_id
+    lb = (left.join(blocks, key)
+          .withColumn("_lblock", F.pmod(F.xxhash64(l_hash), F.col("_nb")).cast("int"))
+          .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
+          .drop("_nb", "_nqb"))
+    rb = right.join(blocks, key).withColumn(
+        "_rblock", F.pmod(F.xxhash64(right_id), F.col("_nqb")).cast("int"))
+    if right_route_col:
+        rb = rb.withColumn("_lblock", F.pmod(F.xxhash64(right_route_col), F.col("_nb")).cast("int"))
+    else:
+        rb = rb.withColumn("_lblock", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    rb = rb.drop("_nb", "_nqb")
+    keys = [key, "_lblock", "_rblock"]
+
+    def run(_k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if lpdf.empty or rpdf.empty:
+            return pd.DataFrame({c.name: [] for c in schema.fields})
+        return fn(lpdf, rpdf)
+
+    return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
                      block_rows: int, query_block_rows: int) -> DataFrame:
     """``grid`` kernel: co-group (library, vector block, query block)."""
-    c_stats = index.groupBy("library_id").agg(F.count(F.lit(1)).alias("n_c"))
-    q_stats = queries.groupBy("library_id").agg(F.count(F.lit(1)).alias("n_q"))
-    blocks = (c_stats.join(q_stats, "library_id")
-              .select("library_id",
-                      F.ceil(F.col("n_c") / F.lit(block_rows)).cast("int").alias("nb"),
-                      F.ceil(F.col("n_q") / F.lit(query_block_rows)).cast("int").alias("nqb")))
-    cb = (index.select("library_id", "chunk_id", "vector", "inv_norm")
-          .join(blocks, "library_id")
-          .withColumn("cblock", F.pmod(F.xxhash64("chunk_id"), F.col("nb")).cast("int"))
-          .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
-          .drop("nb", "nqb"))
-    qb = (queries.select("query_id", "library_id", "embedding",
-                         F.least(F.col("k"), F.lit(kmax)).alias("k"))
-          .join(blocks, "library_id")
-          .withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.col("nqb")).cast("int"))
-          .withColumn("cblock", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-          .drop("nb", "nqb"))
-
-    def run(_key, cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if cpdf.empty or qpdf.empty:
-            return pd.DataFrame({c.name: [] for c in CAND_SCHEMA.fields})
+    def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         c_ids = cpdf["chunk_id"].to_numpy(dtype=object)
         c = _as_matrix(cpdf["vector"]) * cpdf["inv_norm"].to_numpy()[:, None]
         q_ids = qpdf["query_id"].to_numpy(dtype=object)
@@ -197,11 +219,13 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
         q = _unit_rows(_as_matrix(qpdf["embedding"]))
         if q.shape[1] != c.shape[1]:
-            return pd.DataFrame({c.name: [] for c in CAND_SCHEMA.fields})
+            return pd.DataFrame({f.name: [] for f in CAND_SCHEMA.fields})
         return _emit(q_ids, q_libs, q_k, c_ids, block_topk(q_ids, q, q_k, c_ids, c))
 
-    keys = ["library_id", "cblock", "qblock"]
-    return cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInPandas(run, CAND_SCHEMA)
+    q = queries.select("query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k"))
+    return grid_cogroup(index.select("library_id", "chunk_id", "vector", "inv_norm"), q, fn, CAND_SCHEMA,
+                        left_id="chunk_id", right_id="query_id",
+                        left_block_rows=block_rows, right_block_rows=query_block_rows)
 
 
 def merge_topk(cands: DataFrame, kmax: int, salt_buckets: int = 1,
