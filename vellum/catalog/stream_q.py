@@ -1 +1,122 @@
-"""Registered queries (filled in below)."""
+"""Streaming, metrics and SQL-surface queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from ..functions.sql import register_search_function
+from ..plans.index import build_index
+from ..plans.search import search
+from ..schema import QUERIES
+from ..sources import tables
+from ..sources.snapshot import scratch_root
+from ..streaming.ingest import ProgressLog, current_table, search_stream, stage_files, upsert_stream
+from . import register
+from .common import r6, sql_cos, with_chunks
+from .knn_q import mean_vector
+
+
+def _events_changes(df):
+    return df.select("user_id", "ts", F.col("event_id").alias("seq"), "event_type", "value",
+                     F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"))
+
+
+@register("stream_upsert", """
+SELECT user_id, seq AS event_id, event_type, value FROM (
+  SELECT user_id, event_id AS seq, event_type, value,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1 AND event_type <> 'error'""")
+def stream_upsert(spark, sf):
+    """M1: the events table replayed as a change feed of per-user records
+    (``error`` deletes the user), four files in mixed order, one file per
+    micro-batch; the newest published version after the stream drains."""
+    root = scratch_root(spark, f"stream-{uuid.uuid4().hex}")
+    ev = tables.read_table(spark, sf, "events")
+    src = stage_files(ev, f"{root}/source", 4, "event_id")
+    listener = ProgressLog()
+    spark.streams.addListener(listener)
+    try:
+        q = upsert_stream(spark, src, ev.schema, f"{root}/table", ["user_id"], order_cols=("ts", "seq"),
+                          checkpoint=f"{root}/checkpoint", to_changes=_events_changes)
+        q.awaitTermination()
+    finally:
+        spark.streams.removeListener(listener)
+    t = current_table(spark, f"{root}/table")
+    return t.select("user_id", F.col("seq").alias("event_id"), "event_type", "value")
+
+
+@register("stream_search", with_chunks(
+    "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 10 AND label = q_label",
+    f"""ranked AS (
+  SELECT q.chunk_id AS query_id, q.label AS q_label, c.chunk_id, c.label,
+         {sql_cos('q.embedding', 'c.embedding')} AS score,
+         row_number() OVER (PARTITION BY q.chunk_id ORDER BY {sql_cos('q.embedding', 'c.embedding')} DESC,
+                            c.chunk_id) AS rank
+  FROM chunks q JOIN chunks c ON c.library_id = q.library_id)"""))
+def stream_search(spark, sf):
+    """M2: every query arrives on a stream (four files, one per trigger) and
+    each micro-batch runs the flagship search against the static index."""
+    root = scratch_root(spark, f"qstream-{uuid.uuid4().hex}")
+    c = tables.corpus(spark, sf)
+    b = build_index(c.chunks, c.libraries)
+    idx_path, meta_path = f"{root}/index", f"{root}/meta"
+    b.index.write.mode("overwrite").partitionBy("library_id").parquet(idx_path)
+    b.meta.write.mode("overwrite").parquet(meta_path)
+    index, meta = spark.read.parquet(idx_path), spark.read.parquet(meta_path)
+    q = tables.queries(spark, sf, k=10, filter_keys=("label",)).select(*[f.name for f in QUERIES.fields])
+    src = stage_files(q, f"{root}/source", 4, "query_id")
+    qs = spark.read.parquet(src).schema
+
+    def run(batch):
+        return search(index, meta, c.chunks, batch).hits.select("query_id", "rank", "chunk_id", "score")
+
+    s = search_stream(spark, src, qs, f"{root}/hits", run, checkpoint=f"{root}/checkpoint")
+    s.awaitTermination()
+    return spark.read.parquet(f"{root}/hits").select("query_id", "rank", "chunk_id", r6())
+
+
+@register("observed_index_build", with_chunks(
+    "SELECT CAST(count(*) AS BIGINT) AS n_indexed, "
+    "CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM chunks"))
+def observed_index_build(spark, sf):
+    """Metrics observed while the index is written (``df.observe``: the
+    counts ride along the write, no second pass), returned as one row."""
+    c = tables.corpus(spark, sf)
+    b = build_index(c.chunks, c.libraries)
+    obs = Observation("index_build")
+    observed = b.index.observe(obs, F.count(F.lit(1)).alias("n_indexed"),
+                               F.min(F.size("vector")).alias("min_dim"),
+                               F.max(F.size("vector")).alias("max_dim"))
+    observed.write.mode("overwrite").parquet(scratch_root(spark, f"observed-{uuid.uuid4().hex}"))
+    m = obs.get
+    return spark.createDataFrame([(int(m["n_indexed"]), int(m["min_dim"]), int(m["max_dim"]))],
+                                 "n_indexed bigint, min_dim int, max_dim int")
+
+
+@register("sql_search", with_chunks(f"""
+SELECT library_id, rank, chunk_id, round(score, 6) AS score FROM (
+  SELECT library_id, chunk_id, score,
+         row_number() OVER (PARTITION BY library_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+WHERE rank <= 3""", """mean AS (
+  SELECT list(m ORDER BY pos) AS mv FROM (
+    SELECT pos, avg(x) AS m FROM (
+      SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+    GROUP BY pos)),
+scored AS (SELECT c.chunk_id, c.library_id, """ + sql_cos("c.embedding", "mean.mv") + """ AS score
+           FROM chunks c, mean)"""))
+def sql_search(spark, sf):
+    """The search as a SQL table function, called for every library with
+    one query vector (the mean of all embeddings), k = 3."""
+    c = tables.corpus(spark, sf)
+    b = build_index(c.chunks, c.libraries)
+    b.index.createOrReplaceTempView("vellum_index")
+    c.libraries.createOrReplaceTempView("vellum_libraries")
+    register_search_function(spark, "vellum_index")
+    mv = mean_vector(spark, sf)
+    arr = "array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in mv) + ")"
+    return spark.sql(f"""
+        SELECT l.library_id, CAST(s.rank AS BIGINT) AS rank, s.chunk_id, round(s.score, 6) AS score
+        FROM vellum_libraries l, LATERAL search_library(l.library_id, {arr}, 3) s""")

@@ -44,15 +44,17 @@ def register_sql_functions(spark: SparkSession, prefix: str = "") -> list[str]:
 def register_search_function(spark: SparkSession, index_view: str, name: str = "search_library") -> str:
     """``name(library_id, query, k)`` as a SQL table function over the
     index view (exact top-k by ``(score desc, chunk_id)``)."""
-    register_sql_functions(spark)
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}(lib STRING, q ARRAY<FLOAT>, k INT)
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(lib STRING, q ARRAY<DOUBLE>, k INT)
         RETURNS TABLE (chunk_id STRING, score DOUBLE, rank INT)
         RETURN SELECT chunk_id, score, rank FROM (
             SELECT chunk_id, score,
                    row_number() OVER (ORDER BY score DESC, chunk_id) AS rank
-            FROM (SELECT chunk_id, vec_dot(vector, q) * inv_norm *
-                         CASE WHEN vec_norm(q) > 0 THEN 1D / vec_norm(q) ELSE 0D END AS score
+            FROM (SELECT chunk_id,
+                         aggregate(zip_with(vector, q, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)
+                         * inv_norm
+                         * CASE WHEN aggregate(q, 0D, (s, x) -> s + x * x) > 0
+                                THEN 1D / sqrt(aggregate(q, 0D, (s, x) -> s + x * x)) ELSE 0D END AS score
                   FROM {index_view} WHERE library_id = lib))
         WHERE rank <= k
     """)

@@ -243,18 +243,12 @@ def apply_changes(table: DataFrame, changes: DataFrame, keys: list[str], *,
     columns so the next batch compares against them."""
     last = latest_per_key(changes, keys, list(order_cols))
     w_cols = list(order_cols)
-    state = table
+    state = table.withColumn(op_col, F.lit("upsert"))
     if tombstones is not None:
         state = state.unionByName(tombstones.withColumn(op_col, F.lit("delete")), allowMissingColumns=True)
-    else:
-        state = state.withColumn(op_col, F.lit("upsert"))
     merged = state.unionByName(last, allowMissingColumns=True)
     final = latest_per_key(merged, keys, w_cols)
     live = final.filter(F.col(op_col) == "upsert").drop(op_col)
     dead = final.filter(F.col(op_col) == "delete").select(*keys, *w_cols)
     return live, dead
 
-
-def rank_in_batch(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w))
