@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from ..functions.vector import vec_dot
 from ..schema import DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir
-from .knn import CAND_SCHEMA, _as_matrix, _emit, _unit_rows, grid_cogroup, merge_topk
+from .knn import CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, merge_topk
 from .rank import positions
 
 ANGLE_SLACK = 1e-6
@@ -181,7 +181,7 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         cen = _as_matrix(cpdf["centroid"])
         qu = _unit_rows(_as_matrix(qpdf["embedding"]))
         if qu.shape[1] != cen.shape[1]:
-            return pd.DataFrame({f.name: [] for f in _TAU_SCHEMA.fields})
+            return empty_frame(_TAU_SCHEMA)
         lb = np.cos(np.minimum(np.pi, _angles(qu, cen) + cpdf["angle"].to_numpy()[None, :] + ANGLE_SLACK))
         q_ids = qpdf["query_id"].to_numpy(dtype=object)
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
@@ -206,7 +206,7 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         cen = _as_matrix(cpdf["centroid"])
         qu = _unit_rows(_as_matrix(qpdf["embedding"]))
         if qu.shape[1] != cen.shape[1]:
-            return pd.DataFrame({f.name: [] for f in _KEEP_SCHEMA.fields})
+            return empty_frame(_KEEP_SCHEMA)
         ub = np.cos(np.maximum(0.0, _angles(qu, cen) - cpdf["angle"].to_numpy()[None, :] - ANGLE_SLACK))
         qi, ci = np.nonzero(ub >= qpdf["tau"].to_numpy()[:, None] - 1e-12)
         return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy(dtype=object)[qi],
@@ -231,7 +231,7 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
 
     def pass_c(_key, vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if vpdf.empty or qpdf.empty:
-            return pd.DataFrame({f.name: [] for f in CAND_SCHEMA.fields})
+            return empty_frame(CAND_SCHEMA)
         c_ids = vpdf["chunk_id"].to_numpy(dtype=object)
         cm = _as_matrix(vpdf["vector"]) * vpdf["inv_norm"].to_numpy()[:, None]
         vcell = vpdf["cell"].to_numpy()

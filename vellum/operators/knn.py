@@ -54,6 +54,15 @@ _MAX_SCORE_CELLS = 4_000_000
 # NumPy block kernel
 # ---------------------------------------------------------------------------
 
+def empty_frame(schema: T.StructType) -> pd.DataFrame:
+    """A zero-row frame whose dtypes Arrow converts to ``schema`` (an empty
+    float64 column cannot become a string column)."""
+    num = {T.LongType: np.int64, T.IntegerType: np.int32, T.DoubleType: np.float64,
+           T.FloatType: np.float32, T.BooleanType: bool}
+    return pd.DataFrame({f.name: pd.Series(np.zeros(0, dtype=num.get(type(f.dataType), object)))
+                         for f in schema.fields})
+
+
 def _as_matrix(vectors) -> np.ndarray:
     """Stack a pandas Series of equal-length arrays into a float64 matrix."""
     if len(vectors) == 0:
@@ -202,7 +211,7 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
 
     def run(_k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
-            return pd.DataFrame({c.name: [] for c in schema.fields})
+            return empty_frame(schema)
         return fn(lpdf, rpdf)
 
     return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(run, schema)
@@ -219,7 +228,7 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
         q = _unit_rows(_as_matrix(qpdf["embedding"]))
         if q.shape[1] != c.shape[1]:
-            return pd.DataFrame({f.name: [] for f in CAND_SCHEMA.fields})
+            return empty_frame(CAND_SCHEMA)
         return _emit(q_ids, q_libs, q_k, c_ids, block_topk(q_ids, q, q_k, c_ids, c))
 
     q = queries.select("query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k"))

@@ -129,7 +129,7 @@ def read_reference_snapshot(spark: SparkSession, path: str):
     Library ids come from the map keys, a chunk's document id is rewritten to
     its parent's, absent lists and metadata become empty, absent ids get a
     stable id from their position.  Ids are canonicalised (undashed)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", SNAPSHOT, {"mode": "FAILFAST"}).alias("m"))
     libs = parsed.select(F.explode("m").alias("key", "lib"))
     empty = F.create_map().cast("map<string,string>")
