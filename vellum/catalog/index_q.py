@@ -25,31 +25,38 @@ _STAT = """stat AS (
 SELECT library_id,
        CASE WHEN n_empty > 0 THEN 'empty_embeddings' WHEN n_dims > 1 THEN 'inconsistent_dimensions'
             ELSE 'indexed' END AS status,
-       CAST(CASE WHEN n_empty = 0 AND n_dims <= 1 THEN n_chunks END AS BIGINT) AS n_indexed,
-       CASE WHEN n_empty = 0 AND n_dims <= 1 THEN dim END AS dim
+       CAST(CASE WHEN n_empty = 0 AND n_dims <= 1 THEN n_chunks ELSE 0 END AS BIGINT) AS n_indexed,
+       CAST(CASE WHEN n_empty = 0 AND n_dims <= 1 THEN coalesce(dim, 0) ELSE 0 END AS INTEGER) AS dim
 FROM stat""", f"deg AS ({degenerate_sql(True, True)}), {_STAT}"))
 def index_build(spark, sf):
     """X1 strict: libraries with an empty vector or two dimensions are
-    refused; the rest are indexed (count and dimension per library)."""
+    refused; the rest are indexed (count and dimension per library; 0 for a
+    refused library)."""
     c = tables.corpus(spark, sf)
     b = build_index(degenerate_chunks(spark, sf), c.libraries, mode="strict")
+    return _status(b)
+
+
+def _status(b):
     return (b.report.select("library_id", "status")
-            .join(b.meta.select("library_id", F.col("n").alias("n_indexed"), "dim"), "library_id", "left"))
+            .join(b.meta.select("library_id", F.col("n").alias("n_indexed"), "dim"), "library_id", "left")
+            .select("library_id", "status", F.coalesce("n_indexed", F.lit(0)).cast("bigint").alias("n_indexed"),
+                    F.coalesce("dim", F.lit(0)).cast("int").alias("dim")))
 
 
 @register("index_lenient", with_chunks("""
 SELECT library_id,
        CASE WHEN n_chunks - n_empty = 0 THEN 'nothing_to_index' WHEN n_dims > 1 THEN 'inconsistent_dimensions'
             ELSE 'indexed' END AS status,
-       CAST(CASE WHEN n_chunks - n_empty > 0 AND n_dims <= 1 THEN n_chunks - n_empty END AS BIGINT) AS n_indexed,
-       CASE WHEN n_chunks - n_empty > 0 AND n_dims <= 1 THEN dim END AS dim
+       CAST(CASE WHEN n_chunks - n_empty > 0 AND n_dims <= 1 THEN n_chunks - n_empty ELSE 0 END AS BIGINT)
+         AS n_indexed,
+       CAST(CASE WHEN n_chunks - n_empty > 0 AND n_dims <= 1 THEN coalesce(dim, 0) ELSE 0 END AS INTEGER) AS dim
 FROM stat""", f"deg AS ({degenerate_sql(True, False)}), {_STAT}"))
 def index_lenient(spark, sf):
     """Lenient rebuild skips empty vectors (F4) and indexes the rest."""
     c = tables.corpus(spark, sf)
     b = build_index(degenerate_chunks(spark, sf, toxic=True, short=False), c.libraries, mode="lenient")
-    return (b.report.select("library_id", "status")
-            .join(b.meta.select("library_id", F.col("n").alias("n_indexed"), "dim"), "library_id", "left"))
+    return _status(b)
 
 
 @register("index_rows", with_chunks(

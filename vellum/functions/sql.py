@@ -17,9 +17,11 @@ FUNCTIONS = {
     "vec_size": ("a ARRAY<FLOAT>", "INT", "size(a)"),
     "vec_norm": ("a ARRAY<FLOAT>", "DOUBLE", f"sqrt({_SSQ_A})"),
     "vec_dot": ("a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE", _DOT),
+    # the finish function binds the sum of squares once (no per-component recomputation)
     "vec_normalize": ("a ARRAY<FLOAT>", "ARRAY<DOUBLE>",
-                      f"CASE WHEN {_SSQ_A} > 0 THEN transform(a, x -> CAST(x AS DOUBLE) / sqrt({_SSQ_A})) "
-                      f"ELSE transform(a, x -> CAST(x AS DOUBLE)) END"),
+                      "aggregate(a, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE), "
+                      "s -> transform(a, x -> CASE WHEN s > 0 THEN CAST(x AS DOUBLE) / sqrt(s) "
+                      "ELSE CAST(x AS DOUBLE) END))"),
     "cosine_sim": ("a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE",
                    f"CASE WHEN {_SSQ_A} = 0 OR {_SSQ_B} = 0 THEN 0D "
                    f"ELSE {_DOT} / (sqrt({_SSQ_A}) * sqrt({_SSQ_B})) END"),

@@ -48,11 +48,18 @@ def inv_norm(v: ColumnOrName) -> Column:
 
 
 def vec_normalize(v: ColumnOrName) -> Column:
-    """v/|v| as array<double>; the zero vector stays zero."""
+    """v/|v| as array<double>; the zero vector stays zero.
+
+    The norm is computed once per row: ``aggregate``'s finish function gets
+    the sum of squares as a bound variable, so the division inside
+    ``transform`` does not recompute it per component (an O(d^2) trap)."""
     col = _c(v)
-    n = vec_norm(col)
-    return F.when(n > 0, F.transform(col, lambda x: x.cast("double") / n)) \
-            .otherwise(F.transform(col, lambda x: x.cast("double")))
+
+    def finish(ssq):
+        return F.transform(col, lambda x: F.when(ssq > 0, x.cast("double") / F.sqrt(ssq))
+                           .otherwise(x.cast("double")))
+
+    return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"), finish)
 
 
 def vec_dot(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -10,9 +10,10 @@ shuffles, never a loop over cells):
    cell and dimension, however hot the cell);
 3. the split axis is the dimension of largest variance, lowest index on
    ties (``max_by(pos, struct(var, -pos))``);
-4. the rows of a cell are ranked by ``(unit[axis], chunk_id)`` with the
-   distributed :func:`vellum.operators.rank.positions` and the first
-   ``floor(n/2)`` go left: ``cell -> 2*cell`` or ``2*cell + 1``;
+4. the rows of a cell are ranked by ``(unit[axis], chunk_id)`` (a window
+   when every active cell is provably small, else the distributed
+   :func:`vellum.operators.rank.positions`) and the first ``floor(n/2)`` go
+   left: ``cell -> 2*cell`` or ``2*cell + 1``;
 5. the level is checkpointed (lineage cut; survives executor loss).
 
 A leaf cell gets its normalised centroid, its radius as the reference keeps
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vector import vec_dot
+from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir
 from .knn import CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, merge_topk
@@ -71,10 +72,8 @@ def centroids(stats: DataFrame, group_cols: list[str]) -> DataFrame:
     """A3: mean vector per group, re-normalised (a zero mean stays zero).
     The group's array has one entry per dimension, so it is bounded."""
     arr = stats.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_m"))
-    m = F.transform("_m", lambda s: s["mean"])
-    norm = F.sqrt(F.aggregate(m, F.lit(0.0), lambda a, x: a + x * x))
-    return arr.select(*group_cols, F.when(norm > 0, F.transform(m, lambda x: x / norm))
-                      .otherwise(m).alias("centroid"))
+    m = arr.select(*group_cols, F.transform("_m", lambda s: s["mean"]).alias("_m"))
+    return m.select(*group_cols, vec_normalize("_m").alias("centroid"))
 
 
 def radii(rows: DataFrame, cents: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
@@ -89,20 +88,29 @@ def radii(rows: DataFrame, cents: DataFrame, group_cols: list[str], vec: str = "
 
 
 def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols: list[str],
-                 vec: str = "unit") -> DataFrame:
-    """Rank the rows of each group by ``(vec[axis], chunk_id)`` (no
-    single-task sort) and mark the first ``floor(n/2)`` as left (``side``
-    0), the rest right (1)."""
+                 vec: str = "unit", window_max_rows: int = 1_000_000) -> DataFrame:
+    """Rank the rows of each group by ``(vec[axis], chunk_id)`` and mark
+    the first ``floor(n/2)`` as left (``side`` 0), the rest right (1).
+
+    When every group is at most ``window_max_rows`` (checked on the sizes
+    table, one row per group) a ``row_number`` window ranks each group in one
+    task; larger groups use the distributed ranking, so no task ever sorts
+    more than its slice of a hot group."""
     j = (rows.join(axes.select(*group_cols, "axis"), group_cols)
          .join(sizes.select(*group_cols, "n"), group_cols)
          .withColumn("_v", F.element_at(vec, F.col("axis") + 1)))
-    ranked = positions(j, [F.col("_v"), F.col("chunk_id")], group_cols, out="_pos")
+    biggest = sizes.agg(F.max("n")).first()[0] or 0
+    if biggest <= window_max_rows:
+        w = Window.partitionBy(*group_cols).orderBy("_v", "chunk_id")
+        ranked = j.withColumn("_pos", F.row_number().over(w) - 1)
+    else:
+        ranked = positions(j, [F.col("_v"), F.col("chunk_id")], group_cols, out="_pos")
     return ranked.withColumn("side", (F.col("_pos") >= F.floor(F.col("n") / 2)).cast("int")) \
         .drop("_v", "_pos")
 
 
 def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows: int = 16_384,
-                max_levels: int = 62) -> tuple[DataFrame, DataFrame]:
+                max_levels: int = 62, window_max_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Returns ``(cell_index, cells)``.
 
     ``cell_index``: index rows with ``cell`` (heap numbering: root 1,
@@ -121,7 +129,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
         act = rows.join(active.select(*g), g, "left_semi")
         rest = rows.join(active.select(*g), g, "left_anti")
         axes = split_axis(component_stats(act, g), g)
-        split = median_split(act, axes, active, g)
+        split = median_split(act, axes, active, g, window_max_rows=window_max_rows)
         split = split.withColumn("cell", F.col("cell") * 2 + F.col("side"))
         rows = rest.unionByName(split.select(*rows.columns)).checkpoint(eager=True)
     lib_n = rows.groupBy("library_id").agg(F.count(F.lit(1)).alias("_nl"))

@@ -9,7 +9,8 @@ cut uses the same total order as the final one, the union of local top-k sets
 contains the global top-k exactly, and one ranked merge finishes the job.
 
 * ``scan`` kernel: the query batch is small enough to ship to every task
-  (its size is checked: at most ``broadcast_rows`` rows).  The index is read
+  (its size is checked: at most ``broadcast_rows`` rows and
+  ``broadcast_bytes`` of vectors).  The index is read
   in place with ``mapInPandas``; it is never shuffled.
 * ``grid`` kernel: any number of queries.  Each library's vectors are hashed
   into blocks of about ``block_rows`` vectors and its queries into blocks of
@@ -263,7 +264,7 @@ def _salt_for(num_partitions: int) -> int:
 
 def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
              kernel: str = "auto", kmax: int | None = None,
-             broadcast_rows: int = 20_000, block_rows: int = 16_384,
+             broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
              query_block_rows: int = 2_048) -> DataFrame:
     """Exact top-k per query among the indexed vectors of the query's
     library.
@@ -286,12 +287,14 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     q = queries.select("query_id", "library_id", "embedding", "k")
 
     if kernel in ("auto", "scan"):
+        # bounded collect: at most broadcast_rows + 1 rows ever reach the driver
         rows = q.limit(broadcast_rows + 1).collect()
-        if len(rows) <= broadcast_rows:
+        size = sum(8 * len(r["embedding"] or ()) + 64 for r in rows)
+        if len(rows) <= broadcast_rows and size <= broadcast_bytes:
             cands = _scan_candidates(index, rows, kmax)
             return merge_topk(cands, kmax, _salt_for(index.rdd.getNumPartitions()))
         if kernel == "scan":
-            raise ValueError(f"scan kernel takes at most {broadcast_rows} queries")
+            raise ValueError(f"scan kernel takes at most {broadcast_rows} queries / {broadcast_bytes} bytes")
     cands = _grid_candidates(index, q, kmax, block_rows, query_block_rows)
     return merge_topk(cands, kmax, 1)
 

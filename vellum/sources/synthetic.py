@@ -41,6 +41,7 @@ def gaussian_like(df: DataFrame, id_col: str, dim: int | Column, seed: int = 42,
         u2 = _uniform(seed, row, i, 2)
         return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
-    v = F.transform(F.sequence(F.lit(0), d - 1), comp)
-    emb = vec_normalize(v) if unit else v
-    return df.withColumn("embedding", emb.cast("array<float>"))
+    # the raw draw gets its own column so normalising does not re-draw it
+    raw = df.withColumn("_raw", F.transform(F.sequence(F.lit(0), d - 1), comp))
+    emb = vec_normalize("_raw") if unit else F.col("_raw")
+    return raw.withColumn("embedding", emb.cast("array<float>")).drop("_raw")
