@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import VECTOR
+from ..session import spread
 from .mutate import Corpus3, add_chunks
 
 
@@ -44,23 +45,30 @@ HASH_HEX_DIGITS = 8
 class HashingProvider:
     """Deterministic feature-hashing embeddings (no model, no network)."""
 
-    def __init__(self, dim: int = 64):
+    def __init__(self, dim: int = 64, memo_size: int = 1 << 20):
         self.dim = dim
+        self._memo: dict[str, int] = {}
+        self._memo_size = memo_size
 
     def tokens(self, text: str) -> list[str]:
         return [t for t in TOKEN_SPLIT.split(text.lower()) if t]
 
     def bucket(self, token: str) -> int:
-        return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:HASH_HEX_DIGITS], 16) % self.dim
+        b = self._memo.get(token)
+        if b is None:
+            b = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:HASH_HEX_DIGITS], 16) % self.dim
+            if len(self._memo) >= self._memo_size:   # bounded per worker
+                self._memo.clear()
+            self._memo[token] = b
+        return b
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = np.zeros(self.dim, dtype=np.float64)
-            for tok in self.tokens(text or ""):
-                v[self.bucket(tok)] += 1.0
-            n = np.sqrt(np.sum(v * v))
-            out.append((v / n if n > 0 else v).astype(np.float32).tolist())
+            toks = self.tokens(text or "")
+            counts = np.bincount([self.bucket(t) for t in toks], minlength=self.dim).astype(np.float64)
+            n = np.sqrt(np.sum(counts * counts))
+            out.append((counts / n if n > 0 else counts).astype(np.float32).tolist())
         return out
 
 
@@ -97,7 +105,7 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                 out.extend(vecs)
             yield pd.Series(out)
 
-    return df.withColumn(out_col, _embed(F.col(text_col)))
+    return spread(df).withColumn(out_col, _embed(F.col(text_col)))
 
 
 def split_embedded(df: DataFrame, col: str = "embedding"):

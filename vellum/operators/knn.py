@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from ..functions.vector import inv_norm, literal_vector, vec_dot
 from ..schema import MAX_K
+from ..session import spread
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
@@ -172,7 +173,7 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
         if pending:
             yield _reduce_candidates(pd.concat(pending, ignore_index=True))
 
-    return (index.select("library_id", "chunk_id", "vector", "inv_norm")
+    return (spread(index.select("library_id", "chunk_id", "vector", "inv_norm"))
             .mapInPandas(run, CAND_SCHEMA))
 
 
