@@ -88,3 +88,40 @@ def test_stale_hits_vanish(spark):
     live = chunks.filter(F.col("chunk_id") != "1")
     r = search(b.index, b.meta, live, queries(spark, [("q", "lib", [1, .1, .1], 2, None)]))
     assert sorted(x["chunk_id"] for x in r.hits.collect()) == ["2"]
+
+
+def test_search_library_single_request(spark):
+    import pytest
+
+    from vellum.plans.search import search_library
+    libs, docs, chunks = corpus(spark, FX1)
+    b = build_index(chunks, libs)
+    r = search_library(b.index, b.meta, chunks, "lib", [1, .1, .1], k=3).orderBy("rank").collect()
+    assert [(x["chunk_id"], round(x["score"], 6)) for x in r] == [("1", 0.990148), ("2", 0.099015), ("3", 0.099015)]
+    r = search_library(b.index, b.meta, chunks, "lib", [1, .1, .1], k=3, metadata_filters={"page": "2"}).collect()
+    assert [x["chunk_id"] for x in r] == ["2"]
+    with pytest.raises(ValueError, match="dimension"):
+        search_library(b.index, b.meta, chunks, "lib", [1, 0, 0, 0, 0], k=3)
+    with pytest.raises(LookupError, match="not indexed"):
+        search_library(b.index, b.meta, chunks, "other", [1, 0, 0], k=3)
+
+
+def test_properties_post_filter_subset_and_split_is_partition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:02d}", "t", rng.standard_normal(4).tolist(), {"g": str(i % 3)}) for i in range(30)]
+    libs, docs, chunks = corpus(spark, rows)
+    b = build_index(chunks, libs)
+    qrows = [(f"q{j}", "lib" if j % 4 else "none", rng.standard_normal(4).tolist(),
+              [0, 3, 7, 200][j % 4], {"g": str(j % 3)}) for j in range(12)]
+    q = queries(spark, qrows)
+    filtered = search(b.index, b.meta, chunks, q)
+    unfiltered = search(b.index, b.meta, chunks, q.withColumn("filters", F.create_map().cast("map<string,string>")))
+    f = {(r["query_id"], r["chunk_id"], r["rank"]) for r in filtered.hits.collect()}
+    u = {(r["query_id"], r["chunk_id"], r["rank"]) for r in unfiltered.hits.collect()}
+    assert f <= u                                                    # post-filter keeps a subset
+    rejected = {r["query_id"] for r in filtered.rejects.collect()}
+    answered_or_empty = {x[0] for x in qrows} - rejected
+    assert rejected.isdisjoint({x[0] for x in u})                    # rejects never get hits
+    assert len(rejected) + len(answered_or_empty) == len(qrows)       # rejects + accepted = input

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maps import metadata_matches
@@ -105,3 +105,37 @@ def hits_nested(hits: DataFrame) -> DataFrame:
 def chunks_only(hits: DataFrame) -> DataFrame:
     """Scoreless search, same rows and order (``rank`` kept for order)."""
     return hits.drop("score")
+
+
+def search_library(index: DataFrame, meta: DataFrame, chunks: DataFrame, library_id: str,
+                   embedding: list[float], k: int = DEFAULT_K,
+                   metadata_filters: dict[str, str] | None = None) -> DataFrame:
+    """T3 for one request, the reference's ``search(library_id, embedding, k,
+    metadata_filters)``: the checks raise (not indexed, dimension, k range),
+    the top-k is an expression over the library's index rows with
+    ``TakeOrderedAndProject``, then hits are joined to the live chunks and
+    post-filtered.  Reads one row of ``meta`` to decide the checks."""
+    from ..operators.knn import topk_one
+
+    if not MIN_K <= k <= MAX_K:
+        raise ValueError(f"k must be within {MIN_K}..{MAX_K}, got {k}")
+    m = meta.filter(F.col("library_id") == library_id).select("dim", "n").first()
+    if m is None:
+        raise LookupError(f"Library {library_id} is not indexed")
+    if m["n"] and len(embedding) != m["dim"]:
+        raise ValueError(f"Query embedding dimension {len(embedding)} does not match index dimension {m['dim']}")
+    if not m["n"]:
+        return chunks.limit(0).select("library_id", F.lit(0).cast("long").alias("rank"), "chunk_id",
+                                      "document_id", F.lit(0.0).alias("score"), "text", "embedding", "metadata")
+    top = topk_one(index, embedding, k=k, library_id=library_id)
+    # k rows at most: numbering them in one partition is bounded by k
+    ranked = top.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.col("score").desc(), F.col("chunk_id"))))
+    live = chunks.filter(F.col("library_id") == library_id).select(
+        "library_id", "chunk_id", "document_id", "text", "embedding", "metadata")
+    hits = ranked.join(live, ["library_id", "chunk_id"])
+    filt = F.create_map(*[x for kv in (metadata_filters or {}).items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
+        if metadata_filters else F.create_map().cast("map<string,string>")
+    return (hits.filter(metadata_matches("metadata", filt))
+            .select("library_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "document_id", "score",
+                    "text", "embedding", "metadata"))
