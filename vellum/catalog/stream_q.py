@@ -40,7 +40,7 @@ def stream_upsert(spark, sf):
     spark.streams.addListener(listener)
     try:
         q = upsert_stream(spark, src, ev.schema, f"{root}/table", ["user_id"], order_cols=("ts", "seq"),
-                          checkpoint=f"{root}/checkpoint", to_changes=_events_changes)
+                          checkpoint=f"{root}/checkpoint", to_changes=_events_changes, buckets=16)
         q.awaitTermination()
     finally:
         spark.streams.removeListener(listener)

@@ -183,12 +183,23 @@ def ordered_children(df: DataFrame, parent_cols: list[str], pos_col: str) -> Dat
 
 
 def next_positions(existing: DataFrame, incoming: DataFrame, parent_cols: list[str],
-                   pos_col: str, order_col: str) -> DataFrame:
+                   pos_col: str, order_col: str, window_max_rows: int = 1_000_000) -> DataFrame:
     """Positions for appended rows: ``max(pos)`` of the parent among
-    ``existing`` plus the incoming row's rank (by ``order_col``) among the
-    parent's incoming rows."""
+    ``existing`` plus the incoming row's rank (by ``order_col``, then the
+    row's id columns) among the parent's incoming rows.  When no parent
+    receives more than ``window_max_rows`` rows (checked on the per-parent
+    counts) the rank is a window; otherwise the distributed ranking."""
+    from .rank import positions
+
     mx = existing.groupBy(*parent_cols).agg(F.max(pos_col).alias("_max"))
-    w = Window.partitionBy(*parent_cols).orderBy(order_col)
-    return (incoming.join(mx, parent_cols, "left")
-            .withColumn(pos_col, (F.coalesce("_max", F.lit(-1)) + F.row_number().over(w)).cast("long"))
-            .drop("_max"))
+    ties = [c for c in incoming.columns if c.endswith("_id") and c not in parent_cols]
+    order = [F.col(order_col)] + [F.col(c) for c in ties]
+    biggest = incoming.groupBy(*parent_cols).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= window_max_rows:
+        w = Window.partitionBy(*parent_cols).orderBy(*order)
+        ranked = incoming.withColumn("_rank", F.row_number().over(w) - 1)
+    else:
+        ranked = positions(incoming, order, parent_cols, out="_rank")
+    return (ranked.join(mx, parent_cols, "left")
+            .withColumn(pos_col, (F.coalesce("_max", F.lit(-1)) + F.col("_rank") + 1).cast("long"))
+            .drop("_max", "_rank"))

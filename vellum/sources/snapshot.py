@@ -19,7 +19,6 @@ Corrupt input fails the read (``FAILFAST``) instead of loading nothing.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from pyspark.sql import types as T
 from ..operators.reshape import canonical_id, library_documents, stable_id
 from ..schema import SNAP_DOCUMENT, SNAPSHOT, STR_MAP
 from ..session import ensure_checkpoint_dir
+from . import fs
 
 DOC_LINE = T.StructType([
     T.StructField("library_id", T.StringType(), False),
@@ -46,12 +46,14 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/vellum/{name}"
 
 
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" not in path:
-        return path
-    return None
+def manifest_name(version: int) -> str:
+    return f"_manifest-{version:012d}.json"
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Published versions under ``root`` (those with a manifest)."""
+    return [int(n[len("_manifest-"):-len(".json")]) for n in fs.list_names(spark, root)
+            if n.startswith("_manifest-") and n.endswith(".json")]
 
 
 def write_snapshot(libraries: DataFrame, documents: DataFrame, chunks: DataFrame, root: str,
@@ -78,29 +80,16 @@ def write_snapshot(libraries: DataFrame, documents: DataFrame, chunks: DataFrame
 def _publish(spark: SparkSession, root: str, version: int, vdir: str) -> None:
     """Write the manifest last: a version without one does not exist."""
     body = json.dumps({"version": version, "path": vdir})
-    local = _local(root)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        tmp = f"{local}/_manifest-{version:012d}.json.tmp"
-        with open(tmp, "w") as f:
-            f.write(body)
-        os.replace(tmp, f"{local}/_manifest-{version:012d}.json")
-    else:  # distributed file systems: one-row text write under the manifest name
-        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite") \
-            .text(f"{root.rstrip('/')}/_manifest-{version:012d}")
-
-
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    local = _local(root)
-    if local is None:
-        raise NotImplementedError("latest_version on a remote store: list manifests with its client")
-    if not os.path.isdir(local):
-        return None
-    names = sorted(n for n in os.listdir(local) if n.startswith("_manifest-") and n.endswith(".json"))
-    if not names:
+    fs.write_text(spark, f"{root.rstrip('/')}/{manifest_name(version)}", body)
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """Directory of the newest published version (older than ``before``
+    when given), or None."""
+    vs = [v for v in versions(spark, root) if before is None or v < before]
+    if not vs:
         return None
-    with open(f"{local}/{names[-1]}") as f:
-        return json.load(f)["path"]
+    return json.loads(fs.read_text(spark, f"{root.rstrip('/')}/{manifest_name(vs[-1])}"))["path"]
 
 
 def read_snapshot(spark: SparkSession, vdir: str):

@@ -4,16 +4,21 @@ against a static index (M2).
 M1 replaces the reference's "save every 300 s" loop: a change feed is read
 with ``readStream``; each micro-batch (``trigger(processingTime=...)`` in
 production, ``availableNow`` for catch-up and tests) applies the latest
-change per key to the newest published version, keeps deletes as tombstones
-(a late, older change cannot revive a key) and publishes the result as the
-version named by the batch id.  A retried batch reads the version *before*
-its own and overwrites its own directory, so replays are idempotent; the
-streaming checkpoint lives under the shared checkpoint folder.
+change per key, keeps deletes as tombstones (a late, older change cannot
+revive a key) and publishes a new version named by the batch id.
+
+The table is split into ``buckets`` by a hash of the key, and a batch
+rewrites only the buckets its changes touch: the cost of a batch follows
+the batch, not the table.  A version's manifest maps every non-empty bucket
+to the version directory that last wrote it.  A retried batch reads the
+version *before* its own and overwrites its own directory, so replays are
+idempotent; the streaming checkpoint lives under the shared checkpoint
+folder.
 """
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.mutate import apply_changes
-from ..sources.snapshot import _local, _publish
+from ..sources import fs
+from ..sources.snapshot import manifest_name, versions
 
 
 def stage_files(df: DataFrame, folder: str, n_files: int, spread_col: str) -> str:
@@ -33,14 +39,6 @@ def stage_files(df: DataFrame, folder: str, n_files: int, spread_col: str) -> st
     return folder
 
 
-def versions(root: str) -> list[int]:
-    local = _local(root)
-    if local is None or not os.path.isdir(local):
-        return []
-    return sorted(int(n[len("_manifest-"):-len(".json")]) for n in os.listdir(local)
-                  if n.startswith("_manifest-") and n.endswith(".json"))
-
-
 def version_dir(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v{version:012d}"
 
@@ -66,10 +64,25 @@ class ProgressLog(StreamingQueryListener):
         pass
 
 
+def _manifest(spark: SparkSession, root: str, before: int | None = None) -> dict:
+    vs = [v for v in versions(spark, root) if before is None or v < before]
+    if not vs:
+        return {"table": {}, "tombstones": {}}
+    return json.loads(fs.read_text(spark, f"{root.rstrip('/')}/{manifest_name(vs[-1])}"))
+
+
+def _read_buckets(spark: SparkSession, where: dict, part: str, buckets: list[int], schema) -> DataFrame:
+    paths = [f"{where[str(b)]}/{part}/bkt={b}" for b in buckets if str(b) in where]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: list[str], *,
                   op_col: str = "op", order_cols: tuple[str, ...] = ("ts", "seq"),
                   checkpoint: str, to_changes: Callable[[DataFrame], DataFrame] | None = None,
-                  processing_time: str | None = None, max_files_per_trigger: int = 1):
+                  processing_time: str | None = None, max_files_per_trigger: int = 1,
+                  buckets: int = 64):
     """M1: start the ingest stream; returns the StreamingQuery.  With
     ``processing_time=None`` it runs ``availableNow`` (all pending files,
     one or more micro-batches, then stops)."""
@@ -78,32 +91,40 @@ def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: lis
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changes = to_changes(batch) if to_changes else batch
-        prev = [v for v in versions(root) if v < batch_id]
         payload = [c for c in changes.columns if c != op_col]
-        if prev:
-            vdir = version_dir(root, prev[-1])
-            table = spark.read.parquet(f"{vdir}/table")
-            tombs = spark.read.parquet(f"{vdir}/tombstones")
-        else:
-            table = changes.limit(0).select(*payload)
-            tombs = changes.limit(0).select(*keys, *order_cols)
+        bkt = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = sorted(r[0] for r in changes.select(bkt.alias("b")).distinct().collect())  # <= buckets
+        prev = _manifest(spark, root, before=batch_id)
+        tschema = changes.select(*payload).schema
+        dschema = changes.select(*keys, *order_cols).schema
+        table = _read_buckets(spark, prev["table"], "table", touched, tschema)
+        tombs = _read_buckets(spark, prev["tombstones"], "tombstones", touched, dschema)
         live, dead = apply_changes(table, changes, keys, op_col=op_col, order_cols=order_cols,
                                    tombstones=tombs)
         out = version_dir(root, batch_id)
-        live.select(*payload).write.mode("overwrite").parquet(f"{out}/table")
-        dead.write.mode("overwrite").parquet(f"{out}/tombstones")
-        _publish(spark, root, batch_id, out)
+        live.select(*payload).withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt") \
+            .parquet(f"{out}/table")
+        dead.withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt").parquet(f"{out}/tombstones")
+        manifest: dict = {"version": batch_id}
+        for part in ("table", "tombstones"):
+            written = {n.split("=", 1)[1] for n in fs.list_names(spark, f"{out}/{part}") if n.startswith("bkt=")}
+            where = {b: d for b, d in prev[part].items() if int(b) not in touched}
+            where.update({b: out for b in written})
+            manifest[part] = where
+        fs.write_text(spark, f"{root.rstrip('/')}/{manifest_name(batch_id)}", json.dumps(manifest))
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()
 
 
-def current_table(spark: SparkSession, root: str) -> DataFrame:
-    v = versions(root)
-    if not v:
-        raise FileNotFoundError(f"no published version under {root}")
-    return spark.read.parquet(f"{version_dir(root, v[-1])}/table")
+def current_table(spark: SparkSession, root: str, schema=None) -> DataFrame:
+    """The newest published version of a table kept by :func:`upsert_stream`."""
+    m = _manifest(spark, root)
+    paths = [f"{d}/table/bkt={b}" for b, d in sorted(m["table"].items(), key=lambda kv: int(kv[0]))]
+    if not paths:
+        raise FileNotFoundError(f"no published rows under {root}")
+    return spark.read.schema(schema).parquet(*paths) if schema is not None else spark.read.parquet(*paths)
 
 
 def search_stream(spark: SparkSession, source: str, schema, out: str, run_batch: Callable[[DataFrame], DataFrame], *,
