@@ -146,7 +146,7 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
     for lib, rows in by_lib.items():
         ids = np.array([r["query_id"] for r in rows], dtype=object)
         m = _unit_rows(_as_matrix([r["embedding"] for r in rows]))
-        ks = np.array([min(int(r["k"]), kmax) for r in rows], dtype=np.int64)
+        ks = np.array([min(int(r["k"]), kmax) if r["k"] is not None else kmax for r in rows], dtype=np.int64)
         packed[lib] = (ids, m, ks)
     bc = spark.sparkContext.broadcast(packed)
 
@@ -280,10 +280,6 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
         kmax = int(k) if kmax is None else kmax
-    if kmax is None:
-        got = queries.agg(F.max("k")).first()[0]
-        kmax = int(got) if got is not None else 1
-    kmax = max(1, kmax)
     q = queries.select("query_id", "library_id", "embedding", "k")
 
     if kernel in ("auto", "scan"):
@@ -291,10 +287,18 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
         rows = q.limit(broadcast_rows + 1).collect()
         size = sum(8 * len(r["embedding"] or ()) + 64 for r in rows)
         if len(rows) <= broadcast_rows and size <= broadcast_bytes:
+            if kmax is None:
+                kmax = max([int(r["k"]) for r in rows if r["k"] is not None], default=1)
+            kmax = max(1, kmax)
             cands = _scan_candidates(index, rows, kmax)
             return merge_topk(cands, kmax, _salt_for(index.rdd.getNumPartitions()))
         if kernel == "scan":
             raise ValueError(f"scan kernel takes at most {broadcast_rows} queries / {broadcast_bytes} bytes")
+    if kmax is None:
+        got = queries.agg(F.max("k")).first()[0]
+        kmax = int(got) if got is not None else 1
+    kmax = max(1, kmax)
+    q = q.withColumn("k", F.coalesce(F.col("k"), F.lit(kmax)).cast("int"))
     cands = _grid_candidates(index, q, kmax, block_rows, query_block_rows)
     return merge_topk(cands, kmax, 1)
 
