@@ -50,9 +50,14 @@ from .rank import positions
 ANGLE_SLACK = 1e-6
 
 
+def unit_expr():
+    """The unit vector of an index row, derived (never stored)."""
+    return F.transform("vector", lambda x: x.cast("double") * F.col("inv_norm"))
+
+
 def unit_rows(index: DataFrame) -> DataFrame:
     """Index rows with their unit vector as array<double>."""
-    return index.withColumn("unit", F.transform("vector", lambda x: x.cast("double") * F.col("inv_norm")))
+    return index.withColumn("unit", unit_expr())
 
 
 def component_stats(rows: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
@@ -97,8 +102,13 @@ def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols:
     task; larger groups use the distributed ranking, so no task ever sorts
     more than its slice of a hot group."""
     j = (rows.join(axes.select(*group_cols, "axis"), group_cols)
-         .join(sizes.select(*group_cols, "n"), group_cols)
-         .withColumn("_v", F.element_at(vec, F.col("axis") + 1)))
+         .join(sizes.select(*group_cols, "n"), group_cols))
+    if "vector" in rows.columns:    # one component, no need for the whole unit vector
+        j = j.withColumn("_v", F.element_at("vector", F.col("axis") + 1).cast("double") * F.col("inv_norm"))
+    else:
+        j = j.withColumn("_v", F.element_at(vec, F.col("axis") + 1))
+    if vec in j.columns and "vector" in rows.columns:
+        j = j.drop(vec)
     biggest = sizes.agg(F.max("n")).first()[0] or 0
     if biggest <= window_max_rows:
         w = Window.partitionBy(*group_cols).orderBy("_v", "chunk_id")
@@ -120,7 +130,8 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
     spark = index.sparkSession
     ensure_checkpoint_dir(spark)
     g = ["library_id", "cell"]
-    rows = unit_rows(index).withColumn("cell", F.lit(1).cast("long"))
+    # levels checkpoint only the stored columns; unit vectors are derived
+    rows = index.select("library_id", "chunk_id", "vector", "inv_norm").withColumn("cell", F.lit(1).cast("long"))
     for _ in range(max_levels):
         sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
         active = sizes.filter(F.col("n") > leaf_size)
@@ -128,7 +139,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
             break
         act = rows.join(active.select(*g), g, "left_semi")
         rest = rows.join(active.select(*g), g, "left_anti")
-        axes = split_axis(component_stats(act, g), g)
+        axes = split_axis(component_stats(act.withColumn("unit", unit_expr()), g), g)
         split = median_split(act, axes, active, g, window_max_rows=window_max_rows)
         split = split.withColumn("cell", F.col("cell") * 2 + F.col("side"))
         rows = rest.unionByName(split.select(*rows.columns)).checkpoint(eager=True)
@@ -136,9 +147,10 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
     rows = rows.join(lib_n, "library_id").withColumn(
         "cblock", F.pmod(F.xxhash64("cell"), F.ceil(F.col("_nl") / F.lit(block_rows))).cast("int")).drop("_nl")
     rows = rows.checkpoint(eager=True)
-    stats = component_stats(rows, g)
+    with_unit = rows.withColumn("unit", unit_expr())
+    stats = component_stats(with_unit, g)
     cents = centroids(stats, g)
-    r = radii(rows, cents, g)
+    r = radii(with_unit, cents, g)
     cb = rows.select(*g, "cblock").distinct()
     cells = cents.join(r, g).join(cb, g).select("library_id", "cell", "cblock", "centroid", "radius", "angle", "n")
     cell_index = rows.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
