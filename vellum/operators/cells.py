@@ -44,7 +44,8 @@ from pyspark.sql import types as T
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir
-from .knn import CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, merge_topk
+from .knn import (CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, inv_norms,
+                  merge_topk, raw_scores)
 from .rank import positions
 
 ANGLE_SLACK = 1e-6
@@ -253,10 +254,10 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         if vpdf.empty or qpdf.empty:
             return empty_frame(CAND_SCHEMA)
         c_ids = vpdf["chunk_id"].to_numpy(dtype=object)
-        cm = _as_matrix(vpdf["vector"]) * vpdf["inv_norm"].to_numpy()[:, None]
+        cm = _as_matrix(vpdf["vector"])
         vcell = vpdf["cell"].to_numpy()
-        qu = _unit_rows(_as_matrix(qpdf["embedding"]))
-        S = qu @ cm.T
+        qr = _as_matrix(qpdf["embedding"])
+        S = raw_scores(qr, inv_norms(qr), cm, vpdf["inv_norm"].to_numpy())
         for i, kept in enumerate(qpdf["cells"]):
             S[i, ~np.isin(vcell, np.asarray(kept))] = -np.inf
         q_ids = qpdf["query_id"].to_numpy(dtype=object)

@@ -71,6 +71,25 @@ def _as_matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def inv_norms(m: np.ndarray) -> np.ndarray:
+    """1/|row| in double, 0 for a zero row (same rule as the index column)."""
+    if m.size == 0:
+        return np.zeros(len(m))
+    n = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return np.divide(1.0, n, out=np.zeros_like(n), where=n > 0)
+
+
+def raw_scores(q_raw: np.ndarray, q_inv: np.ndarray, c_raw: np.ndarray, c_inv: np.ndarray) -> np.ndarray:
+    """Cosine scores as the SQL form computes them: the raw dot product
+    first, then the two inverse norms (dot * 1/|c| * 1/|q|).  Normalising
+    first would turn exact ties (e.g. a dot product of exactly 0) into
+    rounding noise and break the id tie rule."""
+    S = q_raw @ c_raw.T
+    S *= c_inv[None, :]
+    S *= q_inv[:, None]
+    return S
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     if m.size == 0:
         return m
@@ -79,8 +98,8 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m * inv[:, None]
 
 
-def block_topk(q_ids: np.ndarray, q_unit: np.ndarray, q_k: np.ndarray,
-               c_ids: np.ndarray, c_unit: np.ndarray) -> pd.DataFrame:
+def block_topk(q_ids: np.ndarray, q_raw: np.ndarray, q_inv: np.ndarray, q_k: np.ndarray,
+               c_ids: np.ndarray, c_raw: np.ndarray, c_inv: np.ndarray) -> pd.DataFrame:
     """Local exact top-k of one block: for each query row keep its ``k`` best
     vectors by ``(score desc, chunk_id asc)``.  Ties at the cut are resolved
     by id, the same way the global merge resolves them."""
@@ -91,9 +110,8 @@ def block_topk(q_ids: np.ndarray, q_unit: np.ndarray, q_k: np.ndarray,
     out = []
     step = max(1, _MAX_SCORE_CELLS // nc)
     for s in range(0, nq, step):
-        qs = q_unit[s:s + step]
         ks = q_k[s:s + step]
-        S = qs @ c_unit.T                     # (slice, nc) float64
+        S = raw_scores(q_raw[s:s + step], q_inv[s:s + step], c_raw, c_inv)   # (slice, nc) float64
         kmax = int(ks.max())
         if kmax < nc:
             # k-th best score per row; keep everything >= it (ties included)
@@ -145,9 +163,9 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
     packed = {}
     for lib, rows in by_lib.items():
         ids = np.array([r["query_id"] for r in rows], dtype=object)
-        m = _unit_rows(_as_matrix([r["embedding"] for r in rows]))
+        m = _as_matrix([r["embedding"] for r in rows])
         ks = np.array([min(int(r["k"]), kmax) if r["k"] is not None else kmax for r in rows], dtype=np.int64)
-        packed[lib] = (ids, m, ks)
+        packed[lib] = (ids, m, inv_norms(m), ks)
     bc = spark.sparkContext.broadcast(packed)
 
     def run(batches):
@@ -157,12 +175,12 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
             for lib, grp in pdf.groupby("library_id", sort=False):
                 if lib not in table:
                     continue
-                q_ids, q_unit, q_k = table[lib]
+                q_ids, q_raw, q_inv, q_k = table[lib]
                 c_ids = grp["chunk_id"].to_numpy(dtype=object)
-                c = _as_matrix(grp["vector"]) * grp["inv_norm"].to_numpy()[:, None]
-                if c.shape[1] != q_unit.shape[1]:
+                c = _as_matrix(grp["vector"])
+                if c.shape[1] != q_raw.shape[1]:
                     continue  # dimension mismatch is rejected before the join
-                res = block_topk(q_ids, q_unit, q_k, c_ids, c)
+                res = block_topk(q_ids, q_raw, q_inv, q_k, c_ids, c, grp["inv_norm"].to_numpy())
                 libs = np.full(len(q_ids), lib, dtype=object)
                 pending.append(_emit(q_ids, libs, q_k, c_ids, res))
                 pending_rows += len(res)
@@ -223,14 +241,15 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
     """``grid`` kernel: co-group (library, vector block, query block)."""
     def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         c_ids = cpdf["chunk_id"].to_numpy(dtype=object)
-        c = _as_matrix(cpdf["vector"]) * cpdf["inv_norm"].to_numpy()[:, None]
+        c = _as_matrix(cpdf["vector"])
         q_ids = qpdf["query_id"].to_numpy(dtype=object)
         q_libs = qpdf["library_id"].to_numpy(dtype=object)
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
-        q = _unit_rows(_as_matrix(qpdf["embedding"]))
+        q = _as_matrix(qpdf["embedding"])
         if q.shape[1] != c.shape[1]:
             return empty_frame(CAND_SCHEMA)
-        return _emit(q_ids, q_libs, q_k, c_ids, block_topk(q_ids, q, q_k, c_ids, c))
+        res = block_topk(q_ids, q, inv_norms(q), q_k, c_ids, c, cpdf["inv_norm"].to_numpy())
+        return _emit(q_ids, q_libs, q_k, c_ids, res)
 
     q = queries.select("query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k"))
     return grid_cogroup(index.select("library_id", "chunk_id", "vector", "inv_norm"), q, fn, CAND_SCHEMA,
