@@ -69,6 +69,8 @@ def workload(spark, out: dict) -> None:
             out[f"wl_cells_d{d}_build"] = timed(build)
             out[f"wl_cells_d{d}_query100"] = timed(
                 lambda: run(knn_cells(holder["ci"], holder["cells"], qs, k=10, cell_block_rows=256)))
+            out[f"wl_cells_approx_d{d}_build"] = timed(
+                lambda: [x.checkpoint(eager=True) for x in build_cells(idx, leaf_size=40, split="approx")])
 
 
 def main() -> None:

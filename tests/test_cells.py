@@ -78,3 +78,23 @@ def test_knn_cells_exact(spark, dim, k):
         qv = np.asarray(qs[j], dtype=np.float32)
         want = [i for i, _ in brute_topk(ids, np.asarray(vecs, dtype=np.float32), qv, k)]
         assert got[f"q{j}"] == want
+
+
+def test_approx_split_is_exact_for_search(spark):
+    rng = np.random.default_rng(11)
+    vecs = rng.standard_normal((150, 4))
+    vecs[:20] = vecs[0]                      # a block of identical vectors cannot be split
+    ids = [f"v{i:03d}" for i in range(150)]
+    ci, cells = build_cells(_index(spark, ids, vecs), leaf_size=6, split="approx")
+    c = cells.collect()
+    assert sum(r["n"] for r in c) == 150
+    qs = rng.standard_normal((4, 4))
+    q = spark.createDataFrame([(f"q{j}", "lib", [float(x) for x in v], 7) for j, v in enumerate(qs)],
+                              "query_id string, library_id string, embedding array<float>, k int")
+    got = {}
+    for r in knn_cells(ci, cells, q, cell_block_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for j in range(4):
+        want = [i for i, _ in brute_topk(ids, np.asarray(vecs, dtype=np.float32),
+                                         np.asarray(qs[j], dtype=np.float32), 7)]
+        assert got[f"q{j}"] == want

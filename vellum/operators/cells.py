@@ -120,10 +120,34 @@ def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols:
         .drop("_v", "_pos")
 
 
+def approx_split(rows: DataFrame, axes: DataFrame, group_cols: list[str], accuracy: int = 10_000) -> DataFrame:
+    """Split without ranking: each cell's threshold is the approximate median
+    of its axis values (``percentile_approx``, a mergeable sketch, so a hot
+    cell costs one partial aggregate), and a row goes right when its value
+    is above the threshold.  Cells whose rows would all land on one side are
+    not split (``side`` NULL)."""
+    v = F.element_at("vector", F.col("axis") + 1).cast("double") * F.col("inv_norm")
+    j = rows.join(axes.select(*group_cols, "axis"), group_cols).withColumn("_v", v)
+    th = j.groupBy(*group_cols).agg(F.percentile_approx("_v", 0.5, accuracy).alias("_t"),
+                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    th = th.withColumn("_ok", F.col("_lo") < F.col("_hi")).withColumn(
+        "_t", F.when(F.col("_t") >= F.col("_hi"), F.col("_lo")).otherwise(F.col("_t")))
+    out = j.join(th, group_cols)
+    side = F.when(F.col("_ok"), (F.col("_v") > F.col("_t")).cast("int"))
+    return out.withColumn("side", side).drop("_v", "_t", "_lo", "_hi", "_ok")
+
+
 def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows: int = 16_384,
-                max_levels: int = 62, window_max_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+                max_levels: int = 62, window_max_rows: int = 1_000_000,
+                split: str = "median") -> tuple[DataFrame, DataFrame]:
     """Returns ``(cell_index, cells)``.
 
+    ``split='median'`` is the reference's rule (first floor(n/2) rows by the
+    axis value go left), an exact ranking per level.  ``split='approx'``
+    splits at an approximate median from a sketch: no ranking shuffle, about
+    half the cost per level; search stays exact either way, since pruning
+    uses each cell's measured radius.
+
     ``cell_index``: index rows with ``cell`` (heap numbering: root 1,
     children 2c and 2c+1) and ``cblock`` (the scoring block of the cell).
     ``cells``: one row per leaf: ``library_id, cell, cblock, centroid,
@@ -132,18 +156,27 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
     ensure_checkpoint_dir(spark)
     g = ["library_id", "cell"]
     # levels checkpoint only the stored columns; unit vectors are derived
-    rows = index.select("library_id", "chunk_id", "vector", "inv_norm").withColumn("cell", F.lit(1).cast("long"))
+    if split not in ("median", "approx"):
+        raise ValueError(f"split must be 'median' or 'approx', not {split!r}")
+    rows = (index.select("library_id", "chunk_id", "vector", "inv_norm")
+            .withColumn("cell", F.lit(1).cast("long")).withColumn("_final", F.lit(False)))
     for _ in range(max_levels):
-        sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.filter(~F.col("_final")).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
         active = sizes.filter(F.col("n") > leaf_size)
         if active.isEmpty():
             break
         act = rows.join(active.select(*g), g, "left_semi")
         rest = rows.join(active.select(*g), g, "left_anti")
         axes = split_axis(component_stats(act.withColumn("unit", unit_expr()), g), g)
-        split = median_split(act, axes, active, g, window_max_rows=window_max_rows)
-        split = split.withColumn("cell", F.col("cell") * 2 + F.col("side"))
-        rows = rest.unionByName(split.select(*rows.columns)).checkpoint(eager=True)
+        if split == "median":
+            parts = median_split(act, axes, active, g, window_max_rows=window_max_rows)
+        else:
+            parts = approx_split(act, axes, g)
+        parts = (parts.withColumn("_final", F.col("side").isNull())
+                 .withColumn("cell", F.when(F.col("side").isNull(), F.col("cell"))
+                             .otherwise(F.col("cell") * 2 + F.col("side"))))
+        rows = rest.unionByName(parts.select(*rows.columns)).checkpoint(eager=True)
+    rows = rows.drop("_final")
     lib_n = rows.groupBy("library_id").agg(F.count(F.lit(1)).alias("_nl"))
     rows = rows.join(lib_n, "library_id").withColumn(
         "cblock", F.pmod(F.xxhash64("cell"), F.ceil(F.col("_nl") / F.lit(block_rows))).cast("int")).drop("_nl")
