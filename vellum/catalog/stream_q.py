@@ -8,7 +8,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.sql import register_search_function
-from ..plans.index import build_index
+from ..plans.index import build_index, read_index, write_index
 from ..plans.search import search
 from ..schema import QUERIES
 from ..sources import tables
@@ -62,10 +62,8 @@ def stream_search(spark, sf):
     root = scratch_root(spark, f"qstream-{uuid.uuid4().hex}")
     c = tables.corpus(spark, sf)
     b = build_index(c.chunks, c.libraries)
-    idx_path, meta_path = f"{root}/index", f"{root}/meta"
-    b.index.write.mode("overwrite").partitionBy("library_id").parquet(idx_path)
-    b.meta.write.mode("overwrite").parquet(meta_path)
-    index, meta = spark.read.parquet(idx_path), spark.read.parquet(meta_path)
+    write_index(b, f"{root}/built")
+    index, meta = read_index(spark, f"{root}/built")
     q = tables.queries(spark, sf, k=10, filter_keys=("label",)).select(*[f.name for f in QUERIES.fields])
     src = stage_files(q, f"{root}/source", 4, "query_id")
     qs = spark.read.parquet(src).schema

@@ -190,7 +190,11 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
         if pending:
             yield _reduce_candidates(pd.concat(pending, ignore_index=True))
 
-    return (index.select("library_id", "chunk_id", "vector", "inv_norm")
+    # only the libraries the batch asks about: with the index stored
+    # partitioned by library this is partition pruning at the scan
+    libs = sorted(k for k in packed if k is not None)
+    return (index.filter(F.col("library_id").isin(libs))
+            .select("library_id", "chunk_id", "vector", "inv_norm")
             .mapInPandas(run, CAND_SCHEMA))
 
 

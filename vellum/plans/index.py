@@ -129,3 +129,20 @@ def index_counts(chunks: DataFrame, documents: DataFrame, libraries: DataFrame,
         "library_id",
         *[F.coalesce(col, F.lit(0)).cast("long").alias(col)
           for col in ("n_documents", "n_chunks", "n_documents_with_chunks", "n_indexed")])
+
+
+def write_index(build: IndexBuild, path: str) -> None:
+    """Persist an index build: ``index`` partitioned by ``library_id`` (a
+    search reads only the libraries it asks about) and ``meta`` beside it.
+    ``partitionOverwriteMode=dynamic`` on the session makes a rebuild of some
+    libraries replace only their partitions (U3)."""
+    build.index.write.mode("overwrite").partitionBy("library_id").parquet(f"{path.rstrip('/')}/index")
+    build.meta.write.mode("overwrite").parquet(f"{path.rstrip('/')}/meta")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The ``(index, meta)`` pair written by :func:`write_index`."""
+    from ..schema import INDEX, INDEX_META
+    root = path.rstrip("/")
+    return (spark.read.schema(INDEX).parquet(f"{root}/index"),
+            spark.read.schema(INDEX_META).parquet(f"{root}/meta"))
