@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import inv_norm, literal_vector, vec_dot
-from ..schema import MAX_K
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
