@@ -288,14 +288,15 @@ def add_chunks(spark, sf):
 
 
 @register("update_chunks", with_chunks("""
-SELECT c.chunk_id, c.chunk_pos, CASE WHEN lab.quality = 0 THEN upper(c.text) ELSE c.text END AS text,
+SELECT c.chunk_id, c.chunk_pos, CASE WHEN lab.quality = 0 THEN c.text || ' [edited]' ELSE c.text END AS text,
        round(CASE WHEN lab.quality = 0 THEN list_reverse(c.embedding) ELSE c.embedding END[1], 6) AS first
 FROM chunks c LEFT JOIN lab USING (document_id)""", _LAB))
 def update_chunks(spark, sf):
-    """Chunks of low-quality documents get new text and vector in place."""
+    """Chunks of low-quality documents get new text (marked edited) and
+    a new vector in place."""
     c3 = _corpus3(spark, sf)
     upd = c3.chunks.join(_lab(spark, sf).filter("quality = 0"), "document_id", "left_semi").select(
-        "library_id", "document_id", "chunk_id", F.upper("text").alias("text"),
+        "library_id", "document_id", "chunk_id", F.concat("text", F.lit(" [edited]")).alias("text"),
         F.reverse("embedding").alias("embedding"), "metadata")
     out, _bad = M.update_chunks(c3, upd)
     return out.chunks.select("chunk_id", "chunk_pos", "text", _first("embedding"))

@@ -90,6 +90,14 @@ def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: lis
               .parquet(source))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        # the batch feeds several jobs below: read the source once
+        batch = batch.persist()
+        try:
+            _apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply(batch: DataFrame, batch_id: int) -> None:
         changes = to_changes(batch) if to_changes else batch
         payload = [c for c in changes.columns if c != op_col]
         bkt = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
