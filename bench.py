@@ -13,11 +13,14 @@ build seconds and seconds for the whole query batch, exact kernel and cells.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import sys
+import tempfile
 import time
+from collections import defaultdict
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -73,18 +76,64 @@ def workload(spark, out: dict) -> None:
                 lambda: [x.checkpoint(eager=True) for x in build_cells(idx, leaf_size=40, split="approx")])
 
 
+def _event_lines(path: str):
+    """Lines of one event-log file (Spark 4 compresses them with zstd)."""
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+        with open(path, "rb") as raw:
+            reader = zstandard.ZstdDecompressor().stream_reader(raw)
+            yield from io.TextIOWrapper(reader, encoding="utf-8")
+    else:
+        with open(path) as f:
+            yield from f
+
+
+def stage_summary(log_dir: str) -> dict:
+    """Per query (job description), stage count, summed and longest stage
+    seconds, read from Spark's event log."""
+    stage_query, stage_secs = {}, {}
+    for path in glob.glob(os.path.join(log_dir, "**", "events_*"), recursive=True):
+        for line in _event_lines(path):
+            ev = json.loads(line)
+            kind = ev.get("Event", "")
+            if kind.endswith("SparkListenerJobStart"):
+                desc = (ev.get("Properties") or {}).get("spark.job.description")
+                for sid in ev.get("Stage IDs", []):
+                    stage_query[sid] = desc
+            elif kind.endswith("SparkListenerStageCompleted"):
+                info = ev["Stage Info"]
+                if info.get("Submission Time") and info.get("Completion Time"):
+                    stage_secs[info["Stage ID"]] = (info["Completion Time"] - info["Submission Time"]) / 1000
+    out: dict = defaultdict(lambda: {"stages": 0, "stage_sec": 0.0, "max_stage_sec": 0.0})
+    for sid, secs in stage_secs.items():
+        q = stage_query.get(sid) or "other"
+        out[q]["stages"] += 1
+        out[q]["stage_sec"] = round(out[q]["stage_sec"] + secs, 3)
+        out[q]["max_stage_sec"] = max(out[q]["max_stage_sec"], secs)
+    return dict(out)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     # the checkpoint folder comes from spark.checkpoint.dir; local_session
     # sets a scratch one only when it is unset
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="vellum-bench")
+    extra = {}
+    log_dir = None
+    if os.environ.get("BENCH_EVENTLOG"):
+        log_dir = tempfile.mkdtemp(prefix="vellum-eventlog-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log_dir}"}
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="vellum-bench", extra_conf=extra)
     load_all()
     run(QUERIES["vec_norm"](spark, sf_dir))                 # warm-up: JVM, Python workers
     queries: dict[str, float] = {}
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     for name in HEADLINE:
+        spark.sparkContext.setJobDescription(name)
         queries[name] = min(timed(lambda: run(QUERIES[name](spark, sf_dir))) for _ in range(repeats))
+    spark.sparkContext.setJobDescription(None)
     total = round(sum(queries.values()), 3)
     if os.environ.get("BENCH_WORKLOAD", "1") != "0":
         workload(spark, queries)
@@ -92,6 +141,8 @@ def main() -> None:
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
                       "queries": queries, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))
     spark.stop()
+    if log_dir:
+        print(json.dumps({"stages": stage_summary(log_dir)}), file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -26,12 +26,12 @@ LOCAL_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "vellum") -> SparkSession:
+                  app: str = "vellum", extra_conf: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
-    for k, v in LOCAL_CONF.items():
+    for k, v in {**LOCAL_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

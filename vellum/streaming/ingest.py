@@ -144,7 +144,11 @@ def search_stream(spark: SparkSession, source: str, schema, out: str, run_batch:
               .parquet(source))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
+        batch = batch.persist()          # a search reads its query batch more than once
+        try:
+            run_batch(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
