@@ -107,3 +107,13 @@ def test_gaussian_source_is_partitioning_independent(spark):
     b = {r["id"]: r["embedding"] for r in gaussian_vectors(spark, 50, 8, seed=3, num_partitions=7).collect()}
     assert a == b
     assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in a.values())
+
+
+def test_nesting_bound_refuses_oversized_groups(spark):
+    import pytest
+
+    c = tables.corpus(spark, SF)
+    with pytest.raises(ValueError, match="nesting bound"):
+        R.renest_libraries(c.libraries, c.documents, c.chunks, max_documents=3)
+    with pytest.raises(ValueError, match="nesting bound"):
+        R.renest_documents(c.documents, c.chunks, max_chunks=2)

@@ -91,10 +91,23 @@ def flatten(nested: DataFrame, keep_empty_documents: bool = True):
     return libs, docs, chunks
 
 
-def renest_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+def check_group_size(df: DataFrame, keys: list[str], limit: int | None, what: str) -> None:
+    """Refuse to nest a group larger than ``limit`` rows into one value (one
+    small aggregate decides).  ``limit=None`` skips the check."""
+    if limit is None:
+        return
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest > limit:
+        raise ValueError(f"a {what} holds {biggest} rows, over the nesting bound {limit}; "
+                         f"use the flat tables or library_documents instead")
+
+
+def renest_documents(documents: DataFrame, chunks: DataFrame, max_chunks: int | None = 1_000_000) -> DataFrame:
     """R2: one row per document with its chunks in ``chunk_pos`` order; a
     document without chunks keeps an empty list (left join from documents).
-    The group is one document, bounded by that document's size."""
+    The group is one document; documents over ``max_chunks`` chunks are
+    refused rather than packed into one row."""
+    check_group_size(chunks, ["library_id", "document_id"], max_chunks, "document")
     packed = (chunks.groupBy("library_id", "document_id").agg(
         _sort_by_pos(F.collect_list(F.struct(
             F.col("chunk_pos").alias("pos"), F.col("chunk_id").alias("id"),
@@ -118,11 +131,15 @@ def library_documents(libraries: DataFrame, documents: DataFrame, chunks: DataFr
                     F.col("metadata").alias("document_metadata"), "chunks"))
 
 
-def renest_libraries(libraries: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+def renest_libraries(libraries: DataFrame, documents: DataFrame, chunks: DataFrame,
+                     max_documents: int | None = 100_000, max_chunks: int | None = 1_000_000) -> DataFrame:
     """One row per library holding all its documents in order (the
-    snapshot shape).  The library is the group, so use this only for
-    libraries of bounded size; :func:`library_documents` is the scalable form."""
-    docs = renest_documents(documents, chunks)
+    snapshot shape).  The library is the group, so it is refused when a
+    library has more than ``max_documents`` documents or ``max_chunks``
+    chunks; :func:`library_documents` is the scalable form."""
+    check_group_size(documents, ["library_id"], max_documents, "library")
+    check_group_size(chunks, ["library_id"], max_chunks, "library")
+    docs = renest_documents(documents, chunks, max_chunks)
     packed = docs.groupBy("library_id").agg(_sort_by_pos(F.collect_list(F.struct(
         F.col("doc_pos").alias("pos"), F.col("document_id").alias("id"),
         "chunks", "metadata"))).alias("_d"))
