@@ -206,8 +206,11 @@ _TAU_SCHEMA = T.StructType([
 _KEEP_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
     T.StructField("library_id", T.StringType(), True),
-    T.StructField("cell", T.LongType(), False),
     T.StructField("cblock", T.IntegerType(), False),
+    T.StructField("_rblock", T.IntegerType(), False),
+    T.StructField("cells", T.ArrayType(T.LongType(), False), False),
+    T.StructField("embedding", T.ArrayType(T.FloatType()), True),
+    T.StructField("k", T.IntegerType(), False),
 ])
 
 
@@ -255,30 +258,44 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
                    .alias("tau")))
     qt = q.join(tau, "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0)))
 
-    # B: keep the cells whose upper bound reaches tau.
-    def pass_b(cpdf, qpdf):
+    # B: keep the cells whose upper bound reaches tau.  Cells are grouped by
+    # their scoring block, so the output is one row per (query, scoring
+    # block) listing its kept cells: never one row per (query, cell) pair.
+    nb = cl.groupBy("library_id").agg((F.max("cblock") + 1).cast("int").alias("_nb"))
+    qn = q.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
+    blocks = nb.join(qn, "library_id")
+    cb = (cl.join(blocks, "library_id")
+          .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nb", "_nqb"))
+    qb = (qt.join(blocks, "library_id")
+          .withColumn("_rblock", F.pmod(F.xxhash64("query_id"), F.col("_nqb")).cast("int"))
+          .withColumn("cblock", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nqb"))
+
+    def pass_b(key, cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if cpdf.empty or qpdf.empty:
+            return empty_frame(_KEEP_SCHEMA)
         cen = _as_matrix(cpdf["centroid"])
         qu = _unit_rows(_as_matrix(qpdf["embedding"]))
         if qu.shape[1] != cen.shape[1]:
             return empty_frame(_KEEP_SCHEMA)
         ub = np.cos(np.maximum(0.0, _angles(qu, cen) - cpdf["angle"].to_numpy()[None, :] - ANGLE_SLACK))
-        qi, ci = np.nonzero(ub >= qpdf["tau"].to_numpy()[:, None] - 1e-12)
-        return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy(dtype=object)[qi],
-                             "library_id": qpdf["library_id"].to_numpy(dtype=object)[qi],
-                             "cell": cpdf["cell"].to_numpy()[ci],
-                             "cblock": cpdf["cblock"].to_numpy()[ci].astype(np.int32)})
+        keep = ub >= qpdf["tau"].to_numpy()[:, None] - 1e-12
+        cell_ids = cpdf["cell"].to_numpy()
+        rows = [i for i in range(len(qpdf)) if keep[i].any()]
+        return pd.DataFrame({
+            "query_id": qpdf["query_id"].to_numpy(dtype=object)[rows],
+            "library_id": qpdf["library_id"].to_numpy(dtype=object)[rows],
+            "cblock": np.full(len(rows), key[1], dtype=np.int32),
+            "_rblock": np.full(len(rows), key[2], dtype=np.int32),
+            "cells": [cell_ids[keep[i]].astype(np.int64).tolist() for i in rows],
+            "embedding": qpdf["embedding"].to_numpy(dtype=object)[rows],
+            "k": qpdf["k"].to_numpy(dtype=np.int32)[rows],
+        })
 
-    keep = grid_cogroup(cl, qt, pass_b, _KEEP_SCHEMA, left_id="cell", right_id="query_id",
-                        left_block_rows=cell_block_rows, right_block_rows=query_block_rows)
+    keys = ["library_id", "cblock", "_rblock"]
+    rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInPandas(pass_b, _KEEP_SCHEMA)
 
     # C: score the vectors of kept cells, one co-group per (library, scoring
     # block, query block); a query row lists its kept cells in that block.
-    per_block = keep.groupBy("query_id", "library_id", "cblock").agg(F.collect_list("cell").alias("cells"))
-    right = per_block.join(q, ["query_id", "library_id"])
-    qn = right.groupBy("library_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
-    rb = right.join(qn, "library_id").withColumn(
-        "_rblock", F.pmod(F.xxhash64("query_id"), F.col("_nqb")).cast("int")).drop("_nqb")
     lb_ = (cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
            .join(qn, "library_id")
            .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
@@ -300,7 +317,6 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         res = pd.DataFrame({"qi": qi[ok], "ci": ci[ok], "score": sc[ok]})
         return _emit(q_ids, qpdf["library_id"].to_numpy(dtype=object), q_k, c_ids, res)
 
-    keys = ["library_id", "cblock", "_rblock"]
     cands = lb_.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(pass_c, CAND_SCHEMA)
     return merge_topk(cands, kmax)
 
@@ -323,12 +339,3 @@ def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
     r = df.groupby("qi").cumcount().to_numpy()
     df = df[r < q_k[df["qi"].to_numpy()]]
     return df["qi"].to_numpy(), df["ci"].to_numpy(), df["v"].to_numpy()
-
-
-def scored_fraction(cell_index: DataFrame, keep_pairs: DataFrame) -> DataFrame:
-    """Fraction of a library's vectors a cell search scores per query."""
-    n = cell_index.groupBy("library_id", "cell").agg(F.count(F.lit(1)).alias("n"))
-    tot = cell_index.groupBy("library_id").agg(F.count(F.lit(1)).alias("total"))
-    s = keep_pairs.join(n, ["library_id", "cell"]).groupBy("query_id", "library_id").agg(F.sum("n").alias("scored"))
-    return s.join(tot, "library_id").withColumn("fraction", F.col("scored") / F.col("total"))
-
