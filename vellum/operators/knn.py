@@ -198,18 +198,14 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
 
 
 def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "library_id",
-                 left_id: str, right_id: str, left_block_rows: int, right_block_rows: int,
-                 right_route_col: str | None = None, left_route_col: str | None = None) -> DataFrame:
+                 left_id: str, right_id: str, left_block_rows: int, right_block_rows: int) -> DataFrame:
     """Co-group two keyed tables block by block: within each ``key`` value the
     left rows are hashed into ``ceil(n_left / left_block_rows)`` blocks and the
     right rows into ``ceil(n_right / right_block_rows)`` blocks, and ``fn``
     runs once per (key, left block, right block) with both sides as pandas
     frames.  Every left row meets every right row of its key exactly once,
-    and one call never holds more than about one block of each side.
-
-    By default right rows are replicated to every left block; with
-    ``right_route_col`` a right row goes only to the left block that
-    ``left_route_col`` (hashed the same way) assigns to its value.
+    and one call never holds more than about one block of each side.  Each
+    row is copied once per block of the other side, never once per row.
     """
     l_stats = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
     r_stats = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
@@ -217,18 +213,14 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
               .select(key,
                       F.ceil(F.col("_nl") / F.lit(left_block_rows)).cast("int").alias("_nb"),
                       F.ceil(F.col("_nr") / F.lit(right_block_rows)).cast("int").alias("_nqb")))
-    l_hash = left_route_col or left_id
     lb = (left.join(blocks, key)
-          .withColumn("_lblock", F.pmod(F.xxhash64(l_hash), F.col("_nb")).cast("int"))
+          .withColumn("_lblock", F.pmod(F.xxhash64(left_id), F.col("_nb")).cast("int"))
           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
           .drop("_nb", "_nqb"))
-    rb = right.join(blocks, key).withColumn(
-        "_rblock", F.pmod(F.xxhash64(right_id), F.col("_nqb")).cast("int"))
-    if right_route_col:
-        rb = rb.withColumn("_lblock", F.pmod(F.xxhash64(right_route_col), F.col("_nb")).cast("int"))
-    else:
-        rb = rb.withColumn("_lblock", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    rb = rb.drop("_nb", "_nqb")
+    rb = (right.join(blocks, key)
+          .withColumn("_rblock", F.pmod(F.xxhash64(right_id), F.col("_nqb")).cast("int"))
+          .withColumn("_lblock", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+          .drop("_nb", "_nqb"))
     keys = [key, "_lblock", "_rblock"]
 
     def run(_k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
