@@ -9,6 +9,7 @@ reported, which damps noise from a shared machine.  ``value`` is the sum
 over the driver-table queries.  The workload entries (``wl_*``) are the reference's
 10,000 unit Gaussian vectors x 100 queries, k=10, per dimension: index
 build seconds and seconds for the whole query batch, exact kernel and cells.
+``wl_skew*`` is a skewed case: one library holds a third of 300,000 vectors.
 """
 
 from __future__ import annotations
@@ -115,6 +116,22 @@ def stage_summary(log_dir: str) -> dict:
     return dict(out)
 
 
+def skew_workload(spark, out: dict) -> None:
+    """300,000 vectors (64-d) where one library holds a third of them and the
+    rest are spread over 200 libraries; 3,000 queries in the same mix, k=10,
+    through both exact kernels."""
+    lib = (F.when(F.col("id") % 3 == 0, F.lit("hot"))
+           .otherwise(F.concat(F.lit("lib"), (F.col("id") % 200).cast("string"))))
+    base = gaussian_vectors(spark, 300_000, 64, seed=42, num_partitions=16).select(
+        lib.alias("library_id"), F.col("id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"),
+        F.lit(1.0).alias("inv_norm"), F.lit(0).cast("long").alias("build_id")).checkpoint(eager=True)
+    qs = gaussian_vectors(spark, 3_000, 64, seed=43).select(
+        F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"), lib.alias("library_id"),
+        "embedding", F.lit(10).alias("k")).checkpoint(eager=True)
+    for kernel in ("scan", "grid"):
+        out[f"wl_skew300k_{kernel}_query3000"] = timed(lambda: run(knn_join(base, qs, k=10, kernel=kernel)))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -137,6 +154,7 @@ def main() -> None:
     total = round(sum(queries.values()), 3)
     if os.environ.get("BENCH_WORKLOAD", "1") != "0":
         workload(spark, queries)
+        skew_workload(spark, queries)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
                       "queries": queries, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))
