@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from vellum.plans.index import build_index
 from vellum.plans.search import search
 
+from vellum.schema import QUERIES
+
 from .helpers import FX1, corpus, queries
 
 
@@ -80,6 +82,9 @@ def test_empty_library_gives_zero_hits(spark):
     assert b.meta.first()["n"] == 0
     r = search(b.index, b.meta, empty, queries(spark, [("q", "lib", [1, 0, 0], 3, None)]))
     assert r.hits.count() == 0 and r.rejects.count() == 0
+    nul = spark.createDataFrame([("qn", "lib", None, 3, None)], QUERIES)
+    r = search(b.index, b.meta, empty, nul)
+    assert [x["reason"] for x in r.rejects.collect()] == ["missing_embedding"] and r.hits.count() == 0
 
 
 def test_stale_hits_vanish(spark):

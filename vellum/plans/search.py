@@ -34,14 +34,18 @@ class SearchResult:
 def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAULT_K):
     """V5, V9, V4: split queries into accepted and rejected rows.
 
-    ``reason`` is one of ``k_out_of_range``, ``not_indexed`` and
-    ``dimension_mismatch`` (first failing check wins).  A library whose index
-    is empty accepts any dimension (and then returns no hits)."""
+    ``reason`` is one of ``missing_embedding``, ``k_out_of_range``,
+    ``not_indexed`` and ``dimension_mismatch`` (first failing check wins).  A
+    library whose index is empty accepts any dimension (and then returns no
+    hits)."""
+    if "k" not in queries.columns:
+        queries = queries.withColumn("k", F.lit(None).cast("int"))
     q = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(default_k)).cast("int"))
     m = meta.select("library_id", F.col("dim").alias("_dim"), F.col("n").alias("_n"),
                     F.lit(True).alias("_indexed"))
     j = q.join(m, "library_id", "left")
-    reason = (F.when((F.col("k") < MIN_K) | (F.col("k") > MAX_K), F.lit("k_out_of_range"))
+    reason = (F.when(F.col("embedding").isNull(), F.lit("missing_embedding"))
+              .when((F.col("k") < MIN_K) | (F.col("k") > MAX_K), F.lit("k_out_of_range"))
               .when(F.col("_indexed").isNull(), F.lit("not_indexed"))
               .when((F.col("_n") > 0) & (F.coalesce(F.size("embedding"), F.lit(-1)) != F.col("_dim")),
                     F.lit("dimension_mismatch")))
