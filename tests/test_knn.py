@@ -105,3 +105,24 @@ def test_merge_uses_window_group_limit(spark):
     q = _queries(spark, [("qx", [1, 0, 0])], 3)
     plan = knn_join(idx, q, kernel="grid")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_sample_floor_keeps_results_and_cuts_candidates(spark):
+    from vellum.operators.knn import _scan_candidates
+
+    rng = np.random.default_rng(3)
+    vecs = rng.standard_normal((2000, 16))
+    ids = [f"v{i:04d}" for i in range(2000)]
+    idx = _index(spark, ids, vecs).repartition(40)
+    sample = idx.sample(fraction=0.1, seed=1)
+    q = _queries(spark, [(f"q{j}", rng.standard_normal(16)) for j in range(20)], 10)
+    plain = _got(knn_join(idx, q, k=10, kernel="scan"))
+    floored = _got(knn_join(idx, q, k=10, kernel="scan", sample=sample))
+    assert plain == floored
+    rows = q.collect()
+    pre = knn_join(sample, q, k=10, kernel="scan")
+    floors = {r["query_id"]: r["score"] for r in pre.filter("rank = k").collect()}
+    n_plain = _scan_candidates(idx, rows, 10).count()
+    n_floor = _scan_candidates(idx, rows, 10, floors).count()
+    # expected about k / fraction candidates per query (here 100) instead of k per task (here 400)
+    assert n_floor <= 1.5 * (10 / 0.1) * len(rows) < n_plain

@@ -98,10 +98,12 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def block_topk(q_ids: np.ndarray, q_raw: np.ndarray, q_inv: np.ndarray, q_k: np.ndarray,
-               c_ids: np.ndarray, c_raw: np.ndarray, c_inv: np.ndarray) -> pd.DataFrame:
+               c_ids: np.ndarray, c_raw: np.ndarray, c_inv: np.ndarray,
+               q_floor: np.ndarray | None = None) -> pd.DataFrame:
     """Local exact top-k of one block: for each query row keep its ``k`` best
     vectors by ``(score desc, chunk_id asc)``.  Ties at the cut are resolved
-    by id, the same way the global merge resolves them."""
+    by id, the same way the global merge resolves them.  ``q_floor`` (per
+    query) drops scores below a bound the global k-th best is known to reach."""
     nq, nc = len(q_ids), len(c_ids)
     if nq == 0 or nc == 0:
         return pd.DataFrame({"qi": np.zeros(0, np.int64), "ci": np.zeros(0, np.int64),
@@ -111,6 +113,8 @@ def block_topk(q_ids: np.ndarray, q_raw: np.ndarray, q_inv: np.ndarray, q_k: np.
     for s in range(0, nq, step):
         ks = q_k[s:s + step]
         S = raw_scores(q_raw[s:s + step], q_inv[s:s + step], c_raw, c_inv)   # (slice, nc) float64
+        if q_floor is not None:
+            S[S < q_floor[s:s + step, None]] = -np.inf
         kmax = int(ks.max())
         if kmax < nc:
             # k-th best score per row; keep everything >= it (ties included)
@@ -119,6 +123,9 @@ def block_topk(q_ids: np.ndarray, q_raw: np.ndarray, q_inv: np.ndarray, q_k: np.
         else:
             qi, ci = np.indices(S.shape).reshape(2, -1)
         sc = S[qi, ci]
+        if q_floor is not None:
+            live = np.isfinite(sc)
+            qi, ci, sc = qi[live], ci[live], sc[live]
         df = pd.DataFrame({"qi": qi + s, "ci": ci, "score": sc, "cid": c_ids[ci]})
         df = df.sort_values(["qi", "score", "cid"], ascending=[True, False, True], kind="mergesort")
         df["r"] = df.groupby("qi").cumcount()
@@ -152,9 +159,11 @@ def _reduce_candidates(df: pd.DataFrame) -> pd.DataFrame:
 # kernels
 # ---------------------------------------------------------------------------
 
-def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
+def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | None = None) -> DataFrame:
     """``scan`` kernel: queries (already bounded, collected) ride along to every
-    task; the index is streamed batch by batch and never shuffled."""
+    task; the index is streamed batch by batch and never shuffled.
+    ``floors`` (query id -> score) lets tasks drop scores that cannot reach
+    the global top-k."""
     spark = index.sparkSession
     by_lib: dict = defaultdict(list)
     for r in qrows:
@@ -164,7 +173,10 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
         ids = np.array([r["query_id"] for r in rows], dtype=object)
         m = _as_matrix([r["embedding"] for r in rows])
         ks = np.array([min(int(r["k"]), kmax) if r["k"] is not None else kmax for r in rows], dtype=np.int64)
-        packed[lib] = (ids, m, inv_norms(m), ks)
+        fl = None
+        if floors:
+            fl = np.array([floors.get(r["query_id"], -np.inf) for r in rows], dtype=np.float64)
+        packed[lib] = (ids, m, inv_norms(m), ks, fl)
     bc = spark.sparkContext.broadcast(packed)
 
     def run(batches):
@@ -174,12 +186,12 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int) -> DataFrame:
             for lib, grp in pdf.groupby("library_id", sort=False):
                 if lib not in table:
                     continue
-                q_ids, q_raw, q_inv, q_k = table[lib]
+                q_ids, q_raw, q_inv, q_k, q_floor = table[lib]
                 c_ids = grp["chunk_id"].to_numpy(dtype=object)
                 c = _as_matrix(grp["vector"])
                 if c.shape[1] != q_raw.shape[1]:
                     continue  # dimension mismatch is rejected before the join
-                res = block_topk(q_ids, q_raw, q_inv, q_k, c_ids, c, grp["inv_norm"].to_numpy())
+                res = block_topk(q_ids, q_raw, q_inv, q_k, c_ids, c, grp["inv_norm"].to_numpy(), q_floor)
                 libs = np.full(len(q_ids), lib, dtype=object)
                 pending.append(_emit(q_ids, libs, q_k, c_ids, res))
                 pending_rows += len(res)
@@ -279,7 +291,7 @@ def _salt_for(num_partitions: int) -> int:
 def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
              kernel: str = "auto", kmax: int | None = None,
              broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
-             query_block_rows: int = 2_048) -> DataFrame:
+             query_block_rows: int = 2_048, sample: DataFrame | None = None) -> DataFrame:
     """Exact top-k per query among the indexed vectors of the query's
     library.
 
@@ -289,7 +301,14 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     Returns ``query_id, library_id, chunk_id, score, k, rank``; fewer than k
     rows when the library holds fewer vectors (T5: k >= n gives the full
     ranking).  ``kmax`` bounds per-query k (default: the largest k, at most
-    :data:`MAX_K`).
+    ``schema.MAX_K``).
+
+    ``sample`` (optional, scan kernel): a stored sample of the index (see
+    ``plans.index.build_index(sample_fraction=...)``).  The k-th best score
+    of a query within the sample is a floor the true k-th best reaches (the
+    sample is a subset), so every task drops scores below it: the candidates
+    shuffled per query shrink from about k per task to about k / fraction,
+    and the result is unchanged.
     """
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
@@ -304,7 +323,13 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
             if kmax is None:
                 kmax = max([int(r["k"]) for r in rows if r["k"] is not None], default=1)
             kmax = max(1, kmax)
-            cands = _scan_candidates(index, rows, kmax)
+            floors = None
+            if sample is not None:
+                pre = merge_topk(_scan_candidates(sample, rows, kmax), kmax)
+                # a floor only for queries whose sample held k vectors (bounded: one row per query)
+                kth = pre.filter(F.col("rank") == F.col("k")).select("query_id", "score").collect()
+                floors = {r["query_id"]: r["score"] for r in kth}
+            cands = _scan_candidates(index, rows, kmax, floors)
             return merge_topk(cands, kmax, _salt_for(index.rdd.getNumPartitions()))
         if kernel == "scan":
             raise ValueError(f"scan kernel takes at most {broadcast_rows} queries / {broadcast_bytes} bytes")

@@ -29,6 +29,7 @@ class IndexBuild:
     index: DataFrame
     meta: DataFrame
     report: DataFrame
+    sample: DataFrame | None = None
 
 
 def _empty_vec(col: str = "embedding"):
@@ -69,12 +70,15 @@ def library_report(chunks: DataFrame, libraries: DataFrame | None = None) -> Dat
 
 
 def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict",
-                build_id: int = 0) -> IndexBuild:
+                build_id: int = 0, sample_fraction: float | None = None, seed: int = 7) -> IndexBuild:
     """X1 (``mode='strict'``): a library with any empty vector or with more
     than one dimension is refused; a library with no chunks gets an empty
     index.  X2 (``mode='lenient'``): empty vectors are skipped first (F4); a
     library left with nothing to index gets no index; mixed dimensions are
-    still refused (the reference's build would raise on them)."""
+    still refused (the reference's build would raise on them).
+
+    ``sample_fraction`` also keeps a seeded row sample of the index; searches
+    use it to bound the candidates each task emits (see ``knn_join``)."""
     rep = library_report(chunks, libraries)
     if mode == "strict":
         status = (F.when(F.col("n_empty") > 0, F.lit("empty_embeddings"))
@@ -100,7 +104,8 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
                      F.col("embedding").alias("vector"),
                      inv_norm("embedding").alias("inv_norm"),
                      F.lit(build_id).cast("long").alias("build_id")))
-    return IndexBuild(index, meta, report)
+    sample = index.sample(fraction=sample_fraction, seed=seed) if sample_fraction else None
+    return IndexBuild(index, meta, report, sample)
 
 
 def index_freshness(index: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -138,6 +143,8 @@ def write_index(build: IndexBuild, path: str) -> None:
     libraries replace only their partitions (U3)."""
     build.index.write.mode("overwrite").partitionBy("library_id").parquet(f"{path.rstrip('/')}/index")
     build.meta.write.mode("overwrite").parquet(f"{path.rstrip('/')}/meta")
+    if build.sample is not None:
+        build.sample.write.mode("overwrite").partitionBy("library_id").parquet(f"{path.rstrip('/')}/sample")
 
 
 def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
