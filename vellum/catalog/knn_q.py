@@ -105,3 +105,15 @@ def full_ranking_q(spark, sf):
     scored = full_ranking(idx, q)
     ranked = positions(scored, [F.col("score").desc(), F.col("chunk_id")], out="pos")
     return ranked.select("chunk_id", (F.col("pos") + 1).alias("rank"), r6())
+
+
+@register("knn_join_sampled", with_chunks(
+    "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5", _RANKED))
+def knn_join_sampled(spark, sf):
+    """J3 with score floors: the index build keeps a seeded 50% sample; each
+    query's 5th best score in the sample lets every task drop candidates
+    that cannot make the top 5.  Same rows as the plain join."""
+    c = tables.corpus(spark, sf)
+    b = build_index(c.chunks, c.libraries, sample_fraction=0.5)
+    h = knn_join(b.index, tables.queries(spark, sf), k=5, kernel="scan", sample=b.sample)
+    return h.select("query_id", "rank", "chunk_id", r6())
