@@ -119,6 +119,8 @@ def test_sample_floor_keeps_results_and_cuts_candidates(spark):
     plain = _got(knn_join(idx, q, k=10, kernel="scan"))
     floored = _got(knn_join(idx, q, k=10, kernel="scan", sample=sample))
     assert plain == floored
+    grid = _got(knn_join(idx, q, k=10, kernel="grid", block_rows=50, query_block_rows=7, sample=sample))
+    assert plain == grid
     rows = q.collect()
     pre = knn_join(sample, q, k=10, kernel="scan")
     floors = {r["query_id"]: r["score"] for r in pre.filter("rank = k").collect()}

@@ -255,10 +255,16 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
         q = _as_matrix(qpdf["embedding"])
         if q.shape[1] != c.shape[1]:
             return empty_frame(CAND_SCHEMA)
-        res = block_topk(q_ids, q, inv_norms(q), q_k, c_ids, c, cpdf["inv_norm"].to_numpy())
+        floor = None
+        if "_floor" in qpdf.columns:
+            floor = qpdf["_floor"].to_numpy(dtype=np.float64, na_value=-np.inf)
+        res = block_topk(q_ids, q, inv_norms(q), q_k, c_ids, c, cpdf["inv_norm"].to_numpy(), floor)
         return _emit(q_ids, q_libs, q_k, c_ids, res)
 
-    q = queries.select("query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k"))
+    cols = ["query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k")]
+    if "_floor" in queries.columns:
+        cols.append("_floor")
+    q = queries.select(*cols)
     return grid_cogroup(index.select("library_id", "chunk_id", "vector", "inv_norm"), q, fn, CAND_SCHEMA,
                         left_id="chunk_id", right_id="query_id",
                         left_block_rows=block_rows, right_block_rows=query_block_rows)
@@ -303,7 +309,7 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     ranking).  ``kmax`` bounds per-query k (default: the largest k, at most
     ``schema.MAX_K``).
 
-    ``sample`` (optional, scan kernel): a stored sample of the index (see
+    ``sample`` (optional, both kernels): a stored sample of the index (see
     ``plans.index.build_index(sample_fraction=...)``).  The k-th best score
     of a query within the sample is a floor the true k-th best reaches (the
     sample is a subset), so every task drops scores below it: the candidates
@@ -338,6 +344,11 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
         kmax = int(got) if got is not None else 1
     kmax = max(1, kmax)
     q = q.withColumn("k", F.coalesce(F.col("k"), F.lit(kmax)).cast("int"))
+    if sample is not None:
+        # floors as a table joined to the queries: nothing is collected
+        pre = merge_topk(_grid_candidates(sample, q, kmax, block_rows, query_block_rows), kmax)
+        floors = pre.filter(F.col("rank") == F.col("k")).select("query_id", F.col("score").alias("_floor"))
+        q = q.join(floors, "query_id", "left")
     cands = _grid_candidates(index, q, kmax, block_rows, query_block_rows)
     return merge_topk(cands, kmax, 1)
 
