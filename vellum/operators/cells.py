@@ -211,6 +211,7 @@ _KEEP_SCHEMA = T.StructType([
     T.StructField("cells", T.ArrayType(T.LongType(), False), False),
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
     T.StructField("k", T.IntegerType(), False),
+    T.StructField("tau", T.DoubleType(), False),
 ])
 
 
@@ -289,6 +290,7 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
             "cells": [cell_ids[keep[i]].astype(np.int64).tolist() for i in rows],
             "embedding": qpdf["embedding"].to_numpy(dtype=object)[rows],
             "k": qpdf["k"].to_numpy(dtype=np.int32)[rows],
+            "tau": qpdf["tau"].to_numpy(dtype=np.float64)[rows],
         })
 
     keys = ["library_id", "cblock", "_rblock"]
@@ -310,6 +312,8 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         S = raw_scores(qr, inv_norms(qr), cm, vpdf["inv_norm"].to_numpy())
         for i, kept in enumerate(qpdf["cells"]):
             S[i, ~np.isin(vcell, np.asarray(kept))] = -np.inf
+        # tau is reached by at least k vectors: lower scores cannot be hits
+        S[S < qpdf["tau"].to_numpy(dtype=np.float64)[:, None] - 1e-12] = -np.inf
         q_ids = qpdf["query_id"].to_numpy(dtype=object)
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
         qi, ci, sc = _topk_generic(S, q_k, c_ids)
