@@ -47,28 +47,34 @@ def first_ids(df: DataFrame, key: str, id_col: str, n: int = 5, out: str = "firs
             .agg(F.array_join(F.array_sort(F.collect_list(id_col)), ", ").alias(out)))
 
 
-def library_report(chunks: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
-    """V1 + V2 + A1 + A2 per library: chunk count, empty-vector count and first
-    five such ids, distinct dimensions.  ``libraries`` (optional) adds
+def library_stats(chunks: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
+    """V2 + A1 + A2 per library in one partial aggregate: chunk count,
+    empty-vector count, distinct dimensions.  ``libraries`` (optional) adds
     libraries without chunks as zero rows."""
     agg = (chunks.groupBy("library_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum(F.when(_empty_vec(), 1).otherwise(0)).cast("long").alias("n_empty"),
         F.array_sort(F.collect_set(F.when(~_empty_vec(), F.size("embedding")))).alias("dims"),
     ))
-    empties = first_ids(chunks.filter(_empty_vec()), "library_id", "chunk_id", 5, "first_empty")
-    rep = agg.join(empties, "library_id", "left")
     if libraries is not None:
-        rep = libraries.select("library_id").join(rep, "library_id", "left")
-    return rep.select(
+        agg = libraries.select("library_id").join(agg, "library_id", "left")
+    return agg.select(
         "library_id",
         F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce("n_empty", F.lit(0)).cast("long").alias("n_empty"),
-        F.coalesce("first_empty", F.lit("")).alias("first_empty"),
         F.coalesce("dims", F.array().cast("array<int>")).alias("dims"),
     )
 
 
+def library_report(chunks: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
+    """V1 + V2 + A1 + A2 per library: :func:`library_stats` plus the first
+    five ids of chunks with an empty vector."""
+    empties = first_ids(chunks.filter(_empty_vec()), "library_id", "chunk_id", 5, "first_empty")
+    rep = library_stats(chunks, libraries).join(empties, "library_id", "left")
+    return rep.select("library_id", "n_chunks", "n_empty",
+                      F.coalesce("first_empty", F.lit("")).alias("first_empty"), "dims")
+
+
 def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict",
                 build_id: int = 0, sample_fraction: float | None = None, seed: int = 7) -> IndexBuild:
     """X1 (``mode='strict'``): a library with any empty vector or with more
@@ -79,7 +85,7 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
 
     ``sample_fraction`` also keeps a seeded row sample of the index; searches
     use it to bound the candidates each task emits (see ``knn_join``)."""
-    rep = library_report(chunks, libraries)
+    stats = library_stats(chunks, libraries)
     if mode == "strict":
         status = (F.when(F.col("n_empty") > 0, F.lit("empty_embeddings"))
                   .when(F.size("dims") > 1, F.lit("inconsistent_dimensions"))
@@ -90,8 +96,13 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
                   .otherwise(F.lit("indexed")))
     else:
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
-    report = rep.withColumn("status", status)
-    ok = report.filter(F.col("status") == "indexed")
+    decided = stats.withColumn("status", status)
+    # the report adds the first empty ids; the index and meta need only the decision
+    empties = first_ids(chunks.filter(_empty_vec()), "library_id", "chunk_id", 5, "first_empty")
+    report = (decided.join(empties, "library_id", "left")
+              .select("library_id", "n_chunks", "n_empty",
+                      F.coalesce("first_empty", F.lit("")).alias("first_empty"), "dims", "status"))
+    ok = decided.filter(F.col("status") == "indexed")
     meta = ok.select(
         "library_id",
         F.element_at(F.when(F.size("dims") > 0, F.col("dims")), 1).cast("int").alias("dim"),
