@@ -98,3 +98,31 @@ def test_approx_split_is_exact_for_search(spark):
         want = [i for i, _ in brute_topk(ids, np.asarray(vecs, dtype=np.float32),
                                          np.asarray(qs[j], dtype=np.float32), 7)]
         assert got[f"q{j}"] == want
+
+
+def test_add_and_remove_keep_search_exact(spark):
+    from vellum.operators.cells import add_to_cells, remove_from_cells
+
+    rng = np.random.default_rng(21)
+    vecs = rng.standard_normal((160, 5))
+    ids = [f"v{i:03d}" for i in range(160)]
+    idx = _index(spark, ids, vecs)
+    base = idx.filter("chunk_id < 'v120'")
+    new = idx.filter("chunk_id >= 'v120'")
+    ci, cells = build_cells(base, leaf_size=6)
+    ci, cells = add_to_cells(ci, cells, new)
+    assert ci.count() == 160 and sum(r["n"] for r in cells.collect()) == 160
+    gone = spark.createDataFrame([("lib", f"v{i:03d}") for i in range(0, 160, 3)], "library_id string, chunk_id string")
+    ci, cells = remove_from_cells(ci, cells, gone)
+    keep = [i for i in range(160) if i % 3]
+    kids, kvecs = [ids[i] for i in keep], vecs[keep]
+    qs = rng.standard_normal((5, 5))
+    q = spark.createDataFrame([(f"q{j}", "lib", [float(x) for x in v], 6) for j, v in enumerate(qs)],
+                              "query_id string, library_id string, embedding array<float>, k int")
+    got = {}
+    for r in knn_cells(ci, cells, q, cell_block_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for j in range(5):
+        want = [i for i, _ in brute_topk(kids, np.asarray(kvecs, dtype=np.float32),
+                                         np.asarray(qs[j], dtype=np.float32), 6)]
+        assert got[f"q{j}"] == want

@@ -3,6 +3,7 @@ NumPy brute force; both kernels and every block size agree."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators.knn import full_ranking, knn_join, topk_one
 from vellum.schema import INDEX
@@ -128,3 +129,13 @@ def test_sample_floor_keeps_results_and_cuts_candidates(spark):
     n_floor = _scan_candidates(idx, rows, 10, floors).count()
     # expected about k / fraction candidates per query (here 100) instead of k per task (here 400)
     assert n_floor <= 1.5 * (10 / 0.1) * len(rows) < n_plain
+
+
+def test_index_and_queries_of_one_lineage(spark):
+    """Queries taken from the same frame as the index (a self-join lineage)."""
+    idx = _index(spark, FX2_IDS, FX2).checkpoint(eager=True)
+    q = idx.select(F.col("chunk_id").alias("query_id"), "library_id", F.col("vector").alias("embedding"),
+                   F.lit(2).alias("k"))
+    for kernel in ("scan", "grid"):
+        got = _got(knn_join(idx, q, kernel=kernel, block_rows=2, query_block_rows=2))
+        assert got["x"][0] == ("x", 1.0) and len(got) == 5

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_LEAF_SIZE
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, fresh
 from .knn import (CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, inv_norms,
                   merge_topk, raw_scores)
 from .rank import positions
@@ -230,8 +230,10 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     if kmax is None:
         got = queries.agg(F.max("k")).first()[0]
         kmax = int(got) if got is not None else 1
-    q = queries.select("query_id", "library_id", "embedding", F.least("k", F.lit(kmax)).cast("int").alias("k"))
-    cl = cells.select("library_id", "cell", "cblock", "centroid", "angle", "n")
+    q = fresh(queries.select("query_id", "library_id", "embedding",
+                             F.least("k", F.lit(kmax)).cast("int").alias("k")))
+    cl = fresh(cells.select("library_id", "cell", "cblock", "centroid", "angle", "n"))
+    cell_index = fresh(cell_index)
 
     # A: per query, the cells with the best lower bounds (k of them suffice,
     # every cell holds at least one vector); tau from their running count.
@@ -257,14 +259,14 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
            .groupBy("query_id").agg(F.min("lb").alias("_lb"), F.max("_cum").alias("_tot"), F.first("k").alias("_k"))
            .select("query_id", F.when(F.col("_tot") >= F.col("_k"), F.col("_lb")).otherwise(F.lit(-2.0))
                    .alias("tau")))
-    qt = q.join(tau, "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0)))
+    qt = fresh(q.join(fresh(tau), "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0))))
 
     # B: keep the cells whose upper bound reaches tau.  Cells are grouped by
     # their scoring block, so the output is one row per (query, scoring
     # block) listing its kept cells: never one row per (query, cell) pair.
     nb = cl.groupBy("library_id").agg((F.max("cblock") + 1).cast("int").alias("_nb"))
     qn = q.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
-    blocks = nb.join(qn, "library_id")
+    blocks = fresh(fresh(nb).join(fresh(qn), "library_id"))
     cb = (cl.join(blocks, "library_id")
           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nb", "_nqb"))
     qb = (qt.join(blocks, "library_id")
@@ -299,7 +301,7 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     # C: score the vectors of kept cells, one co-group per (library, scoring
     # block, query block); a query row lists its kept cells in that block.
     lb_ = (cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
-           .join(qn, "library_id")
+           .join(fresh(qn), "library_id")
            .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
 
     def pass_c(_key, vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
@@ -343,3 +345,49 @@ def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
     r = df.groupby("qi").cumcount().to_numpy()
     df = df[r < q_k[df["qi"].to_numpy()]]
     return df["qi"].to_numpy(), df["ci"].to_numpy(), df["v"].to_numpy()
+
+
+def add_to_cells(cell_index: DataFrame, cells: DataFrame, new: DataFrame,
+                 query_block_rows: int = 2_048) -> tuple[DataFrame, DataFrame]:
+    """Q15 / U1 on a cell index without a rebuild: every new vector (index
+    rows ``library_id, chunk_id, vector, inv_norm``) joins the leaf whose
+    centroid is nearest (a k=1 search over centroids with the grid kernel),
+    and that leaf's angular radius grows to cover it, so pruning stays exact.
+    Centroids are kept; a rebuild re-balances.  Returns ``(cell_index,
+    cells)``."""
+    from .knn import knn_join
+
+    cells, new, cell_index = fresh(cells), fresh(new), fresh(cell_index)
+    cen = cells.select("library_id", F.col("cell").cast("string").alias("chunk_id"),
+                       F.col("centroid").cast("array<float>").alias("vector"),
+                       F.lit(1.0).alias("inv_norm"))
+    q = new.select(F.col("chunk_id").alias("query_id"), "library_id",
+                   F.transform("vector", lambda x: x * F.col("inv_norm")).cast("array<float>").alias("embedding"),
+                   F.lit(1).alias("k"))
+    nearest = knn_join(cen, q, k=1, kernel="grid", query_block_rows=query_block_rows)
+    placed = (new.join(fresh(nearest.select(F.col("query_id").alias("chunk_id"), "library_id",
+                                            F.col("chunk_id").cast("long").alias("cell"))), ["library_id", "chunk_id"])
+              .join(cells.select("library_id", "cell", "cblock"), ["library_id", "cell"]))
+    grown = (placed.join(cells.select("library_id", "cell", "centroid"), ["library_id", "cell"])
+             .withColumn("_cos", F.least(F.greatest(vec_dot(unit_expr(), "centroid"), F.lit(-1.0)), F.lit(1.0)))
+             .groupBy("library_id", "cell")
+             .agg(F.max(F.acos("_cos")).alias("_a"), F.max(F.lit(1.0) - F.col("_cos")).alias("_r"),
+                  F.count(F.lit(1)).alias("_n")))
+    cells2 = (cells.join(grown, ["library_id", "cell"], "left")
+              .select("library_id", "cell", "cblock", "centroid",
+                      F.greatest("radius", F.coalesce("_r", F.lit(0.0))).alias("radius"),
+                      (F.greatest("angle", F.coalesce("_a", F.lit(0.0))) + F.lit(ANGLE_SLACK)).alias("angle"),
+                      (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+    rows = cell_index.unionByName(placed.select(*cell_index.columns))
+    return rows, cells2
+
+
+def remove_from_cells(cell_index: DataFrame, cells: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U4 on a cell index: drop rows by ``(library_id, chunk_id)`` and
+    recount each leaf (the search's bound relies on exact counts; radii stay
+    valid upper bounds).  Empty leaves disappear."""
+    keys = ["library_id", "chunk_id"]
+    rows = cell_index.join(ids.select(*keys).distinct(), keys, "left_anti")
+    n = rows.groupBy("library_id", "cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells2 = cells.join(n, ["library_id", "cell"]).withColumn("n", F.col("_n")).drop("_n")
+    return rows, cells2

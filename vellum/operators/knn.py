@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import inv_norm, literal_vector, vec_dot
+from ..session import fresh
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
@@ -219,12 +220,14 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
     and one call never holds more than about one block of each side.  Each
     row is copied once per block of the other side, never once per row.
     """
+    left, right = fresh(left), fresh(right)     # the two sides may share a lineage
     l_stats = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
     r_stats = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
-    blocks = (l_stats.join(r_stats, key)
+    blocks = (fresh(l_stats).join(fresh(r_stats), key)
               .select(key,
                       F.ceil(F.col("_nl") / F.lit(left_block_rows)).cast("int").alias("_nb"),
                       F.ceil(F.col("_nr") / F.lit(right_block_rows)).cast("int").alias("_nqb")))
+    blocks = fresh(blocks)
     lb = (left.join(blocks, key)
           .withColumn("_lblock", F.pmod(F.xxhash64(left_id), F.col("_nb")).cast("int"))
           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.maps import metadata_matches
 from ..operators.knn import knn_join
 from ..schema import DEFAULT_K, MAX_K, MIN_K
+from ..session import fresh
 
 
 @dataclass
@@ -66,7 +67,7 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
     accepted, rejects = validate_queries(queries, meta, default_k)
     if "filters" not in accepted.columns:
         accepted = accepted.withColumn("filters", F.create_map().cast("map<string,string>"))
-    live = chunks.select("library_id", "chunk_id", "document_id", "text", "embedding", "metadata")
+    live = fresh(chunks.select("library_id", "chunk_id", "document_id", "text", "embedding", "metadata"))
     idx = index
     if strategy == "exact":
         top = knn_join(idx, accepted, kernel=kernel, **knn_opts)
@@ -77,8 +78,8 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
         top = knn_cells(idx, cells, accepted, **knn_opts)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    hits = (top.join(live, ["library_id", "chunk_id"])                       # J1, F7
-            .join(accepted.select("query_id", "filters"), "query_id")
+    hits = (fresh(top).join(live, ["library_id", "chunk_id"])                # J1, F7
+            .join(fresh(accepted.select("query_id", "filters")), "query_id")
             .filter(metadata_matches("metadata", "filters"))                 # F1-F3
             .select("query_id", "library_id", "rank", "chunk_id", "document_id", "score",
                     "text", "embedding", "metadata"))

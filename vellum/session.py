@@ -95,3 +95,10 @@ def spread(df, min_partitions: int | None = None):
     file.  Large inputs already have more partitions and pass untouched."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def fresh(df):
+    """``df`` with every column re-aliased, so it can be joined with a frame
+    of the same lineage without ambiguous self-join references."""
+    from pyspark.sql import functions as F
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
