@@ -31,20 +31,20 @@ def flatten(spark, sf):
 
 
 @register("flatten_nested_libraries", with_chunks(
-    "SELECT c.library_id, c.document_id, c.chunk_id, c.chunk_pos, d.doc_pos "
-    "FROM chunks c JOIN docs d ON d.document_id = c.document_id AND d.library_id = c.library_id"))
+    "SELECT c.library_id, c.document_id, c.chunk_id, c.chunk_pos, d.doc_rank "
+    "FROM chunks c JOIN (SELECT library_id, document_id, "
+    "CAST(row_number() OVER (PARTITION BY library_id ORDER BY doc_pos, document_id) - 1 AS BIGINT) AS doc_rank "
+    "FROM docs) d ON d.document_id = c.document_id AND d.library_id = c.library_id"))
 def flatten_nested_libraries(spark, sf):
-    """R1 on the snapshot shape (one row per library): the positions that
-    ``posexplode`` gives back must be the ranks of the stored positions."""
+    """R1 on the snapshot shape (one row per library): the document position
+    that ``posexplode`` gives back is the rank of the stored ``doc_pos``
+    within the library (documents without chunks included)."""
     c = tables.corpus(spark, sf)
     nested = R.renest_libraries(c.libraries, c.documents, c.chunks)
     libs, docs, chunks = R.flatten(nested)
-    # flatten numbers positions 0..n-1; map them back to the stored ones to compare
-    d = docs.select("library_id", "document_id", F.col("doc_pos").alias("dense_pos"))
-    orig = c.documents.select("library_id", "document_id", "doc_pos")
+    d = docs.select("library_id", "document_id", F.col("doc_pos").alias("doc_rank"))
     return (chunks.select("library_id", "document_id", "chunk_id", "chunk_pos")
-            .join(d, ["library_id", "document_id"]).join(orig, ["library_id", "document_id"])
-            .drop("dense_pos"))
+            .join(d, ["library_id", "document_id"]))
 
 
 @register("renest_documents", with_chunks("""

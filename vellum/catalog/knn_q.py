@@ -58,8 +58,8 @@ def knn_per_query_k(spark, sf):
 @register("knn_all_in_library", with_chunks(
     "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked", _RANKED))
 def knn_all_in_library(spark, sf):
-    """T5 per query: k = 100 exceeds every library's size, so every query
-    gets its whole library ranked (fewer than k rows)."""
+    """T5 per query: k = 100, the largest k allowed; a query whose library
+    holds at most 100 vectors gets the whole library ranked."""
     h = knn_join(_index(spark, sf), tables.queries(spark, sf), k=100, kernel="grid",
                  block_rows=32, query_block_rows=16)
     return h.select("query_id", "rank", "chunk_id", r6())
