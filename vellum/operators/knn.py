@@ -10,8 +10,9 @@ contains the global top-k exactly, and one ranked merge finishes the job.
 
 * ``scan`` kernel: the query batch is small enough to ship to every task
   (its size is checked: at most ``broadcast_rows`` rows and
-  ``broadcast_bytes`` of vectors).  The index is read
-  in place with ``mapInPandas``; it is never shuffled.
+  ``broadcast_bytes`` of vectors).  The index is read in place with
+  ``mapInArrow`` (vectors go from the Arrow buffer to a matrix without
+  per-row objects); it is never shuffled.
 * ``grid`` kernel: any number of queries.  Each library's vectors are hashed
   into blocks of about ``block_rows`` vectors and its queries into blocks of
   about ``query_block_rows``; a (vector block, query block) pair is one
@@ -31,9 +32,11 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import inv_norm, literal_vector, vec_dot
 from ..session import fresh
@@ -64,6 +67,19 @@ def empty_frame(schema: T.StructType) -> pd.DataFrame:
                          for f in schema.fields})
 
 
+def arrow_matrix(arr) -> np.ndarray:
+    """An Arrow list<float> column of equal-length vectors as a float64
+    matrix, straight from the values buffer (no per-row Python objects)."""
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0), dtype=np.float64)
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    d = len(flat) // n
+    if d * n != len(flat):
+        raise ValueError("vectors of one library must share a dimension")
+    return flat.reshape(n, d)
+
+
 def _as_matrix(vectors) -> np.ndarray:
     """Stack a pandas Series of equal-length arrays into a float64 matrix."""
     if len(vectors) == 0:
@@ -180,34 +196,43 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
         packed[lib] = (ids, m, inv_norms(m), ks, fl)
     bc = spark.sparkContext.broadcast(packed)
 
+    arrow_schema = to_arrow_schema(CAND_SCHEMA)
+
     def run(batches):
         table = bc.value
         pending, pending_rows = [], 0
-        for pdf in batches:
-            for lib, grp in pdf.groupby("library_id", sort=False):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            libs = rb.column("library_id").to_numpy(zero_copy_only=False)
+            ids = rb.column("chunk_id").to_numpy(zero_copy_only=False)
+            inv = rb.column("inv_norm").to_numpy(zero_copy_only=False)
+            vec = rb.column("vector")
+            for lib in np.unique(libs.astype(str)):
                 if lib not in table:
                     continue
                 q_ids, q_raw, q_inv, q_k, q_floor = table[lib]
-                c_ids = grp["chunk_id"].to_numpy(dtype=object)
-                c = _as_matrix(grp["vector"])
+                rows = np.nonzero(libs == lib)[0]
+                c = arrow_matrix(vec.take(pa.array(rows)))
                 if c.shape[1] != q_raw.shape[1]:
                     continue  # dimension mismatch is rejected before the join
-                res = block_topk(q_ids, q_raw, q_inv, q_k, c_ids, c, grp["inv_norm"].to_numpy(), q_floor)
-                libs = np.full(len(q_ids), lib, dtype=object)
-                pending.append(_emit(q_ids, libs, q_k, c_ids, res))
+                res = block_topk(q_ids, q_raw, q_inv, q_k, ids[rows], c, inv[rows], q_floor)
+                names = np.full(len(q_ids), lib, dtype=object)
+                pending.append(_emit(q_ids, names, q_k, ids[rows], res))
                 pending_rows += len(res)
             if pending_rows > 200_000:
                 pending = [_reduce_candidates(pd.concat(pending, ignore_index=True))]
                 pending_rows = len(pending[0])
         if pending:
-            yield _reduce_candidates(pd.concat(pending, ignore_index=True))
+            out = _reduce_candidates(pd.concat(pending, ignore_index=True))
+            yield pa.RecordBatch.from_pandas(out, schema=arrow_schema, preserve_index=False)
 
     # only the libraries the batch asks about: with the index stored
     # partitioned by library this is partition pruning at the scan
     libs = sorted(k for k in packed if k is not None)
     return (index.filter(F.col("library_id").isin(libs))
             .select("library_id", "chunk_id", "vector", "inv_norm")
-            .mapInPandas(run, CAND_SCHEMA))
+            .mapInArrow(run, CAND_SCHEMA))
 
 
 def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "library_id",
