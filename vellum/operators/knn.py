@@ -236,7 +236,8 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
 
 
 def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "library_id",
-                 left_id: str, right_id: str, left_block_rows: int, right_block_rows: int) -> DataFrame:
+                 left_id: str, right_id: str, left_block_rows: int, right_block_rows: int,
+                 arrow: bool = False) -> DataFrame:
     """Co-group two keyed tables block by block: within each ``key`` value the
     left rows are hashed into ``ceil(n_left / left_block_rows)`` blocks and the
     right rows into ``ceil(n_right / right_block_rows)`` blocks, and ``fn``
@@ -244,6 +245,7 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
     frames.  Every left row meets every right row of its key exactly once,
     and one call never holds more than about one block of each side.  Each
     row is copied once per block of the other side, never once per row.
+    With ``arrow=True`` ``fn`` takes and returns ``pyarrow.Table``s.
     """
     left, right = fresh(left), fresh(right)     # the two sides may share a lineage
     l_stats = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
@@ -263,31 +265,47 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
           .drop("_nb", "_nqb"))
     keys = [key, "_lblock", "_rblock"]
 
+    grouped = lb.groupBy(*keys).cogroup(rb.groupBy(*keys))
+    if arrow:
+        empty = to_arrow_schema(schema).empty_table()
+
+        def run_arrow(lt: pa.Table, rt: pa.Table) -> pa.Table:
+            if lt.num_rows == 0 or rt.num_rows == 0:
+                return empty
+            return fn(lt, rt)
+
+        return grouped.applyInArrow(run_arrow, schema)
+
     def run(_k, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
             return empty_frame(schema)
         return fn(lpdf, rpdf)
 
-    return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(run, schema)
+    return grouped.applyInPandas(run, schema)
 
 
 def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
                      block_rows: int, query_block_rows: int) -> DataFrame:
-    """``grid`` kernel: co-group (library, vector block, query block)."""
-    def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        c_ids = cpdf["chunk_id"].to_numpy(dtype=object)
-        c = _as_matrix(cpdf["vector"])
-        q_ids = qpdf["query_id"].to_numpy(dtype=object)
-        q_libs = qpdf["library_id"].to_numpy(dtype=object)
-        q_k = qpdf["k"].to_numpy(dtype=np.int64)
-        q = _as_matrix(qpdf["embedding"])
+    """``grid`` kernel: co-group (library, vector block, query block); both
+    blocks arrive as Arrow tables and become matrices from their buffers."""
+    arrow_schema = to_arrow_schema(CAND_SCHEMA)
+
+    def fn(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        c = arrow_matrix(lt.column("vector").combine_chunks())
+        q = arrow_matrix(rt.column("embedding").combine_chunks())
         if q.shape[1] != c.shape[1]:
-            return empty_frame(CAND_SCHEMA)
+            return arrow_schema.empty_table()
+        c_ids = lt.column("chunk_id").to_numpy()
+        q_ids = rt.column("query_id").to_numpy()
+        q_libs = rt.column("library_id").to_numpy()
+        q_k = rt.column("k").to_numpy().astype(np.int64)
         floor = None
-        if "_floor" in qpdf.columns:
-            floor = qpdf["_floor"].to_numpy(dtype=np.float64, na_value=-np.inf)
-        res = block_topk(q_ids, q, inv_norms(q), q_k, c_ids, c, cpdf["inv_norm"].to_numpy(), floor)
-        return _emit(q_ids, q_libs, q_k, c_ids, res)
+        if "_floor" in rt.column_names:
+            floor = rt.column("_floor").to_numpy(zero_copy_only=False)
+            floor = np.where(np.isnan(floor.astype(np.float64)), -np.inf, floor.astype(np.float64))
+        res = block_topk(q_ids, q, inv_norms(q), q_k, c_ids, c, lt.column("inv_norm").to_numpy(), floor)
+        out = _emit(q_ids, q_libs, q_k, c_ids, res)
+        return pa.Table.from_pandas(out, schema=arrow_schema, preserve_index=False)
 
     cols = ["query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k")]
     if "_floor" in queries.columns:
@@ -295,7 +313,7 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
     q = queries.select(*cols)
     return grid_cogroup(index.select("library_id", "chunk_id", "vector", "inv_norm"), q, fn, CAND_SCHEMA,
                         left_id="chunk_id", right_id="query_id",
-                        left_block_rows=block_rows, right_block_rows=query_block_rows)
+                        left_block_rows=block_rows, right_block_rows=query_block_rows, arrow=True)
 
 
 def merge_topk(cands: DataFrame, kmax: int, salt_buckets: int = 1,
