@@ -37,15 +37,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh
-from .knn import (CAND_SCHEMA, _as_matrix, _emit, _unit_rows, empty_frame, grid_cogroup, inv_norms,
-                  merge_topk, raw_scores)
+from .knn import (CAND_SCHEMA, _as_matrix, _emit, _unit_rows, arrow_matrix, empty_frame, grid_cogroup,
+                  inv_norms, merge_topk, raw_scores)
 from .rank import positions
 
 ANGLE_SLACK = 1e-6
@@ -304,26 +306,29 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
            .join(fresh(qn), "library_id")
            .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
 
-    def pass_c(_key, vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if vpdf.empty or qpdf.empty:
-            return empty_frame(CAND_SCHEMA)
-        c_ids = vpdf["chunk_id"].to_numpy(dtype=object)
-        cm = _as_matrix(vpdf["vector"])
-        vcell = vpdf["cell"].to_numpy()
-        qr = _as_matrix(qpdf["embedding"])
-        S = raw_scores(qr, inv_norms(qr), cm, vpdf["inv_norm"].to_numpy())
-        for i, kept in enumerate(qpdf["cells"]):
+    cand_arrow = to_arrow_schema(CAND_SCHEMA)
+
+    def pass_c(vt: pa.Table, qt_: pa.Table) -> pa.Table:
+        if vt.num_rows == 0 or qt_.num_rows == 0:
+            return cand_arrow.empty_table()
+        c_ids = vt.column("chunk_id").to_numpy()
+        cm = arrow_matrix(vt.column("vector").combine_chunks())
+        vcell = vt.column("cell").to_numpy()
+        qr = arrow_matrix(qt_.column("embedding").combine_chunks())
+        S = raw_scores(qr, inv_norms(qr), cm, vt.column("inv_norm").to_numpy())
+        for i, kept in enumerate(qt_.column("cells").to_pylist()):
             S[i, ~np.isin(vcell, np.asarray(kept))] = -np.inf
         # tau is reached by at least k vectors: lower scores cannot be hits
-        S[S < qpdf["tau"].to_numpy(dtype=np.float64)[:, None] - 1e-12] = -np.inf
-        q_ids = qpdf["query_id"].to_numpy(dtype=object)
-        q_k = qpdf["k"].to_numpy(dtype=np.int64)
+        S[S < qt_.column("tau").to_numpy()[:, None] - 1e-12] = -np.inf
+        q_ids = qt_.column("query_id").to_numpy()
+        q_k = qt_.column("k").to_numpy().astype(np.int64)
         qi, ci, sc = _topk_generic(S, q_k, c_ids)
         ok = np.isfinite(sc)
         res = pd.DataFrame({"qi": qi[ok], "ci": ci[ok], "score": sc[ok]})
-        return _emit(q_ids, qpdf["library_id"].to_numpy(dtype=object), q_k, c_ids, res)
+        out = _emit(q_ids, qt_.column("library_id").to_numpy(), q_k, c_ids, res)
+        return pa.Table.from_pandas(out, schema=cand_arrow, preserve_index=False)
 
-    cands = lb_.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(pass_c, CAND_SCHEMA)
+    cands = lb_.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInArrow(pass_c, CAND_SCHEMA)
     return merge_topk(cands, kmax)
 
 
