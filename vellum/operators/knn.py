@@ -208,11 +208,14 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
             ids = rb.column("chunk_id").to_numpy(zero_copy_only=False)
             inv = rb.column("inv_norm").to_numpy(zero_copy_only=False)
             vec = rb.column("vector")
-            for lib in np.unique(libs.astype(str)):
+            # group the batch's rows by library once (stable sort + split)
+            names, inverse = np.unique(libs.astype(str), return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            bounds = np.cumsum(np.bincount(inverse, minlength=len(names)))[:-1]
+            for lib, rows in zip(names, np.split(order, bounds)):
                 if lib not in table:
                     continue
                 q_ids, q_raw, q_inv, q_k, q_floor = table[lib]
-                rows = np.nonzero(libs == lib)[0]
                 c = arrow_matrix(vec.take(pa.array(rows)))
                 if c.shape[1] != q_raw.shape[1]:
                     continue  # dimension mismatch is rejected before the join
