@@ -199,8 +199,11 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
 
 _TAU_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
+    T.StructField("library_id", T.StringType(), True),
     T.StructField("cell", T.LongType(), False),
+    T.StructField("cblock", T.IntegerType(), False),
     T.StructField("lb", T.DoubleType(), False),
+    T.StructField("ub", T.DoubleType(), False),
     T.StructField("n", T.LongType(), False),
     T.StructField("k", T.IntegerType(), False),
 ])
@@ -223,9 +226,11 @@ def _angles(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: int | None = None, *,
               kmax: int | None = None, block_rows: int = 16_384, query_block_rows: int = 2_048,
-              cell_block_rows: int = 16_384) -> DataFrame:
+              cell_block_rows: int = 16_384, kept: list | None = None) -> DataFrame:
     """Exact top-k per query scoring only cells that can hold a hit.
-    Same output as :func:`vellum.operators.knn.knn_join`."""
+    Same output as :func:`vellum.operators.knn.knn_join`.  ``kept`` (a list)
+    receives the pruning result (one row per query and scoring block with
+    its kept cells) for inspection, e.g. the fraction of vectors scored."""
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
         kmax = int(k) if kmax is None else kmax
@@ -237,37 +242,60 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     cl = fresh(cells.select("library_id", "cell", "cblock", "centroid", "angle", "n"))
     cell_index = fresh(cell_index)
 
-    # A: per query, the cells with the best lower bounds (k of them suffice,
-    # every cell holds at least one vector); tau from their running count.
+    # A: per query, the most promising cells (best upper bound) until they
+    # hold k vectors (k cells suffice: every cell holds a vector).  Two
+    # valid floors for the k-th best score come from them: the smallest
+    # member lower bound, and the k-th best exact score of their vectors.
     def pass_a(cpdf, qpdf):
         cen = _as_matrix(cpdf["centroid"])
         qu = _unit_rows(_as_matrix(qpdf["embedding"]))
         if qu.shape[1] != cen.shape[1]:
             return empty_frame(_TAU_SCHEMA)
-        lb = np.cos(np.minimum(np.pi, _angles(qu, cen) + cpdf["angle"].to_numpy()[None, :] + ANGLE_SLACK))
+        ang = _angles(qu, cen)
+        alpha = cpdf["angle"].to_numpy()[None, :]
+        lb = np.cos(np.minimum(np.pi, ang + alpha + ANGLE_SLACK))
+        ub = np.cos(np.maximum(0.0, ang - alpha - ANGLE_SLACK))
         q_ids = qpdf["query_id"].to_numpy(dtype=object)
         q_k = qpdf["k"].to_numpy(dtype=np.int64)
         cell_ids = cpdf["cell"].to_numpy()
-        res = _topk_generic(lb, q_k, cell_ids)
-        return pd.DataFrame({"query_id": q_ids[res[0]], "cell": cell_ids[res[1]], "lb": res[2],
-                             "n": cpdf["n"].to_numpy()[res[1]], "k": q_k[res[0]].astype(np.int32)})
+        qi, ci, _ = _topk_generic(ub, q_k, cell_ids)
+        return pd.DataFrame({"query_id": q_ids[qi], "library_id": qpdf["library_id"].to_numpy(dtype=object)[qi],
+                             "cell": cell_ids[ci], "cblock": cpdf["cblock"].to_numpy()[ci].astype(np.int32),
+                             "lb": lb[qi, ci], "ub": ub[qi, ci],
+                             "n": cpdf["n"].to_numpy()[ci], "k": q_k[qi].astype(np.int32)})
 
     cand = grid_cogroup(cl, q, pass_a, _TAU_SCHEMA, left_id="cell", right_id="query_id",
                         left_block_rows=cell_block_rows, right_block_rows=query_block_rows)
-    w = Window.partitionBy("query_id").orderBy(F.col("lb").desc(), F.col("cell").asc())
+    w = Window.partitionBy("query_id").orderBy(F.col("ub").desc(), F.col("cell").asc())
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kmax)
     top = top.withColumn("_cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tau = (top.filter(F.col("_cum") - F.col("n") < F.col("k"))
-           .groupBy("query_id").agg(F.min("lb").alias("_lb"), F.max("_cum").alias("_tot"), F.first("k").alias("_k"))
-           .select("query_id", F.when(F.col("_tot") >= F.col("_k"), F.col("_lb")).otherwise(F.lit(-2.0))
-                   .alias("tau")))
+    probe = top.filter(F.col("_cum") - F.col("n") < F.col("k"))
+    tau_lb = (probe.groupBy("query_id")
+              .agg(F.min("lb").alias("_lb"), F.max("_cum").alias("_tot"), F.first("k").alias("_k"))
+              .select("query_id", F.when(F.col("_tot") >= F.col("_k"), F.col("_lb")).otherwise(F.lit(-2.0))
+                      .alias("tau_lb")))
+
+    nb = cl.groupBy("library_id").agg((F.max("cblock") + 1).cast("int").alias("_nb"))
+    qn = q.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
+    lb_ = (cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
+           .join(fresh(qn), "library_id")
+           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
+
+    # exact scores of the probed cells' vectors: their k-th best is a floor
+    probe_rows = (probe.groupBy("query_id", "library_id", "cblock").agg(F.collect_list("cell").alias("cells"))
+                  .join(fresh(q.select("query_id", "embedding", "k")), "query_id")
+                  .join(fresh(qn), "library_id")
+                  .withColumn("_rblock", F.pmod(F.xxhash64("query_id"), F.col("_nqb")).cast("int"))
+                  .withColumn("tau", F.lit(-2.0)).drop("_nqb"))
+    probed = merge_topk(_score_kept(lb_, probe_rows), kmax)
+    tau_probe = probed.filter(F.col("rank") == F.col("k")).select("query_id", F.col("score").alias("tau_probe"))
+    tau = (fresh(tau_lb).join(fresh(tau_probe), "query_id", "left")
+           .select("query_id", F.greatest("tau_lb", F.coalesce("tau_probe", F.lit(-2.0))).alias("tau")))
     qt = fresh(q.join(fresh(tau), "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0))))
 
     # B: keep the cells whose upper bound reaches tau.  Cells are grouped by
     # their scoring block, so the output is one row per (query, scoring
     # block) listing its kept cells: never one row per (query, cell) pair.
-    nb = cl.groupBy("library_id").agg((F.max("cblock") + 1).cast("int").alias("_nb"))
-    qn = q.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
     blocks = fresh(fresh(nb).join(fresh(qn), "library_id"))
     cb = (cl.join(blocks, "library_id")
           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nb", "_nqb"))
@@ -299,13 +327,21 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
 
     keys = ["library_id", "cblock", "_rblock"]
     rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInPandas(pass_b, _KEEP_SCHEMA)
+    if kept is not None:
+        kept.append(rb.select("query_id", "library_id", "cblock", "cells"))
 
     # C: score the vectors of kept cells, one co-group per (library, scoring
     # block, query block); a query row lists its kept cells in that block.
-    lb_ = (cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
-           .join(fresh(qn), "library_id")
-           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
+    cands = _score_kept(lb_, rb)
+    return merge_topk(cands, kmax)
+
 
+def _score_kept(vectors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Exact local top-k of the vectors in each query's listed cells: one
+    co-group per (library, scoring block, query block).  ``vectors`` carry
+    ``cell, cblock, _rblock``; ``rows`` carry ``query_id, library_id,
+    cblock, _rblock, cells, embedding, k, tau`` (scores below ``tau`` are
+    dropped)."""
     cand_arrow = to_arrow_schema(CAND_SCHEMA)
 
     def pass_c(vt: pa.Table, qt_: pa.Table) -> pa.Table:
@@ -318,7 +354,6 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         S = raw_scores(qr, inv_norms(qr), cm, vt.column("inv_norm").to_numpy())
         for i, kept in enumerate(qt_.column("cells").to_pylist()):
             S[i, ~np.isin(vcell, np.asarray(kept))] = -np.inf
-        # tau is reached by at least k vectors: lower scores cannot be hits
         S[S < qt_.column("tau").to_numpy()[:, None] - 1e-12] = -np.inf
         q_ids = qt_.column("query_id").to_numpy()
         q_k = qt_.column("k").to_numpy().astype(np.int64)
@@ -328,8 +363,10 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         out = _emit(q_ids, qt_.column("library_id").to_numpy(), q_k, c_ids, res)
         return pa.Table.from_pandas(out, schema=cand_arrow, preserve_index=False)
 
-    cands = lb_.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInArrow(pass_c, CAND_SCHEMA)
-    return merge_topk(cands, kmax)
+    keys = ["library_id", "cblock", "_rblock"]
+    rows = rows.select("query_id", "library_id", "cblock", "_rblock", "cells", "embedding",
+                       F.col("k").cast("int").alias("k"), F.col("tau").cast("double").alias("tau"))
+    return vectors.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(pass_c, CAND_SCHEMA)
 
 
 def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
