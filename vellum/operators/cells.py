@@ -20,14 +20,18 @@ A leaf cell gets its normalised centroid, its radius as the reference keeps
 it (largest cosine distance to the centroid) and its *angular* radius, which
 is what makes pruning exact (cosine distance breaks the triangle inequality).
 
-Search, exact for every query (three passes, all block co-groups):
-
-A. bound: for query q and cell c at angle θ with angular radius α, every
-   member has similarity >= cos(min(π, θ + α)).  Taking cells by that lower
-   bound until they hold k vectors gives τ, a similarity that at least k
-   vectors reach, so the k-th best is >= τ.
-B. prune: a cell can hold a top-k vector only if cos(max(0, θ - α)) >= τ.
-C. score: vectors of surviving cells only, exact local top-k, ranked merge.
+Search, exact for every query (block co-groups throughout):
+
+A. probe: for query q and cell c at angle θ with angular radius α, every
+   member's similarity lies in [cos(min(π, θ + α)), cos(max(0, θ - α))].
+   The cells with the best upper bounds are taken until they hold k
+   vectors and their vectors are scored exactly; the k-th best of those
+   scores (or the smallest member lower bound, if higher) is τ, a
+   similarity that at least k vectors reach, so the k-th best is >= τ.
+B. prune: a cell can hold a top-k vector only if its upper bound >= τ; the
+   output is one row per (query, scoring block) listing its kept cells.
+C. score: vectors of surviving cells only, scores below τ dropped in the
+   task, exact local top-k, ranked merge.
 
 Both bounds are widened by a small angle so float rounding can only keep
 more cells, never lose a true neighbour.
