@@ -250,26 +250,29 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     # hold k vectors (k cells suffice: every cell holds a vector).  Two
     # valid floors for the k-th best score come from them: the smallest
     # member lower bound, and the k-th best exact score of their vectors.
-    def pass_a(cpdf, qpdf):
-        cen = _as_matrix(cpdf["centroid"])
-        qu = _unit_rows(_as_matrix(qpdf["embedding"]))
+    tau_arrow = to_arrow_schema(_TAU_SCHEMA)
+
+    def pass_a(ct: pa.Table, qt_: pa.Table) -> pa.Table:
+        cen = arrow_matrix(ct.column("centroid").combine_chunks())
+        qu = _unit_rows(arrow_matrix(qt_.column("embedding").combine_chunks()))
         if qu.shape[1] != cen.shape[1]:
-            return empty_frame(_TAU_SCHEMA)
+            return tau_arrow.empty_table()
         ang = _angles(qu, cen)
-        alpha = cpdf["angle"].to_numpy()[None, :]
+        alpha = ct.column("angle").to_numpy()[None, :]
         lb = np.cos(np.minimum(np.pi, ang + alpha + ANGLE_SLACK))
         ub = np.cos(np.maximum(0.0, ang - alpha - ANGLE_SLACK))
-        q_ids = qpdf["query_id"].to_numpy(dtype=object)
-        q_k = qpdf["k"].to_numpy(dtype=np.int64)
-        cell_ids = cpdf["cell"].to_numpy()
+        q_ids = qt_.column("query_id").to_numpy()
+        q_k = qt_.column("k").to_numpy().astype(np.int64)
+        cell_ids = ct.column("cell").to_numpy()
         qi, ci, _ = _topk_generic(ub, q_k, cell_ids)
-        return pd.DataFrame({"query_id": q_ids[qi], "library_id": qpdf["library_id"].to_numpy(dtype=object)[qi],
-                             "cell": cell_ids[ci], "cblock": cpdf["cblock"].to_numpy()[ci].astype(np.int32),
-                             "lb": lb[qi, ci], "ub": ub[qi, ci],
-                             "n": cpdf["n"].to_numpy()[ci], "k": q_k[qi].astype(np.int32)})
+        out = pd.DataFrame({"query_id": q_ids[qi], "library_id": qt_.column("library_id").to_numpy()[qi],
+                            "cell": cell_ids[ci], "cblock": ct.column("cblock").to_numpy()[ci].astype(np.int32),
+                            "lb": lb[qi, ci], "ub": ub[qi, ci],
+                            "n": ct.column("n").to_numpy()[ci], "k": q_k[qi].astype(np.int32)})
+        return pa.Table.from_pandas(out, schema=tau_arrow, preserve_index=False)
 
     cand = grid_cogroup(cl, q, pass_a, _TAU_SCHEMA, left_id="cell", right_id="query_id",
-                        left_block_rows=cell_block_rows, right_block_rows=query_block_rows)
+                        left_block_rows=cell_block_rows, right_block_rows=query_block_rows, arrow=True)
     w = Window.partitionBy("query_id").orderBy(F.col("ub").desc(), F.col("cell").asc())
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kmax)
     top = top.withColumn("_cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -307,30 +310,34 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
           .withColumn("_rblock", F.pmod(F.xxhash64("query_id"), F.col("_nqb")).cast("int"))
           .withColumn("cblock", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nqb"))
 
-    def pass_b(key, cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if cpdf.empty or qpdf.empty:
-            return empty_frame(_KEEP_SCHEMA)
-        cen = _as_matrix(cpdf["centroid"])
-        qu = _unit_rows(_as_matrix(qpdf["embedding"]))
+    keep_arrow = to_arrow_schema(_KEEP_SCHEMA)
+
+    def pass_b(key, ct: pa.Table, qt_: pa.Table) -> pa.Table:
+        if ct.num_rows == 0 or qt_.num_rows == 0:
+            return keep_arrow.empty_table()
+        cen = arrow_matrix(ct.column("centroid").combine_chunks())
+        qu = _unit_rows(arrow_matrix(qt_.column("embedding").combine_chunks()))
         if qu.shape[1] != cen.shape[1]:
-            return empty_frame(_KEEP_SCHEMA)
-        ub = np.cos(np.maximum(0.0, _angles(qu, cen) - cpdf["angle"].to_numpy()[None, :] - ANGLE_SLACK))
-        keep = ub >= qpdf["tau"].to_numpy()[:, None] - 1e-12
-        cell_ids = cpdf["cell"].to_numpy()
-        rows = [i for i in range(len(qpdf)) if keep[i].any()]
-        return pd.DataFrame({
-            "query_id": qpdf["query_id"].to_numpy(dtype=object)[rows],
-            "library_id": qpdf["library_id"].to_numpy(dtype=object)[rows],
-            "cblock": np.full(len(rows), key[1], dtype=np.int32),
-            "_rblock": np.full(len(rows), key[2], dtype=np.int32),
-            "cells": [cell_ids[keep[i]].astype(np.int64).tolist() for i in rows],
-            "embedding": qpdf["embedding"].to_numpy(dtype=object)[rows],
-            "k": qpdf["k"].to_numpy(dtype=np.int32)[rows],
-            "tau": qpdf["tau"].to_numpy(dtype=np.float64)[rows],
-        })
+            return keep_arrow.empty_table()
+        ub = np.cos(np.maximum(0.0, _angles(qu, cen) - ct.column("angle").to_numpy()[None, :] - ANGLE_SLACK))
+        keep = ub >= qt_.column("tau").to_numpy()[:, None] - 1e-12
+        cell_ids = ct.column("cell").to_numpy()
+        rows = np.nonzero(keep.any(axis=1))[0]
+        taken = qt_.take(pa.array(rows, type=pa.int64()))
+        return pa.table({
+            "query_id": taken.column("query_id"),
+            "library_id": taken.column("library_id"),
+            "cblock": pa.array(np.full(len(rows), key[1].as_py(), dtype=np.int32)),
+            "_rblock": pa.array(np.full(len(rows), key[2].as_py(), dtype=np.int32)),
+            "cells": pa.array([cell_ids[keep[i]].astype(np.int64) for i in rows],
+                              type=pa.list_(pa.int64(), )),
+            "embedding": taken.column("embedding"),
+            "k": taken.column("k").cast(pa.int32()),
+            "tau": taken.column("tau").cast(pa.float64()),
+        }, schema=keep_arrow)
 
     keys = ["library_id", "cblock", "_rblock"]
-    rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInPandas(pass_b, _KEEP_SCHEMA)
+    rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInArrow(pass_b, _KEEP_SCHEMA)
     if kept is not None:
         kept.append(rb.select("query_id", "library_id", "cblock", "cells"))
 
