@@ -50,8 +50,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh
-from .knn import (CAND_SCHEMA, _as_matrix, _emit, _unit_rows, arrow_matrix, empty_frame, grid_cogroup,
-                  inv_norms, merge_topk, raw_scores)
+from .knn import (CAND_SCHEMA, _emit, _unit_rows, arrow_matrix, grid_cogroup, inv_norms, merge_topk,
+                  raw_scores)
 from .rank import positions
 
 ANGLE_SLACK = 1e-6
