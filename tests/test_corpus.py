@@ -117,3 +117,14 @@ def test_nesting_bound_refuses_oversized_groups(spark):
         R.renest_libraries(c.libraries, c.documents, c.chunks, max_documents=3)
     with pytest.raises(ValueError, match="nesting bound"):
         R.renest_documents(c.documents, c.chunks, max_chunks=2)
+
+
+def test_snapshot_version_rewrite_is_idempotent(spark):
+    c = tables.corpus(spark, SF)
+    root = S.scratch_root(spark, f"t-{uuid.uuid4().hex}")
+    S.write_snapshot(c.libraries, c.documents, c.chunks, root, 3)
+    S.write_snapshot(c.libraries, c.documents, c.chunks, root, 3)          # a retried write
+    assert S.versions(spark, root) == [3]
+    libs, docs, chunks = S.read_snapshot(spark, S.latest_version(spark, root))
+    assert chunks.count() == c.chunks.count()
+    assert S.latest_version(spark, root, before=3) is None
