@@ -128,3 +128,13 @@ def test_snapshot_version_rewrite_is_idempotent(spark):
     libs, docs, chunks = S.read_snapshot(spark, S.latest_version(spark, root))
     assert chunks.count() == c.chunks.count()
     assert S.latest_version(spark, root, before=3) is None
+
+
+def test_embed_and_insert_without_generation(spark):
+    c = tables.corpus(spark, SF)
+    new = spark.createDataFrame([("src0", "0", "n1", "text", {}, 0)],
+                                "library_id string, document_id string, chunk_id string, text string, "
+                                "metadata map<string,string>, seq int")
+    out, rej = embed_and_insert(Corpus3(c.libraries, c.documents, c.chunks), new, generate=False)
+    row = out.chunks.filter("chunk_id = 'n1'").first()
+    assert row["embedding"] == [] and rej.count() == 0     # flag off: added with an empty vector

@@ -130,3 +130,16 @@ def test_properties_post_filter_subset_and_split_is_partition(spark):
     answered_or_empty = {x[0] for x in qrows} - rejected
     assert rejected.isdisjoint({x[0] for x in u})                    # rejects never get hits
     assert len(rejected) + len(answered_or_empty) == len(qrows)       # rejects + accepted = input
+
+
+def test_index_freshness_states(spark):
+    from vellum.plans.index import index_freshness
+
+    libs, docs, chunks = corpus(spark, FX1)
+    b = build_index(chunks, libs)
+    cur = (chunks.filter(F.col("chunk_id") != "1")                                   # deleted
+           .withColumn("embedding", F.when(F.col("chunk_id") == "2", F.array(F.lit(5.0), F.lit(0.0), F.lit(0.0))
+                                           .cast("array<float>")).otherwise(F.col("embedding"))))  # changed
+    extra = corpus(spark, [("9", "new", [1, 1, 1], {})])[2]                            # not indexed
+    got = {(r["chunk_id"], r["state"]) for r in index_freshness(b.index, cur.unionByName(extra)).collect()}
+    assert got == {("1", "deleted"), ("2", "changed"), ("9", "not_indexed")}
