@@ -143,3 +143,15 @@ def test_index_freshness_states(spark):
     extra = corpus(spark, [("9", "new", [1, 1, 1], {})])[2]                            # not indexed
     got = {(r["chunk_id"], r["state"]) for r in index_freshness(b.index, cur.unionByName(extra)).collect()}
     assert got == {("1", "deleted"), ("2", "changed"), ("9", "not_indexed")}
+
+
+def test_prefilter_versus_postfilter(spark):
+    from vellum.plans.search import search_prefiltered
+
+    libs, docs, chunks = corpus(spark, FX1)
+    b = build_index(chunks, libs)
+    q = queries(spark, [("q", "lib", [1, .1, .1], 1, None)])
+    pre = search_prefiltered(b.index, b.meta, chunks, q, {"page": "2"}).hits.collect()
+    assert [r["chunk_id"] for r in pre] == ["2"]          # filter first: still one hit
+    post = search(b.index, b.meta, chunks, q.withColumn("filters", F.create_map(F.lit("page"), F.lit("2"))))
+    assert post.hits.count() == 0                          # filter after the top-1 cut: none
