@@ -155,3 +155,18 @@ def test_prefilter_versus_postfilter(spark):
     assert [r["chunk_id"] for r in pre] == ["2"]          # filter first: still one hit
     post = search(b.index, b.meta, chunks, q.withColumn("filters", F.create_map(F.lit("page"), F.lit("2"))))
     assert post.hits.count() == 0                          # filter after the top-1 cut: none
+
+
+def test_strict_failure_and_library_not_found(spark):
+    import pytest
+
+    from vellum.operators.quality import not_indexed, require_empty
+
+    libs, docs, chunks = corpus(spark, FX1)
+    b = build_index(chunks, libs)
+    q = queries(spark, [("a", "lib", [1, 0, 0], 3, None), ("b", "ghost", [1, 0, 0], 3, None)])
+    rej = not_indexed(q, b.meta, libs)
+    assert [(r["query_id"], r["reason"]) for r in rej.collect()] == [("b", "library_not_found")]
+    assert require_empty(rej.limit(0), "no rejects").first()["n"] == 0
+    with pytest.raises(Exception, match="queries rejected"):
+        require_empty(rej, "queries rejected").collect()       # fails on the executors
