@@ -9,13 +9,19 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch is
    0.8 and ten of 32 needed, missed less than once in 10^8 pairs), so with values
    ordered from rare to common a class need only be posted under its rarest
    ones (prefix filter): common values, such as a licence's, are hardly posted.
-2. Overlaps: members of a list are compared with a pivot, and with the members left
-   outside the list's largest component, in rounds; a pair within one
-   component needs no comparison, as only components are asked for.  So a group of
-   copies of any size costs comparisons in proportion to its size.
-3. Filter: the Jaccard estimated from the bottom ``SKETCH`` of the union of both sketches,
-   six standard errors below ``SIMILAR`` or less, discards a pair, as do the sizes.
-4. Verification: exact Jaccard on the full sets.
+2. Overlaps: every member of a list is compared with the list's pivot, the member
+   whose values are shared most.  A pair within one component needs no comparison, as
+   only components are asked for, so lists of one component are done.
+3. The members of the other lists get a second, exact prefix filter on their full sets: sets
+   of sizes n and m are similar only if they share 0.8 / 1.8 * (n + m) values, so, by size
+   of the partner, only a set's rarest values are posted, fewer than a tenth for an equal
+   size.  What lies outside a list's largest component is compared with the list's other
+   components, after further pivot rounds while that would be many pairs.  A copy
+   with too many words of its own to be similar to anything is not posted at all, and
+   parity bitmaps of the sets rule out most of the rest before a pair is made.
+4. A pair's Jaccard, estimated from the bottom ``SKETCH`` of the union of both sketches,
+   discards it when six standard errors below ``SIMILAR``; so do the sizes.
+5. Verification: exact Jaccard on the full sets.
 
 Nothing data-sized reaches the driver; every round is cut with a checkpoint.
 """
@@ -44,8 +50,11 @@ MARGIN = 0.3
 #: Ids up to this many are broadcast when their texts are read again (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Comparisons per posting above which another pivot round comes before the rest.
-EXPAND_RATIO = 2
-ROUNDS = 6
+EXPAND_RATIO = 8
+ROUNDS = 4
+#: Sizes are told apart to this ratio where partners are posted by size.
+SIZE_STEP = 1.01
+PARITY = 512
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -64,6 +73,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique((x ^ x >> np.uint64(32)).view(np.int64))
 
 
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """PARITY bits, each the parity of the values that fall on it: two sets differ in
+    at least as many values as their bits differ in places."""
+    return np.packbits(np.bincount(values & PARITY - 1, minlength=PARITY).astype(np.uint8) & 1).view(np.int64)
+
+
 def _sketcher(width: int):
     @arrow_udf("struct<n:bigint,d1:bigint,d2:bigint,sketch:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -83,10 +98,12 @@ def _sketcher(width: int):
 
 
 def _full_sets(width: int):
-    @arrow_udf("array<bigint>")
+    @arrow_udf("struct<set:array<bigint>,bits:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([shingle_set(t, width) for t in texts.to_pylist()], pa.list_(pa.int64()))
+            sets = [shingle_set(t, width) for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array(sets, pa.list_(pa.int64())),
+                                              pa.array([parity_bits(x) for x in sets], pa.list_(pa.int64()))], ["set", "bits"])
 
     return run
 
@@ -97,17 +114,47 @@ def least_common(n: Column) -> Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(value, cid): the rare ends of the lists, for values of two classes or more."""
+    """The rare ends of the lists, for values of two classes or more."""
     listed = classes.select("cid", "n", F.slice("sketch", 1, LISTED).alias("s"))
     rows = listed.select("cid", "n", F.size("s").alias("size"), F.explode("s").alias("value"))
     df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = rows.join(df, "value").groupBy("cid", "n", "size").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))     # LISTED at most
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("weight"))   # LISTED at most
     # values of this class alone come first in its order, and no list
     alone = F.col("size") - F.size("v")
     posted = F.greatest(F.lit(0), F.col("size") - least_common(F.col("n")) + 1 - alone).cast("int")
-    return shared.filter(posted > 0).select("cid", F.explode(F.slice("v", F.lit(1), posted)).alias("v")) \
-        .select(F.col("v.value").alias("value"), "cid")
+    return shared.filter(posted > 0).select("cid", "weight", F.explode(F.slice("v", F.lit(1), posted)).alias("v")) \
+        .select(F.struct(F.col("v.value").alias("value"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("list"), "cid", "weight",
+                F.lit(0).alias("n"), F.lit(0).alias("left"), F.lit(0).alias("own"))
+
+
+def exact_postings(sets: DataFrame) -> DataFrame:
+    """Postings of full sets (cid, set) by value and the size steps of both partners, i <= j.
+
+    A value at place p of a set of n, from rare to common, can be the first that is
+    shared with a similar set of m only if n - p >= share(n + m)."""
+    step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
+    t = SIMILAR / 100
+    n = F.size("set")
+    rows = sets.select(F.xxhash64("set").alias("sid"), "cid", "bits", n.alias("n"), step(n).alias("own"), F.explode("set").alias("value"))
+    # sizes that hold the value; their steps are few, a logarithm of the largest set
+    df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.collect_set("own").alias("owns")).filter("df > 1")
+    v = rows.join(df, "value").groupBy("sid", "cid", "n", "own", "bits").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value", "owns"))).alias("v"), F.sum("df").alias("weight"))
+    # values of this set alone come first in its order
+    v = v.select("cid", "n", "weight", "own", "bits", F.size("v").alias("common"), F.posexplode("v").alias("at", "v"))
+    v = v.withColumn("left", F.col("common") - F.col("at")).filter(F.col("left") >= t * F.col("n") - 1e-6)
+    v = v.withColumn("other", F.explode(F.filter("v.owns", lambda o: o.between(step(t * F.col("n")) - 1, step(F.col("n") / t) + 1))))
+    smallest = F.floor(F.pow(F.lit(SIZE_STEP), F.col("other"))) - 1
+    v = v.filter(F.col("left") >= share(F.col("n"), F.greatest(smallest, t * F.col("n"))))
+    return v.select(F.struct(F.col("v.value").alias("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("list"),
+                    "cid", "weight", "n", "left", "own", "bits")
+
+
+def share(n: Column, m: Column) -> Column:
+    """Values that similar sets of these sizes have in common at least."""
+    t = SIMILAR / 100
+    return t / (1 + t) * (n + m) - 1e-6
 
 
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,6 +166,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     x = x.withColumn("u", union)
     shared = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb"))
     x = x.filter(shared >= (SIMILAR / 100 - MARGIN) * F.size("u")).select("a", "b")
+    sets = sets.select("cid", "set")
     s = x.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     s = s.select("a", "b", both.cast("long").alias("both"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"))
@@ -154,44 +202,72 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
     index = cut(postings(classes))
     n_postings = index.count()
     edges = [] if links is None else [links]
-    label = None if links is None else cut(components(links))
+    if n_postings:
+        ids = cut(index.select("cid").distinct())
+        sets = cut(sets_of(ids))
+        own = cut(classes.join(ids, "cid", "left_semi"))
+
+    def join_up() -> DataFrame | None:
+        return cut(components(reduce(DataFrame.unionByName, edges))) if edges else None
+
+    def place(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with labels; lists of several labels with the size, and the largest, of them."""
+        placed = rows.withColumn("label", F.col("cid")) if label is None else \
+            rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        placed = cut(placed)
+        main = placed.groupBy("list", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(
+            F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).filter("size > top.c")
+        return placed, cut(main.select("list", "size", F.col("top.c").alias("c"), F.col("top.label").alias("main")))
+
+    def compare(pairs: DataFrame) -> None:
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges.append(cut(verified(pairs, own, sets)))
+
+    def with_pivot(rest: DataFrame, among: DataFrame) -> DataFrame:
+        """Each member with the pivot of its list, where they are of two components."""
+        top = among.groupBy("list").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
+        return rest.withColumnsRenamed({"cid": "y", "label": "ly"}).join(
+            top.select("list", F.col("p.cid").alias("x"), F.col("p.label").alias("lx")), "list").filter("lx != ly")
+
+    label = join_up()
     if not n_postings:
         return label
-    ids = cut(index.select("cid").distinct())
-    sets = cut(sets_of(ids))
-    own = cut(classes.join(ids, "cid", "left_semi"))
-    done = False
+    placed, _ = place(index)
+    compare(with_pivot(placed, placed))
+    label = join_up()
+    placed, main = place(index)
+    members = cut(placed.join(main, "list", "left_semi").select("cid").distinct())
+    index = cut(exact_postings(sets.join(members, "cid", "left_semi")))
+    n_postings = index.count()
     for turn in range(ROUNDS + 1):
-        if label is None:
-            placed = index.withColumn("label", F.col("cid"))
-        else:
-            placed = cut(index.join(label, "cid", "left").select("value", "cid", F.coalesce("label", "cid").alias("label")))
-        groups = placed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
-        main = groups.groupBy("value").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")) \
-            .filter("n > top.c").select("value", "n", F.col("top.c").alias("c"), F.col("top.label").alias("main"))
-        main = cut(main)
-        work = main.agg(F.sum((F.col("n") - F.col("c")) * F.col("n"))).first()[0] or 0
+        placed, main = place(index)
+        rest = placed.join(main.select("list", "main"), "list").withColumn("out", (F.col("label") != F.col("main")).cast("long"))
+        # a list of two sizes compares one with the other only
+        sides = rest.groupBy("list", "own").agg(F.count(F.lit(1)).alias("s"), F.sum("out").alias("o")).groupBy("list").agg(
+            F.sum("s").alias("s"), F.sum("o").alias("o"), F.sum(F.col("s") * F.col("o")).alias("same"))
+        work = sides.agg(F.sum(F.col("s") * F.col("o") - F.when(F.col("list.i") != F.col("list.j"), F.col("same")).otherwise(0))).first()[0] or 0
         if stats is not None:
-            stats.setdefault("work", []).append(work)
+            stats.setdefault("work", []).append((n_postings, work))
         if not work:
             break
-        rest = placed.join(main, "value")
-        if turn == ROUNDS or work <= EXPAND_RATIO * n_postings:
-            # members outside the largest component against all of another component
-            outside = rest.filter("label != main").select("value", F.col("cid").alias("x"), F.col("label").alias("lx"))
-            pairs = outside.join(rest.select("value", F.col("cid").alias("y"), F.col("label").alias("ly"), "main"), "value") \
-                .filter("lx != ly AND (ly = main OR x < y)")
-            done = True
-        else:
-            pivot = rest.filter(F.lit(turn == 0) | (F.col("label") != F.col("main"))).groupBy("value").agg(
-                (F.min("cid") if turn == 0 else F.min_by("cid", F.xxhash64("cid", F.lit(turn)))).alias("x"),
-                (F.min("label") if turn == 0 else F.min_by("label", F.xxhash64("cid", F.lit(turn)))).alias("lx"))
-            pairs = rest.withColumnsRenamed({"cid": "y", "label": "ly"}).join(pivot, "value").filter("lx != ly")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges.append(cut(verified(pairs, own, sets)))
-        label = cut(components(reduce(DataFrame.unionByName, edges)))
-        if done:
-            break
+        outside = rest.filter("out = 1")
+        if turn < ROUNDS and work > EXPAND_RATIO * n_postings:
+            compare(with_pivot(rest, outside))
+            label = join_up()
+            continue
+        x, y = (z.select("list", F.col("cid").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("label", "n", "left", "own", "out", "bits")])
+                for z, c in ((outside, "x"), (rest, "y")))
+        need = share(F.col("n_x"), F.col("n_y"))
+        differ = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(PARITY // 64))
+        pairs = x.join(y, "list").filter(
+            (F.col("label_x") != F.col("label_y")) & ((F.col("out_y") == 0) | (F.col("x") < F.col("y")))
+            & ((F.col("list.i") == F.col("list.j")) | (F.col("own_x") != F.col("own_y")))
+            & (F.col("left_x") >= need) & (F.col("left_y") >= need) & (differ <= F.col("n_x") + F.col("n_y") - 2 * need))
+        if stats is not None:
+            stats["pairs"] = pairs.count()
+        compare(pairs)
+        label = join_up()
+        break
     return label
 
 
@@ -211,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, stats: dict | None = None)
         few = ids.count() <= BROADCAST_IDS
         ids = ids.withColumnRenamed("cid", "doc_id")
         rows = d.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        return rows.select(F.col("doc_id").alias("cid"), _full_sets(width)("text").alias("set"))
+        return rows.select(F.col("doc_id").alias("cid"), _full_sets(width)("text").alias("s")).select("cid", "s.*")
 
     # an id with several texts is one document with several sets: it links their classes
     several = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n").groupBy("doc_id").agg(
