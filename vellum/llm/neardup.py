@@ -26,6 +26,7 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch is
 Nothing data-sized reaches the driver; every round is cut with a checkpoint.
 """
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,7 +51,7 @@ MARGIN = 0.3
 #: Ids up to this many are broadcast when their texts are read again (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Comparisons per posting above which another pivot round comes before the rest.
-EXPAND_RATIO = 8
+EXPAND_RATIO = 16
 ROUNDS = 4
 #: Sizes are told apart to this ratio where partners are posted by size.
 SIZE_STEP = 1.01
@@ -137,14 +138,16 @@ def exact_postings(sets: DataFrame) -> DataFrame:
     t = SIMILAR / 100
     n = F.size("set")
     rows = sets.select(F.xxhash64("set").alias("sid"), "cid", "bits", n.alias("n"), step(n).alias("own"), F.explode("set").alias("value"))
-    # sizes that hold the value; their steps are few, a logarithm of the largest set
-    df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.collect_set("own").alias("owns")).filter("df > 1")
+    df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("own").alias("low"), F.max("own").alias("high")).filter("df > 1")
     v = rows.join(df, "value").groupBy("sid", "cid", "n", "own", "bits").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value", "owns"))).alias("v"), F.sum("df").alias("weight"))
+        F.sort_array(F.collect_list(F.struct("df", "value", "low", "high"))).alias("v"), F.sum("df").alias("weight"))
     # values of this set alone come first in its order
     v = v.select("cid", "n", "weight", "own", "bits", F.size("v").alias("common"), F.posexplode("v").alias("at", "v"))
     v = v.withColumn("left", F.col("common") - F.col("at")).filter(F.col("left") >= t * F.col("n") - 1e-6)
-    v = v.withColumn("other", F.explode(F.filter("v.owns", lambda o: o.between(step(t * F.col("n")) - 1, step(F.col("n") / t) + 1))))
+    # size steps that hold the value; they are few, a logarithm of the largest set
+    low, high = F.col("v.low"), F.col("v.high")
+    owns = F.when(F.col("v.df") == 2, F.array_distinct(F.array(low, high))).otherwise(F.sequence(low, high))
+    v = v.withColumn("other", F.explode(F.filter(owns, lambda o: o.between(step(t * F.col("n")) - 1, step(F.col("n") / t) + 1))))
     smallest = F.floor(F.pow(F.lit(SIZE_STEP), F.col("other"))) - 1
     v = v.filter(F.col("left") >= share(F.col("n"), F.greatest(smallest, t * F.col("n"))))
     return v.select(F.struct(F.col("v.value").alias("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("list"),
@@ -239,7 +242,8 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
     members = cut(placed.join(main, "list", "left_semi").select("cid").distinct())
     index = cut(exact_postings(sets.join(members, "cid", "left_semi")))
     n_postings = index.count()
-    for turn in range(ROUNDS + 1):
+    nearest = False
+    for turn in itertools.count():
         placed, main = place(index)
         rest = placed.join(main.select("list", "main"), "list").withColumn("out", (F.col("label") != F.col("main")).cast("long"))
         # a list of two sizes compares one with the other only
@@ -251,7 +255,7 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
         if not work:
             break
         outside = rest.filter("out = 1")
-        if turn < ROUNDS and work > EXPAND_RATIO * n_postings:
+        if not nearest and turn < ROUNDS and work > EXPAND_RATIO * n_postings:
             compare(with_pivot(rest, outside))
             label = join_up()
             continue
@@ -263,11 +267,16 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
             (F.col("label_x") != F.col("label_y")) & ((F.col("out_y") == 0) | (F.col("x") < F.col("y")))
             & ((F.col("list.i") == F.col("list.j")) | (F.col("own_x") != F.col("own_y")))
             & (F.col("left_x") >= need) & (F.col("left_y") >= need) & (differ <= F.col("n_x") + F.col("n_y") - 2 * need))
+        if not nearest:
+            # first each with its nearest by the bitmaps: one link spares its other pairs
+            pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct(differ, "y")).alias("y"))
         if stats is not None:
-            stats["pairs"] = pairs.count()
+            stats.setdefault("pairs", []).append(pairs.count())
         compare(pairs)
         label = join_up()
-        break
+        if nearest:
+            break
+        nearest = True
     return label
 
 
