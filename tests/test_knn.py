@@ -139,3 +139,14 @@ def test_index_and_queries_of_one_lineage(spark):
     for kernel in ("scan", "grid"):
         got = _got(knn_join(idx, q, kernel=kernel, block_rows=2, query_block_rows=2))
         assert got["x"][0] == ("x", 1.0) and len(got) == 5
+
+
+def test_a_null_k_is_the_default_whatever_the_batch_asks(spark):
+    from vellum.schema import DEFAULT_K
+    idx = spark.createDataFrame([("L", f"c{i}", [1.0, float(i)], 1.0 / (1 + i * i) ** 0.5, 0) for i in range(12)],
+                                "library_id string, chunk_id string, vector array<float>, inv_norm double, build_id long")
+    q = spark.createDataFrame([("a", "L", [1.0, 0.0], None), ("b", "L", [1.0, 0.0], 1)],
+                              "query_id string, library_id string, embedding array<float>, k int")
+    for kernel in ("scan", "grid"):
+        n = {r["query_id"]: r["count"] for r in knn_join(idx, q, kernel=kernel).groupBy("query_id").count().collect()}
+        assert n == {"a": DEFAULT_K, "b": 1}

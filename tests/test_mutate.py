@@ -109,3 +109,42 @@ def test_change_feed_tombstones(spark):
     assert {r["k"]: r["v"] for r in live.collect()} == {"a": "x2"}
     whole, _ = M.apply_changes(b1.limit(0).drop("op"), b1.unionByName(b2), ["k"])
     assert {r["k"]: r["v"] for r in whole.collect()} == {"a": "x2"}          # stream == batch
+
+
+def _one_of_each(spark):
+    return M.Corpus3(
+        spark.createDataFrame([("L", {"name": "l"})], LIBRARIES),
+        spark.createDataFrame([{"library_id": "L", "document_id": "d", "doc_pos": 0, "metadata": {}}], DOCUMENTS),
+        spark.createDataFrame([{"library_id": "L", "document_id": "d", "chunk_id": "c", "chunk_pos": 0, "text": "old",
+                                "embedding": [1.0], "metadata": {}}], CHUNKS))
+
+
+def test_an_id_given_twice_never_multiplies_rows(spark):
+    c = _one_of_each(spark)
+    assert M.append_unseen(_vec(spark, [("a", [1])]), _vec(spark, [("b", [1]), ("b", [2])]), ["id"]).count() == 1
+    two = c.libraries.unionByName(c.libraries)
+    assert M.add_libraries(c, M.Corpus3(two, c.documents, c.chunks)).libraries.count() == 1
+    assert M.patch_libraries(c.libraries, two).count() == 1
+    docs2, chunks2 = c.documents.unionByName(c.documents), c.chunks.unionByName(c.chunks)
+    for out, bad in (M.add_documents(c, docs2), M.update_documents(c, docs2)):
+        assert out.documents.count() == 1
+        assert [r["resource_type"] for r in bad.collect()] == ["DuplicateDocument"]
+    for out, bad in (M.add_chunks(c, chunks2), M.update_chunks(c, chunks2)):
+        assert [r["text"] for r in out.chunks.collect()] == ["old"]
+        assert [r["resource_type"] for r in bad.collect()] == ["DuplicateChunk"]
+
+
+def test_the_highest_seq_wins(spark):
+    c = _one_of_each(spark)
+    batch = c.chunks.withColumn("text", F.lit("first")).withColumn("seq", F.lit(1)).unionByName(
+        c.chunks.withColumn("text", F.lit("second")).withColumn("seq", F.lit(2)))
+    for out, bad in (M.add_chunks(c, batch), M.update_chunks(c, batch)):
+        assert [r["text"] for r in out.chunks.collect()] == ["second"] and bad.count() == 0
+    v = _vec(spark, [("a", [1]), ("a", [2])]).withColumn("seq", F.monotonically_increasing_id())
+    assert M.upsert_vectors(_vec(spark, [("z", [9])]), v, ["id"], overwrite=True).table.count() == 2
+
+
+def test_a_chunk_of_an_unknown_library_reports_the_library(spark):
+    c = _one_of_each(spark)
+    _, bad = M.add_chunks(c, c.chunks.withColumn("library_id", F.lit("nope")))
+    assert [tuple(r) for r in bad.collect()] == [("Library", "nope")]

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import vec_dot, vec_normalize
-from ..schema import DEFAULT_LEAF_SIZE
+from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh
 from .knn import (CAND_SCHEMA, _emit, _unit_rows, arrow_matrix, grid_cogroup, inv_norms, merge_topk,
                   raw_scores)
@@ -238,6 +238,8 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
         kmax = int(k) if kmax is None else kmax
+    # a query without a k of its own gets the default, whatever its neighbours ask for
+    queries = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int"))
     if kmax is None:
         got = queries.agg(F.max("k")).first()[0]
         kmax = int(got) if got is not None else 1

@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import inv_norm, literal_vector, vec_dot
+from ..schema import DEFAULT_K
 from ..session import fresh
 
 CAND_SCHEMA = T.StructType([
@@ -189,7 +190,7 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
     for lib, rows in by_lib.items():
         ids = np.array([r["query_id"] for r in rows], dtype=object)
         m = _as_matrix([r["embedding"] for r in rows])
-        ks = np.array([min(int(r["k"]), kmax) if r["k"] is not None else kmax for r in rows], dtype=np.int64)
+        ks = np.array([min(int(r["k"]), kmax) for r in rows], dtype=np.int64)
         fl = None
         if floors:
             fl = np.array([floors.get(r["query_id"], -np.inf) for r in rows], dtype=np.float64)
@@ -355,7 +356,8 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     library_id, embedding`` and, unless ``k`` is given, a per-query ``k``.
     Returns ``query_id, library_id, chunk_id, score, k, rank``; fewer than k
     rows when the library holds fewer vectors (T5: k >= n gives the full
-    ranking).  ``kmax`` bounds per-query k (default: the largest k, at most
+    ranking).  A NULL k is ``schema.DEFAULT_K``.  A batch of queries too large to
+    broadcast takes the grid kernel, also when ``scan`` is asked for.  ``kmax`` bounds per-query k (default: the largest k, at most
     ``schema.MAX_K``).
 
     ``sample`` (optional, both kernels): a stored sample of the index (see
@@ -368,6 +370,8 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
         kmax = int(k) if kmax is None else kmax
+    # a query without a k of its own gets the default, whatever its neighbours ask for
+    queries = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int"))
     q = queries.select("query_id", "library_id", "embedding", "k")
 
     if kernel in ("auto", "scan"):
@@ -386,8 +390,6 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
                 floors = {r["query_id"]: r["score"] for r in kth}
             cands = _scan_candidates(index, rows, kmax, floors)
             return merge_topk(cands, kmax, _salt_for(index.rdd.getNumPartitions()))
-        if kernel == "scan":
-            raise ValueError(f"scan kernel takes at most {broadcast_rows} queries / {broadcast_bytes} bytes")
     if kmax is None:
         got = queries.agg(F.max("k")).first()[0]
         kmax = int(got) if got is not None else 1

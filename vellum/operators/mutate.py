@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import duplicate_keys
 from .reshape import next_positions
 
 LIB = ["library_id"]
@@ -48,20 +47,22 @@ def latest_per_key(changes: DataFrame, keys: list[str], order_cols: list[str]) -
     return agg.select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
 
 
-def _dedupe(batch: DataFrame, keys: list[str]):
+def gate(batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The shared check of every batch: one row per key goes on.  With a ``seq``
+    column the highest wins; without one, a key given twice is ambiguous and none
+    of its rows goes on.  Returns (rows, keys rejected).  One aggregation, whose
+    partial step leaves a repeated key one row per task."""
+    payload = [c for c in batch.columns if c not in keys]
     if "seq" in batch.columns:
-        return latest_per_key(batch, keys, ["seq"]), None
-    dups = duplicate_keys(batch, keys)
-    clean = batch.join(dups.select(*keys), keys, "left_anti")
-    rej = batch.join(dups.select(*keys), keys, "left_semi").withColumn("reason", F.lit("duplicate_in_batch"))
-    return clean, rej
+        return latest_per_key(batch, keys, ["seq"]), batch.limit(0).select(*keys)
+    one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *([F.first(F.struct(*payload)).alias("_p")] if payload else []))
+    clean = one.filter("_n = 1").select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
+    return clean.select(*batch.columns), one.filter("_n > 1").select(*keys)
 
 
-def _empty_like(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    out = df.limit(0)
-    for name, typ in (extra or {}).items():
-        out = out.withColumn(name, F.lit(None).cast(typ))
-    return out
+def _twice(rejected: DataFrame, rtype: str, id_col: str) -> DataFrame:
+    """Keys that :func:`gate` rejected, as report rows (``Duplicate...``)."""
+    return rejected.select(F.lit(f"Duplicate{rtype}").alias("resource_type"), F.col(id_col).alias("resource_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -71,8 +72,10 @@ def _empty_like(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame
 def upsert_vectors(existing: DataFrame, new: DataFrame, keys: list[str], overwrite: bool) -> Applied:
     """Add vectors by key.  ``overwrite=True`` replaces stored keys;
     ``False`` rejects keys already stored (DuplicateVector)."""
-    new, rej = _dedupe(new, keys)
-    rejects = rej if rej is not None else _empty_like(new, {"reason": "string"})
+    clean, twice = gate(new, keys)
+    clean = clean.select(*existing.columns)
+    rejects = new.select(*existing.columns).join(twice, keys, "left_semi").withColumn("reason", F.lit("duplicate_in_batch"))
+    new = clean
     if overwrite:
         out = existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
         return Applied(out, rejects)
@@ -82,7 +85,9 @@ def upsert_vectors(existing: DataFrame, new: DataFrame, keys: list[str], overwri
 
 
 def append_unseen(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Bulk build appends only ids not stored yet (stored rows win)."""
+    """Bulk build appends only ids not stored yet (stored rows win); an id
+    given twice in ``new`` is not appended (:func:`gate`)."""
+    new = gate(new, keys)[0].select(*existing.columns)
     return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"))
 
 
@@ -107,12 +112,16 @@ def remove_keys(existing: DataFrame, ids: DataFrame, keys: list[str]):
 
 def add_libraries(c: Corpus3, new: Corpus3) -> Corpus3:
     """Add libraries; a library id already present is replaced with all
-    its documents and chunks."""
-    ids = new.libraries.select(*LIB).distinct()
+    its documents and chunks.  A library, document or chunk given twice is
+    ambiguous (:func:`gate`): it is left out, a library with all it holds."""
+    libraries = gate(new.libraries, LIB)[0].select(*c.libraries.columns)
+    ids = libraries.select(*LIB)
+    documents, chunks = (gate(rows.join(ids, LIB, "left_semi"), keys)[0].select(*old.columns)
+                         for rows, keys, old in ((new.documents, DOC, c.documents), (new.chunks, CHUNK, c.chunks)))
     return Corpus3(
-        c.libraries.join(ids, LIB, "left_anti").unionByName(new.libraries),
-        c.documents.join(ids, LIB, "left_anti").unionByName(new.documents),
-        c.chunks.join(ids, LIB, "left_anti").unionByName(new.chunks),
+        c.libraries.join(ids, LIB, "left_anti").unionByName(libraries),
+        c.documents.join(ids, LIB, "left_anti").unionByName(documents),
+        c.chunks.join(ids, LIB, "left_anti").unionByName(chunks),
     )
 
 
@@ -129,8 +138,9 @@ def replace_libraries_if_present(c: Corpus3, new: Corpus3):
 
 def patch_libraries(libraries: DataFrame, patch: DataFrame) -> DataFrame:
     """Partial update; a NULL field keeps the stored value.  Patches for
-    unknown libraries change nothing."""
-    p = patch.select("library_id", F.col("metadata").alias("_new_md"))
+    unknown libraries change nothing, nor do several patches of one library
+    without a ``seq`` (:func:`gate`)."""
+    p = gate(patch, LIB)[0].select("library_id", F.col("metadata").alias("_new_md"))
     return (libraries.join(p, "library_id", "left")
             .select("library_id", F.coalesce("_new_md", "metadata").alias("metadata")))
 
@@ -164,6 +174,7 @@ def add_documents(c: Corpus3, docs: DataFrame, chunks: DataFrame | None = None,
     """Add documents to existing libraries (V7).  A document id already
     in the library is replaced (with its chunks) and moves to the end; new
     positions follow ``max(doc_pos)`` of the library in ``order_col`` order."""
+    docs, twice = gate(docs, DOC)
     if order_col not in docs.columns:
         docs = docs.withColumn(order_col, F.lit(0))
     ok, bad = _parent_check(docs, c.libraries, LIB, "Library", "library_id")
@@ -175,13 +186,15 @@ def add_documents(c: Corpus3, docs: DataFrame, chunks: DataFrame | None = None,
         # The target document wins over any document_id the chunk carries.
         inc = chunks.join(ok.select(*DOC), DOC, "left_semi")
         new_chunks = new_chunks.unionByName(inc.select(*c.chunks.columns))
-    return Corpus3(c.libraries, documents, new_chunks), bad
+    return Corpus3(c.libraries, documents, new_chunks), bad.unionByName(_twice(twice, "Document", "document_id"))
 
 
 def update_documents(c: Corpus3, docs: DataFrame) -> tuple[Corpus3, DataFrame]:
     """Replace metadata of existing documents in place (position, id and
     chunks kept; Q10).  Unknown documents are reported."""
+    docs, twice = gate(docs, DOC)
     ok, bad = _parent_check(docs, c.documents, DOC, "Document", "document_id")
+    bad = bad.unionByName(_twice(twice, "Document", "document_id"))
     upd = ok.select(*DOC, F.col("metadata").alias("_md"))
     documents = (c.documents.join(upd, DOC, "left")
                  .withColumn("metadata", F.coalesce("_md", "metadata")).drop("_md"))
@@ -203,9 +216,13 @@ def delete_documents(c: Corpus3, ids: DataFrame) -> tuple[Corpus3, DataFrame]:
 def add_chunks(c: Corpus3, chunks: DataFrame, order_col: str = "seq") -> tuple[Corpus3, DataFrame]:
     """Add chunks to existing documents (V7: library and document).  A
     chunk id already in the document is replaced and moves to the end."""
+    chunks, twice = gate(chunks, CHUNK)
     if order_col not in chunks.columns:
         chunks = chunks.withColumn(order_col, F.lit(0))
-    ok, bad = _parent_check(chunks, c.documents, DOC, "Document", "document_id")
+    # the library is checked first: a chunk of an unknown one reports the library
+    known, no_library = _parent_check(chunks, c.libraries, LIB, "Library", "library_id")
+    ok, bad = _parent_check(known, c.documents, DOC, "Document", "document_id")
+    bad = bad.unionByName(no_library).unionByName(_twice(twice, "Chunk", "chunk_id"))
     keep = c.chunks.join(ok.select(*CHUNK), CHUNK, "left_anti")
     placed = next_positions(keep, ok.drop("chunk_pos"), DOC, "chunk_pos", order_col)
     return Corpus3(c.libraries, c.documents,
@@ -215,7 +232,9 @@ def add_chunks(c: Corpus3, chunks: DataFrame, order_col: str = "seq") -> tuple[C
 def update_chunks(c: Corpus3, chunks: DataFrame) -> tuple[Corpus3, DataFrame]:
     """Replace text, vector and metadata of existing chunks in place
     (id and position kept)."""
+    chunks, twice = gate(chunks, CHUNK)
     ok, bad = _parent_check(chunks, c.chunks, CHUNK, "Chunk", "chunk_id")
+    bad = bad.unionByName(_twice(twice, "Chunk", "chunk_id"))
     u = ok.select(*CHUNK, F.col("text").alias("_t"), F.col("embedding").alias("_e"),
                   F.col("metadata").alias("_m"), F.lit(True).alias("_hit"))
     j = c.chunks.join(u, CHUNK, "left")

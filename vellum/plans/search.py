@@ -126,9 +126,9 @@ def search_library(index: DataFrame, meta: DataFrame, chunks: DataFrame, library
         raise ValueError(f"k must be within {MIN_K}..{MAX_K}, got {k}")
     m = meta.filter(F.col("library_id") == library_id).select("dim", "n").first()
     if m is None:
-        raise LookupError(f"Library {library_id} is not indexed")
+        raise LookupError(f"no index holds library {library_id}")
     if m["n"] and len(embedding) != m["dim"]:
-        raise ValueError(f"Query embedding dimension {len(embedding)} does not match index dimension {m['dim']}")
+        raise ValueError(f"dimension {len(embedding)} of the query is not the library's {m['dim']}")
     if not m["n"]:
         return chunks.limit(0).select("library_id", F.lit(0).cast("long").alias("rank"), "chunk_id",
                                       "document_id", F.lit(0.0).alias("score"), "text", "embedding", "metadata")
