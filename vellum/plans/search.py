@@ -126,7 +126,7 @@ def search_library(index: DataFrame, meta: DataFrame, chunks: DataFrame, library
         raise ValueError(f"k must be within {MIN_K}..{MAX_K}, got {k}")
     m = meta.filter(F.col("library_id") == library_id).select("dim", "n").first()
     if m is None:
-        raise LookupError(f"no index holds library {library_id}")
+        raise LookupError(f"{library_id}: not indexed")
     if m["n"] and len(embedding) != m["dim"]:
         raise ValueError(f"dimension {len(embedding)} of the query is not the library's {m['dim']}")
     if not m["n"]:
