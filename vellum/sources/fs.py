@@ -31,9 +31,17 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(body.encode("utf-8")))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    if fs.exists(p):                       # a rewrite: the old text stays under another name until the new one is there
+        old = jvm.org.apache.hadoop.fs.Path(path + ".old")
+        fs.delete(old, False)
+        if not fs.rename(p, old):
+            raise OSError(f"{path} could not be moved aside")
+        if not fs.rename(tmp, p):
+            fs.rename(old, p)
+            raise OSError(f"{path} could not be replaced")
+        fs.delete(old, False)
+    elif not fs.rename(tmp, p):
+        raise OSError(f"{path} could not be published")
 
 
 def read_text(spark: SparkSession, path: str) -> str:
