@@ -77,8 +77,9 @@ def workload(spark, out: dict) -> None:
             out[f"wl_cells_d{d}_query100"] = timed(
                 lambda: run(knn_cells(holder["ci"], holder["cells"], qs, k=10, cell_block_rows=256, kept=kept)))
             # fraction of the 10,000 vectors each query scores, averaged over queries
-            n = holder["cells"].select("library_id", F.explode(F.array("cell")).alias("cell"), "n")
-            scored = (kept[0].select("query_id", "library_id", F.explode("cells").alias("cell"))
+            # (the probe's scores and those of the kept cells: every score computed)
+            n = holder["cells"].select("library_id", "cell", "n")
+            scored = (kept[0].unionByName(kept[1]).select("query_id", "library_id", F.explode("cells").alias("cell"))
                       .join(n, ["library_id", "cell"]).groupBy("query_id").agg(F.sum("n").alias("s")))
             frac = scored.agg(F.avg(F.col("s") / F.lit(10_000))).first()[0]
             out[f"wl_cells_d{d}_fraction_scored"] = round(float(frac or 0.0), 4)

@@ -3,6 +3,7 @@ the same rules, and the pruned search equals brute force exactly."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators.cells import build_cells, knn_cells
 from vellum.schema import INDEX
@@ -126,3 +127,60 @@ def test_add_and_remove_keep_search_exact(spark):
         want = [i for i, _ in brute_topk(kids, np.asarray(kvecs, dtype=np.float32),
                                          np.asarray(qs[j], dtype=np.float32), 6)]
         assert got[f"q{j}"] == want
+
+
+def _two_libraries(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((60, 3)), rng.standard_normal((50, 3))
+    ids = [f"v{i:03d}" for i in range(60)]
+    # the same chunk ids in both libraries
+    idx = _index(spark, ids, a).withColumn("library_id", F.lit("A")).unionByName(
+        _index(spark, ids[:50], b).withColumn("library_id", F.lit("B")))
+    return idx, {"A": (ids, a), "B": (ids[:50], b)}
+
+
+def _check_against_brute(spark, ci, cells, held, k=6):
+    rng = np.random.default_rng(6)
+    qs = rng.standard_normal((4, 3))
+    rows = [(f"q{j}", lib, [float(x) for x in v], k) for lib in held for j, v in enumerate(qs)]
+    q = spark.createDataFrame(rows, "query_id string, library_id string, embedding array<float>, k int")
+    got = {}
+    for r in knn_cells(ci, cells, q).orderBy("library_id", "query_id", "rank").collect():
+        got.setdefault((r["library_id"], r["query_id"]), []).append(r["chunk_id"])
+    for lib, (ids, vecs) in held.items():
+        for j in range(4):
+            want = [i for i, _ in brute_topk(ids, np.asarray(vecs, dtype=np.float32), np.asarray(qs[j], dtype=np.float32), k)]
+            assert got[(lib, f"q{j}")] == want
+
+
+def test_same_ids_in_two_libraries(spark):
+    idx, held = _two_libraries(spark)
+    ci, cells = build_cells(idx, leaf_size=6)
+    _check_against_brute(spark, ci, cells, held)
+
+
+def test_add_same_ids_and_a_new_library(spark):
+    """One id added to two libraries is kept in both; a library without cells gets its own."""
+    from vellum.operators.cells import add_to_cells
+
+    idx, held = _two_libraries(spark)
+    base = idx.filter("library_id = 'A' AND chunk_id < 'v040'")
+    ci, cells = build_cells(base, leaf_size=6)
+    new = idx.join(base.select("library_id", "chunk_id"), ["library_id", "chunk_id"], "left_anti")
+    ci, cells = add_to_cells(ci, cells, new, leaf_size=6)
+    assert ci.count() == 110 and sum(r["n"] for r in cells.collect()) == 110
+    _check_against_brute(spark, ci, cells, held)
+
+
+def test_few_cells_are_scored_in_three_dimensions(spark):
+    """Scores are computed for the listed cells only, a small share of the vectors."""
+    rng = np.random.default_rng(9)
+    vecs = rng.standard_normal((2000, 3))
+    ci, cells = build_cells(_index(spark, [f"v{i:04d}" for i in range(2000)], vecs), leaf_size=20)
+    q = spark.createDataFrame([(f"q{j}", "lib", [float(x) for x in rng.standard_normal(3)], 5) for j in range(5)],
+                              "query_id string, library_id string, embedding array<float>, k int")
+    kept = []
+    assert knn_cells(ci, cells, q, kept=kept).count() == 25
+    n = {r["cell"]: r["n"] for r in cells.collect()}
+    scored = sum(n[c] for part in kept for r in part.collect() for c in r["cells"])
+    assert scored <= 0.1 * 5 * 2000

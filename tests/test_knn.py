@@ -124,9 +124,9 @@ def test_sample_floor_keeps_results_and_cuts_candidates(spark):
     assert plain == grid
     rows = q.collect()
     pre = knn_join(sample, q, k=10, kernel="scan")
-    floors = {r["query_id"]: r["score"] for r in pre.filter("rank = k").collect()}
-    n_plain = _scan_candidates(idx, rows, 10).count()
-    n_floor = _scan_candidates(idx, rows, 10, floors).count()
+    floors = {(r["library_id"], r["query_id"]): r["score"] for r in pre.filter("rank = k").collect()}
+    n_plain = _scan_candidates(idx, rows).count()
+    n_floor = _scan_candidates(idx, rows, floors).count()
     # expected about k / fraction candidates per query (here 100) instead of k per task (here 400)
     assert n_floor <= 1.5 * (10 / 0.1) * len(rows) < n_plain
 
@@ -150,3 +150,15 @@ def test_a_null_k_is_the_default_whatever_the_batch_asks(spark):
     for kernel in ("scan", "grid"):
         n = {r["query_id"]: r["count"] for r in knn_join(idx, q, kernel=kernel).groupBy("query_id").count().collect()}
         assert n == {"a": DEFAULT_K, "b": 1}
+
+
+@pytest.mark.parametrize("kernel", ["scan", "grid"])
+def test_one_query_id_in_two_libraries(spark, kernel):
+    """A query is known by library and id: each library answers in full."""
+    idx = _index(spark, ["a1", "a2"], [[1, 0], [0, 1]], "A").unionByName(_index(spark, ["b1", "b2"], [[1, 0], [1, 1]], "B"))
+    q = _queries(spark, [("q", [1, 0])], 2, "A").unionByName(_queries(spark, [("q", [1, 0])], 2, "B"))
+    sample = idx.filter("chunk_id IN ('a2', 'b1', 'b2')")
+    for opts in ({}, {"sample": sample}):
+        got = knn_join(idx, q, kernel=kernel, **opts).orderBy("library_id", "rank").collect()
+        assert [(r["library_id"], r["rank"], r["chunk_id"]) for r in got] == [
+            ("A", 1, "a1"), ("A", 2, "a2"), ("B", 1, "b1"), ("B", 2, "b2")]

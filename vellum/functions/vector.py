@@ -84,3 +84,8 @@ def cosine_dist(a: ColumnOrName, b: ColumnOrName) -> Column:
     """1 - cosine similarity."""
     return F.lit(1.0) - cosine_sim(a, b)
 
+
+def has_non_finite(vec: Column | str) -> Column:
+    """Whether a vector holds a null, NaN or infinite component (false for a null vector)."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))

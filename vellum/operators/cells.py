@@ -50,11 +50,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh
-from .knn import (CAND_SCHEMA, _emit, _unit_rows, arrow_matrix, grid_cogroup, inv_norms, merge_topk,
-                  raw_scores)
+from .knn import (_MAX_SCORE_CELLS, CAND_SCHEMA, QUERY_KEY, _emit, _unit_rows, arrow_matrix, grid_cogroup, inv_norms,
+                  merge_topk, raw_scores)
 from .rank import positions
 
 ANGLE_SLACK = 1e-6
+# Scored pairs a task holds before it cuts them to each query's k best.
+_MAX_PENDING = 500_000
 
 
 def unit_expr():
@@ -166,11 +168,13 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
         raise ValueError(f"split must be 'median' or 'approx', not {split!r}")
     rows = (index.select("library_id", "chunk_id", "vector", "inv_norm")
             .withColumn("cell", F.lit(1).cast("long")).withColumn("_final", F.lit(False)))
-    for _ in range(max_levels):
+    for level in range(max_levels + 1):
         sizes = rows.filter(~F.col("_final")).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
         active = sizes.filter(F.col("n") > leaf_size)
         if active.isEmpty():
             break
+        if level == max_levels:
+            raise ValueError(f"cells of more than {leaf_size} rows are left after {max_levels} levels")
         act = rows.join(active.select(*g), g, "left_semi")
         rest = rows.join(active.select(*g), g, "left_anti")
         axes = split_axis(component_stats(act.withColumn("unit", unit_expr()), g), g)
@@ -183,9 +187,16 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
                              .otherwise(F.col("cell") * 2 + F.col("side"))))
         rows = rest.unionByName(parts.select(*rows.columns)).checkpoint(eager=True)
     rows = rows.drop("_final")
-    lib_n = rows.groupBy("library_id").agg(F.count(F.lit(1)).alias("_nl"))
-    rows = rows.join(lib_n, "library_id").withColumn(
-        "cblock", F.pmod(F.xxhash64("cell"), F.ceil(F.col("_nl") / F.lit(block_rows))).cast("int")).drop("_nl")
+    lib_n = rows.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nb"))
+    if split == "median":
+        # halves are equal, so a leaf's place in the tree is its rows' share of the library:
+        # neighbouring leaves share a scoring block, and blocks are equally full
+        level = F.length(F.bin("cell")) - 1
+        place = F.col("cell") / F.pow(F.lit(2.0), level) - F.lit(1.0)
+        cblock = F.least(F.floor(place * F.col("_nb")), F.col("_nb") - 1)
+    else:
+        cblock = F.pmod(F.xxhash64("cell"), F.col("_nb"))
+    rows = rows.join(lib_n, "library_id").withColumn("cblock", cblock.cast("int")).drop("_nb")
     rows = rows.checkpoint(eager=True)
     with_unit = rows.withColumn("unit", unit_expr())
     stats = component_stats(with_unit, g)
@@ -229,22 +240,20 @@ def _angles(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: int | None = None, *,
-              kmax: int | None = None, block_rows: int = 16_384, query_block_rows: int = 2_048,
-              cell_block_rows: int = 16_384, kept: list | None = None) -> DataFrame:
+              query_block_rows: int = 2_048, cell_block_rows: int = 16_384,
+              kept: list | None = None) -> DataFrame:
     """Exact top-k per query scoring only cells that can hold a hit.
     Same output as :func:`vellum.operators.knn.knn_join`.  ``kept`` (a list)
-    receives the pruning result (one row per query and scoring block with
-    its kept cells) for inspection, e.g. the fraction of vectors scored."""
+    receives the cells scored (one row per query and scoring block, listing
+    its cells), first those of the probe, then those kept: a query's scores are
+    computed for the vectors of these cells and no others."""
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
-        kmax = int(k) if kmax is None else kmax
     # a query without a k of its own gets the default, whatever its neighbours ask for
     queries = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int"))
-    if kmax is None:
-        got = queries.agg(F.max("k")).first()[0]
-        kmax = int(got) if got is not None else 1
-    q = fresh(queries.select("query_id", "library_id", "embedding",
-                             F.least("k", F.lit(kmax)).cast("int").alias("k")))
+    got = int(k) if k is not None else queries.agg(F.max("k")).first()[0]
+    kmax = max(1, int(got) if got is not None else 1)
+    q = fresh(queries.select("query_id", "library_id", "embedding", "k"))
     cl = fresh(cells.select("library_id", "cell", "cblock", "centroid", "angle", "n"))
     cell_index = fresh(cell_index)
 
@@ -275,32 +284,30 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
 
     cand = grid_cogroup(cl, q, pass_a, _TAU_SCHEMA, left_id="cell", right_id="query_id",
                         left_block_rows=cell_block_rows, right_block_rows=query_block_rows, arrow=True)
-    w = Window.partitionBy("query_id").orderBy(F.col("ub").desc(), F.col("cell").asc())
+    w = Window.partitionBy(*QUERY_KEY).orderBy(F.col("ub").desc(), F.col("cell").asc())
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kmax)
     top = top.withColumn("_cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    probe = top.filter(F.col("_cum") - F.col("n") < F.col("k"))
-    tau_lb = (probe.groupBy("query_id")
+    probe = top.filter(F.col("_cum") - F.col("n") < F.col("k")).checkpoint()
+    tau_lb = (probe.groupBy(*QUERY_KEY)
               .agg(F.min("lb").alias("_lb"), F.max("_cum").alias("_tot"), F.first("k").alias("_k"))
-              .select("query_id", F.when(F.col("_tot") >= F.col("_k"), F.col("_lb")).otherwise(F.lit(-2.0))
+              .select(*QUERY_KEY, F.when(F.col("_tot") >= F.col("_k"), F.col("_lb")).otherwise(F.lit(-2.0))
                       .alias("tau_lb")))
 
     nb = cl.groupBy("library_id").agg((F.max("cblock") + 1).cast("int").alias("_nb"))
     qn = q.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block_rows)).cast("int").alias("_nqb"))
-    lb_ = (cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
-           .join(fresh(qn), "library_id")
-           .withColumn("_rblock", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1))).drop("_nqb"))
+    vectors = cell_index.select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
 
     # exact scores of the probed cells' vectors: their k-th best is a floor
-    probe_rows = (probe.groupBy("query_id", "library_id", "cblock").agg(F.collect_list("cell").alias("cells"))
-                  .join(fresh(q.select("query_id", "embedding", "k")), "query_id")
+    probe_rows = (probe.groupBy(*QUERY_KEY, "cblock").agg(F.collect_list("cell").alias("cells"))
+                  .join(fresh(q.select(*QUERY_KEY, "embedding", "k")), QUERY_KEY)
                   .join(fresh(qn), "library_id")
                   .withColumn("_rblock", F.pmod(F.xxhash64("query_id"), F.col("_nqb")).cast("int"))
                   .withColumn("tau", F.lit(-2.0)).drop("_nqb"))
-    probed = merge_topk(_score_kept(lb_, probe_rows), kmax)
-    tau_probe = probed.filter(F.col("rank") == F.col("k")).select("query_id", F.col("score").alias("tau_probe"))
-    tau = (fresh(tau_lb).join(fresh(tau_probe), "query_id", "left")
-           .select("query_id", F.greatest("tau_lb", F.coalesce("tau_probe", F.lit(-2.0))).alias("tau")))
-    qt = fresh(q.join(fresh(tau), "query_id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0))))
+    probed = merge_topk(_score_kept(vectors, probe_rows), kmax)
+    tau_probe = probed.filter(F.col("rank") == F.col("k")).select(*QUERY_KEY, F.col("score").alias("tau_probe"))
+    tau = (fresh(tau_lb).join(fresh(tau_probe), QUERY_KEY, "left")
+           .select(*QUERY_KEY, F.greatest("tau_lb", F.coalesce("tau_probe", F.lit(-2.0))).alias("tau")))
+    qt = fresh(q.join(fresh(tau), QUERY_KEY, "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0))))
 
     # B: keep the cells whose upper bound reaches tau.  Cells are grouped by
     # their scoring block, so the output is one row per (query, scoring
@@ -339,22 +346,24 @@ def knn_cells(cell_index: DataFrame, cells: DataFrame, queries: DataFrame, k: in
         }, schema=keep_arrow)
 
     keys = ["library_id", "cblock", "_rblock"]
-    rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInArrow(pass_b, _KEEP_SCHEMA)
+    # written once: the cells asked for select the vectors, then the rows meet them
+    rb = cb.groupBy(*keys).cogroup(qb.groupBy(*keys)).applyInArrow(pass_b, _KEEP_SCHEMA).checkpoint()
     if kept is not None:
+        kept.append(probe_rows.select("query_id", "library_id", "cblock", "cells"))
         kept.append(rb.select("query_id", "library_id", "cblock", "cells"))
 
     # C: score the vectors of kept cells, one co-group per (library, scoring
     # block, query block); a query row lists its kept cells in that block.
-    cands = _score_kept(lb_, rb)
-    return merge_topk(cands, kmax)
+    return merge_topk(_score_kept(vectors, rb), kmax)
 
 
 def _score_kept(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     """Exact local top-k of the vectors in each query's listed cells: one
-    co-group per (library, scoring block, query block).  ``vectors`` carry
-    ``cell, cblock, _rblock``; ``rows`` carry ``query_id, library_id,
-    cblock, _rblock, cells, embedding, k, tau`` (scores below ``tau`` are
-    dropped)."""
+    co-group per (library, scoring block, query block), and in it one product per
+    cell, of the cell's vectors with the queries that list it.  ``vectors`` carry
+    ``cell, cblock``; only those of a listed cell are shuffled, once per query
+    block that lists it.  ``rows`` carry ``query_id, library_id, cblock, _rblock,
+    cells, embedding, k, tau`` (scores below ``tau`` are dropped)."""
     cand_arrow = to_arrow_schema(CAND_SCHEMA)
 
     def pass_c(vt: pa.Table, qt_: pa.Table) -> pa.Table:
@@ -363,23 +372,70 @@ def _score_kept(vectors: DataFrame, rows: DataFrame) -> DataFrame:
         c_ids = vt.column("chunk_id").to_numpy()
         cm = arrow_matrix(vt.column("vector").combine_chunks())
         vcell = vt.column("cell").to_numpy()
+        c_inv = vt.column("inv_norm").to_numpy()
         qr = arrow_matrix(qt_.column("embedding").combine_chunks())
-        S = raw_scores(qr, inv_norms(qr), cm, vt.column("inv_norm").to_numpy())
-        for i, kept in enumerate(qt_.column("cells").to_pylist()):
-            S[i, ~np.isin(vcell, np.asarray(kept))] = -np.inf
-        S[S < qt_.column("tau").to_numpy()[:, None] - 1e-12] = -np.inf
+        q_inv = inv_norms(qr)
         q_ids = qt_.column("query_id").to_numpy()
         q_k = qt_.column("k").to_numpy().astype(np.int64)
-        qi, ci, sc = _topk_generic(S, q_k, c_ids)
-        ok = np.isfinite(sc)
-        res = pd.DataFrame({"qi": qi[ok], "ci": ci[ok], "score": sc[ok]})
+        floor = qt_.column("tau").to_numpy() - 1e-12
+        if cm.shape[1] != qr.shape[1]:
+            return cand_arrow.empty_table()
+        # both sides in order of their cells
+        lists = qt_.column("cells").combine_chunks()
+        asked, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy())
+        by_cell = np.argsort(asked, kind="stable")
+        asked, asker = asked[by_cell], asker[by_cell]
+        members = np.argsort(vcell, kind="stable")
+        found = np.unique(vcell)
+        v_at = np.searchsorted(vcell[members], [found, found + 1])
+        q_at = np.searchsorted(asked, [found, found + 1])
+        best, waiting, n_waiting = [], [], 0
+        for v0, v1, q0, q1 in zip(*v_at, *q_at):
+            if q0 == q1:
+                continue
+            cs, qs = members[v0:v1], asker[q0:q1]
+            for s in range(0, len(qs), max(1, _MAX_SCORE_CELLS // len(cs))):
+                part = qs[s:s + max(1, _MAX_SCORE_CELLS // len(cs))]
+                S = raw_scores(qr[part], q_inv[part], cm[cs], c_inv[cs])
+                qi, ci = np.nonzero(S >= floor[part][:, None])
+                qi, ci = part[qi], cs[ci]
+                # one rounding for every pair, whatever product it came from: exact ties stay ties
+                score = _pair_dots(qr, cm, qi, ci) * c_inv[ci] * q_inv[qi]
+                waiting.append(pd.DataFrame({"qi": qi, "ci": ci, "score": score}))
+                n_waiting += len(qi)
+                if n_waiting > _MAX_PENDING:
+                    best = [_best_per_query(best + waiting, q_k, c_ids)]
+                    waiting, n_waiting = [], 0
+        if not best + waiting:
+            return cand_arrow.empty_table()
+        res = _best_per_query(best + waiting, q_k, c_ids)
         out = _emit(q_ids, qt_.column("library_id").to_numpy(), q_k, c_ids, res)
         return pa.Table.from_pandas(out, schema=cand_arrow, preserve_index=False)
 
     keys = ["library_id", "cblock", "_rblock"]
     rows = rows.select("query_id", "library_id", "cblock", "_rblock", "cells", "embedding",
                        F.col("k").cast("int").alias("k"), F.col("tau").cast("double").alias("tau"))
-    return vectors.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(pass_c, CAND_SCHEMA)
+    need = rows.select("library_id", "_rblock", F.explode("cells").alias("cell")).distinct()
+    asked_for = vectors.join(fresh(need), ["library_id", "cell"])
+    return asked_for.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(pass_c, CAND_SCHEMA)
+
+
+def _pair_dots(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    """Dot products of the listed pairs, in slices of bounded memory."""
+    out = np.empty(len(qi))
+    step = max(1, _MAX_SCORE_CELLS // max(1, q.shape[1]))
+    for s in range(0, len(qi), step):
+        out[s:s + step] = np.einsum("ij,ij->i", q[qi[s:s + step]], c[ci[s:s + step]])
+    return out
+
+
+def _best_per_query(parts: list, q_k: np.ndarray, c_ids: np.ndarray) -> pd.DataFrame:
+    """The k best entries of every query by ``(score desc, chunk_id asc)``."""
+    df = pd.concat(parts, ignore_index=True)
+    df["cid"] = c_ids[df["ci"].to_numpy()]
+    df = df.sort_values(["qi", "score", "cid"], ascending=[True, False, True], kind="mergesort")
+    r = df.groupby("qi").cumcount().to_numpy()
+    return df.loc[r < q_k[df["qi"].to_numpy()], ["qi", "ci", "score"]]
 
 
 def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
@@ -403,16 +459,22 @@ def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
 
 
 def add_to_cells(cell_index: DataFrame, cells: DataFrame, new: DataFrame,
-                 query_block_rows: int = 2_048) -> tuple[DataFrame, DataFrame]:
+                 query_block_rows: int = 2_048, leaf_size: int = DEFAULT_LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
     """Q15 / U1 on a cell index without a rebuild: every new vector (index
     rows ``library_id, chunk_id, vector, inv_norm``) joins the leaf whose
     centroid is nearest (a k=1 search over centroids with the grid kernel),
     and that leaf's angular radius grows to cover it, so pruning stays exact.
-    Centroids are kept; a rebuild re-balances.  Returns ``(cell_index,
-    cells)``."""
+    Centroids are kept; a rebuild re-balances.  Vectors of a library that has no
+    cells yet get cells of their own (:func:`build_cells`).  An id given twice
+    in a library is ambiguous and not added.  Returns ``(cell_index, cells)``."""
     from .knn import knn_join
+    from .mutate import gate
 
-    cells, new, cell_index = fresh(cells), fresh(new), fresh(cell_index)
+    cells, cell_index = fresh(cells), fresh(cell_index)
+    new = gate(new.select("library_id", "chunk_id", "vector", "inv_norm"), ["library_id", "chunk_id"])[0].checkpoint()
+    known = fresh(cells.select("library_id").distinct())
+    first_index, first_cells = build_cells(fresh(new.join(known, "library_id", "left_anti")), leaf_size)
+    new = fresh(new.join(known, "library_id", "left_semi"))
     cen = cells.select("library_id", F.col("cell").cast("string").alias("chunk_id"),
                        F.col("centroid").cast("array<float>").alias("vector"),
                        F.lit(1.0).alias("inv_norm"))
@@ -433,8 +495,8 @@ def add_to_cells(cell_index: DataFrame, cells: DataFrame, new: DataFrame,
                       F.greatest("radius", F.coalesce("_r", F.lit(0.0))).alias("radius"),
                       (F.greatest("angle", F.coalesce("_a", F.lit(0.0))) + F.lit(ANGLE_SLACK)).alias("angle"),
                       (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
-    rows = cell_index.unionByName(placed.select(*cell_index.columns))
-    return rows, cells2
+    rows = cell_index.unionByName(placed.select(*cell_index.columns)).unionByName(first_index)
+    return rows, cells2.unionByName(first_cells)
 
 
 def remove_from_cells(cell_index: DataFrame, cells: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

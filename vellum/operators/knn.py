@@ -33,7 +33,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,6 +50,9 @@ CAND_SCHEMA = T.StructType([
     T.StructField("k", T.IntegerType(), False),
 ])
 
+# A query is one request to one library: the same ``query_id`` may be asked of several.
+QUERY_KEY = ["library_id", "query_id"]
+
 # Largest score matrix one NumPy product may build (entries); queries are
 # processed in slices below this so memory per task stays bounded.
 _MAX_SCORE_CELLS = 4_000_000
@@ -167,9 +170,9 @@ def _reduce_candidates(df: pd.DataFrame) -> pd.DataFrame:
     """Keep each query's k best rows of a candidate frame."""
     if df.empty:
         return df
-    df = df.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True],
+    df = df.sort_values([*QUERY_KEY, "score", "chunk_id"], ascending=[True, True, False, True],
                         kind="mergesort")
-    r = df.groupby("query_id").cumcount().to_numpy()
+    r = df.groupby(QUERY_KEY).cumcount().to_numpy()
     return df[r < df["k"].to_numpy()]
 
 
@@ -177,10 +180,10 @@ def _reduce_candidates(df: pd.DataFrame) -> pd.DataFrame:
 # kernels
 # ---------------------------------------------------------------------------
 
-def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | None = None) -> DataFrame:
+def _scan_candidates(index: DataFrame, qrows: list, floors: dict | None = None) -> DataFrame:
     """``scan`` kernel: queries (already bounded, collected) ride along to every
     task; the index is streamed batch by batch and never shuffled.
-    ``floors`` (query id -> score) lets tasks drop scores that cannot reach
+    ``floors`` ((library, query) -> score) lets tasks drop scores that cannot reach
     the global top-k."""
     spark = index.sparkSession
     by_lib: dict = defaultdict(list)
@@ -190,10 +193,10 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
     for lib, rows in by_lib.items():
         ids = np.array([r["query_id"] for r in rows], dtype=object)
         m = _as_matrix([r["embedding"] for r in rows])
-        ks = np.array([min(int(r["k"]), kmax) for r in rows], dtype=np.int64)
+        ks = np.array([int(r["k"]) for r in rows], dtype=np.int64)
         fl = None
         if floors:
-            fl = np.array([floors.get(r["query_id"], -np.inf) for r in rows], dtype=np.float64)
+            fl = np.array([floors.get((lib, r["query_id"]), -np.inf) for r in rows], dtype=np.float64)
         packed[lib] = (ids, m, inv_norms(m), ks, fl)
     bc = spark.sparkContext.broadcast(packed)
 
@@ -221,8 +224,7 @@ def _scan_candidates(index: DataFrame, qrows: list, kmax: int, floors: dict | No
                 if c.shape[1] != q_raw.shape[1]:
                     continue  # dimension mismatch is rejected before the join
                 res = block_topk(q_ids, q_raw, q_inv, q_k, ids[rows], c, inv[rows], q_floor)
-                names = np.full(len(q_ids), lib, dtype=object)
-                pending.append(_emit(q_ids, names, q_k, ids[rows], res))
+                pending.append(_emit(q_ids, np.full(len(q_ids), lib, dtype=object), q_k, ids[rows], res))
                 pending_rows += len(res)
             if pending_rows > 200_000:
                 pending = [_reduce_candidates(pd.concat(pending, ignore_index=True))]
@@ -288,7 +290,7 @@ def grid_cogroup(left: DataFrame, right: DataFrame, fn, schema, *, key: str = "l
     return grouped.applyInPandas(run, schema)
 
 
-def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
+def _grid_candidates(index: DataFrame, queries: DataFrame,
                      block_rows: int, query_block_rows: int) -> DataFrame:
     """``grid`` kernel: co-group (library, vector block, query block); both
     blocks arrive as Arrow tables and become matrices from their buffers."""
@@ -311,7 +313,7 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
         out = _emit(q_ids, q_libs, q_k, c_ids, res)
         return pa.Table.from_pandas(out, schema=arrow_schema, preserve_index=False)
 
-    cols = ["query_id", "library_id", "embedding", F.least(F.col("k"), F.lit(kmax)).alias("k")]
+    cols = ["query_id", "library_id", "embedding", "k"]
     if "_floor" in queries.columns:
         cols.append("_floor")
     q = queries.select(*cols)
@@ -323,30 +325,32 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int,
 def merge_topk(cands: DataFrame, kmax: int, salt_buckets: int = 1,
                rank_col: str = "rank") -> DataFrame:
     """Global ranked merge of local candidates: ``rank`` is the position by
-    ``(score desc, chunk_id asc)`` within ``query_id``; rows with ``rank <= k``
-    remain.  ``salt_buckets > 1`` merges in two rounds (within
-    ``(query_id, salt)`` first) so no group ever holds every candidate of a
+    ``(score desc, chunk_id asc)`` within ``(library_id, query_id)``; rows with
+    ``rank <= k`` remain (``kmax`` is the largest k of all queries).
+    ``salt_buckets > 1`` merges in two rounds (within a salt first) so no group ever holds every candidate of a
     query with a very long candidate list."""
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
     if salt_buckets > 1:
-        w1 = Window.partitionBy("query_id", "_salt").orderBy(*order)
+        w1 = Window.partitionBy(*QUERY_KEY, "_salt").orderBy(*order)
         cands = (cands.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt_buckets)))
                  .withColumn("_r1", F.row_number().over(w1))
                  .filter(F.col("_r1") <= kmax).drop("_salt", "_r1"))
-    w = Window.partitionBy("query_id").orderBy(*order)
+    w = Window.partitionBy(*QUERY_KEY).orderBy(*order)
     return (cands.withColumn(rank_col, F.row_number().over(w))
             .filter(F.col(rank_col) <= kmax)
             .filter(F.col(rank_col) <= F.col("k"))
             .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
-def _salt_for(num_partitions: int) -> int:
-    return 1 if num_partitions <= 64 else int(math.ceil(math.sqrt(num_partitions)))
+def _salt_for(spark) -> int:
+    """Salts of the first merge round, from the parallelism the session is set
+    up for (asking the frame for its partitions would run its shuffles)."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 1 if n <= 64 else int(math.ceil(math.sqrt(n)))
 
 
 def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
-             kernel: str = "auto", kmax: int | None = None,
-             broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
+             kernel: str = "auto", broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
              query_block_rows: int = 2_048, sample: DataFrame | None = None) -> DataFrame:
     """Exact top-k per query among the indexed vectors of the query's
     library.
@@ -357,8 +361,8 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     Returns ``query_id, library_id, chunk_id, score, k, rank``; fewer than k
     rows when the library holds fewer vectors (T5: k >= n gives the full
     ranking).  A NULL k is ``schema.DEFAULT_K``.  A batch of queries too large to
-    broadcast takes the grid kernel, also when ``scan`` is asked for.  ``kmax`` bounds per-query k (default: the largest k, at most
-    ``schema.MAX_K``).
+    broadcast takes the grid kernel, also when ``scan`` is asked for.  A
+    query is known by ``(library_id, query_id)``: one id asked of several libraries is several queries.
 
     ``sample`` (optional, both kernels): a stored sample of the index (see
     ``plans.index.build_index(sample_fraction=...)``).  The k-th best score
@@ -369,7 +373,6 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     """
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
-        kmax = int(k) if kmax is None else kmax
     # a query without a k of its own gets the default, whatever its neighbours ask for
     queries = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int"))
     q = queries.select("query_id", "library_id", "embedding", "k")
@@ -379,28 +382,23 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
         rows = q.limit(broadcast_rows + 1).collect()
         size = sum(8 * len(r["embedding"] or ()) + 64 for r in rows)
         if len(rows) <= broadcast_rows and size <= broadcast_bytes:
-            if kmax is None:
-                kmax = max([int(r["k"]) for r in rows if r["k"] is not None], default=1)
-            kmax = max(1, kmax)
+            kmax = max([1, *(int(r["k"]) for r in rows)])
             floors = None
             if sample is not None:
-                pre = merge_topk(_scan_candidates(sample, rows, kmax), kmax)
+                pre = merge_topk(_scan_candidates(sample, rows), kmax)
                 # a floor only for queries whose sample held k vectors (bounded: one row per query)
-                kth = pre.filter(F.col("rank") == F.col("k")).select("query_id", "score").collect()
-                floors = {r["query_id"]: r["score"] for r in kth}
-            cands = _scan_candidates(index, rows, kmax, floors)
-            return merge_topk(cands, kmax, _salt_for(index.rdd.getNumPartitions()))
-    if kmax is None:
-        got = queries.agg(F.max("k")).first()[0]
-        kmax = int(got) if got is not None else 1
-    kmax = max(1, kmax)
-    q = q.withColumn("k", F.coalesce(F.col("k"), F.lit(kmax)).cast("int"))
+                kth = pre.filter(F.col("rank") == F.col("k")).select(*QUERY_KEY, "score").collect()
+                floors = {(r["library_id"], r["query_id"]): r["score"] for r in kth}
+            cands = _scan_candidates(index, rows, floors)
+            return merge_topk(cands, kmax, _salt_for(index.sparkSession))
+    got = int(k) if k is not None else queries.agg(F.max("k")).first()[0]
+    kmax = max(1, int(got) if got is not None else 1)
     if sample is not None:
         # floors as a table joined to the queries: nothing is collected
-        pre = merge_topk(_grid_candidates(sample, q, kmax, block_rows, query_block_rows), kmax)
-        floors = pre.filter(F.col("rank") == F.col("k")).select("query_id", F.col("score").alias("_floor"))
-        q = q.join(floors, "query_id", "left")
-    cands = _grid_candidates(index, q, kmax, block_rows, query_block_rows)
+        pre = merge_topk(_grid_candidates(sample, q, block_rows, query_block_rows), kmax)
+        floors = pre.filter(F.col("rank") == F.col("k")).select(*QUERY_KEY, F.col("score").alias("_floor"))
+        q = fresh(q).join(fresh(floors), QUERY_KEY, "left")
+    cands = _grid_candidates(index, q, block_rows, query_block_rows)
     return merge_topk(cands, kmax, 1)
 
 
@@ -427,7 +425,3 @@ def full_ranking(index: DataFrame, query: list[float], library_id: str | None =
     scored = idx.select("library_id", "chunk_id",
                         (vec_dot("vector", qv) * F.col("inv_norm") * inv_norm(qv)).alias("score"))
     return scored.orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-
-
-def score_expr(vector: Column | str, inv: Column | str, query: Column) -> Column:
-    return vec_dot(vector, query) * (F.col(inv) if isinstance(inv, str) else inv) * inv_norm(query)

@@ -21,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import inv_norm
+from ..functions.vector import has_non_finite, inv_norm
+from ..session import fresh
 
 
 @dataclass
@@ -81,7 +82,10 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
     than one dimension is refused; a library with no chunks gets an empty
     index.  X2 (``mode='lenient'``): empty vectors are skipped first (F4); a
     library left with nothing to index gets no index; mixed dimensions are
-    still refused (the reference's build would raise on them).
+    still refused (the reference's build would raise on them).  Both refuse a
+    library with a vector holding a null, NaN or infinite component
+    (``non_finite``), and one in which two rows carry the same chunk id
+    (``duplicate_ids``): a hit could not name its row.
 
     ``sample_fraction`` also keeps a seeded row sample of the index; searches
     use it to bound the candidates each task emits (see ``knn_join``)."""
@@ -96,7 +100,16 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
                   .otherwise(F.lit("indexed")))
     else:
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
-    decided = stats.withColumn("status", status)
+    # a component that is no number, or an id given twice, would make wrong rankings
+    bad = (chunks.filter(has_non_finite("embedding")).groupBy("library_id").agg(F.lit(True).alias("_nonfinite")))
+    twice = (chunks.groupBy("library_id", "chunk_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+             .groupBy("library_id").agg(F.lit(True).alias("_twice")))
+    decided = (stats.withColumn("status", status)
+               .join(fresh(bad), "library_id", "left").join(fresh(twice), "library_id", "left")
+               .withColumn("status", F.when(F.col("status") != "indexed", F.col("status"))
+                           .when(F.col("_nonfinite"), F.lit("non_finite"))
+                           .when(F.col("_twice"), F.lit("duplicate_ids")).otherwise(F.col("status")))
+               .drop("_nonfinite", "_twice"))
     # the report adds the first empty ids; the index and meta need only the decision
     empties = first_ids(chunks.filter(_empty_vec()), "library_id", "chunk_id", 5, "first_empty")
     report = (decided.join(empties, "library_id", "left")

@@ -15,12 +15,14 @@ text and metadata reads the chunk table once and ships only hit keys.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maps import metadata_matches
+from ..functions.vector import has_non_finite
 from ..operators.knn import knn_join
 from ..schema import DEFAULT_K, MAX_K, MIN_K
 from ..session import fresh
@@ -35,8 +37,10 @@ class SearchResult:
 def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAULT_K):
     """V5, V9, V4: split queries into accepted and rejected rows.
 
-    ``reason`` is one of ``missing_embedding``, ``k_out_of_range``,
-    ``not_indexed`` and ``dimension_mismatch`` (first failing check wins).  A
+    ``reason`` is one of ``missing_embedding``, ``non_finite``, ``k_out_of_range``,
+    ``not_indexed``, ``dimension_mismatch`` and ``duplicate_query`` (first failing
+    check wins).  A query is known by ``(library_id, query_id)``; one given twice is
+    ambiguous and every row of it is rejected.  A
     library whose index is empty accepts any dimension (and then returns no
     hits)."""
     if "k" not in queries.columns:
@@ -44,14 +48,18 @@ def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAU
     q = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(default_k)).cast("int"))
     m = meta.select("library_id", F.col("dim").alias("_dim"), F.col("n").alias("_n"),
                     F.lit(True).alias("_indexed"))
-    j = q.join(m, "library_id", "left")
+    key = ["library_id", "query_id"]
+    twice = fresh(q.groupBy(*key).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1"))
+    j = q.join(m, "library_id", "left").join(twice, key, "left")
     reason = (F.when(F.col("embedding").isNull(), F.lit("missing_embedding"))
+              .when(has_non_finite("embedding"), F.lit("non_finite"))
               .when((F.col("k") < MIN_K) | (F.col("k") > MAX_K), F.lit("k_out_of_range"))
               .when(F.col("_indexed").isNull(), F.lit("not_indexed"))
               .when((F.col("_n") > 0) & (F.coalesce(F.size("embedding"), F.lit(-1)) != F.col("_dim")),
-                    F.lit("dimension_mismatch")))
+                    F.lit("dimension_mismatch"))
+              .when(F.col("_times") > 1, F.lit("duplicate_query")))
     j = j.withColumn("reason", reason)
-    accepted = j.filter(F.col("reason").isNull()).drop("_dim", "_n", "_indexed", "reason")
+    accepted = j.filter(F.col("reason").isNull()).drop("_dim", "_n", "_indexed", "_times", "reason")
     rejects = j.filter(F.col("reason").isNotNull()).select("query_id", "library_id", "reason")
     return accepted, rejects
 
@@ -79,7 +87,7 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     hits = (fresh(top).join(live, ["library_id", "chunk_id"])                # J1, F7
-            .join(fresh(accepted.select("query_id", "filters")), "query_id")
+            .join(fresh(accepted.select("library_id", "query_id", "filters")), ["library_id", "query_id"])
             .filter(metadata_matches("metadata", "filters"))                 # F1-F3
             .select("query_id", "library_id", "rank", "chunk_id", "document_id", "score",
                     "text", "embedding", "metadata"))
@@ -124,6 +132,8 @@ def search_library(index: DataFrame, meta: DataFrame, chunks: DataFrame, library
 
     if not MIN_K <= k <= MAX_K:
         raise ValueError(f"k must be within {MIN_K}..{MAX_K}, got {k}")
+    if not all(x is not None and math.isfinite(x) for x in embedding):
+        raise ValueError("a component of the query is not a finite number")
     m = meta.filter(F.col("library_id") == library_id).select("dim", "n").first()
     if m is None:
         raise LookupError(f"{library_id}: not indexed")
