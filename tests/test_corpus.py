@@ -109,14 +109,14 @@ def test_gaussian_source_is_partitioning_independent(spark):
     assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in a.values())
 
 
-def test_nesting_bound_refuses_oversized_groups(spark):
-    import pytest
-
+def test_snapshot_keeps_chunks_without_a_document(spark):
     c = tables.corpus(spark, SF)
-    with pytest.raises(ValueError, match="nesting bound"):
-        R.renest_libraries(c.libraries, c.documents, c.chunks, max_documents=3)
-    with pytest.raises(ValueError, match="nesting bound"):
-        R.renest_documents(c.documents, c.chunks, max_chunks=2)
+    lost = c.chunks.limit(3).withColumn("document_id", F.lit("no such document")).checkpoint()
+    root = S.scratch_root(spark, f"t-{uuid.uuid4().hex}")
+    S.write_snapshot(c.libraries, c.documents, c.chunks.unionByName(lost), root, 1)
+    _, _, chunks = S.read_snapshot(spark, S.latest_version(spark, root))
+    assert chunks.count() == c.chunks.count() + 3
+    assert chunks.filter("document_id = 'no such document'").count() == 3
 
 
 def test_snapshot_version_rewrite_is_idempotent(spark):

@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from vellum.operators import mutate as M
+from vellum.operators.mutate import Corpus3
 from vellum.schema import CHUNKS, DOCUMENTS, LIBRARIES
+from vellum.sources import tables
+
+from .conftest import SF
 
 
 def _vec(spark, rows):
@@ -148,3 +152,17 @@ def test_a_chunk_of_an_unknown_library_reports_the_library(spark):
     c = _one_of_each(spark)
     _, bad = M.add_chunks(c, c.chunks.withColumn("library_id", F.lit("nope")))
     assert [tuple(r) for r in bad.collect()] == [("Library", "nope")]
+
+
+def test_added_documents_take_their_chunks(spark):
+    """The named parent wins over a chunk's own document id; a chunk of no added document is reported."""
+    c = tables.corpus(spark, SF)
+    lib = c.libraries.orderBy("library_id").first()["library_id"]
+    docs = spark.createDataFrame([(lib, "new", {})], "library_id string, document_id string, metadata map<string,string>")
+    rows = c.chunks.limit(1).withColumn("library_id", F.lit(lib)).withColumn("document_id", F.lit("wrong")).checkpoint()
+    chunks = rows.withColumn("chunk_id", F.lit("n1")).withColumn("parent_document_id", F.lit("new")).unionByName(
+        rows.withColumn("chunk_id", F.lit("n2")).withColumn("parent_document_id", F.lit(None).cast("string")))
+    out, rej = M.add_documents(Corpus3(c.libraries, c.documents, c.chunks), docs, chunks)
+    assert [r["document_id"] for r in out.chunks.filter("chunk_id = 'n1'").collect()] == ["new"]
+    assert out.chunks.filter("chunk_id = 'n2'").count() == 0
+    assert [(r["resource_type"], r["resource_id"]) for r in rej.collect()] == [("Document", "wrong")]

@@ -170,3 +170,44 @@ def test_strict_failure_and_library_not_found(spark):
     assert require_empty(rej.limit(0), "no rejects").first()["n"] == 0
     with pytest.raises(Exception, match="queries rejected"):
         require_empty(rej, "queries rejected").collect()       # fails on the executors
+
+
+def test_rebuild_of_some_libraries_keeps_the_others(spark):
+    """A build replaces the libraries it decided, removes what it refuses, and leaves the rest."""
+    import uuid
+
+    from vellum.plans.index import index_versions, read_index, write_index
+    from vellum.sources.snapshot import scratch_root
+
+    libs, docs, chunks = corpus(spark, FX1)
+    root = scratch_root(spark, f"index-{uuid.uuid4().hex}")
+
+    def named(name, rows):
+        return rows.withColumn("library_id", F.lit(name))
+
+    both = named("A", libs).unionByName(named("B", libs)).unionByName(named("C", libs))
+    write_index(build_index(named("A", chunks).unionByName(named("B", chunks)).unionByName(named("C", chunks)), both), root)
+    # A is rebuilt with one chunk, C is left with nothing to index
+    one = named("A", chunks.filter("chunk_id = '1'"))
+    write_index(build_index(one, named("A", libs).unionByName(named("C", libs)), mode="lenient"), root)
+    index, meta = read_index(spark, root)
+    n = {r["library_id"]: r["count"] for r in index.groupBy("library_id").count().collect()}
+    assert n == {"A": 1, "B": chunks.count()}
+    assert {r["library_id"]: r["n"] for r in meta.collect()} == n
+    assert index_versions(spark, root) == [1, 2]
+    old, _ = read_index(spark, root, version=1)
+    assert old.count() == 3 * chunks.count()
+
+
+def test_non_finite_and_repeated(spark):
+    """Vectors that are no numbers and ids given twice are refused by name."""
+    libs, docs, chunks = corpus(spark, FX1)
+    bad = chunks.withColumn("embedding", F.when(F.col("chunk_id") == "1", F.array(F.lit(float("nan")), F.lit(0.0), F.lit(0.0))
+                                                .cast("array<float>")).otherwise(F.col("embedding")))
+    assert [r["status"] for r in build_index(bad, libs).report.collect()] == ["non_finite"]
+    twice = chunks.unionByName(chunks.filter("chunk_id = '1'").withColumn("document_id", F.lit("other")))
+    assert [r["status"] for r in build_index(twice, libs).report.collect()] == ["duplicate_ids"]
+    hits, rej = _run(spark, [("n", "lib", [float("nan"), 0, 0], 1, None), ("t", "lib", [1, 0, 0], 1, None),
+                             ("t", "lib", [0, 1, 0], 1, None), ("ok", "lib", [1, 0, 0], 1, None)])
+    assert rej == [("n", "non_finite"), ("t", "duplicate_query"), ("t", "duplicate_query")]
+    assert [h[0] for h in hits] == ["ok"]

@@ -36,15 +36,17 @@ def flatten(spark, sf):
     "CAST(row_number() OVER (PARTITION BY library_id ORDER BY doc_pos, document_id) - 1 AS BIGINT) AS doc_rank "
     "FROM docs) d ON d.document_id = c.document_id AND d.library_id = c.library_id"))
 def flatten_nested_libraries(spark, sf):
-    """R1 on the snapshot shape (one row per library): the document position
-    that ``posexplode`` gives back is the rank of the stored ``doc_pos``
-    within the library (documents without chunks included)."""
+    """R1 on a nested corpus (documents of every library with their chunks):
+    chunk positions come from the nested order, and a document's place in its
+    library is the rank of its ``doc_pos`` (documents without chunks included)."""
     c = tables.corpus(spark, sf)
-    nested = R.renest_libraries(c.libraries, c.documents, c.chunks)
-    libs, docs, chunks = R.flatten(nested)
-    d = docs.select("library_id", "document_id", F.col("doc_pos").alias("doc_rank"))
-    return (chunks.select("library_id", "document_id", "chunk_id", "chunk_pos")
-            .join(d, ["library_id", "document_id"]))
+    nested = R.library_documents(c.libraries, c.documents, c.chunks)
+    place = positions(c.documents.select("library_id", "document_id", "doc_pos"), ["doc_pos", "document_id"],
+                      ["library_id"], out="doc_rank").select("library_id", "document_id", "doc_rank")
+    return (nested.select("library_id", "document_id", F.posexplode("chunks").alias("chunk_pos", "ch"))
+            .select("library_id", "document_id", F.col("ch.id").alias("chunk_id"),
+                    F.col("chunk_pos").cast("bigint").alias("chunk_pos"))
+            .join(place, ["library_id", "document_id"]))
 
 
 @register("renest_documents", with_chunks("""
@@ -68,18 +70,25 @@ def renest_documents(spark, sf):
 
 @register("renest_libraries", with_chunks("""
 SELECT l.library_id, 'name=' || l.library_id AS library_meta,
-       CAST(count(d.document_id) AS BIGINT) AS n_documents,
-       string_agg(d.document_id, ',' ORDER BY d.doc_pos) AS document_ids
+       CAST(count(*) OVER (PARTITION BY l.library_id) AS BIGINT) AS n_documents,
+       CAST(row_number() OVER (PARTITION BY l.library_id ORDER BY d.doc_pos, d.document_id) - 1 AS BIGINT) AS doc_rank,
+       d.document_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_chunks
 FROM (SELECT DISTINCT library_id FROM docs) l JOIN docs d ON d.library_id = l.library_id
-GROUP BY l.library_id"""))
+LEFT JOIN (SELECT library_id, document_id, count(*) AS n FROM chunks GROUP BY 1, 2) n
+  ON n.library_id = d.library_id AND n.document_id = d.document_id"""))
 def renest_libraries(spark, sf):
-    """R2/R5 (snapshot shape): each library with its documents in order."""
+    """Each library's nested documents in order, with the library's metadata
+    and size; one row per document, since a library is no bounded row."""
     c = tables.corpus(spark, sf)
-    n = R.renest_libraries(c.libraries, c.documents, c.chunks)
-    return n.select("library_id",
-                    F.concat(F.lit("name="), F.element_at("metadata", "name")).alias("library_meta"),
-                    F.size("documents").cast("bigint").alias("n_documents"),
-                    F.array_join(F.transform("documents", lambda x: x["id"]), ",").alias("document_ids"))
+    n = R.library_documents(c.libraries, c.documents, c.chunks)
+    key = ["library_id", "document_id"]
+    place = positions(c.documents.select(*key, "doc_pos"), ["doc_pos", "document_id"], ["library_id"],
+                      out="doc_rank").select(*key, "doc_rank")
+    total = c.documents.groupBy("library_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return (n.select(*key, F.concat(F.lit("name="), F.element_at("library_metadata", "name")).alias("library_meta"),
+                     F.size("chunks").cast("bigint").alias("n_chunks"))
+            .join(place, key).join(total, "library_id")
+            .select("library_id", "library_meta", "n_documents", "doc_rank", "document_id", "n_chunks"))
 
 
 @register("library_documents", with_chunks("""

@@ -38,11 +38,9 @@ def knn_join_scan(spark, sf):
 
 @register("knn_join_grid", _KNN10)
 def knn_join_grid(spark, sf):
-    """J3/T2, grid kernel: vectors and queries hashed into small blocks per
-    library (16 vectors, 8 queries), one co-group per block pair, so many
-    blocks feed every query's merge."""
-    h = knn_join(_index(spark, sf), tables.queries(spark, sf), k=10, kernel="grid",
-                 block_rows=16, query_block_rows=8)
+    """J3/T2, grid kernel: vectors and queries hashed into blocks per library,
+    one co-group per block pair."""
+    h = knn_join(_index(spark, sf), tables.queries(spark, sf), k=10, kernel="grid")
     return h.select("query_id", "rank", "chunk_id", r6())
 
 
@@ -55,16 +53,6 @@ def knn_per_query_k(spark, sf):
     return h.select("query_id", "rank", "chunk_id", r6())
 
 
-@register("knn_all_in_library", with_chunks(
-    "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked", _RANKED))
-def knn_all_in_library(spark, sf):
-    """T5 per query: k = 100, the largest k allowed; a query whose library
-    holds at most 100 vectors gets the whole library ranked."""
-    h = knn_join(_index(spark, sf), tables.queries(spark, sf), k=100, kernel="grid",
-                 block_rows=32, query_block_rows=16)
-    return h.select("query_id", "rank", "chunk_id", r6())
-
-
 def mean_vector(spark: SparkSession, sf: str) -> list[float]:
     """The component-wise mean of all embeddings (one aggregate; d values
     reach the driver)."""
@@ -107,6 +95,17 @@ def full_ranking_q(spark, sf):
     return ranked.select("chunk_id", (F.col("pos") + 1).alias("rank"), r6())
 
 
+@register("knn_all_in_library", with_chunks(
+    "SELECT library_id, CAST(row_number() OVER (PARTITION BY library_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank, "
+    "chunk_id, round(score, 6) AS score FROM scored", _MEAN))
+def knn_all_in_library(spark, sf):
+    """T5 per library: all vectors of every library ranked against the mean
+    vector, without a limit; ranks come from the distributed ranking helper."""
+    scored = full_ranking(_index(spark, sf), mean_vector(spark, sf))
+    ranked = positions(scored, [F.col("score").desc(), F.col("chunk_id")], ["library_id"], out="pos")
+    return ranked.select("library_id", (F.col("pos") + 1).alias("rank"), "chunk_id", r6())
+
+
 @register("knn_join_sampled", with_chunks(
     "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5", _RANKED))
 def knn_join_sampled(spark, sf):

@@ -173,8 +173,14 @@ def add_documents(c: Corpus3, docs: DataFrame, chunks: DataFrame | None = None,
                   order_col: str = "seq") -> tuple[Corpus3, DataFrame]:
     """Add documents to existing libraries (V7).  A document id already
     in the library is replaced (with its chunks) and moves to the end; new
-    positions follow ``max(doc_pos)`` of the library in ``order_col`` order."""
+    positions follow ``max(doc_pos)`` of the library in ``order_col`` order.
+
+    ``chunks`` come with their documents.  A ``parent_document_id`` column, where
+    given, names the document a chunk is added to and wins over the
+    ``document_id`` it carries (R8).  A chunk whose document is not added by this
+    call is reported, and so is a chunk id given twice in one document."""
     docs, twice = gate(docs, DOC)
+    bad_chunks = None
     if order_col not in docs.columns:
         docs = docs.withColumn(order_col, F.lit(0))
     ok, bad = _parent_check(docs, c.libraries, LIB, "Library", "library_id")
@@ -183,10 +189,14 @@ def add_documents(c: Corpus3, docs: DataFrame, chunks: DataFrame | None = None,
     documents = keep.unionByName(placed.select(*c.documents.columns))
     new_chunks = c.chunks.join(ok.select(*DOC), DOC, "left_anti")
     if chunks is not None:
-        # The target document wins over any document_id the chunk carries.
-        inc = chunks.join(ok.select(*DOC), DOC, "left_semi")
+        if "parent_document_id" in chunks.columns:
+            chunks = chunks.withColumn("document_id", F.coalesce("parent_document_id", "document_id"))
+        chunks, twice_chunks = gate(chunks, CHUNK)
+        inc, lost = _parent_check(chunks, ok, DOC, "Document", "document_id")
+        bad_chunks = lost.unionByName(_twice(twice_chunks, "Chunk", "chunk_id"))
         new_chunks = new_chunks.unionByName(inc.select(*c.chunks.columns))
-    return Corpus3(c.libraries, documents, new_chunks), bad.unionByName(_twice(twice, "Document", "document_id"))
+    bad = bad.unionByName(_twice(twice, "Document", "document_id"))
+    return Corpus3(c.libraries, documents, new_chunks), bad if bad_chunks is None else bad.unionByName(bad_chunks)
 
 
 def update_documents(c: Corpus3, docs: DataFrame) -> tuple[Corpus3, DataFrame]:

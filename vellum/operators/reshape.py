@@ -19,10 +19,10 @@ export of libraries known to be small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CHUNKS, DOCUMENTS, LIBRARIES
+from ..session import fresh
 
 
 def _empty_map():
@@ -91,23 +91,10 @@ def flatten(nested: DataFrame, keep_empty_documents: bool = True):
     return libs, docs, chunks
 
 
-def check_group_size(df: DataFrame, keys: list[str], limit: int | None, what: str) -> None:
-    """Refuse to nest a group larger than ``limit`` rows into one value (one
-    small aggregate decides).  ``limit=None`` skips the check."""
-    if limit is None:
-        return
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest > limit:
-        raise ValueError(f"a {what} holds {biggest} rows, over the nesting bound {limit}; "
-                         f"use the flat tables or library_documents instead")
-
-
-def renest_documents(documents: DataFrame, chunks: DataFrame, max_chunks: int | None = 1_000_000) -> DataFrame:
+def renest_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """R2: one row per document with its chunks in ``chunk_pos`` order; a
     document without chunks keeps an empty list (left join from documents).
-    The group is one document; documents over ``max_chunks`` chunks are
-    refused rather than packed into one row."""
-    check_group_size(chunks, ["library_id", "document_id"], max_chunks, "document")
+    The row is one document."""
     packed = (chunks.groupBy("library_id", "document_id").agg(
         _sort_by_pos(F.collect_list(F.struct(
             F.col("chunk_pos").alias("pos"), F.col("chunk_id").alias("id"),
@@ -131,15 +118,11 @@ def library_documents(libraries: DataFrame, documents: DataFrame, chunks: DataFr
                     F.col("metadata").alias("document_metadata"), "chunks"))
 
 
-def renest_libraries(libraries: DataFrame, documents: DataFrame, chunks: DataFrame,
-                     max_documents: int | None = 100_000, max_chunks: int | None = 1_000_000) -> DataFrame:
+def renest_libraries(libraries: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per library holding all its documents in order (the
-    snapshot shape).  The library is the group, so it is refused when a
-    library has more than ``max_documents`` documents or ``max_chunks``
-    chunks; :func:`library_documents` is the scalable form."""
-    check_group_size(documents, ["library_id"], max_documents, "library")
-    check_group_size(chunks, ["library_id"], max_chunks, "library")
-    docs = renest_documents(documents, chunks, max_chunks)
+    snapshot shape), for export of a library that fits one row; no registered
+    query uses it.  :func:`library_documents` is the scalable form."""
+    docs = renest_documents(documents, chunks)
     packed = docs.groupBy("library_id").agg(_sort_by_pos(F.collect_list(F.struct(
         F.col("doc_pos").alias("pos"), F.col("document_id").alias("id"),
         "chunks", "metadata"))).alias("_d"))
@@ -176,14 +159,10 @@ def conform(df: DataFrame, schema) -> DataFrame:
     cols = []
     for f in schema.fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        cols.append(c.cast(f.dataType.simpleString()).alias(f.name))   # by name: nulls inside stay allowed
     return df.select(*cols)
 
 
-def conform_corpus(libraries: DataFrame, documents: DataFrame, chunks: DataFrame):
-    return conform(libraries, LIBRARIES), conform(documents, DOCUMENTS), conform(chunks, CHUNKS)
-
-
 def join_corpus(libraries: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Library ⋈ document ⋈ chunk on keys, one row per chunk with the
     metadata of its parents.  ``libraries`` is one row per library; Catalyst
@@ -194,29 +173,19 @@ def join_corpus(libraries: DataFrame, documents: DataFrame, chunks: DataFrame) -
     return chunks.join(d, ["library_id", "document_id"]).join(l, "library_id")
 
 
-def ordered_children(df: DataFrame, parent_cols: list[str], pos_col: str) -> DataFrame:
-    """F6 ordering helper: children in position order within each parent."""
-    return df.orderBy(*parent_cols, pos_col)
-
-
 def next_positions(existing: DataFrame, incoming: DataFrame, parent_cols: list[str],
-                   pos_col: str, order_col: str, window_max_rows: int = 1_000_000) -> DataFrame:
+                   pos_col: str, order_col: str) -> DataFrame:
     """Positions for appended rows: ``max(pos)`` of the parent among
     ``existing`` plus the incoming row's rank (by ``order_col``, then the
-    row's id columns) among the parent's incoming rows.  When no parent
-    receives more than ``window_max_rows`` rows (checked on the per-parent
-    counts) the rank is a window; otherwise the distributed ranking."""
+    row's id columns) among the parent's incoming rows.  The distributed
+    ranking numbers keys alone; the rows' other columns join their number after."""
     from .rank import positions
 
     mx = existing.groupBy(*parent_cols).agg(F.max(pos_col).alias("_max"))
-    ties = [c for c in incoming.columns if c.endswith("_id") and c not in parent_cols]
-    order = [F.col(order_col)] + [F.col(c) for c in ties]
-    biggest = incoming.groupBy(*parent_cols).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= window_max_rows:
-        w = Window.partitionBy(*parent_cols).orderBy(*order)
-        ranked = incoming.withColumn("_rank", F.row_number().over(w) - 1)
-    else:
-        ranked = positions(incoming, order, parent_cols, out="_rank")
+    ties = [c for c in ("document_id", "chunk_id") if c in incoming.columns and c not in parent_cols]
+    keys = [*parent_cols, *ties]
+    ranks = positions(incoming.select(*keys, order_col), [order_col, *ties], parent_cols, out="_rank")
+    ranked = fresh(incoming).join(fresh(ranks.select(*keys, "_rank")), keys)
     return (ranked.join(mx, parent_cols, "left")
             .withColumn(pos_col, (F.coalesce("_max", F.lit(-1)) + F.col("_rank") + 1).cast("long"))
             .drop("_max", "_rank"))

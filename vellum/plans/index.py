@@ -16,13 +16,20 @@ never from collecting a library's ids.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vector import has_non_finite, inv_norm
+from ..schema import INDEX, INDEX_META
 from ..session import fresh
+from ..sources import fs
+
+_MANIFEST = "_manifest-"
+_VERSIONED_META = T.StructType([*INDEX_META.fields, T.StructField("version", T.LongType())])
 
 
 @dataclass
@@ -160,20 +167,67 @@ def index_counts(chunks: DataFrame, documents: DataFrame, libraries: DataFrame,
           for col in ("n_documents", "n_chunks", "n_documents_with_chunks", "n_indexed")])
 
 
-def write_index(build: IndexBuild, path: str) -> None:
-    """Persist an index build: ``index`` partitioned by ``library_id`` (a
-    search reads only the libraries it asks about) and ``meta`` beside it.
-    ``partitionOverwriteMode=dynamic`` on the session makes a rebuild of some
-    libraries replace only their partitions (U3)."""
-    build.index.write.mode("overwrite").partitionBy("library_id").parquet(f"{path.rstrip('/')}/index")
-    build.meta.write.mode("overwrite").parquet(f"{path.rstrip('/')}/meta")
+def index_versions(spark, path: str) -> list[int]:
+    """Published versions of the index at ``path``, oldest first."""
+    return [int(n[len(_MANIFEST):-len(".json")]) for n in fs.list_names(spark, path)
+            if n.startswith(_MANIFEST) and n.endswith(".json")]
+
+
+def write_index(build: IndexBuild, path: str) -> int:
+    """Publish a build as a new version of the index at ``path`` (U3) and return
+    its number.
+
+    A build replaces the libraries it decided (those of its report): one that
+    it refused or left with nothing loses its index, and libraries it does not
+    name keep theirs.  ``index`` rows and the ``sample`` go to folders of the new
+    version, partitioned by ``library_id``; ``meta`` is written whole, each library
+    with the version that holds its rows.  The manifest comes last, so a reader
+    sees the old version or the new one, never parts of both.  One writer at a time."""
+    spark, root = build.index.sparkSession, path.rstrip("/")
+    versions = index_versions(spark, root)
+    # a version directory that a failed write left has no manifest: its number is not used again
+    used = [int(n[len("version="):]) for n in fs.list_names(spark, f"{root}/index") if n.startswith("version=")]
+    version = max([0, *versions, *used]) + 1
+    sub = f"version={version}"
+    build.index.write.partitionBy("library_id").parquet(f"{root}/index/{sub}")
     if build.sample is not None:
-        build.sample.write.mode("overwrite").partitionBy("library_id").parquet(f"{path.rstrip('/')}/sample")
+        build.sample.write.partitionBy("library_id").parquet(f"{root}/sample/{sub}")
+    meta = build.meta.withColumn("version", F.lit(version).cast("long"))
+    if versions:
+        old = _read_meta(spark, root, versions[-1])
+        meta = old.join(fresh(build.report.select("library_id")), "library_id", "left_anti").unionByName(fresh(meta))
+    meta.write.parquet(f"{root}/meta/{sub}")
+    fs.write_text(spark, f"{root}/{_MANIFEST}{version:012d}.json", json.dumps({"version": version}))
+    return version
+
+
+def _read_meta(spark, root: str, version: int) -> DataFrame:
+    return spark.read.schema(_VERSIONED_META).parquet(f"{root}/meta/version={version}")
+
+
+def _current(spark, root: str, part: str, meta: DataFrame) -> DataFrame:
+    """Rows of ``part`` that the published ``meta`` names; both join columns are
+    partition folders, so the small ``meta`` prunes the scan."""
+    schema = T.StructType([*INDEX.fields, T.StructField("version", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{root}/{part}")
+    return (rows.join(fresh(meta.select("version", "library_id")), ["version", "library_id"], "left_semi")
+            .select(*INDEX.fieldNames()))
+
+
+def read_index(spark, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``(index, meta)`` pair of a published version (the newest)."""
+    root = path.rstrip("/")
+    versions = index_versions(spark, root)
+    if not versions or version is not None and version not in versions:
+        raise LookupError(f"no published index{'' if version is None else f' version {version}'} at {root}")
+    meta = _read_meta(spark, root, versions[-1] if version is None else version)
+    return _current(spark, root, "index", meta), meta.select(*INDEX_META.fieldNames())
 
 
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """The ``(index, meta)`` pair written by :func:`write_index`."""
-    from ..schema import INDEX, INDEX_META
+def read_sample(spark, path: str) -> DataFrame | None:
+    """The stored sample of the newest version, or None where no build kept one.
+    Libraries whose build kept none have no rows in it, which only costs speed."""
     root = path.rstrip("/")
-    return (spark.read.schema(INDEX).parquet(f"{root}/index"),
-            spark.read.schema(INDEX_META).parquet(f"{root}/meta"))
+    if not fs.list_names(spark, f"{root}/sample"):
+        return None
+    return _current(spark, root, "sample", _read_meta(spark, root, index_versions(spark, root)[-1]))

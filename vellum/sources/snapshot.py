@@ -3,9 +3,8 @@
 Two formats:
 
 * **versioned table snapshot** (the scalable one, written and read here):
-  a directory per version holding ``libraries`` and ``documents`` as JSON
-  lines.  Each document line carries its library id, its position and its
-  chunks in order, so no line, task or group ever holds a whole library.
+  a directory per version holding ``libraries``, ``documents`` and ``chunks`` as
+  Parquet, flat, vectors as arrays; rows without a parent are kept.
   A version becomes visible only when its manifest file is written, after
   all data files; readers take the newest manifest.  A retried write of the
   same version rewrites the same directory (idempotent).
@@ -24,21 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.reshape import canonical_id, library_documents, stable_id
-from ..schema import SNAP_DOCUMENT, SNAPSHOT, STR_MAP
+from ..operators.reshape import canonical_id, conform, stable_id
+from ..schema import CHUNKS, DOCUMENTS, LIBRARIES, SNAP_DOCUMENT, SNAPSHOT
 from ..session import ensure_checkpoint_dir
 from . import fs
 
-DOC_LINE = T.StructType([
-    T.StructField("library_id", T.StringType(), False),
-    T.StructField("doc_pos", T.LongType(), True),
-    T.StructField("document", SNAP_DOCUMENT, True),
-])
-LIB_LINE = T.StructType([
-    T.StructField("library_id", T.StringType(), False),
-    T.StructField("metadata", STR_MAP, True),
-])
-
 
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A folder for job outputs under the shared checkpoint directory."""
@@ -58,21 +47,16 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 def write_snapshot(libraries: DataFrame, documents: DataFrame, chunks: DataFrame, root: str,
                    version: int) -> str:
-    """Write one version and publish it.  Returns the version directory."""
+    """Write one version and publish it.  Returns the version directory.
+
+    The three tables are written as they are, rows without a parent included;
+    chunk ids in canonical form.  Nothing is grouped, so no row grows with its
+    document or library; positions carry the order."""
     vdir = f"{root.rstrip('/')}/v{version:012d}"
-    nested = library_documents(libraries, documents, chunks)
-    lines = nested.select(
-        "library_id", "doc_pos",
-        F.struct(F.col("document_id").alias("id"),
-                 F.transform("chunks", lambda c: F.struct(
-                     canonical_id(c["id"]).alias("id"), c["document_id"].alias("document_id"),
-                     c["text"].alias("text"), c["embedding"].alias("embedding"),
-                     c["metadata"].alias("metadata"))).alias("chunks"),
-                 F.col("document_metadata").alias("metadata")).alias("document"))
-    # documents of a library without documents are absent; the library line keeps it
-    lines = lines.filter(F.col("document.id").isNotNull())
-    lines.write.mode("overwrite").json(f"{vdir}/documents")
-    libraries.select("library_id", "metadata").write.mode("overwrite").json(f"{vdir}/libraries")
+    flat = {"libraries": conform(libraries, LIBRARIES), "documents": conform(documents, DOCUMENTS),
+            "chunks": conform(chunks, CHUNKS).withColumn("chunk_id", canonical_id("chunk_id"))}
+    for name, rows in flat.items():
+        rows.write.mode("overwrite").parquet(f"{vdir}/{name}")
     _publish(libraries.sparkSession, root, version, vdir)
     return vdir
 
@@ -93,23 +77,14 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
 
 
 def read_snapshot(spark: SparkSession, vdir: str):
-    """S1 (versioned form): back to the three flat tables."""
-    docs = spark.read.schema(DOC_LINE).option("mode", "FAILFAST").json(f"{vdir}/documents")
-    libs = spark.read.schema(LIB_LINE).option("mode", "FAILFAST").json(f"{vdir}/libraries")
-    documents = docs.select("library_id", F.col("document.id").alias("document_id"), "doc_pos",
-                            F.coalesce("document.metadata", F.create_map().cast("map<string,string>"))
-                            .alias("metadata"))
-    ch = docs.select("library_id", F.col("document.id").alias("document_id"),
-                     F.posexplode(F.coalesce("document.chunks", F.array().cast(SNAP_DOCUMENT["chunks"].dataType)))
-                     .alias("chunk_pos", "c"))
-    chunks = ch.select("library_id", "document_id",  # R8: the parent's id wins
-                       F.coalesce(F.col("c.id"), stable_id("library_id", "document_id", "chunk_pos")).alias("chunk_id"),
-                       F.col("chunk_pos").cast("long").alias("chunk_pos"), F.col("c.text").alias("text"),
-                       F.col("c.embedding").alias("embedding"),
-                       F.coalesce("c.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
-    libraries = libs.select("library_id", F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-                            .alias("metadata"))
-    return libraries, documents, chunks
+    """S1 (versioned form): the three flat tables.  Absent metadata becomes empty,
+    an absent chunk id a stable one from the chunk's place."""
+    libraries, documents, chunks = (
+        spark.read.schema(schema).parquet(f"{vdir}/{name}").withColumn(
+            "metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+        for name, schema in (("libraries", LIBRARIES), ("documents", DOCUMENTS), ("chunks", CHUNKS)))
+    return libraries, documents, chunks.withColumn(
+        "chunk_id", F.coalesce("chunk_id", stable_id("library_id", "document_id", "chunk_pos")))
 
 
 def read_reference_snapshot(spark: SparkSession, path: str):
