@@ -66,3 +66,34 @@ def test_query_stream_equals_batch_search(spark):
     got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in spark.read.parquet(f"{root}/hits").collect())
     want = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in run(q).collect())
     assert got == want and len(got) > 0
+
+
+def test_a_new_checkpoint_goes_on_from_the_table(spark):
+    """A second stream (new checkpoint) over the same table adds to it; replaying a
+    published batch changes nothing; another number of buckets is refused."""
+    import pytest
+
+    from vellum.sources.snapshot import versions
+
+    feed = spark.createDataFrame([(f"k{i}", i, i, f"v{i}", "upsert") for i in range(40)],
+                                 "key string, ts long, seq long, val string, op string")
+    root = scratch_root(spark, f"test-restart-{uuid.uuid4().hex}")
+
+    def play(rows, name, checkpoint, buckets=4):
+        src = stage_files(rows, f"{root}/{name}", 2, "seq")
+        q = upsert_stream(spark, src, feed.schema, f"{root}/table", ["key"], checkpoint=f"{root}/{checkpoint}", buckets=buckets)
+        q.awaitTermination()
+
+    play(feed.filter("ts < 20"), "src1", "ckpt1")
+    first = versions(spark, f"{root}/table")
+    play(feed.filter("ts >= 10"), "src2", "ckpt2")
+    assert {r["key"] for r in current_table(spark, f"{root}/table").collect()} == {f"k{i}" for i in range(40)}
+    assert current_table(spark, f"{root}/table").count() == 40
+    done = versions(spark, f"{root}/table")
+    assert done[:len(first)] == first and len(done) == 4
+    q = upsert_stream(spark, f"{root}/src2", feed.schema, f"{root}/table", ["key"], checkpoint=f"{root}/ckpt2", buckets=4)
+    q.awaitTermination()
+    assert versions(spark, f"{root}/table") == done
+    with pytest.raises(Exception, match="4 buckets"):
+        play(feed.limit(1), "src3", "ckpt3", buckets=8)
+    assert current_table(spark, f"{root}/table").count() == 40

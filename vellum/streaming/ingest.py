@@ -5,15 +5,18 @@ M1 replaces the reference's "save every 300 s" loop: a change feed is read
 with ``readStream``; each micro-batch (``trigger(processingTime=...)`` in
 production, ``availableNow`` for catch-up and tests) applies the latest
 change per key, keeps deletes as tombstones (a late, older change cannot
-revive a key) and publishes a new version named by the batch id.
+revive a key) and publishes a new version.
 
 The table is split into ``buckets`` by a hash of the key, and a batch
 rewrites only the buckets its changes touch: the cost of a batch follows
 the batch, not the table.  A version's manifest maps every non-empty bucket
-to the version directory that last wrote it.  A retried batch reads the
-version *before* its own and overwrites its own directory, so replays are
-idempotent; the streaming checkpoint lives under the shared checkpoint
-folder.
+to the version directory that last wrote it, and records the number of buckets
+and the last batch of every stream that wrote to the table.  Version directories
+are named by version, stream and batch, and versions go on from the newest
+manifest: a batch that was published is not applied again, a batch that failed
+before its manifest overwrites only its own directory, and a stream with a new
+checkpoint adds versions and touches no older one.  One stream writes at a time.
+The streaming checkpoint lives under the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -39,10 +42,6 @@ def stage_files(df: DataFrame, folder: str, n_files: int, spread_col: str) -> st
     return folder
 
 
-def version_dir(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/v{version:012d}"
-
-
 class ProgressLog(StreamingQueryListener):
     """N1 for streams: input rows and durations per micro-batch."""
 
@@ -64,10 +63,15 @@ class ProgressLog(StreamingQueryListener):
         pass
 
 
-def _manifest(spark: SparkSession, root: str, before: int | None = None) -> dict:
-    vs = [v for v in versions(spark, root) if before is None or v < before]
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gives a stream, kept in its checkpoint across restarts."""
+    return json.loads(fs.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
+def _manifest(spark: SparkSession, root: str) -> dict:
+    vs = versions(spark, root)
     if not vs:
-        return {"table": {}, "tombstones": {}}
+        return {"version": -1, "buckets": None, "batches": {}, "table": {}, "tombstones": {}}
     return json.loads(fs.read_text(spark, f"{root.rstrip('/')}/{manifest_name(vs[-1])}"))
 
 
@@ -85,7 +89,8 @@ def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: lis
                   buckets: int = 64):
     """M1: start the ingest stream; returns the StreamingQuery.  With
     ``processing_time=None`` it runs ``availableNow`` (all pending files,
-    one or more micro-batches, then stops)."""
+    one or more micro-batches, then stops).  ``buckets`` is a property of the table:
+    a stream that asks for another number than the table has fails."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source))
 
@@ -98,28 +103,34 @@ def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: lis
             batch.unpersist()
 
     def _apply(batch: DataFrame, batch_id: int) -> None:
+        prev = _manifest(spark, root)
+        if prev["buckets"] not in (None, buckets):
+            raise ValueError(f"the table at {root} is kept in {prev['buckets']} buckets, not {buckets}")
+        stream_id = _stream_id(spark, checkpoint)
+        if prev["batches"].get(stream_id, -1) >= batch_id:
+            return                                       # published before the stream was stopped
         changes = to_changes(batch) if to_changes else batch
         payload = [c for c in changes.columns if c != op_col]
         bkt = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         touched = sorted(r[0] for r in changes.select(bkt.alias("b")).distinct().collect())  # <= buckets
-        prev = _manifest(spark, root, before=batch_id)
         tschema = changes.select(*payload).schema
         dschema = changes.select(*keys, *order_cols).schema
         table = _read_buckets(spark, prev["table"], "table", touched, tschema)
         tombs = _read_buckets(spark, prev["tombstones"], "tombstones", touched, dschema)
         live, dead = apply_changes(table, changes, keys, op_col=op_col, order_cols=order_cols,
                                    tombstones=tombs)
-        out = version_dir(root, batch_id)
+        version = prev["version"] + 1
+        out = f"{root.rstrip('/')}/v{version:012d}-{stream_id}-{batch_id}"
         live.select(*payload).withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt") \
             .parquet(f"{out}/table")
         dead.withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt").parquet(f"{out}/tombstones")
-        manifest: dict = {"version": batch_id}
+        manifest: dict = {"version": version, "buckets": buckets, "batches": {**prev["batches"], stream_id: batch_id}}
         for part in ("table", "tombstones"):
             written = {n.split("=", 1)[1] for n in fs.list_names(spark, f"{out}/{part}") if n.startswith("bkt=")}
             where = {b: d for b, d in prev[part].items() if int(b) not in touched}
             where.update({b: out for b in written})
             manifest[part] = where
-        fs.write_text(spark, f"{root.rstrip('/')}/{manifest_name(batch_id)}", json.dumps(manifest))
+        fs.write_text(spark, f"{root.rstrip('/')}/{manifest_name(version)}", json.dumps(manifest))
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
