@@ -58,16 +58,23 @@ def embed_insert(spark, sf):
 
 
 @register("embed_rejects", """
-SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS document_id, 'not_found:Document' AS reason
-FROM conversations WHERE turn = 0""")
+SELECT DISTINCT 'conv-' || CAST(conv_id AS VARCHAR) AS document_id,
+  'turn-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS chunk_id, 'not_found:Library' AS reason
+FROM conversations
+UNION ALL
+SELECT 'conv-' || source, 'doc-' || CAST(doc_id AS VARCHAR), 'not_found:Document' FROM documents""")
 def embed_rejects(spark, sf):
-    """E2 rejects: the first turn of every conversation, embedded and sent to
-    a document that does not exist, is refused (not found)."""
+    """E2 rejects: every turn of every conversation sent to a library that does not
+    exist, and every document's text sent to a document its library does not hold."""
     c = tables.corpus(spark, sf)
-    conv = tables.read_table(spark, sf, "conversations").filter(F.col("turn") == 0)
-    new = conv.select(F.lit("conversations").alias("library_id"),
-                      F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("document_id"),
-                      F.concat(F.lit("turn-"), F.col("conv_id").cast("string")).alias("chunk_id"),
-                      "text", F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0).alias("seq"))
-    _out, rejects = embed_and_insert(Corpus3(c.libraries, c.documents, c.chunks), new)
-    return rejects.select("document_id", "reason")
+    conv = tables.read_table(spark, sf, "conversations")
+    text = lambda col: F.col(col).cast("string")
+    common = [F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0).alias("seq")]
+    turns = conv.select(F.lit("conversations").alias("library_id"),
+                        F.concat(F.lit("conv-"), text("conv_id")).alias("document_id"),
+                        F.concat(F.lit("turn-"), text("conv_id"), F.lit("-"), text("turn")).alias("chunk_id"), "text", *common)
+    docs = tables.read_table(spark, sf, "documents").select(
+        F.col("source").alias("library_id"), F.concat(F.lit("conv-"), "source").alias("document_id"),
+        F.concat(F.lit("doc-"), text("doc_id")).alias("chunk_id"), "text", *common)
+    _out, rejects = embed_and_insert(Corpus3(c.libraries, c.documents, c.chunks), turns.unionByName(docs))
+    return rejects.select("document_id", "chunk_id", "reason")

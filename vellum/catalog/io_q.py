@@ -77,7 +77,8 @@ def serialize_events(spark, sf):
     return rec.select(F.col("_k").alias("event_id"), "json")
 
 
-@register("synthetic_vectors")
+@register("synthetic_vectors", """
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, 1.0::DOUBLE AS norm FROM embeddings""")
 def synthetic_vectors(spark, sf):
     """A seeded Gaussian unit vector for every embedding row, of the
     same dimension; norms are 1 (a stand-in workload shaped like the table)."""

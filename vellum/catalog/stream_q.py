@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.sql import register_search_function
+from ..operators.metrics import observed, timing_summary
 from ..plans.index import build_index, read_index, write_index
 from ..plans.search import search
 from ..schema import QUERIES
@@ -84,16 +84,23 @@ def observed_index_build(spark, sf):
     counts ride along the write, no second pass), returned as one row."""
     c = tables.corpus(spark, sf)
     b = build_index(c.chunks, c.libraries)
-    obs = Observation("index_build")
-    observed = b.index.observe(obs, F.count(F.lit(1)).alias("n_indexed"),
-                               F.min(F.size("vector")).alias("min_dim"),
-                               F.max(F.size("vector")).alias("max_dim"))
-    observed.write.mode("overwrite").parquet(scratch_root(spark, f"observed-{uuid.uuid4().hex}"))
-    m = obs.get
-    return spark.createDataFrame([(int(m["n_indexed"]), int(m["min_dim"]), int(m["max_dim"]))],
+    rows, result = observed(b.index, "index_build", min_dim=F.min(F.size("vector")), max_dim=F.max(F.size("vector")))
+    rows.write.mode("overwrite").parquet(scratch_root(spark, f"observed-{uuid.uuid4().hex}"))
+    m = result()
+    return spark.createDataFrame([(int(m["rows"]), int(m["min_dim"]), int(m["max_dim"]))],
                                  "n_indexed bigint, min_dim int, max_dim int")
 
 
+@register("timing_summary", """
+SELECT event_type, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) AS mean,
+       round(min(value), 6) AS least, round(max(value), 6) AS largest
+FROM events GROUP BY event_type""")
+def timing_summary_q(spark, sf):
+    """Mean and range of the measured values of every kind of event."""
+    t = timing_summary(tables.read_table(spark, sf, "events"), ["event_type"], "value")
+    return t.select("event_type", F.col("n").cast("bigint").alias("n"), *[F.round(c, 6).alias(c) for c in ("mean", "least", "largest")])
+
+
 @register("sql_search", with_chunks(f"""
 SELECT library_id, rank, chunk_id, round(score, 6) AS score FROM (
   SELECT library_id, chunk_id, score,

@@ -2,9 +2,9 @@
 
 A *provider* turns a list of texts into a list of vectors; any model client
 fits (a hosted API, a local ONNX model...).  :func:`embed_column` runs it in
-Arrow batches through an iterator pandas UDF: one provider per Python worker
-(created lazily from a picklable factory, so clients are not shipped with
-the closure), texts sent in batches of ``batch_size``, order kept.  As in
+Arrow batches through an iterator pandas UDF: one provider per task, or per
+Python worker where it has a name (created from a picklable factory, so clients
+are not shipped with the closure), texts sent in batches of ``batch_size``, order kept.  As in
 the reference, a batch whose call fails yields empty vectors for all its
 texts rather than failing the job; callers split those off (E2).
 
@@ -23,12 +23,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import VECTOR
-from ..session import spread
-from .mutate import Corpus3, add_chunks
+from ..session import ensure_checkpoint_dir, spread
+from .mutate import CHUNK, DOC, LIB, Corpus3, add_chunks, gate
 
 
 class EmbeddingProvider(Protocol):
@@ -72,25 +72,29 @@ class HashingProvider:
         return out
 
 
-_PROVIDERS: dict = {}
+# Providers that a caller named, kept by a Python worker from task to task.
+_PROVIDERS: dict[str, EmbeddingProvider] = {}
 
 
-def _provider(factory: Callable[[], EmbeddingProvider]) -> EmbeddingProvider:
-    key = id(factory)
-    if key not in _PROVIDERS:
-        _PROVIDERS[key] = factory()
-    return _PROVIDERS[key]
+def _provider(factory: Callable[[], EmbeddingProvider], name: str | None) -> EmbeddingProvider:
+    if name is None:
+        return factory()
+    if name not in _PROVIDERS:
+        _PROVIDERS[name] = factory()
+    return _PROVIDERS[name]
 
 
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                  factory: Callable[[], EmbeddingProvider] = HashingProvider,
-                 batch_size: int = 96) -> DataFrame:
+                 batch_size: int = 96, name: str | None = None) -> DataFrame:
     """Add ``out_col`` (array<float>) embedding ``text_col``; a failed
-    provider batch gives empty vectors for its texts."""
+    provider batch gives empty vectors for its texts.  Each task makes its own
+    provider; one with a ``name`` stays in the worker and serves later tasks that
+    ask for that name."""
 
     @F.pandas_udf(VECTOR)
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        prov = _provider(factory)
+        prov = _provider(factory, name)
         for texts in batches:
             vals = texts.fillna("").tolist()
             out: list = []
@@ -117,28 +121,31 @@ def split_embedded(df: DataFrame, col: str = "embedding"):
 
 
 def embed_and_insert(corpus: Corpus3, new_chunks: DataFrame, *, generate: bool = True,
-                     factory: Callable[[], EmbeddingProvider] = HashingProvider,
+                     factory: Callable[[], EmbeddingProvider] = HashingProvider, name: str | None = None,
                      order_col: str = "seq") -> tuple[Corpus3, DataFrame]:
     """Embed incoming chunk texts (when ``generate``), reject the ones
-    whose embedding failed, and add the rest (U12: parent checks, parent id
-    forced, appended at the end).  With ``generate=False`` chunks are added
-    with an empty vector, as the reference does."""
+    whose embedding failed, and add the rest (U12, appended at the end).  With
+    ``generate=False`` chunks are added with an empty vector, as the reference does.
+
+    Keys and parents are checked first, so the provider sees only chunks that can be
+    added, and its vectors are written once (checkpoint): no later step asks it again.
+    Rejects are ``library_id, document_id, chunk_id, reason``; ``reason`` is
+    ``duplicate_id``, ``not_found:Library``, ``not_found:Document`` or ``embedding_failed``."""
+    def refused(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select(*CHUNK, F.lit(reason).alias("reason"))
+
+    rows, twice = gate(new_chunks, CHUNK)
+    libraries, documents = corpus.libraries.select(*LIB), corpus.documents.select(*DOC)
+    known = rows.join(libraries, LIB, "left_semi")
+    rejects = (refused(twice, "duplicate_id")
+               .unionByName(refused(rows.join(libraries, LIB, "left_anti"), "not_found:Library"))
+               .unionByName(refused(known.join(documents, DOC, "left_anti"), "not_found:Document")))
+    ok = known.join(documents, DOC, "left_semi")
     if generate:
-        emb = embed_column(new_chunks, "text", "embedding", factory)
-        ok, bad = split_embedded(emb)
+        ensure_checkpoint_dir(rows.sparkSession)
+        ok, bad = split_embedded(embed_column(ok, "text", "embedding", factory, name=name).checkpoint())
+        rejects = rejects.unionByName(bad.select(*CHUNK, "reason"))
     else:
-        ok = new_chunks.withColumn("embedding", F.array().cast("array<float>"))
-        bad = ok.limit(0).withColumn("reason", F.lit(None).cast("string"))
-    out, orphans = add_chunks(corpus, ok, order_col=order_col)
-    rejects = bad.select("library_id", "document_id", "chunk_id", "reason").unionByName(
-        orphans.select(F.lit(None).cast("string").alias("library_id"),
-                       F.col("resource_id").alias("document_id"),
-                       F.lit(None).cast("string").alias("chunk_id"),
-                       F.concat(F.lit("not_found:"), F.col("resource_type")).alias("reason")))
+        ok = ok.withColumn("embedding", F.array().cast("array<float>"))
+    out, _ = add_chunks(corpus, ok, order_col=order_col)
     return out, rejects
-
-
-def hash_bucket_expr(token: Column, dim: int) -> Column:
-    """The provider's bucket rule as a Spark expression (for SQL users)."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, HASH_HEX_DIGITS), 16, 10).cast("long"), F.lit(dim))
-
