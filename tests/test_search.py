@@ -211,3 +211,26 @@ def test_non_finite_and_repeated(spark):
                              ("t", "lib", [0, 1, 0], 1, None), ("ok", "lib", [1, 0, 0], 1, None)])
     assert rej == [("n", "non_finite"), ("t", "duplicate_query"), ("t", "duplicate_query")]
     assert [h[0] for h in hits] == ["ok"]
+
+
+def test_sql_search_with_text_and_filter(spark):
+    """The SQL functions give the search's rows; wrong k and dimensions raise."""
+    import pytest
+
+    from vellum.functions.sql import register_search_function
+
+    libs, docs, chunks = corpus(spark, FX1)
+    build_index(chunks, libs).index.createOrReplaceTempView("t_index")
+    chunks.createOrReplaceTempView("t_chunks")
+    register_search_function(spark, "t_index", "t_search", "t_chunks")
+    q = "array(1D, 0.1D, 0.1D)"
+    got = spark.sql(f"SELECT rank, chunk_id, round(score, 6) AS s, text FROM t_search_text('lib', {q}, 3, NULL) ORDER BY rank").collect()
+    assert [(r["rank"], r["chunk_id"], r["s"]) for r in got] == [(1, "1", 0.990148), (2, "2", 0.099015), (3, "3", 0.099015)]
+    text = {r["chunk_id"]: r["text"] for r in chunks.collect()}
+    assert all(r["text"] == text[r["chunk_id"]] for r in got)
+    assert spark.sql(f"SELECT * FROM t_search_text('lib', {q}, 3, map('no such key', 'x'))").count() == 0
+    for call in (f"t_search('lib', {q}, 101)", "t_search('lib', array(1D), 2)"):
+        with pytest.raises(Exception, match="out of range|another dimension"):
+            spark.sql(f"SELECT * FROM {call}").collect()
+    plan = spark.sql(f"SELECT * FROM t_search('lib', {q}, 3)")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan or "TakeOrdered" in plan or "Limit" in plan

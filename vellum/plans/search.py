@@ -8,8 +8,10 @@ Plan, for a whole table of queries at once::
                               └─ post-filter on metadata          F1/F2/F3
 
 The filter runs *after* the top-k, as the reference does: a query may get
-fewer than k rows.  Hits are at most k per query, so the join that attaches
-text and metadata reads the chunk table once and ships only hit keys.
+fewer than k rows.  Hits are at most k per query.  They are written once;
+up to ``HITS_BROADCAST_ROWS`` rows and ``HITS_BROADCAST_BYTES`` (both measured) they
+are broadcast and the chunk table is read in place, beyond that both sides are
+shuffled by key.
 :func:`search_prefiltered` is the other query (filter first, then top-k).
 """
 
@@ -25,7 +27,10 @@ from ..functions.maps import metadata_matches
 from ..functions.vector import has_non_finite
 from ..operators.knn import knn_join
 from ..schema import DEFAULT_K, MAX_K, MIN_K
-from ..session import fresh
+from ..session import ensure_checkpoint_dir, fresh
+
+HITS_BROADCAST_ROWS = 200_000
+HITS_BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
@@ -86,9 +91,17 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
         top = knn_cells(idx, cells, accepted, **knn_opts)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    hits = (fresh(top).join(live, ["library_id", "chunk_id"])                # J1, F7
-            .join(fresh(accepted.select("library_id", "query_id", "filters")), ["library_id", "query_id"])
-            .filter(metadata_matches("metadata", "filters"))                 # F1-F3
+    # the hits, at most k a query, are written once and their size decides how they meet the chunks
+    found = (fresh(top).join(fresh(accepted.select("library_id", "query_id", "filters")), ["library_id", "query_id"])
+             .select("query_id", "library_id", "rank", "chunk_id", "score", "filters"))
+    ensure_checkpoint_dir(found.sparkSession)
+    found = found.checkpoint()
+    ids = F.length("query_id") + F.length("library_id") + F.length("chunk_id")
+    size = found.agg(F.count(F.lit(1)).alias("n"),
+                     F.sum(F.lit(64) + 4 * (ids + F.length(F.to_json("filters")))).alias("bytes")).first()
+    small = size["n"] <= HITS_BROADCAST_ROWS and (size["bytes"] or 0) <= HITS_BROADCAST_BYTES
+    hits = (live.join(F.broadcast(found) if small else found, ["library_id", "chunk_id"])   # J1, F7
+            .filter(metadata_matches("metadata", "filters"))                                # F1-F3
             .select("query_id", "library_id", "rank", "chunk_id", "document_id", "score",
                     "text", "embedding", "metadata"))
     return SearchResult(hits, rejects)
