@@ -33,16 +33,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id
-    (five-word shingles, similarity 0.8); of repeated rows of an id one stays.  Rows
-    without an id, and texts without words, are in no group and stay."""
+    """One row of each near-duplicate group of texts stays, that of the least id
+    (five-word shingles, similarity 0.8).  Of rows that repeat id and text one stays, with the
+    least lang, source and n_chars; an id with different texts keeps each that is the least of
+    its group.  Rows without an id, and texts without words, are in no group and stay."""
     ready(spark)
     d = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(d, width=5).filter("NOT kept").select("doc_id").distinct()
-    rest = d.join(gone, "doc_id", "left_anti")
-    if d.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count():
-        rest = rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id IS NULL"))
-    return rest
+    if not d.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count():
+        gone = neardup.near_duplicates(d, width=5).filter("NOT kept").select("doc_id").distinct()
+        return d.join(gone, "doc_id", "left_anti")
+    # ids repeat: every (id, text) is a document of its own, named by a 64-bit hash
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    named = cut(d.filter("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_f"))
+                .select("doc_id", "text", "_f.*", F.xxhash64("doc_id", "text").alias("_name")))
+    group = neardup.near_duplicates(named.select(F.col("_name").alias("doc_id"), "text"), width=5) \
+        .select(F.col("doc_id").alias("_name"), "component_id").distinct()
+    kept = named.select("_name", "doc_id").join(group, "_name").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_name")).alias("_k")).select("_k._name")
+    return named.join(kept, "_name", "left_semi").select(*COLUMNS).unionByName(d.filter("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

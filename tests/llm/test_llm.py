@@ -340,3 +340,17 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         e = stage(spark, e, "")
     assert e.collect() == []
+
+
+def test_pipeline_keeps_every_text_of_a_repeated_id(spark):
+    """An id with several texts loses only those with a near copy elsewhere."""
+    a, b, c = prose(80, 70), prose(80, 71), prose(80, 72)
+    rows = [(7, a, "s"), (7, b, "s"), (5, edited(b, 1, 1), "s"), (7, a, "r"), (9, edited(c, 1, 2), "s"), (9, c, "s"),
+            (7, None, "s"), (7, "", "s"), (None, a, "s"), (None, a, "s")] + [(8, prose(80, 200 + i), "s") for i in range(30)]
+    d = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        out = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, d.repartition(parts), "").collect()]
+        nine = [x for x in out if x[0] == 9]
+        assert len(nine) == 1 and nine[0] in rows
+        assert sorted(map(str, [x for x in out if x[0] != 9])) == sorted(map(str, [
+            (7, a, "r"), (5, rows[2][1], "s"), (7, None, "s"), (7, "", "s"), (None, a, "s"), (None, a, "s")] + rows[10:]))
