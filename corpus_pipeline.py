@@ -24,9 +24,12 @@ LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with it as ``lang``.  Goes: texts that
     are null or have no letter, and texts that no learned language codes clearly
-    best.  The language trees are learned from the labelled rows of ``docs``."""
+    best.  The language trees are learned from the labelled rows of ``docs``; where none
+    has a label and a text, no language can be told, and every text with a letter stays, ``lang`` null."""
     ready(spark)
     model = langid.fit(docs)
+    if not model.langs:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(None).cast("string"))
     p = docs.select(*COLUMNS, langid.predict(spark, model, F.col("text")).alias("_p"))
     return p.filter((F.col("_p.lang") != langid.UNDETERMINED) & (F.col("_p.score") >= LANGUAGE_SCORE)).select(
         "doc_id", "text", F.col("_p.lang").alias("lang"), "source", "n_chars")

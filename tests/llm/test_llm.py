@@ -354,3 +354,10 @@ def test_pipeline_keeps_every_text_of_a_repeated_id(spark):
         assert len(nine) == 1 and nine[0] in rows
         assert sorted(map(str, [x for x in out if x[0] != 9])) == sorted(map(str, [
             (7, a, "r"), (5, rows[2][1], "s"), (7, None, "s"), (7, "", "s"), (None, a, "s"), (None, a, "s")] + rows[10:]))
+
+
+def test_pipeline_without_labels_keeps_texts(spark):
+    d = docs(spark, [None, "", "12 34 !", "é", prose(30, 1)], lang=None)
+    out = corpus_pipeline.identify_language(spark, d, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r["doc_id"], r["lang"]) for r in out.collect()) == [(3, None), (4, None)]
