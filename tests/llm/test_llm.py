@@ -361,3 +361,19 @@ def test_pipeline_without_labels_keeps_texts(spark):
     out = corpus_pipeline.identify_language(spark, d, "")
     assert out.columns == list(corpus_pipeline.COLUMNS)
     assert sorted((r["doc_id"], r["lang"]) for r in out.collect()) == [(3, None), (4, None)]
+
+
+def test_secrets_beside_fixed_ones(spark):
+    """What fixed spans leave of a run is judged too."""
+    h, r = hashlib.sha256(b"1").hexdigest(), random.Random(8)
+    rest = ["".join(r.choice(secrets.ALPHABET[:62]) for _ in range(40)) for _ in range(4)]
+    access = "AKIA" + "Q7" * 8
+    texts = [f"é😀 {access}/{rest[0]} end", f"{h[:32]}_{rest[1]}", f"{rest[2]}/{access}/{rest[3]} {prose(10, 1)}", f"{h}-Zq8XkP2v", f"garden_winter_river_stone/{h[:32]}"]
+    ratios = secrets.train(spark, docs(spark, [prose(200, i) for i in range(50)]))
+    out = secrets.find(docs(spark, texts), ratios).withColumn("red", secrets.redact(F.col("text"), F.col("_spans"))).orderBy("doc_id").collect()
+    found = [[t[s["start"]:s["end"]] for s in r["_spans"]] for t, r in zip(texts, out)]
+    assert found[3] == [h] and found[4] == [h[:32]]
+    for f, fixed, free in ((found[0], access, rest[:1]), (found[1], h[:32], rest[1:2]), (found[2], access, rest[2:])):
+        assert any(x.strip("/_") == fixed for x in f)
+        assert all(any(x.strip("/_") == y for x in f) for y in free)
+    assert not any(x in r["red"] for r in out for x in rest + [access, h[:32]])

@@ -122,14 +122,26 @@ def model_spans(text: Column, ratios: list[float]) -> Column:
         text, RUNS % RUN, 3, lambda i: is_random(F.get(r, i))))).otherwise(F.array().cast(_SPANS))
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks at all places of ``spans`` (by start): places stay."""
+    done = F.aggregate(
+        spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
+        lambda acc, s: F.struct(
+            F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]),
+                                         F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"])))).alias("out"),
+            F.greatest(acc["at"], s["end"]).alias("at")),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def find(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans``, arrays of (start, kind, end) by start,
     then kind; kinds number ``KINDS``.  A null text has none.  The
-    models add spans clear of every fixed one.  Row by row; other columns stay."""
+    models judge what the fixed spans leave: a run is cut at them, and each piece of
+    ``RUN`` characters or more is a run of its own.  Row by row; other columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("_base", F.sort_array(base_spans(text)))
-    more = let(model_spans(text, ratios), lambda m: F.filter(m, lambda c: ~F.exists(
-        "_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    more = let(blanked(text, F.col("_base")), lambda t: model_spans(t, ratios))
     return d.withColumn("_spans", F.sort_array(F.concat("_base", more)))
 
 
