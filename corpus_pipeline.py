@@ -68,16 +68,21 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 3 times)."""
+    """Every document as often as the mix takes it (0 to 3 times).  The extra copy is
+    drawn by all columns of a row, and by its number among equal rows."""
     ready(spark)
-    rest = [c for c in COLUMNS if c not in ("doc_id", "source")]
-    by = mixing.plan(docs.select(*COLUMNS))
+    d = docs.select(*COLUMNS)
+    by = mixing.plan(d)
     rates = cut(by.select("source", "source_size", "target").distinct())
     few = rates.count() <= mixing.BROADCAST_SOURCES
     r = rates.withColumnRenamed("source", "_source")
-    j = docs.select(*COLUMNS).join(F.broadcast(r) if few else r, F.col("source").eqNullSafe(F.col("_source")))
-    n = mixing.copies(F.col("target"), F.col("source_size"), mixing.draw_key())
-    return j.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select("doc_id", *rest[:2], "source", *rest[2:])
+    d, number = d.withColumn("_row", F.xxhash64(*COLUMNS)), F.lit(1)
+    if d.groupBy("_row").count().filter("count > 1").limit(1).count():
+        d, number = d.groupBy(*COLUMNS, "_row").count().withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count")))), F.col("_n")
+    j = d.join(F.broadcast(r) if few else r, F.col("source").eqNullSafe(F.col("_source")))
+    key = F.concat_ws(":", mixing.draw_key(), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("_row").cast("string"), number.cast("string"))
+    n = mixing.copies(F.col("target"), F.col("source_size"), key)
+    return j.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

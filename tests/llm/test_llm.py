@@ -377,3 +377,18 @@ def test_secrets_beside_fixed_ones(spark):
         assert any(x.strip("/_") == fixed for x in f)
         assert all(any(x.strip("/_") == y for x in f) for y in free)
     assert not any(x in r["red"] for r in out for x in rest + [access, h[:32]])
+
+
+def test_pipeline_mix_draws_per_row(spark):
+    """Rows without an id, of one id, and equal rows draw for themselves."""
+    texts = [prose(20, i) for i in range(400)]
+    rows = [(None, t, "a") for t in texts] + [(7, t, "b") for t in texts] + [(None, texts[0], "c")] * 400 + [(i, t, "d") for i, t in enumerate(texts)]
+    d = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rate = {r["source"]: r["target"] / r["source_size"] for r in mixing.plan(d).collect()}
+    assert all(0.1 < x % 1 < 0.9 for x in rate.values())
+    for part in (d, d.filter("source != 'c'")):
+        rate = {r["source"]: r["target"] / r["source_size"] for r in mixing.plan(part).collect()}
+        out = sorted(map(str, corpus_pipeline.mix_sources(spark, part, "").collect()))
+        taken = {s: sum(f"source='{s}'" in x for x in out) / 400 for s in rate}
+        assert all(abs(taken[s] - x) < 0.1 for s, x in rate.items())
+        assert out == sorted(map(str, corpus_pipeline.mix_sources(spark, part.repartition(5), "").collect()))

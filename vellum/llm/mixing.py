@@ -4,8 +4,9 @@ A source's size is the words of its documents.  Sources share the total size by
 their weights; a target stops at ``MAX_REPEAT`` times its source's size, and
 what is over goes to the others by weight until none is above.  A source's rate
 is target / size, and each of its documents is taken floor(rate) times plus once
-more with the probability of the fraction, decided by a hash of its id and text:
-the same rows give the same mix.
+more with the probability of the fraction, decided by a hash: the same rows give
+the same mix.  :func:`plan` hashes the id, so rows of one id draw alike; the pipeline
+hashes id, text, the other columns and the number among equal rows.
 """
 
 from pyspark.sql import Column, DataFrame
