@@ -392,3 +392,22 @@ def test_pipeline_mix_draws_per_row(spark):
         taken = {s: sum(f"source='{s}'" in x for x in out) / 400 for s in rate}
         assert all(abs(taken[s] - x) < 0.1 for s, x in rate.items())
         assert out == sorted(map(str, corpus_pipeline.mix_sources(spark, part.repartition(5), "").collect()))
+
+
+def brute_top_k(rows, queries, k):
+    """(query_id, rank, vec_id, score) of quantised rows (id, v); the queries of one id share its ranks."""
+    want = []
+    for q in sorted({i for i, _ in queries}):
+        s = sorted((-sum(a * b for a, b in zip(x, w)), i) for j, x in queries if j == q for i, w in rows if i != q and len(w) == len(x))[:k]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    return want
+
+
+def test_top_k_of_two_dimensions(spark):
+    """The floors of a smaller dimension in the same batch leave those of a larger one alone."""
+    r = np.random.default_rng(11)
+    rows = [(i, (r.normal(size=16 if i < 150 else 32) * (6 if i < 150 else 1)).tolist()) for i in range(400)]
+    v = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").coalesce(1).orderBy("id").coalesce(1)
+    known = [(x["id"], x["v"]) for x in v.collect()]
+    got = [tuple(x) for x in topk.search(v, v, 20).orderBy("query_id", "rank").collect()]
+    assert got == brute_top_k(known, known, 20)

@@ -121,7 +121,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         """Adds each query's k-th score in the sample: no row below it can be a result."""
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            out = np.full(len(t), np.iinfo(np.int64).min + 1)
+            none = np.iinfo(np.int64).min + 1
+            out = np.full(len(t), none)
             dims = t.column("dim").to_numpy()
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
@@ -130,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 ids, m = shared.value[dim]
                 some = t.take(pa.array(mine))
                 s = _product(_matrix(some.column("v")), m)
-                s[ids[None, :] == some.column("id").to_numpy()[:, None]] = out[0]
+                s[ids[None, :] == some.column("id").to_numpy()[:, None]] = none
                 out[mine] = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
             yield from t.append_column("floor", pa.array(out)).to_batches()
 
