@@ -411,3 +411,14 @@ def test_top_k_of_two_dimensions(spark):
     known = [(x["id"], x["v"]) for x in v.collect()]
     got = [tuple(x) for x in topk.search(v, v, 20).orderBy("query_id", "rank").collect()]
     assert got == brute_top_k(known, known, 20)
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Every vector of an id is a candidate and a query; equal rows count once."""
+    r = np.random.default_rng(12)
+    rows = [(i % 150, np.round(r.normal(size=8), 1).tolist()) for i in range(400)] + [(3, r.normal(size=8).tolist()) for _ in range(2000)]
+    v = topk.quantise(spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    known = [(i, [math.floor(64 * c) for c in x]) for i, x in rows]
+    assert sorted((x["id"], x["v"]) for x in v.collect()) == sorted(known)
+    got = [tuple(x) for x in topk.search(v, v.filter("id % 20 = 0 OR id = 3"), 20).orderBy("query_id", "rank").collect()]
+    assert got == brute_top_k(known, [x for x in known if x[0] % 20 == 0 or x[0] == 3], 20)

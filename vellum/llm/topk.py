@@ -1,7 +1,7 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
 Vectors are quantised to integers (``floor(SCALE * x)``); a dimension is a term.
-Rows are range-partitioned by id and cut into blocks, each with the largest
+Rows are range-partitioned by id (rows of one id by a hash) and cut into blocks, each with the largest
 and smallest value of every dimension.  For a query the greatest sum a block can
 reach is, dimension by dimension, the query's component times the maximum (or
 the minimum, for a negative component).  Blocks are scored in the order of that
@@ -34,14 +34,13 @@ FLOOR_ROWS = 2048
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """(id, dim, v array<bigint>), one row per id.  Rows with a null id, a null
-    vector or a null or non-finite component are left out; of rows
-    that repeat an id the one with the least vector counts."""
+    """(id, dim, v array<bigint>), one row per id and vector: of rows that repeat
+    both, one counts.  Rows with a null id, a null vector or a null or non-finite
+    component are left out."""
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    q = x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad).select(
-        "id", F.transform("x", lambda c: F.floor(scale * c)).alias("v"))
-    return q.groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v")
+    q = x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad).dropDuplicates(["id", "x"])
+    return q.select("id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(scale * c)).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -104,7 +103,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``vectors`` and ``queries`` as :func:`quantise` gives them.  Returns query_id,
     rank (from 1), vec_id, score: for every query the k greatest scores (all,
     if fewer) among the rows of its dimension other than its own id,
-    ties to the smaller id.  A query without such rows gives none, as do empty tables."""
+    ties to the smaller id.  Rows of one id are candidates each, and as queries share
+    the id's k ranks.  A query without such rows gives none, as do empty tables."""
     spark = vectors.sparkSession
     v, q = cut(vectors), cut(queries)
     n, nq = v.count(), q.count()
@@ -136,10 +136,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             yield from t.append_column("floor", pa.array(out)).to_batches()
 
     # neighbours in id order form a group; the group number is the range partition
-    placed = (v.repartitionByRange(groups, "id").sortWithinPartitions("id")
+    placed = (v.repartitionByRange(groups, F.col("id"), F.xxhash64("v")).sortWithinPartitions("id")
               .select(F.spark_partition_id().alias("g"), "id", "dim", "v"))
     asked = q.mapInArrow(with_floor, "id bigint, dim int, v array<bigint>, floor bigint") \
-        .withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+        .withColumn("s", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int"))
     left = placed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     right = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
