@@ -184,3 +184,15 @@ def test_few_cells_are_scored_in_three_dimensions(spark):
     n = {r["cell"]: r["n"] for r in cells.collect()}
     scored = sum(n[c] for part in kept for r in part.collect() for c in r["cells"])
     assert scored <= 0.1 * 5 * 2000
+
+
+def test_add_reports_ids_given_twice(spark):
+    from vellum.operators.cells import add_to_cells
+
+    rng = np.random.default_rng(22)
+    idx = _index(spark, [f"v{i:02d}" for i in range(40)], rng.standard_normal((40, 3)))
+    ci, cells = build_cells(idx.filter("chunk_id < 'v30'"), leaf_size=6)
+    new, other = idx.filter("chunk_id >= 'v30'"), idx.filter("chunk_id = 'v31'").withColumn("chunk_id", F.lit("v30"))
+    ci, cells, twice = add_to_cells(ci, cells, new.unionByName(new).unionByName(other), report=True)
+    assert ci.count() == 39 and sum(r["n"] for r in cells.collect()) == 39
+    assert [(r["chunk_id"], r["reason"]) for r in twice.collect()] == [("v30", "duplicate_in_batch")]

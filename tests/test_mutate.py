@@ -166,3 +166,22 @@ def test_added_documents_take_their_chunks(spark):
     assert [r["document_id"] for r in out.chunks.filter("chunk_id = 'n1'").collect()] == ["new"]
     assert out.chunks.filter("chunk_id = 'n2'").count() == 0
     assert [(r["resource_type"], r["resource_id"]) for r in rej.collect()] == [("Document", "wrong")]
+
+
+def test_keys_given_twice_are_reported_and_equal_rows_count_once(spark):
+    new = _vec(spark, [("b", [1]), ("b", [2]), ("c", [3]), ("c", [3])])
+    r = M.append_unseen(_vec(spark, [("a", [1])]), new, ["id"], report=True)
+    assert sorted((x["id"], x["vector"][0]) for x in r.table.collect()) == [("a", 1.0), ("c", 3.0)]
+    assert sorted((x["id"], x["reason"]) for x in r.rejects.collect()) == [("b", "duplicate_in_batch")] * 2
+    c = _one_of_each(spark)
+    libs = spark.createDataFrame([("L", {"name": "l", "x": "1"}), ("L", {"x": "1", "name": "l"}), ("M", {"name": "1"}), ("M", {"name": "2"})], LIBRARIES)
+    out = M.add_libraries(c, M.Corpus3(libs, c.documents.unionByName(c.documents),
+                                       c.chunks.unionByName(c.chunks).unionByName(c.chunks.withColumn("chunk_id", F.lit("e")))
+                                       .unionByName(c.chunks.withColumns({"chunk_id": F.lit("e"), "text": F.lit("new")}))))
+    assert [x["metadata"] for x in out.libraries.collect()] == [{"name": "l", "x": "1"}]
+    assert out.documents.count() == 1 and [x["chunk_id"] for x in out.chunks.collect()] == ["c"]
+    assert sorted(tuple(x) for x in out.rejects.collect()) == [("DuplicateChunk", "e"), ("DuplicateLibrary", "M")]
+    stored = spark.createDataFrame([("L", {"name": "old"}), ("M", {"name": "old"})], LIBRARIES)
+    p = M.patch_libraries(stored, libs, report=True)
+    assert {x["library_id"]: x["metadata"]["name"] for x in p.table.collect()} == {"L": "l", "M": "old"}
+    assert [tuple(x) for x in p.rejects.collect()] == [("DuplicateLibrary", "M")]

@@ -459,19 +459,21 @@ def _topk_generic(S: np.ndarray, q_k: np.ndarray, ids: np.ndarray):
 
 
 def add_to_cells(cell_index: DataFrame, cells: DataFrame, new: DataFrame,
-                 query_block_rows: int = 2_048, leaf_size: int = DEFAULT_LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
+                 query_block_rows: int = 2_048, leaf_size: int = DEFAULT_LEAF_SIZE, report: bool = False) -> tuple[DataFrame, ...]:
     """Q15 / U1 on a cell index without a rebuild: every new vector (index
     rows ``library_id, chunk_id, vector, inv_norm``) joins the leaf whose
     centroid is nearest (a k=1 search over centroids with the grid kernel),
     and that leaf's angular radius grows to cover it, so pruning stays exact.
     Centroids are kept; a rebuild re-balances.  Vectors of a library that has no
     cells yet get cells of their own (:func:`build_cells`).  An id given twice
-    in a library is ambiguous and not added.  Returns ``(cell_index, cells)``."""
+    in a library with different rows is ambiguous and not added; equal rows count as
+    one.  Returns ``(cell_index, cells)``, with ``report=True`` also the keys not added."""
     from .knn import knn_join
     from .mutate import gate
 
     cells, cell_index = fresh(cells), fresh(cell_index)
-    new = gate(new.select("library_id", "chunk_id", "vector", "inv_norm"), ["library_id", "chunk_id"])[0].checkpoint()
+    new, twice = gate(new.select("library_id", "chunk_id", "vector", "inv_norm"), ["library_id", "chunk_id"], equal_once=True)
+    new = new.checkpoint()
     known = fresh(cells.select("library_id").distinct())
     first_index, first_cells = build_cells(fresh(new.join(known, "library_id", "left_anti")), leaf_size)
     new = fresh(new.join(known, "library_id", "left_semi"))
@@ -496,7 +498,8 @@ def add_to_cells(cell_index: DataFrame, cells: DataFrame, new: DataFrame,
                       (F.greatest("angle", F.coalesce("_a", F.lit(0.0))) + F.lit(ANGLE_SLACK)).alias("angle"),
                       (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
     rows = cell_index.unionByName(placed.select(*cell_index.columns)).unionByName(first_index)
-    return rows, cells2.unionByName(first_cells)
+    out = rows, cells2.unionByName(first_cells)
+    return (*out, twice.withColumn("reason", F.lit("duplicate_in_batch"))) if report else out
 
 
 def remove_from_cells(cell_index: DataFrame, cells: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,8 @@ class Corpus3:
     libraries: DataFrame
     documents: DataFrame
     chunks: DataFrame
+    #: Keys that :func:`add_libraries` left out, as report rows.
+    rejects: DataFrame | None = None
 
 
 @dataclass
@@ -47,17 +49,28 @@ def latest_per_key(changes: DataFrame, keys: list[str], order_cols: list[str]) -
     return agg.select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
 
 
-def gate(batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _digest(batch: DataFrame, payload: list[str]):
+    """Equal for rows equal in ``payload``; maps count by their sorted entries."""
+    kinds = dict(batch.dtypes)
+    flat = [(F.array_sort(F.map_entries(c)) if kinds[c].startswith("map") else F.col(c)).alias(c) for c in payload]
+    return F.md5(F.to_json(F.struct(*flat)).cast("binary")) if payload else F.lit("")
+
+
+def gate(batch: DataFrame, keys: list[str], equal_once: bool = False) -> tuple[DataFrame, DataFrame]:
     """The shared check of every batch: one row per key goes on.  With a ``seq``
     column the highest wins; without one, a key given twice is ambiguous and none
-    of its rows goes on.  Returns (rows, keys rejected).  One aggregation, whose
-    partial step leaves a repeated key one row per task."""
+    of its rows goes on, or with ``equal_once`` one where all are equal.  Returns
+    (rows, keys rejected).  One aggregation, whose partial step leaves a repeated
+    key one row per task."""
     payload = [c for c in batch.columns if c not in keys]
     if "seq" in batch.columns:
         return latest_per_key(batch, keys, ["seq"]), batch.limit(0).select(*keys)
-    one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *([F.first(F.struct(*payload)).alias("_p")] if payload else []))
-    clean = one.filter("_n = 1").select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
-    return clean.select(*batch.columns), one.filter("_n > 1").select(*keys)
+    digest = _digest(batch, payload)
+    same = [F.min(digest).alias("_low"), F.max(digest).alias("_high")] if equal_once else []
+    one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *same, *([F.first(F.struct(*payload)).alias("_p")] if payload else []))
+    fine = F.col("_low") == F.col("_high") if equal_once else F.col("_n") == 1
+    clean = one.filter(fine).select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
+    return clean.select(*batch.columns), one.filter(~fine).select(*keys)
 
 
 def _twice(rejected: DataFrame, rtype: str, id_col: str) -> DataFrame:
@@ -84,11 +97,17 @@ def upsert_vectors(existing: DataFrame, new: DataFrame, keys: list[str], overwri
     return Applied(existing.unionByName(fresh), rejects.unionByName(clash))
 
 
-def append_unseen(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def append_unseen(existing: DataFrame, new: DataFrame, keys: list[str], report: bool = False) -> DataFrame | Applied:
     """Bulk build appends only ids not stored yet (stored rows win); an id
-    given twice in ``new`` is not appended (:func:`gate`)."""
-    new = gate(new, keys)[0].select(*existing.columns)
-    return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"))
+    given twice in ``new`` with different rows is not appended (:func:`gate`), equal rows
+    count as one.  ``report=True`` returns the rows not appended for that as well."""
+    clean, twice = gate(new, keys, equal_once=True)
+    fresh = clean.select(*existing.columns).join(existing.select(*keys), keys, "left_anti")
+    out = existing.unionByName(fresh)
+    if not report:
+        return out
+    rejects = new.select(*existing.columns).join(twice, keys, "left_semi").withColumn("reason", F.lit("duplicate_in_batch"))
+    return Applied(out, rejects)
 
 
 def replace_partitions(existing: DataFrame, new: DataFrame, part_keys: list[str]) -> DataFrame:
@@ -112,16 +131,24 @@ def remove_keys(existing: DataFrame, ids: DataFrame, keys: list[str]):
 
 def add_libraries(c: Corpus3, new: Corpus3) -> Corpus3:
     """Add libraries; a library id already present is replaced with all
-    its documents and chunks.  A library, document or chunk given twice is
-    ambiguous (:func:`gate`): it is left out, a library with all it holds."""
-    libraries = gate(new.libraries, LIB)[0].select(*c.libraries.columns)
+    its documents and chunks.  A library, document or chunk given twice with different
+    rows is ambiguous (:func:`gate`): it is left out, a library with all it holds, and
+    reported in ``rejects`` of the result; equal rows count as one."""
+    libraries, twice = gate(new.libraries, LIB, equal_once=True)
+    libraries = libraries.select(*c.libraries.columns)
     ids = libraries.select(*LIB)
-    documents, chunks = (gate(rows.join(ids, LIB, "left_semi"), keys)[0].select(*old.columns)
-                         for rows, keys, old in ((new.documents, DOC, c.documents), (new.chunks, CHUNK, c.chunks)))
+    rejects = _twice(twice, "Library", "library_id")
+    parts = []
+    for rows, keys, old, rtype in ((new.documents, DOC, c.documents, "Document"), (new.chunks, CHUNK, c.chunks, "Chunk")):
+        clean, twice = gate(rows.join(ids, LIB, "left_semi"), keys, equal_once=True)
+        parts.append(clean.select(*old.columns))
+        rejects = rejects.unionByName(_twice(twice, rtype, keys[-1]))
+    documents, chunks = parts
     return Corpus3(
         c.libraries.join(ids, LIB, "left_anti").unionByName(libraries),
         c.documents.join(ids, LIB, "left_anti").unionByName(documents),
         c.chunks.join(ids, LIB, "left_anti").unionByName(chunks),
+        rejects,
     )
 
 
@@ -136,13 +163,16 @@ def replace_libraries_if_present(c: Corpus3, new: Corpus3):
     return add_libraries(c, gate), missing
 
 
-def patch_libraries(libraries: DataFrame, patch: DataFrame) -> DataFrame:
+def patch_libraries(libraries: DataFrame, patch: DataFrame, report: bool = False) -> DataFrame | Applied:
     """Partial update; a NULL field keeps the stored value.  Patches for
-    unknown libraries change nothing, nor do several patches of one library
-    without a ``seq`` (:func:`gate`)."""
-    p = gate(patch, LIB)[0].select("library_id", F.col("metadata").alias("_new_md"))
-    return (libraries.join(p, "library_id", "left")
-            .select("library_id", F.coalesce("_new_md", "metadata").alias("metadata")))
+    unknown libraries change nothing, nor do several different patches of one library
+    without a ``seq`` (:func:`gate`); equal ones count as one.  ``report=True`` returns
+    the libraries of such patches as well."""
+    clean, twice = gate(patch, LIB, equal_once=True)
+    p = clean.select("library_id", F.col("metadata").alias("_new_md"))
+    out = (libraries.join(p, "library_id", "left")
+           .select("library_id", F.coalesce("_new_md", "metadata").alias("metadata")))
+    return Applied(out, _twice(twice, "Library", "library_id")) if report else out
 
 
 def delete_libraries(c: Corpus3, ids: DataFrame, index: DataFrame | None = None,
