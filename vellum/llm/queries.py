@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, quality, rules, secrets, topk, warc
+from . import decontaminate, langid, lexical, mixing, neardup, quality, rules, secrets, topk, trie, warc
 from .bpe import ByteBPE
 from .common import crc_mod, ready, table
 from .token_counts import token_counts
@@ -197,3 +197,64 @@ def op10_mix(spark, sf_dir):
     """How much of every document the mix takes."""
     m = mixing.plan(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register(r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+      FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT rid, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+      FROM (SELECT rid, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM x) WHERE len(w) >= m)),
+h AS (SELECT DISTINCT rid, i, m, s FROM p SEMI JOIN x USING (m, s)),
+n AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + m - 1)) AS place FROM h) GROUP BY 1),
+k AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+      FROM (SELECT DISTINCT rid, item_id FROM h JOIN x USING (m, s) WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)""")
+def op11_decontaminate(spark, sf_dir):
+    """The words of every document that lie in windows of benchmark items."""
+    c = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return c.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@register(r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS length FROM t WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f SEMI JOIN i USING (term) GROUP BY term), g),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // length)))) AS BIGINT) AS score
+      FROM f JOIN i USING (term) JOIN w USING (term), g GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12_lexical_search(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@register(r"""
+WITH t AS (SELECT conv_id, turn, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS m FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(m ORDER BY turn NULLS FIRST, sha256(CAST(strlen(m.role) AS VARCHAR) || ':' || m.role || m.text)) AS l FROM t GROUP BY conv_id),
+z AS (SELECT conv_id, l, (4294967295 - list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, n: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 4 AS h FROM o),
+c AS (SELECT z.conv_id, list_concat(coalesce(o.l[1:h], []), z.l[h + 1:]) AS l FROM z LEFT JOIN o ON o.conv_id = z.conv_id - z.conv_id % 20),
+p AS (SELECT conv_id, len(l) AS n, unnest(generate_series(0, len(l))) AS depth, l FROM c),
+v AS (SELECT l[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+u AS (SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM v),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY 1),
+n AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (path)),
+a AS (SELECT x.path, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum(y.saved) AS BIGINT) AS saved_tokens
+      FROM n x JOIN (SELECT n_children, saved, path[1:unnest(generate_series(0, depth))] AS up FROM n) y ON y.up = x.path GROUP BY 1)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM n JOIN a USING (path) LEFT JOIN (SELECT path, conv_id FROM n) q ON n.depth > 0 AND q.path = n.path[1:n.depth - 1]""")
+def op13_prefix_trie(spark, sf_dir):
+    """The nodes of the trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("digest")
