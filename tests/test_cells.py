@@ -51,10 +51,10 @@ def data():
     return ids, vecs
 
 
-@pytest.mark.parametrize("window_max_rows", [1_000_000, 0])   # window path, distributed-rank path
-def test_build_matches_recursive_numpy(spark, data, window_max_rows):
+@pytest.mark.parametrize("split", ["local", "median"])
+def test_build_matches_recursive_numpy(spark, data, split):
     ids, vecs = data
-    ci, cells = build_cells(_index(spark, ids, vecs), leaf_size=8, window_max_rows=window_max_rows)
+    ci, cells = build_cells(_index(spark, ids, vecs), leaf_size=8, split=split)
     got = {r["chunk_id"]: r["cell"] for r in ci.collect()}
     assert got == numpy_cells(ids, vecs, 8)
     c = cells.collect()

@@ -1,19 +1,15 @@
 """Cell index: recursive max-variance median split (X3, A3-A6, W2) and
 exact cell-pruned top-k search (X4, T4).
 
-Build, level by level over *all* libraries at once (each level is a few
-shuffles, never a loop over cells):
+Build (X3): in one pass by :mod:`vellum.operators.tree` (``split='local'``), or level by level over *all*
+libraries at once (``'median'``, ``'approx'``), never in a loop over cells:
 
 1. cells still larger than ``leaf_size`` are active;
-2. per active cell and dimension, mean and population variance of the unit
-   vectors (``posexplode`` + a partial aggregate: a task ships one row per
-   cell and dimension, however hot the cell);
-3. the split axis is the dimension of largest variance, lowest index on
-   ties (``max_by(pos, struct(var, -pos))``);
-4. the rows of a cell are ranked by ``(unit[axis], chunk_id)`` (a window
-   when every active cell is provably small, else the distributed
-   :func:`vellum.operators.rank.positions`) and the first ``floor(n/2)`` go
-   left: ``cell -> 2*cell`` or ``2*cell + 1``;
+2. per active cell, mean and population variance of the unit vectors as arrays (tasks
+   hand on one partial a cell, however hot the cell);
+3. the split axis is the dimension of largest variance, lowest index on ties;
+4. the row at position ``floor(n/2)`` by ``(unit[axis], chunk_id)`` is selected by
+   histogram refinement, and rows before it go left: ``cell -> 2*cell`` or ``2*cell + 1``;
 5. the level is checkpointed (lineage cut; survives executor loss).
 
 A leaf cell gets its normalised centroid, its radius as the reference keeps
@@ -50,9 +46,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh
-from .knn import (_MAX_SCORE_CELLS, CAND_SCHEMA, QUERY_KEY, _emit, _unit_rows, arrow_matrix, grid_cogroup, inv_norms,
+from .knn import (_MAX_SCORE_CELLS, CAND_SCHEMA, QUERY_KEY, _emit, _salt_for, _unit_rows, arrow_matrix, grid_cogroup, inv_norms,
                   merge_topk, raw_scores)
-from .rank import positions
+from .rank import at_rank
+from .tree import block_cells, build_blocks
+from .tree import block_rows as block_rows_of
 
 ANGLE_SLACK = 1e-6
 # Scored pairs a task holds before it cuts them to each query's k best.
@@ -69,25 +67,86 @@ def unit_rows(index: DataFrame) -> DataFrame:
     return index.withColumn("unit", unit_expr())
 
 
+#: Groups whose partial sums a task holds before it hands them on.
+_MAX_PARTIALS = 4_096
+
+
+def _merged(group_cols: list[str]):
+    """Partial moments of one group, combined (Chan et al.: no cancellation)."""
+    def run(t: pa.Table) -> pa.Table:
+        n = t.column("n").to_numpy().astype(np.float64)
+        mean, m2 = arrow_matrix(t.column("mean").combine_chunks()), arrow_matrix(t.column("m2").combine_chunks())
+        total = n.sum()
+        center = n @ mean / total
+        spread = m2.sum(axis=0) + n @ (mean - center) ** 2
+        return pa.table({**{c: t.column(c)[:1] for c in group_cols}, "n": pa.array([int(total)]), "mean": pa.array([center]), "m2": pa.array([spread])})
+
+    return run
+
+
 def component_stats(rows: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
-    """A3/A5 inputs: per group and dimension, mean and population variance."""
-    x = rows.select(*group_cols, F.posexplode(vec).alias("pos", "x"))
-    return x.groupBy(*group_cols, "pos").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    """A3/A5 inputs: per group ``n``, and the arrays ``mean`` and ``var`` (population variance) of its
+    vectors.  A task adds up whole vectors by group and hands on one partial (count,
+    mean, squared deviations) a group; partials are combined in two steps where there are many tasks."""
+    x = rows.select(*group_cols, F.col(vec).alias("_x"))
+    kinds = [f for f in x.schema.fields if f.name in group_cols]
+    schema = T.StructType([*kinds, T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())),
+                           T.StructField("m2", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def partials(batches):
+        held: dict = {}
+
+        def out():
+            keys, sums = list(held), list(held.values())
+            cols = [pa.array([k[i] for k in keys], arrow.field(i).type) for i in range(len(kinds))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([int(v[0]) for v in sums], pa.int64()), pa.array([v[1] for v in sums], arrow.field("mean").type),
+                                               pa.array([v[2] for v in sums], arrow.field("m2").type)], schema=arrow)
+
+        for b in batches:
+            if not len(b):
+                continue
+            keys = list(zip(*(b.column(f.name).to_pylist() for f in kinds)))
+            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            code = np.fromiter((number[k] for k in keys), np.int64, len(keys))
+            m = arrow_matrix(b.column("_x"))
+            order = np.argsort(code, kind="stable")
+            n = np.bincount(code)
+            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            mean = np.add.reduceat(m[order], at, axis=0) / n[:, None]
+            m2 = np.add.reduceat((m - mean[code])[order] ** 2, at, axis=0)
+            for k, i in number.items():
+                if k in held:
+                    n0, mean0, m20 = held[k]
+                    both, d = n0 + n[i], mean[i] - mean0
+                    held[k] = (both, mean0 + d * n[i] / both, m20 + m2[i] + d * d * n0 * n[i] / both)
+                else:
+                    held[k] = (n[i], mean[i], m2[i])
+            if len(held) > _MAX_PARTIALS:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    parts = x.filter(F.size("_x") > 0).mapInArrow(partials, schema)
+    salts = _salt_for(rows.sparkSession)
+    if salts > 1:
+        salted = T.StructType([*kinds, T.StructField("_salt", T.LongType()), *schema.fields[len(kinds):]])
+        by = [*group_cols, "_salt"]
+        parts = parts.withColumn("_salt", F.pmod(F.spark_partition_id().cast("long"), F.lit(salts))).groupBy(*by).applyInArrow(_merged(by), salted).drop("_salt")
+    whole = parts.groupBy(*group_cols).applyInArrow(_merged(group_cols), schema)
+    return whole.select(*group_cols, "n", "mean", F.transform("m2", lambda v: v / F.col("n")).alias("var"))
 
 
 def split_axis(stats: DataFrame, group_cols: list[str]) -> DataFrame:
     """Dimension of largest variance per group, lowest index on ties."""
-    return stats.groupBy(*group_cols).agg(
-        F.max_by("pos", F.struct(F.col("var"), -F.col("pos"))).cast("int").alias("axis"),
-        F.max("var").alias("var"))
+    most = F.array_max("var")
+    return stats.select(*group_cols, (F.array_position("var", most) - 1).cast("int").alias("axis"), most.alias("var"))
 
 
 def centroids(stats: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A3: mean vector per group, re-normalised (a zero mean stays zero).
-    The group's array has one entry per dimension, so it is bounded."""
-    arr = stats.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_m"))
-    m = arr.select(*group_cols, F.transform("_m", lambda s: s["mean"]).alias("_m"))
-    return m.select(*group_cols, vec_normalize("_m").alias("centroid"))
+    """A3: mean vector per group, re-normalised (a zero mean stays zero)."""
+    return stats.select(*group_cols, vec_normalize("mean").alias("centroid"))
 
 
 def radii(rows: DataFrame, cents: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
@@ -101,31 +160,23 @@ def radii(rows: DataFrame, cents: DataFrame, group_cols: list[str], vec: str = "
         F.count(F.lit(1)).alias("n"))
 
 
-def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols: list[str],
-                 vec: str = "unit", window_max_rows: int = 1_000_000) -> DataFrame:
-    """Rank the rows of each group by ``(vec[axis], chunk_id)`` and mark
-    the first ``floor(n/2)`` as left (``side`` 0), the rest right (1).
-
-    When every group is at most ``window_max_rows`` (checked on the sizes
-    table, one row per group) a ``row_number`` window ranks each group in one
-    task; larger groups use the distributed ranking, so no task ever sorts
-    more than its slice of a hot group."""
-    j = (rows.join(axes.select(*group_cols, "axis"), group_cols)
-         .join(sizes.select(*group_cols, "n"), group_cols))
+def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
+    """The first ``floor(n/2)`` rows of each group by ``(vec[axis], chunk_id)`` are left
+    (``side`` 0), the rest right (1).  The first row of the right half is
+    selected for all groups at once (:func:`vellum.operators.rank.at_rank`) and every row compared
+    with it: no group, of whatever size, is sorted or ranked whole."""
+    j = rows.join(axes.select(*group_cols, "axis"), group_cols)
     if "vector" in rows.columns:    # one component, no need for the whole unit vector
         j = j.withColumn("_v", F.element_at("vector", F.col("axis") + 1).cast("double") * F.col("inv_norm"))
     else:
         j = j.withColumn("_v", F.element_at(vec, F.col("axis") + 1))
     if vec in j.columns and "vector" in rows.columns:
         j = j.drop(vec)
-    biggest = sizes.agg(F.max("n")).first()[0] or 0
-    if biggest <= window_max_rows:
-        w = Window.partitionBy(*group_cols).orderBy("_v", "chunk_id")
-        ranked = j.withColumn("_pos", F.row_number().over(w) - 1)
-    else:
-        ranked = positions(j, [F.col("_v"), F.col("chunk_id")], group_cols, out="_pos")
-    return ranked.withColumn("side", (F.col("_pos") >= F.floor(F.col("n") / 2)).cast("int")) \
-        .drop("_v", "_pos")
+    targets = sizes.select(*group_cols, F.floor(F.col("n") / 2).alias("target"))
+    first = at_rank(j, group_cols, "_v", "chunk_id", targets)
+    j = j.join(fresh(first), group_cols)
+    right = (F.col("_v") > F.col("_t")) | ((F.col("_v") == F.col("_t")) & (F.col("chunk_id") >= F.col("_id")))
+    return j.withColumn("side", right.cast("int")).join(sizes.select(*group_cols, "n"), group_cols).drop("_v", "_t", "_id")
 
 
 def approx_split(rows: DataFrame, axes: DataFrame, group_cols: list[str], accuracy: int = 10_000) -> DataFrame:
@@ -145,27 +196,48 @@ def approx_split(rows: DataFrame, axes: DataFrame, group_cols: list[str], accura
     return out.withColumn("side", side).drop("_v", "_t", "_lo", "_hi", "_ok")
 
 
+def cells_of_blocks(blocks: DataFrame, block_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+    """``(cell_index, cells)`` of the blocks of :func:`vellum.operators.tree.build_blocks`."""
+    n = blocks.groupBy("library_id").agg(F.ceil(F.sum("n") / F.lit(block_rows)).alias("_nb"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(fresh(n), "library_id").withColumn("cblock", _place(F.col("_nb")).cast("int")).drop("_nb")
+
+    rows = placed(block_rows_of(blocks)).select("library_id", "chunk_id", "vector", "inv_norm", "cell", "cblock")
+    return rows, placed(block_cells(blocks)).select("library_id", "cell", "cblock", "centroid", "radius", "angle", "n")
+
+
+def _place(blocks):
+    """The scoring block of a cell.  Halves are about equal, so a leaf's place in the tree is its rows' share of
+    the library: neighbouring leaves share a block, and blocks are about equally full."""
+    level = F.length(F.bin("cell")) - 1
+    place = F.col("cell") / F.pow(F.lit(2.0), level) - F.lit(1.0)
+    return F.least(F.floor(place * blocks), blocks - 1)
+
+
 def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows: int = 16_384,
-                max_levels: int = 62, window_max_rows: int = 1_000_000,
-                split: str = "median") -> tuple[DataFrame, DataFrame]:
+                max_levels: int = 62, split: str = "local") -> tuple[DataFrame, DataFrame]:
     """Returns ``(cell_index, cells)``.
 
-    ``split='median'`` is the reference's rule (first floor(n/2) rows by the
-    axis value go left), an exact ranking per level.  ``split='approx'``
-    splits at an approximate median from a sketch: no ranking shuffle, about
-    half the cost per level; search stays exact either way, since pruning
-    uses each cell's measured radius.
+    ``split='local'``: one pass (:mod:`vellum.operators.tree`).  The top of a large library's tree is
+    fitted on a sample; below, and throughout a library that one task holds, it is the
+    reference's rule (first floor(n/2) rows by the axis value go left).  ``split='median'`` is that rule at every level,
+    a selection and a rewrite of the rows per level.  ``split='approx'``
+    splits level by level at an approximate median from a sketch.  Search stays exact in any case, since pruning
+    uses each cell's measured angle.
 
     ``cell_index``: index rows with ``cell`` (heap numbering: root 1,
     children 2c and 2c+1) and ``cblock`` (the scoring block of the cell).
     ``cells``: one row per leaf: ``library_id, cell, cblock, centroid,
     radius, angle, n``."""
+    if split == "local":
+        return cells_of_blocks(build_blocks(index, leaf_size), block_rows)
     spark = index.sparkSession
     ensure_checkpoint_dir(spark)
     g = ["library_id", "cell"]
     # levels checkpoint only the stored columns; unit vectors are derived
     if split not in ("median", "approx"):
-        raise ValueError(f"split must be 'median' or 'approx', not {split!r}")
+        raise ValueError(f"split must be 'local', 'median' or 'approx', not {split!r}")
     rows = (index.select("library_id", "chunk_id", "vector", "inv_norm")
             .withColumn("cell", F.lit(1).cast("long")).withColumn("_final", F.lit(False)))
     for level in range(max_levels + 1):
@@ -179,7 +251,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
         rest = rows.join(active.select(*g), g, "left_anti")
         axes = split_axis(component_stats(act.withColumn("unit", unit_expr()), g), g)
         if split == "median":
-            parts = median_split(act, axes, active, g, window_max_rows=window_max_rows)
+            parts = median_split(act, axes, active, g)
         else:
             parts = approx_split(act, axes, g)
         parts = (parts.withColumn("_final", F.col("side").isNull())
@@ -189,11 +261,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
     rows = rows.drop("_final")
     lib_n = rows.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nb"))
     if split == "median":
-        # halves are equal, so a leaf's place in the tree is its rows' share of the library:
-        # neighbouring leaves share a scoring block, and blocks are equally full
-        level = F.length(F.bin("cell")) - 1
-        place = F.col("cell") / F.pow(F.lit(2.0), level) - F.lit(1.0)
-        cblock = F.least(F.floor(place * F.col("_nb")), F.col("_nb") - 1)
+        cblock = _place(F.col("_nb"))
     else:
         cblock = F.pmod(F.xxhash64("cell"), F.col("_nb"))
     rows = rows.join(lib_n, "library_id").withColumn("cblock", cblock.cast("int")).drop("_nb")

@@ -349,6 +349,15 @@ def _salt_for(spark) -> int:
     return 1 if n <= 64 else int(math.ceil(math.sqrt(n)))
 
 
+def bounded_queries(queries: DataFrame, most_rows: int, most_bytes: int) -> pa.Table | None:
+    """The batch of queries when its rows and the bytes of its vectors, known before
+    anything is collected, are within the bounds; else None."""
+    q = queries.select("query_id", "library_id", "embedding", "k")
+    size = F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))
+    n, total = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return q.toArrow() if n <= most_rows and total <= most_bytes else None
+
+
 def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
              kernel: str = "auto", broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
              query_block_rows: int = 2_048, sample: DataFrame | None = None) -> DataFrame:
@@ -378,10 +387,9 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
     q = queries.select("query_id", "library_id", "embedding", "k")
 
     if kernel in ("auto", "scan"):
-        # bounded collect: at most broadcast_rows + 1 rows ever reach the driver
-        rows = q.limit(broadcast_rows + 1).collect()
-        size = sum(8 * len(r["embedding"] or ()) + 64 for r in rows)
-        if len(rows) <= broadcast_rows and size <= broadcast_bytes:
+        rows = bounded_queries(q, broadcast_rows, broadcast_bytes)
+        if rows is not None:
+            rows = rows.to_pylist()
             kmax = max([1, *(int(r["k"]) for r in rows)])
             floors = None
             if sample is not None:

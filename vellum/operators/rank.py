@@ -59,3 +59,50 @@ def positions(df: DataFrame, order_cols: list, group_cols: list[str] | None = No
     res = numbered.join(offsets, ["_pid", gkey])
     return res.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")) \
               .drop("_pid", gkey, "_local", "_off")
+
+
+def at_rank(rows: DataFrame, group_cols: list[str], value: str, key: str, targets: DataFrame,
+            small: int = 4_096, bins: int = 1_024) -> DataFrame:
+    """The row at position ``target`` (from 0, in order of ``value``, then ``key``) of every group of
+    ``targets`` (``group_cols, target``): ``group_cols, _t, _id``, its value and key.
+
+    Selection, not sorting: a histogram of the interval that holds the position (one
+    partial aggregate over all groups) names the bin it falls in, whose own least and greatest value are the next
+    interval.  Equal values are told apart the same way by longer and longer beginnings of
+    ``key`` (a string, unique in its group).  An interval of at most ``small`` rows is ranked.  Groups of any size go together, and none is sorted whole."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    g = list(group_cols)
+    x = rows.select(*g, F.col(value).alias("_v"), F.col(key).alias("_k"))
+    state = (x.groupBy(*g).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("cnt"))
+             .join(targets.select(*g, "target"), g)
+             .select(*g, "lo", "hi", "cnt", "target", F.lit(0).cast("long").alias("before"), F.lit("").alias("pre"), F.lit(False).alias("one"))
+             .checkpoint())
+
+    def inside(some: DataFrame) -> DataFrame:
+        return x.join(some, g).filter(F.col("_v").between(F.col("lo"), F.col("hi")) & F.when(F.col("one"), F.col("_k") == F.col("pre")).otherwise(F.col("_k").startswith(F.col("pre"))))
+
+    def narrowed(some: DataFrame, bin_, **new) -> DataFrame:
+        h = inside(some).withColumn("_b", bin_).groupBy(*g, "_b", "target", "before", "pre").agg(
+            F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        past = F.col("before") + F.sum("c").over(Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        h = h.withColumn("past", F.coalesce(past, F.col("before")))
+        h = h.filter((F.col("past") <= F.col("target")) & (F.col("target") < F.col("past") + F.col("c")))
+        return h.select(*g, "lo", "hi", F.col("c").alias("cnt"), "target", F.col("past").alias("before"),
+                        new.get("pre", F.col("pre")).alias("pre"), new.get("one", F.lit(False)).alias("one"))
+
+    large = (F.col("cnt") > small) & ~F.col("one")
+    spread_ = F.col("lo") < F.col("hi")
+    while (open_ := state.filter(large).agg(F.count(F.when(spread_, 1)).alias("v"), F.count(F.when(~spread_, 1)).alias("k")).first()) and (open_["v"] or open_["k"]):
+        parts = [state.filter(~large)]
+        if open_["v"]:
+            place = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+            parts.append(narrowed(state.filter(large & spread_), F.least(place, F.lit(bins - 1))))
+        if open_["k"]:
+            longer = F.substring(F.col("_k"), F.lit(1), F.length("pre") + 2)
+            parts.append(narrowed(state.filter(large & ~spread_), longer, pre=F.col("_b"), one=F.length("_b") < F.length("pre") + 2))
+        for more in parts[1:]:
+            parts[0] = parts[0].unionByName(more)
+        state = parts[0].checkpoint()
+    last = inside(state).withColumn("_p", F.row_number().over(Window.partitionBy(*g).orderBy("_v", "_k")) - 1 + F.col("before"))
+    return last.filter(F.col("_p") == F.col("target")).select(*g, F.col("_v").alias("_t"), F.col("_k").alias("_id"))

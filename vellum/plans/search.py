@@ -71,8 +71,9 @@ def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAU
 
 def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFrame, *,
            default_k: int = DEFAULT_K, kernel: str = "auto",
-           strategy: str = "exact", cells: DataFrame | None = None, **knn_opts) -> SearchResult:
-    """Search every query of ``queries`` in its library.
+           strategy: str = "exact", cells: DataFrame | None = None, blocks: DataFrame | None = None, **knn_opts) -> SearchResult:
+    """Search every query of ``queries`` in its library.  ``strategy='cells'`` goes down the
+    tree of ``blocks`` (:func:`vellum.operators.tree.build_blocks`), or takes ``cells`` with their rows as ``index``.
 
     Returns hits ``query_id, library_id, rank, chunk_id, document_id, score,
     text, embedding, metadata`` (``rank`` is the position in the unfiltered
@@ -86,9 +87,10 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
         top = knn_join(idx, accepted, kernel=kernel, **knn_opts)
     elif strategy == "cells":
         from ..operators.cells import knn_cells
-        if cells is None:
-            raise ValueError("strategy='cells' needs the cells table")
-        top = knn_cells(idx, cells, accepted, **knn_opts)
+        from ..operators.tree import knn_tree
+        if cells is None and blocks is None:
+            raise ValueError("strategy='cells' needs the blocks or the cells table")
+        top = knn_tree(blocks, accepted, **knn_opts) if blocks is not None else knn_cells(idx, cells, accepted, **knn_opts)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     # the hits, at most k a query, are written once and their size decides how they meet the chunks
