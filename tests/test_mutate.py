@@ -185,3 +185,14 @@ def test_keys_given_twice_are_reported_and_equal_rows_count_once(spark):
     p = M.patch_libraries(stored, libs, report=True)
     assert {x["library_id"]: x["metadata"]["name"] for x in p.table.collect()} == {"L": "l", "M": "old"}
     assert [tuple(x) for x in p.rejects.collect()] == [("DuplicateLibrary", "M")]
+
+
+def test_gate_rejects_different_rows_of_one_seq(spark):
+    from vellum.operators.mutate import gate
+
+    rows = [("a", 5, "x"), ("a", 5, "y"), ("b", 5, "x"), ("b", 5, "x"), ("c", 1, "x"), ("c", 2, "y"), ("d", 1, "x"), ("d", 1, "y"), ("d", 2, "z"), ("e", None, "x"), ("f", None, "x"), ("f", None, "y")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "key string, seq int, val string").repartition(3)
+        clean, twice = gate(df, ["key"])
+        assert sorted(map(tuple, clean.collect()), key=str) == [("b", 5, "x"), ("c", 2, "y"), ("d", 2, "z"), ("e", None, "x")]
+        assert sorted(r["key"] for r in twice.collect()) == ["a", "f"]

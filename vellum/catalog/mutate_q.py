@@ -287,6 +287,23 @@ def add_chunks(spark, sf):
     return out.chunks.select("chunk_id", "document_id", "chunk_pos")
 
 
+@register("add_chunks_tied", with_chunks("""
+SELECT chunk_id, CASE WHEN CAST(label AS INTEGER) % 3 = 2 THEN text || ' [second]' ELSE text END AS text, 'stored' AS state FROM chunks
+UNION ALL
+SELECT chunk_id, NULL, 'DuplicateChunk' FROM chunks WHERE CAST(label AS INTEGER) % 3 = 1"""))
+def add_chunks_tied(spark, sf):
+    """V8 + U12: every chunk is sent twice in one batch.  Equal rows of one ``seq`` count once; different
+    rows of one ``seq`` are rejected, and the stored chunk stays; a higher ``seq`` wins."""
+    c3 = _corpus3(spark, sf)
+    label = F.element_at("metadata", "label").cast("int") % 3
+    first = c3.chunks.withColumn("seq", F.lit(1))
+    text = F.when(label == 0, F.col("text")).when(label == 1, F.concat("text", F.lit(" [clash]"))).otherwise(F.concat("text", F.lit(" [second]")))
+    again = c3.chunks.withColumn("text", text).withColumn("seq", F.when(label == 2, 2).otherwise(1))
+    out, bad = M.add_chunks(c3, first.unionByName(again))
+    return out.chunks.select("chunk_id", "text", F.lit("stored").alias("state")).unionByName(
+        bad.select(F.col("resource_id").alias("chunk_id"), F.lit(None).cast("string").alias("text"), F.col("resource_type").alias("state")))
+
+
 @register("update_chunks", with_chunks("""
 SELECT c.chunk_id, c.chunk_pos, CASE WHEN lab.quality = 0 THEN c.text || ' [edited]' ELSE c.text END AS text,
        round(CASE WHEN lab.quality = 0 THEN list_reverse(c.embedding) ELSE c.embedding END[1], 6) AS first

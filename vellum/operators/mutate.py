@@ -8,8 +8,8 @@ new tables, which a caller publishes as a new version (see
 existence, ``unionByName`` adds.  No operator collects a key group.
 
 Requests inside one batch that touch the same key: the one with the highest
-``seq`` wins when a ``seq`` column is present (a change feed), otherwise such
-keys are rejected (V8), since a batch has no order of its own.
+``seq`` wins when a ``seq`` column is present (a change feed).  Without one, or where
+different rows share the highest, such keys are rejected (V8), since a batch has no order of its own.
 """
 
 from __future__ import annotations
@@ -56,15 +56,27 @@ def _digest(batch: DataFrame, payload: list[str]):
     return F.md5(F.to_json(F.struct(*flat)).cast("binary")) if payload else F.lit("")
 
 
+def content_hash(batch: DataFrame, payload: list[str]):
+    """64 bits, equal for rows equal in ``payload``."""
+    return F.xxhash64(_digest(batch, payload))
+
+
 def gate(batch: DataFrame, keys: list[str], equal_once: bool = False) -> tuple[DataFrame, DataFrame]:
     """The shared check of every batch: one row per key goes on.  With a ``seq``
-    column the highest wins; without one, a key given twice is ambiguous and none
-    of its rows goes on, or with ``equal_once`` one where all are equal.  Returns
+    column the highest wins; rows that share it count as one where they are equal, and are
+    ambiguous where they differ: none of the key's rows goes on.  Without ``seq``, a key given twice is
+    ambiguous, or with ``equal_once`` only where its rows differ.  Returns
     (rows, keys rejected).  One aggregation, whose partial step leaves a repeated
     key one row per task."""
     payload = [c for c in batch.columns if c not in keys]
     if "seq" in batch.columns:
-        return latest_per_key(batch, keys, ["seq"]), batch.limit(0).select(*keys)
+        # the greatest and the least content among the rows of the highest seq
+        hashed = batch.withColumn("_h", content_hash(batch, payload)).withColumn("_not_h", F.bitwise_not("_h"))
+        one = hashed.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct("seq", "_h")).alias("_p"),
+                                        F.max(F.struct("seq", "_h"))["_h"].alias("_high"), F.max(F.struct("seq", "_not_h"))["_not_h"].alias("_low"))
+        fine = F.col("_high") == F.bitwise_not("_low")
+        clean = one.filter(fine).select(*keys, *[F.col("_p")[c].alias(c) for c in payload])
+        return clean.select(*batch.columns), one.filter(~fine).select(*keys)
     digest = _digest(batch, payload)
     same = [F.min(digest).alias("_low"), F.max(digest).alias("_high")] if equal_once else []
     one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *same, *([F.first(F.struct(*payload)).alias("_p")] if payload else []))
