@@ -13,6 +13,8 @@ from ..plans.search import search
 from ..schema import QUERIES
 from ..sources import tables
 from ..sources.snapshot import scratch_root
+from ..streaming import log
+from ..streaming.corpus import EVENTS, corpus as stream_corpus_tables, corpus_stream
 from ..streaming.ingest import ProgressLog, current_table, search_stream, stage_files, upsert_stream
 from . import register
 from .common import r6, sql_cos, with_chunks
@@ -24,15 +26,16 @@ def _events_changes(df):
                      F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"))
 
 
-@register("stream_upsert", """
+_UPSERT_SQL = """
 SELECT user_id, seq AS event_id, event_type, value FROM (
   SELECT user_id, event_id AS seq, event_type, value,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events) WHERE rn = 1 AND event_type <> 'error'""")
-def stream_upsert(spark, sf):
-    """M1: the events table replayed as a change feed of per-user records
-    (``error`` deletes the user), four files in mixed order, one file per
-    micro-batch; the newest published version after the stream drains."""
+  FROM events) WHERE rn = 1 AND event_type <> 'error'"""
+
+
+def _replayed(spark, sf) -> str:
+    """The events table replayed as a change feed of per-user records (``error`` deletes the user), four
+    files in mixed order, one file per micro-batch; the folder of the table after the stream drains."""
     root = scratch_root(spark, f"stream-{uuid.uuid4().hex}")
     ev = tables.read_table(spark, sf, "events")
     src = stage_files(ev, f"{root}/source", 4, "event_id")
@@ -44,8 +47,72 @@ def stream_upsert(spark, sf):
         q.awaitTermination()
     finally:
         spark.streams.removeListener(listener)
-    t = current_table(spark, f"{root}/table")
-    return t.select("user_id", F.col("seq").alias("event_id"), "event_type", "value")
+    return f"{root}/table"
+
+
+@register("stream_upsert", _UPSERT_SQL)
+def stream_upsert(spark, sf):
+    """M1: the change feed of the events; the newest version, merged on read from the batches' change files."""
+    return current_table(spark, _replayed(spark, sf)).select("user_id", F.col("seq").alias("event_id"), "event_type", "value")
+
+
+@register("stream_compacted", _UPSERT_SQL)
+def stream_compacted(spark, sf):
+    """M1: the same feed after the change files were folded into the base."""
+    root = _replayed(spark, sf)
+    log.compact(spark, root, force=True)
+    return current_table(spark, root).select("user_id", F.col("seq").alias("event_id"), "event_type", "value")
+
+
+def corpus_events(spark, sf):
+    """A feed of documents and chunks.  Every labelled document is added; good ones are updated, toxic ones
+    deleted, and added again when good; every chunk is added, of any document, and some are updated or deleted.  Changes of a
+    document have numbers within a hundred of their own."""
+    c = tables.corpus(spark, sf)
+    lab = tables.read_table(spark, sf, "labels").groupBy(F.col("doc_id").cast("string").alias("document_id")).agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    own = F.col("document_id").cast("long") * 100
+    renamed = F.transform_values("metadata", lambda k, v: F.concat(F.lit("upd-"), v))
+
+    def doc(rows, op, at, metadata="metadata"):
+        return rows.select((own + at).alias("seq"), F.lit("document").alias("kind"), F.lit(op).alias("op"), "library_id", "document_id",
+                           F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("text"),
+                           F.lit(None).cast("array<float>").alias("embedding"), (F.col(metadata) if isinstance(metadata, str) else metadata).alias("metadata"))
+
+    def chunk(rows, op, at, text="text"):
+        return rows.select((own + at).alias("seq"), F.lit("chunk").alias("kind"), F.lit(op).alias("op"), "library_id", "document_id", "chunk_id",
+                           (F.col(text) if isinstance(text, str) else text).alias("text"), "embedding", "metadata")
+
+    d = c.documents.join(lab, "document_id")
+    label = F.element_at("metadata", "label").cast("int")
+    parts = [doc(d, "add", 0), doc(d.filter("toxic = 1"), "delete", 50), doc(d.filter("toxic = 1 AND quality = 1"), "add", 55),
+             doc(d.filter("quality = 1"), "update", 60, renamed), chunk(c.chunks, "add", F.col("chunk_pos") * 20 + 11),
+             chunk(c.chunks.filter(label % 3 == 0), "update", 75, F.concat("text", F.lit(" [edited]"))), chunk(c.chunks.filter(label % 5 == 0), "delete", 80)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*[f.name for f in EVENTS.fields])
+
+
+@register("stream_corpus", with_chunks("""
+SELECT 'document' AS kind, document_id, NULL AS chunk_id, CASE WHEN quality = 1 THEN 'upd-' || lang ELSE lang END AS content
+FROM d WHERE since IS NOT NULL
+UNION ALL
+SELECT 'chunk', c.document_id, c.chunk_id, md5(CASE WHEN CAST(c.label AS INTEGER) % 3 = 0 THEN c.text || ' [edited]' ELSE c.text END)
+FROM chunks c JOIN d ON d.document_id = c.document_id AND d.library_id = c.library_id
+WHERE 11 + 20 * c.chunk_pos > d.since AND CAST(c.label AS INTEGER) % 5 <> 0""", """lab AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT docs.*, quality, CASE WHEN toxic = 0 THEN 0 WHEN quality = 1 THEN 55 END AS since FROM docs JOIN lab USING (document_id))"""))
+def stream_corpus(spark, sf):
+    """M1 over U9-U14: a feed of document and chunk changes in shuffled order, four files, one per
+    micro-batch; chunks wait in the stream's state for their document, deletes cascade; the corpus after it drains."""
+    root = scratch_root(spark, f"corpus-{uuid.uuid4().hex}")
+    src = stage_files(corpus_events(spark, sf), f"{root}/source", 4, "seq")
+    corpus_stream(spark, src, f"{root}/corpus", checkpoint=f"{root}/checkpoint", buckets=16).awaitTermination()
+    documents, chunks = stream_corpus_tables(spark, f"{root}/corpus")
+    none = F.lit(None).cast("string")
+    return documents.select(F.lit("document").alias("kind"), "document_id", none.alias("chunk_id"), F.element_at("metadata", "lang").alias("content")).unionByName(
+        chunks.select(F.lit("chunk").alias("kind"), "document_id", "chunk_id", F.md5(F.col("text").cast("binary")).alias("content")))
 
 
 @register("stream_search", with_chunks(

@@ -3,17 +3,12 @@ against a static index (M2).
 
 M1 replaces the reference's "save every 300 s" loop: a change feed is read
 with ``readStream``; each micro-batch (``trigger(processingTime=...)`` in
-production, ``availableNow`` for catch-up and tests) applies the latest
-change per key, keeps deletes as tombstones (a late, older change cannot
-revive a key) and publishes a new version.
-
-The table is split into ``buckets`` by a hash of the key, and a batch
-rewrites only the buckets its changes touch: the cost of a batch follows
-the batch, not the table.  A version's manifest maps every non-empty bucket
-to the version directory that last wrote it, and records the number of buckets
-and the last batch of every stream that wrote to the table.  Version directories
-are named by version, stream and batch, and versions go on from the newest
-manifest: a batch that was published is not applied again, a batch that failed
+production, ``availableNow`` for catch-up and tests) appends its changes to
+a table kept as a log (:mod:`vellum.streaming.log`): the newest change per key, deletes
+kept (a late, older change cannot revive a key), published as a new
+version and compacted when changes have outgrown the base.
+
+A batch that was published is not applied again, a batch that failed
 before its manifest overwrites only its own directory, and a stream with a new
 checkpoint adds versions and touches no older one.  One stream writes at a time.
 The streaming checkpoint lives under the shared checkpoint folder.
@@ -28,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.mutate import apply_changes
 from ..sources import fs
-from ..sources.snapshot import manifest_name, versions
+from . import log
 
 
 def stage_files(df: DataFrame, folder: str, n_files: int, spread_col: str) -> str:
@@ -63,23 +57,23 @@ class ProgressLog(StreamingQueryListener):
         pass
 
 
-def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id Spark gives a stream, kept in its checkpoint across restarts."""
     return json.loads(fs.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
 
 
-def _manifest(spark: SparkSession, root: str) -> dict:
-    vs = versions(spark, root)
-    if not vs:
-        return {"version": -1, "buckets": None, "batches": {}, "table": {}, "tombstones": {}}
-    return json.loads(fs.read_text(spark, f"{root.rstrip('/')}/{manifest_name(vs[-1])}"))
-
+def started(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, processing_time: str | None):
+    """The running query that hands every micro-batch, read once, to ``apply``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()          # feeds several jobs; recomputed where lost
+        try:
+            apply(batch, batch_id)
+        finally:
+            batch.unpersist()
 
-def _read_buckets(spark: SparkSession, where: dict, part: str, buckets: list[int], schema) -> DataFrame:
-    paths = [f"{where[str(b)]}/{part}/bkt={b}" for b in buckets if str(b) in where]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()
 
 
 def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: list[str], *,
@@ -95,55 +89,17 @@ def upsert_stream(spark: SparkSession, source: str, schema, root: str, keys: lis
               .parquet(source))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # the batch feeds several jobs below: read the source once
-        batch = batch.persist()
-        try:
-            _apply(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _apply(batch: DataFrame, batch_id: int) -> None:
-        prev = _manifest(spark, root)
-        if prev["buckets"] not in (None, buckets):
-            raise ValueError(f"the table at {root} is kept in {prev['buckets']} buckets, not {buckets}")
-        stream_id = _stream_id(spark, checkpoint)
-        if prev["batches"].get(stream_id, -1) >= batch_id:
-            return                                       # published before the stream was stopped
         changes = to_changes(batch) if to_changes else batch
-        payload = [c for c in changes.columns if c != op_col]
-        bkt = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        touched = sorted(r[0] for r in changes.select(bkt.alias("b")).distinct().collect())  # <= buckets
-        tschema = changes.select(*payload).schema
-        dschema = changes.select(*keys, *order_cols).schema
-        table = _read_buckets(spark, prev["table"], "table", touched, tschema)
-        tombs = _read_buckets(spark, prev["tombstones"], "tombstones", touched, dschema)
-        live, dead = apply_changes(table, changes, keys, op_col=op_col, order_cols=order_cols,
-                                   tombstones=tombs)
-        version = prev["version"] + 1
-        out = f"{root.rstrip('/')}/v{version:012d}-{stream_id}-{batch_id}"
-        live.select(*payload).withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt") \
-            .parquet(f"{out}/table")
-        dead.withColumn("bkt", bkt).write.mode("overwrite").partitionBy("bkt").parquet(f"{out}/tombstones")
-        manifest: dict = {"version": version, "buckets": buckets, "batches": {**prev["batches"], stream_id: batch_id}}
-        for part in ("table", "tombstones"):
-            written = {n.split("=", 1)[1] for n in fs.list_names(spark, f"{out}/{part}") if n.startswith("bkt=")}
-            where = {b: d for b, d in prev[part].items() if int(b) not in touched}
-            where.update({b: out for b in written})
-            manifest[part] = where
-        fs.write_text(spark, f"{root.rstrip('/')}/{manifest_name(version)}", json.dumps(manifest))
-
-    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return w.start()
+        log.append(spark, root, changes, keys, list(order_cols), op_col=op_col, buckets=buckets,
+                   stream=stream_id(spark, checkpoint), batch=batch_id)
+        log.compact(spark, root)
 
+    return started(stream, apply, checkpoint, processing_time)
 
-def current_table(spark: SparkSession, root: str, schema=None) -> DataFrame:
+
+def current_table(spark: SparkSession, root: str) -> DataFrame:
     """The newest published version of a table kept by :func:`upsert_stream`."""
-    m = _manifest(spark, root)
-    paths = [f"{d}/table/bkt={b}" for b, d in sorted(m["table"].items(), key=lambda kv: int(kv[0]))]
-    if not paths:
-        raise FileNotFoundError(f"no published rows under {root}")
-    return spark.read.schema(schema).parquet(*paths) if schema is not None else spark.read.parquet(*paths)
+    return log.read(spark, root)
 
 
 def search_stream(spark: SparkSession, source: str, schema, out: str, run_batch: Callable[[DataFrame], DataFrame], *,
@@ -155,12 +111,6 @@ def search_stream(spark: SparkSession, source: str, schema, out: str, run_batch:
               .parquet(source))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()          # a search reads its query batch more than once
-        try:
-            run_batch(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        run_batch(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
-    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return w.start()
+    return started(stream, apply, checkpoint, processing_time)
