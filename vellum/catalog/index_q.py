@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..plans import incremental
 from ..plans.index import build_index, index_counts, index_freshness
+from ..sources.snapshot import scratch_root
 from ..sources import tables
 from . import register
 from .common import degenerate_chunks, degenerate_sql, with_chunks
@@ -72,33 +76,64 @@ def index_rows(spark, sf):
                           F.round("inv_norm", 6).alias("inv_norm"))
 
 
-@register("index_freshness", with_chunks("""
+_FRESHNESS_CTES = """idx AS (SELECT library_id, chunk_id, embedding FROM chunks WHERE lang <> 'de'),
+cur AS (SELECT c.library_id, c.chunk_id,
+               CASE WHEN l.quality = 0 THEN list_reverse(c.embedding) ELSE c.embedding END AS embedding
+        FROM chunks c LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.document_id
+        WHERE coalesce(l.toxic, 0) = 0)"""
+_FRESHNESS_SQL = with_chunks("""
 SELECT coalesce(c.library_id, i.library_id) AS library_id, coalesce(c.chunk_id, i.chunk_id) AS chunk_id,
        CASE WHEN i.chunk_id IS NULL THEN 'not_indexed' WHEN c.chunk_id IS NULL THEN 'deleted'
             ELSE 'changed' END AS state
 FROM cur c FULL OUTER JOIN idx i ON c.library_id = i.library_id AND c.chunk_id = i.chunk_id
-WHERE i.chunk_id IS NULL OR c.chunk_id IS NULL OR c.embedding <> i.embedding""",
-    """idx AS (SELECT library_id, chunk_id, embedding FROM chunks WHERE lang <> 'de'),
-cur AS (SELECT c.library_id, c.chunk_id,
-               CASE WHEN l.quality = 0 THEN list_reverse(c.embedding) ELSE c.embedding END AS embedding
-        FROM chunks c LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.document_id
-        WHERE coalesce(l.toxic, 0) = 0)"""))
-def index_freshness_q(spark, sf):
-    """An index built when German chunks were not yet in it, against the
-    current chunks where toxic-labelled documents were deleted and
-    low-quality ones got new vectors."""
+WHERE i.chunk_id IS NULL OR c.chunk_id IS NULL OR c.embedding <> i.embedding""", _FRESHNESS_CTES)
+
+
+def _old_and_current(spark, sf):
+    """The build from when German chunks were not there yet, and the current chunks: documents labelled toxic
+    were deleted, low-quality ones got new vectors."""
     c = tables.corpus(spark, sf)
-    old = c.chunks.filter(F.element_at("metadata", "lang") != "de")
-    b = build_index(old, c.libraries)
+    b = build_index(c.chunks.filter(F.element_at("metadata", "lang") != "de"), c.libraries)
     lab = tables.read_table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("document_id"), "toxic", "quality")
     cur = (c.chunks.join(lab, "document_id", "left")
            .filter(F.coalesce("toxic", F.lit(0)) == 0)
            .withColumn("embedding", F.when(F.col("quality") == 0, F.reverse("embedding"))
                        .otherwise(F.col("embedding"))))
+    return b, cur, c.libraries
+
+
+@register("index_freshness", _FRESHNESS_SQL)
+def index_freshness_q(spark, sf):
+    """An older index against the current chunks."""
+    b, cur, _ = _old_and_current(spark, sf)
     return index_freshness(b.index, cur)
 
 
+def _published(spark, sf):
+    b, cur, libraries = _old_and_current(spark, sf)
+    root = scratch_root(spark, f"incremental-{uuid.uuid4().hex}")
+    incremental.publish(b, root)
+    return root, cur, libraries
+
+
+@register("index_freshness_digests", _FRESHNESS_SQL)
+def index_freshness_digests(spark, sf):
+    """X5 by stored digests: only the buckets whose digests differ are opened."""
+    root, cur, _ = _published(spark, sf)
+    return incremental.freshness(spark, root, cur)
+
+
+@register("index_refresh", with_chunks(
+    "SELECT library_id, chunk_id, round(embedding[1], 6) AS first, round(embedding[64], 6) AS last FROM cur WHERE len(embedding) > 0", _FRESHNESS_CTES))
+def index_refresh(spark, sf):
+    """X2 of what changed: the stale buckets are written anew, the others stay; the rows of the refreshed index."""
+    root, cur, libraries = _published(spark, sf)
+    incremental.refresh(spark, root, cur, libraries)
+    index, _meta = incremental.read(spark, root)
+    return index.select("library_id", "chunk_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), F.round(F.col("vector")[63].cast("double"), 6).alias("last"))
+
+
 @register("index_counts", with_chunks("""
 SELECT l.library_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_documents,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n_chunks, CAST(coalesce(c.nd, 0) AS BIGINT) AS n_documents_with_chunks,
