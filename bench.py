@@ -27,11 +27,14 @@ from collections import defaultdict
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
+from pyspark.accumulators import AccumulatorParam  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from vellum.catalog import QUERIES, load_all  # noqa: E402
-from vellum.operators.cells import build_cells, knn_cells  # noqa: E402
+from vellum.operators.cells import build_cells  # noqa: E402
 from vellum.operators.knn import knn_join  # noqa: E402
+from vellum.operators.tree import build_blocks, knn_tree  # noqa: E402
 from vellum.plans.index import build_index, read_index, write_index  # noqa: E402
 from vellum.session import local_session  # noqa: E402
 from vellum.sources.snapshot import scratch_root  # noqa: E402
@@ -46,6 +49,14 @@ WORKLOAD_DIMS = [3, 10, 50, 100, 300, 768]   # the reference's dims, plus 3-d wh
 CELL_DIMS = [3, 10, 50]
 
 
+class Pair(AccumulatorParam):
+    def zero(self, value):
+        return np.zeros(2)
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -77,20 +88,14 @@ def workload(spark, out: dict) -> None:
             holder = {}
 
             def build():
-                ci, cells = build_cells(idx, leaf_size=40)
-                holder["ci"], holder["cells"] = ci.checkpoint(eager=True), cells.checkpoint(eager=True)
+                holder["blocks"] = build_blocks(idx)
 
             out[f"wl_cells_d{d}_build"] = timed(build)
-            kept: list = []
-            out[f"wl_cells_d{d}_query100"] = timed(
-                lambda: run(knn_cells(holder["ci"], holder["cells"], qs, k=10, cell_block_rows=256, kept=kept)))
-            # fraction of the 10,000 vectors each query scores, averaged over queries
-            # (the probe's scores and those of the kept cells: every score computed)
-            n = holder["cells"].select("library_id", "cell", "n")
-            scored = (kept[0].unionByName(kept[1]).select("query_id", "library_id", F.explode("cells").alias("cell"))
-                      .join(n, ["library_id", "cell"]).groupBy("query_id").agg(F.sum("n").alias("s")))
-            frac = scored.agg(F.avg(F.col("s") / F.lit(10_000))).first()[0]
-            out[f"wl_cells_d{d}_fraction_scored"] = round(float(frac or 0.0), 4)
+            out[f"wl_cells_d{d}_query100"] = timed(lambda: run(knn_tree(holder["blocks"], qs, k=10)))
+            # fraction of the (query, vector) pairs whose score is computed
+            scored = spark.sparkContext.accumulator(np.zeros(2), Pair())
+            run(knn_tree(holder["blocks"], qs, k=10, scored=scored))
+            out[f"wl_cells_d{d}_fraction_scored"] = round(float(scored.value[0] / max(scored.value[1], 1)), 4)
             out[f"wl_cells_approx_d{d}_build"] = timed(
                 lambda: [x.checkpoint(eager=True) for x in build_cells(idx, leaf_size=40, split="approx")])
 
@@ -150,6 +155,23 @@ def skew_workload(spark, out: dict) -> None:
         out[f"wl_skew300k_{kernel}_query3000"] = timed(lambda: run(knn_join(base, qs, k=10, kernel=kernel)))
 
 
+def large_workload(spark, out: dict) -> None:
+    """1,000,000 3-d vectors of one library, 100 queries: exact scan against the tree."""
+    base = gaussian_vectors(spark, 1_000_000, 3, seed=42, num_partitions=16).select(
+        F.lit("bench").alias("library_id"), F.col("id").cast("string").alias("chunk_id"),
+        F.col("embedding").alias("vector"), F.lit(1.0).alias("inv_norm"), F.lit(0).cast("long").alias("build_id")).checkpoint(eager=True)
+    qs = gaussian_vectors(spark, 100, 3, seed=43).select(
+        F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"), F.lit("bench").alias("library_id"), "embedding", F.lit(10).alias("k"))
+    holder = {}
+
+    def build():
+        holder["blocks"] = build_blocks(base)
+
+    out["wl_cells_1m_d3_build"] = timed(build)
+    out["wl_cells_1m_d3_query100"] = timed(lambda: run(knn_tree(holder["blocks"], qs, k=10)))
+    out["wl_exact_1m_d3_query100"] = timed(lambda: run(knn_join(base, qs, k=10)))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -173,6 +195,7 @@ def main() -> None:
     if os.environ.get("BENCH_WORKLOAD", "1") != "0":
         workload(spark, queries)
         skew_workload(spark, queries)
+        large_workload(spark, queries)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
                       "queries": queries, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}))

@@ -32,4 +32,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from . import (search_q, vector_q, corpus_q, quality_q, knn_q, mutate_q,  # noqa: F401
-                   index_q, cells_q, io_q, embed_q, stream_q, where_q)
+                   index_q, cells_q, io_q, embed_q, stream_q, where_q, near_q)

@@ -68,11 +68,11 @@ def serialize_documents(spark, sf):
 
 @register("serialize_events", """
 SELECT event_id, json_object('event_id', event_id, 'ts', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'),
-                             'user_id', user_id, 'event_type', event_type, 'props', props) :: VARCHAR AS json
+                             'user_id', user_id, 'event_type', event_type, 'value', value, 'props', props) :: VARCHAR AS json
 FROM events""")
 def serialize_events(spark, sf):
     """S3: timestamps as ISO-8601 text inside JSON records."""
-    e = tables.read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    e = tables.read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     rec = S.serialize_record(e.withColumn("_k", F.col("event_id")), [], ["ts"], keep=["_k"])
     return rec.select(F.col("_k").alias("event_id"), "json")
 

@@ -74,12 +74,6 @@ def cosine_sim(a: ColumnOrName, b: ColumnOrName) -> Column:
     return vec_dot(a, b) * inv_norm(a) * inv_norm(b)
 
 
-def cosine_sim_prenormed(a: ColumnOrName, a_inv: ColumnOrName,
-                         b: ColumnOrName, b_inv: ColumnOrName) -> Column:
-    """C4 with stored inverse norms (the index form): one dot product."""
-    return vec_dot(a, b) * _c(a_inv) * _c(b_inv)
-
-
 def cosine_dist(a: ColumnOrName, b: ColumnOrName) -> Column:
     """1 - cosine similarity."""
     return F.lit(1.0) - cosine_sim(a, b)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import VECTOR
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir
 from .mutate import CHUNK, DOC, LIB, Corpus3, add_chunks, gate
 
 
@@ -84,9 +84,20 @@ def _provider(factory: Callable[[], EmbeddingProvider], name: str | None) -> Emb
     return _PROVIDERS[name]
 
 
+def hashed_embedding(text, dim: int = 64):
+    """The vector of :class:`HashingProvider` as an expression: no Python, whatever the texts."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT.pattern), lambda t: t != "")
+    bucket = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, HASH_HEX_DIGITS), 16, 10).cast("long") % dim).cast("int"))
+    # the count of a bucket is what its removal takes away
+    counts = F.transform(F.array(bucket), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")))
+    unit = F.transform(counts, lambda c: F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(
+        c, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))))
+    return F.flatten(unit)[0]
+
+
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                  factory: Callable[[], EmbeddingProvider] = HashingProvider,
-                 batch_size: int = 96, name: str | None = None) -> DataFrame:
+                 batch_size: int = 96, name: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` (array<float>) embedding ``text_col``; a failed
     provider batch gives empty vectors for its texts.  Each task makes its own
     provider; one with a ``name`` stays in the worker and serves later tasks that
@@ -109,7 +120,7 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                 out.extend(vecs)
             yield pd.Series(out)
 
-    return spread(df).withColumn(out_col, _embed(F.col(text_col)))
+    return (df.repartition(partitions) if partitions else df).withColumn(out_col, _embed(F.col(text_col)))
 
 
 def split_embedded(df: DataFrame, col: str = "embedding"):

@@ -360,7 +360,7 @@ def bounded_queries(queries: DataFrame, most_rows: int, most_bytes: int) -> pa.T
 
 def knn_join(index: DataFrame, queries: DataFrame, k: int | None = None, *,
              kernel: str = "auto", broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20, block_rows: int = 16_384,
-             query_block_rows: int = 2_048, sample: DataFrame | None = None) -> DataFrame:
+             query_block_rows: int = 8_192, sample: DataFrame | None = None) -> DataFrame:
     """Exact top-k per query among the indexed vectors of the query's
     library.
 

@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 
 from ..functions.vector import has_non_finite, inv_norm
 from ..schema import INDEX, INDEX_META
-from ..session import fresh
+from ..session import ensure_checkpoint_dir, fresh
 from ..sources import fs
 
 _MANIFEST = "_manifest-"
+#: Accepted libraries up to this many are broadcast to the vectors (some 50 bytes each).
+BROADCAST_LIBRARIES = 200_000
 _VERSIONED_META = T.StructType([*INDEX_META.fields, T.StructField("version", T.LongType())])
 
 
@@ -96,7 +98,6 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
 
     ``sample_fraction`` also keeps a seeded row sample of the index; searches
     use it to bound the candidates each task emits (see ``knn_join``)."""
-    stats = library_stats(chunks, libraries)
     if mode == "strict":
         status = (F.when(F.col("n_empty") > 0, F.lit("empty_embeddings"))
                   .when(F.size("dims") > 1, F.lit("inconsistent_dimensions"))
@@ -107,16 +108,27 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
                   .otherwise(F.lit("indexed")))
     else:
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
-    # a component that is no number, or an id given twice, would make wrong rankings
-    bad = (chunks.filter(has_non_finite("embedding")).groupBy("library_id").agg(F.lit(True).alias("_nonfinite")))
-    twice = (chunks.groupBy("library_id", "chunk_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-             .groupBy("library_id").agg(F.lit(True).alias("_twice")))
-    decided = (stats.withColumn("status", status)
-               .join(fresh(bad), "library_id", "left").join(fresh(twice), "library_id", "left")
+    # one scan decides: per chunk id first, as an id given twice, or a component that is no number, would
+    # make wrong rankings; no vector is shuffled
+    size = F.when(~_empty_vec(), F.size("embedding"))
+    ids = chunks.groupBy("library_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(_empty_vec(), 1)).alias("e"), F.min(size).alias("low"), F.max(size).alias("high"),
+        F.max(F.coalesce(has_non_finite("embedding"), F.lit(False))).alias("bad"))
+    per = ids.groupBy("library_id").agg(
+        F.sum("n").alias("n_chunks"), F.sum("e").alias("n_empty"), F.array_union(F.collect_set("low"), F.collect_set("high")).alias("dims"),
+        F.max("bad").alias("_nonfinite"), (F.max("n") > 1).alias("_twice"))
+    per = libraries.select("library_id").join(per, "library_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    decided = per.select("library_id", zero("n_chunks"), zero("n_empty"), F.array_sort(F.coalesce("dims", F.array().cast("array<int>"))).alias("dims"),
+                         "_nonfinite", "_twice")
+    decided = (decided.withColumn("status", status)
                .withColumn("status", F.when(F.col("status") != "indexed", F.col("status"))
                            .when(F.col("_nonfinite"), F.lit("non_finite"))
                            .when(F.col("_twice"), F.lit("duplicate_ids")).otherwise(F.col("status")))
                .drop("_nonfinite", "_twice"))
+    # written once: index, meta and report all read it
+    ensure_checkpoint_dir(chunks.sparkSession)
+    decided = decided.checkpoint()
     # the report adds the first empty ids; the index and meta need only the decision
     empties = first_ids(chunks.filter(_empty_vec()), "library_id", "chunk_id", 5, "first_empty")
     report = (decided.join(empties, "library_id", "left")
@@ -130,7 +142,9 @@ def build_index(chunks: DataFrame, libraries: DataFrame, *, mode: str = "strict"
         F.lit(build_id).cast("long").alias("build_id"),
     )
     vecs = chunks.filter(~_empty_vec()) if mode == "lenient" else chunks
-    index = (vecs.join(ok.select("library_id"), "library_id", "left_semi")
+    names = ok.select("library_id")
+    few = names.count() <= BROADCAST_LIBRARIES
+    index = (vecs.join(F.broadcast(names) if few else names, "library_id", "left_semi")
              .select("library_id", "chunk_id",
                      F.col("embedding").alias("vector"),
                      inv_norm("embedding").alias("inv_norm"),

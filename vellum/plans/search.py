@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maps import metadata_matches
+from ..functions.maps import metadata_equals, metadata_matches
 from ..functions.vector import has_non_finite
 from ..operators.knn import knn_join
 from ..schema import DEFAULT_K, MAX_K, MIN_K
@@ -39,13 +39,14 @@ class SearchResult:
     rejects: DataFrame
 
 
-def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAULT_K):
+def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAULT_K, once: bool = False):
     """V5, V9, V4: split queries into accepted and rejected rows.
 
     ``reason`` is one of ``missing_embedding``, ``non_finite``, ``k_out_of_range``,
     ``not_indexed``, ``dimension_mismatch`` and ``duplicate_query`` (first failing
     check wins).  A query is known by ``(library_id, query_id)``; one given twice is
-    ambiguous and every row of it is rejected.  A
+    ambiguous and every row of it is rejected.  ``once``: the decided queries are written (checkpoint), for callers
+    that read them several times.  A
     library whose index is empty accepts any dimension (and then returns no
     hits)."""
     if "k" not in queries.columns:
@@ -64,6 +65,8 @@ def validate_queries(queries: DataFrame, meta: DataFrame, default_k: int = DEFAU
                     F.lit("dimension_mismatch"))
               .when(F.col("_times") > 1, F.lit("duplicate_query")))
     j = j.withColumn("reason", reason)
+    if once:
+        j = j.checkpoint()
     accepted = j.filter(F.col("reason").isNull()).drop("_dim", "_n", "_indexed", "_times", "reason")
     rejects = j.filter(F.col("reason").isNotNull()).select("query_id", "library_id", "reason")
     return accepted, rejects
@@ -78,7 +81,8 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
     Returns hits ``query_id, library_id, rank, chunk_id, document_id, score,
     text, embedding, metadata`` (``rank`` is the position in the unfiltered
     top-k) and rejects ``query_id, library_id, reason``."""
-    accepted, rejects = validate_queries(queries, meta, default_k)
+    ensure_checkpoint_dir(queries.sparkSession)
+    accepted, rejects = validate_queries(queries, meta, default_k, once=True)
     if "filters" not in accepted.columns:
         accepted = accepted.withColumn("filters", F.create_map().cast("map<string,string>"))
     live = fresh(chunks.select("library_id", "chunk_id", "document_id", "text", "embedding", "metadata"))
@@ -96,7 +100,6 @@ def search(index: DataFrame, meta: DataFrame, chunks: DataFrame, queries: DataFr
     # the hits, at most k a query, are written once and their size decides how they meet the chunks
     found = (fresh(top).join(fresh(accepted.select("library_id", "query_id", "filters")), ["library_id", "query_id"])
              .select("query_id", "library_id", "rank", "chunk_id", "score", "filters"))
-    ensure_checkpoint_dir(found.sparkSession)
     found = found.checkpoint()
     ids = F.length("query_id") + F.length("library_id") + F.length("chunk_id")
     size = found.agg(F.count(F.lit(1)).alias("n"),
@@ -116,7 +119,7 @@ def search_prefiltered(index: DataFrame, meta: DataFrame, chunks: DataFrame, que
     scan by Catalyst."""
     cond: Column = F.lit(True)
     for key, val in filters.items():
-        cond = cond & (F.element_at("metadata", key) == F.lit(val))
+        cond = cond & metadata_equals("metadata", key, val)
     keep = chunks.filter(cond).select("library_id", "chunk_id")
     sub = index.join(keep, ["library_id", "chunk_id"], "left_semi")
     return search(sub, meta, chunks, queries.withColumn("filters", F.create_map().cast("map<string,string>")),

@@ -88,15 +88,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over at least ``min_partitions`` (default: the
-    cluster's parallelism) when it has fewer partitions, so a Python-heavy
-    stage does not run in one task just because its input was one small
-    file.  Large inputs already have more partitions and pass untouched."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def fresh(df):
     """``df`` with every column re-aliased, so it can be joined with a frame
     of the same lineage without ambiguous self-join references."""
