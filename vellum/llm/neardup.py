@@ -23,7 +23,7 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch is
    discards it when six standard errors below ``SIMILAR``; so do the sizes.
 5. Verification: exact Jaccard on the full sets.
 
-Nothing data-sized reaches the driver; every round is cut with a checkpoint.
+Nothing data-sized reaches the driver; what several steps read is written once to the shared folder.
 """
 
 import itertools
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut
+from .common import Tables
 
 SKETCH = 64
 LISTED = 32
@@ -53,6 +53,8 @@ BROADCAST_IDS = 500_000
 #: Comparisons per posting above which another pivot round comes before the rest.
 EXPAND_RATIO = 16
 ROUNDS = 4
+#: Edges (16 bytes each) that one task joins up.
+LOCAL_EDGES = 1_000_000
 #: Sizes are told apart to this ratio where partners are posted by size.
 SIZE_STEP = 1.01
 PARITY = 512
@@ -130,14 +132,14 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def exact_postings(sets: DataFrame) -> DataFrame:
-    """Postings of full sets (cid, set) by value and the size steps of both partners, i <= j.
+    """Postings of full sets (cid, set, with its hash sid, size n and bits) by value and the size steps of both partners, i <= j.
 
     A value at place p of a set of n, from rare to common, can be the first that is
     shared with a similar set of m only if n - p >= share(n + m)."""
     step = lambda x: F.floor(F.log(x) / F.log(F.lit(SIZE_STEP))).cast("int")
     t = SIMILAR / 100
-    n = F.size("set")
-    rows = sets.select(F.xxhash64("set").alias("sid"), "cid", "bits", n.alias("n"), step(n).alias("own"), F.explode("set").alias("value"))
+    # only what is stored goes along with an exploded value: an expression over the set would be computed for each
+    rows = sets.withColumn("own", step(F.col("n"))).select("sid", "cid", "bits", "n", "own", F.explode("set").alias("value"))
     df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("own").alias("low"), F.max("own").alias("high")).filter("df > 1")
     v = rows.join(df, "value").groupBy("sid", "cid", "n", "own", "bits").agg(
         F.sort_array(F.collect_list(F.struct("df", "value", "low", "high"))).alias("v"), F.sum("df").alias("weight"))
@@ -176,12 +178,30 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     return s.filter(100 * F.col("both") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(cid, label): the least node of the component of every node of ``edges``
-    (a, b), by alternating large and small stars until nothing changes."""
-    e = cut(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct())
-    seen = None
+def _union_find(batches):
+    """(cid, label) of all nodes of the edges of one bounded partition."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if len(b)]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts), return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    low = np.arange(len(nodes))                    # positions are in order of ids: the least one labels
     while True:
+        a, b = low[u], low[v]
+        if (a == b).all():
+            break
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low[low] != low).any():
+            low = low[low]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["cid", "label"])
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(cid, label): the least node of the component of every node of ``edges`` (a, b).  Alternating large and small
+    stars, until nothing changes or the edges are at most ``LOCAL_EDGES``, which one task joins up."""
+    e = tables.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    seen = None
+    while e.count() > LOCAL_EDGES:
         # large star: a node's greater neighbours join its least neighbour
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -190,41 +210,56 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        old, e = e, tables.cut(small)
+        tables.drop(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-        if now == seen or not now[0]:
-            break
+        if now == seen:
+            return tables.cut(e.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(
+                e.select(F.col("v").alias("cid"), F.col("v").alias("label"))).groupBy("cid").agg(F.min("label").alias("label")))
         seen = now
-    return e.select(F.col("u").alias("cid"), F.col("v").alias("label")).unionByName(
-        e.select(F.col("v").alias("cid"), F.col("v").alias("label"))).groupBy("cid").agg(F.min("label").alias("label"))
+    label = tables.cut(e.coalesce(1).mapInArrow(_union_find, "cid bigint, label bigint"))
+    tables.drop(e)
+    return label
 
 
-def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, stats: dict | None = None) -> DataFrame | None:
+def link_classes(classes: DataFrame, sets_of, tables: Tables, links: DataFrame | None = None, stats: dict | None = None) -> DataFrame | None:
     """(cid, label) of classes with a link; ``sets_of(ids)`` gives their full sets.
     ``links`` (a, b) hold beforehand.  None when there is no link to look for."""
-    index = cut(postings(classes))
+    index = tables.cut(postings(classes))
     n_postings = index.count()
-    edges = [] if links is None else [links]
+    label: DataFrame | None = None
+    few_labels = False
     if n_postings:
-        ids = cut(index.select("cid").distinct())
-        sets = cut(sets_of(ids))
-        own = cut(classes.join(ids, "cid", "left_semi"))
-
-    def join_up() -> DataFrame | None:
-        return cut(components(reduce(DataFrame.unionByName, edges))) if edges else None
+        ids = tables.cut(index.select("cid").distinct())
+        sets = tables.cut(sets_of(ids).withColumn("sid", F.xxhash64("set")).withColumn("n", F.size("set")))
+        own = tables.cut(classes.join(ids, "cid", "left_semi"))
+
+    def join_up(edges: DataFrame) -> None:
+        """Adds links to the components."""
+        nonlocal label, few_labels
+        if edges.limit(1).count():
+            old = label
+            if old is not None:
+                edges = edges.unionByName(old.filter("cid != label").select(F.col("cid").alias("a"), F.col("label").alias("b")))
+            label = components(edges, tables)
+            tables.drop(old)
+            few_labels = label.count() <= BROADCAST_IDS
 
     def place(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows with labels; lists of several labels with the size, and the largest, of them."""
-        placed = rows.withColumn("label", F.col("cid")) if label is None else \
-            rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        placed = cut(placed)
+        if label is None:
+            placed = rows.withColumn("label", F.col("cid"))
+        else:
+            placed = rows.join(F.broadcast(label) if few_labels else label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         main = placed.groupBy("list", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(
             F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).filter("size > top.c")
-        return placed, cut(main.select("list", "size", F.col("top.c").alias("c"), F.col("top.label").alias("main")))
+        return placed, main.select("list", "size", F.col("top.c").alias("c"), F.col("top.label").alias("main"))
 
     def compare(pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges.append(cut(verified(pairs, own, sets)))
+        found = tables.cut(verified(pairs, own, sets))
+        join_up(found)
+        tables.drop(found)
 
     def with_pivot(rest: DataFrame, among: DataFrame) -> DataFrame:
         """Each member with the pivot of its list, where they are of two components."""
@@ -232,20 +267,21 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
         return rest.withColumnsRenamed({"cid": "y", "label": "ly"}).join(
             top.select("list", F.col("p.cid").alias("x"), F.col("p.label").alias("lx")), "list").filter("lx != ly")
 
-    label = join_up()
+    if links is not None:
+        join_up(links)
     if not n_postings:
         return label
     placed, _ = place(index)
     compare(with_pivot(placed, placed))
-    label = join_up()
     placed, main = place(index)
-    members = cut(placed.join(main, "list", "left_semi").select("cid").distinct())
-    index = cut(exact_postings(sets.join(members, "cid", "left_semi")))
+    members = tables.cut(placed.join(main, "list", "left_semi").select("cid").distinct())
+    tables.drop(index)
+    index = tables.cut(exact_postings(sets.join(members, "cid", "left_semi")))
     n_postings = index.count()
     nearest = False
     for turn in itertools.count():
         placed, main = place(index)
-        rest = placed.join(main.select("list", "main"), "list").withColumn("out", (F.col("label") != F.col("main")).cast("long"))
+        rest = tables.cut(placed.join(main.select("list", "main"), "list").withColumn("out", (F.col("label") != F.col("main")).cast("long")))
         # a list of two sizes compares one with the other only
         sides = rest.groupBy("list", "own").agg(F.count(F.lit(1)).alias("s"), F.sum("out").alias("o")).groupBy("list").agg(
             F.sum("s").alias("s"), F.sum("o").alias("o"), F.sum(F.col("s") * F.col("o")).alias("same"))
@@ -257,7 +293,7 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
         outside = rest.filter("out = 1")
         if not nearest and turn < ROUNDS and work > EXPAND_RATIO * n_postings:
             compare(with_pivot(rest, outside))
-            label = join_up()
+            tables.drop(rest)
             continue
         x, y = (z.select("list", F.col("cid").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("label", "n", "left", "own", "out", "bits")])
                 for z, c in ((outside, "x"), (rest, "y")))
@@ -273,10 +309,11 @@ def link_classes(classes: DataFrame, sets_of, links: DataFrame | None = None, st
         if stats is not None:
             stats.setdefault("pairs", []).append(pairs.count())
         compare(pairs)
-        label = join_up()
+        tables.drop(rest)
         if nearest:
             break
         nearest = True
+    tables.drop(index, members, ids, sets, own)
     return label
 
 
@@ -287,9 +324,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, stats: dict | None = None)
     of blanks, have no shingles and link with nothing.  Rows without an id link with
     nothing either: their component_id is null and they are kept.  Repeated rows
     are each returned; rows of one id with different texts are one document with several sets.  Other columns of ``docs`` play no part."""
+    tables = Tables(docs.sparkSession)
     d = docs.select("doc_id", "text")
-    signed = cut(d.select("doc_id", _sketcher(width)("text").alias("s")).select("doc_id", "s.*"))
-    classes = cut(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
+    signed = tables.cut(d.select("doc_id", _sketcher(width)("text").alias("s")).select("doc_id", "s.*"))
+    classes = tables.cut(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -305,7 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, stats: dict | None = None)
     if several.limit(1).count():
         held = signed.join(several, "doc_id").join(classes, ["d1", "d2", "n"]).select("doc_id", "cid")
         same_id = held.join(held.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b"))
-    label = link_classes(classes, sets_of, same_id, stats)
+    label = link_classes(classes, sets_of, tables, same_id, stats)
     group = classes.select("d1", "d2", "n", "cid")
     group = group.withColumn("label", F.col("cid")) if label is None else group.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = signed.select("doc_id", "d1", "d2", "n").join(group.select("d1", "d2", "n", "label"), ["d1", "d2", "n"], "left")
