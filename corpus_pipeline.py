@@ -5,6 +5,7 @@ but the last return the columns of ``documents``.  Nulls in any column, empty an
 texts, repeated rows, empty tables and further columns (dropped) are accepted.
 """
 
+import itertools
 import uuid
 
 import public_tokenizers
@@ -42,18 +43,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     its group.  Rows without an id, and texts without words, are in no group and stay."""
     ready(spark)
     d = docs.select(*COLUMNS)
-    if not d.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count():
-        gone = neardup.near_duplicates(d, width=5).filter("NOT kept").select("doc_id").distinct()
+    twice = cut(d.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not (n := twice.count()):
+        gone = neardup.near_duplicates(d, width=5).filter("NOT kept").select("doc_id")
         return d.join(gone, "doc_id", "left_anti")
-    # ids repeat: every (id, text) is a document of its own, named by a 64-bit hash
-    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    named = cut(d.filter("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_f"))
-                .select("doc_id", "text", "_f.*", F.xxhash64("doc_id", "text").alias("_name")))
-    group = neardup.near_duplicates(named.select(F.col("_name").alias("doc_id"), "text"), width=5) \
-        .select(F.col("doc_id").alias("_name"), "component_id").distinct()
-    kept = named.select("_name", "doc_id").join(group, "_name").groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "_name")).alias("_k")).select("_k._name")
-    return named.join(kept, "_name", "left_semi").select(*COLUMNS).unionByName(d.filter("doc_id IS NULL"))
+    # of an id that repeats every text is a document of its own, under a name that no other row has
+    few = F.broadcast(twice) if n <= neardup.BROADCAST_IDS else twice
+    single, rest = d.join(few, "doc_id", "left_anti"), [c for c in COLUMNS if c not in ("doc_id", "text")]
+    texts = cut(d.join(few, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_f")).select("doc_id", "text", "_f.*"))
+    for seed in itertools.count():
+        named = cut(texts.withColumn("_name", F.xxhash64(F.lit(seed), "doc_id", "text")))
+        names = named.select("_name")
+        if names.distinct().count() == names.count() and not single.join(names, F.col("doc_id") == F.col("_name"), "left_semi").limit(1).count():
+            break
+    every = single.select("doc_id", "text").unionByName(named.select(F.col("_name").alias("doc_id"), "text"))
+    group = cut(neardup.near_duplicates(every, width=5).filter("doc_id IS NOT NULL").select("doc_id", "component_id"))
+    owner = group.join(named.select(F.col("_name").alias("doc_id"), F.col("doc_id").alias("_owner")), "doc_id", "left") \
+        .select("component_id", F.struct(F.coalesce("_owner", "doc_id"), "doc_id").alias("_k"))
+    kept = owner.groupBy("component_id").agg(F.min("_k")["doc_id"].alias("_kept"))
+    gone = cut(group.join(kept, "component_id").filter("doc_id != _kept").select(F.col("doc_id").alias("_name")))
+    stay = single.join(gone, F.col("doc_id") == F.col("_name"), "left_anti")
+    return stay.select(*COLUMNS).unionByName(named.join(gone, "_name", "left_anti").select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +86,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rates = cut(by.select("source", "source_size", "target").distinct())
     few = rates.count() <= mixing.BROADCAST_SOURCES
     r = rates.withColumnRenamed("source", "_source")
-    d, number = d.withColumn("_row", F.xxhash64(*COLUMNS)), F.lit(1)
-    if d.groupBy("_row").count().filter("count > 1").limit(1).count():
-        d, number = d.groupBy(*COLUMNS, "_row").count().withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count")))), F.col("_n")
+    d, number = d.withColumn("_row", F.xxhash64(*COLUMNS)).withColumn("_n", F.lit(1).cast("long")), F.col("_n")
+    twice = cut(d.groupBy("_row").count().filter("count > 1").select("_row"))
+    if n := twice.count():
+        # only rows that may repeat are compared and numbered
+        held = F.broadcast(twice) if n <= neardup.BROADCAST_IDS else twice
+        same = d.join(held, "_row", "left_semi").groupBy(*COLUMNS, "_row").count().withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+        d = d.join(held, "_row", "left_anti").select(*COLUMNS, "_row", "_n").unionByName(same.select(*COLUMNS, "_row", "_n"))
     j = d.join(F.broadcast(r) if few else r, F.col("source").eqNullSafe(F.col("_source")))
     key = F.concat_ws(":", mixing.draw_key(), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("_row").cast("string"), number.cast("string"))
     n = mixing.copies(F.col("target"), F.col("source_size"), key)
