@@ -165,7 +165,8 @@ def median_split(rows: DataFrame, axes: DataFrame, sizes: DataFrame, group_cols:
     (``side`` 0), the rest right (1).  The first row of the right half is
     selected for all groups at once (:func:`vellum.operators.rank.at_rank`) and every row compared
     with it: no group, of whatever size, is sorted or ranked whole."""
-    j = rows.join(axes.select(*group_cols, "axis"), group_cols)
+    axes = fresh(axes.select(*group_cols, "axis").checkpoint())       # one row a group, read twice
+    j = rows.join(axes, group_cols)
     if "vector" in rows.columns:    # one component, no need for the whole unit vector
         j = j.withColumn("_v", F.element_at("vector", F.col("axis") + 1).cast("double") * F.col("inv_norm"))
     else:

@@ -73,7 +73,8 @@ def at_rank(rows: DataFrame, group_cols: list[str], value: str, key: str, target
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     g = list(group_cols)
-    x = rows.select(*g, F.col(value).alias("_v"), F.col(key).alias("_k"))
+    # the three columns that every round reads, written once
+    x = rows.select(*g, F.col(value).alias("_v"), F.col(key).alias("_k")).checkpoint()
     state = (x.groupBy(*g).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("cnt"))
              .join(targets.select(*g, "target"), g)
              .select(*g, "lo", "hi", "cnt", "target", F.lit(0).cast("long").alias("before"), F.lit("").alias("pre"), F.lit(False).alias("one"))
