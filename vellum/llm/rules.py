@@ -1,9 +1,9 @@
 """Quality rules in a short-circuit cascade, all in built-in expressions.
 
 A rule is a named boolean column that is true for rows to reject.  The order
-of evaluation is planned, not fixed: every rule is timed and counted on a
-bounded random sample, and rules run by rejections per second of cost, most
-first.  The verdict is one CASE chain, so a row stops at the first rule that rejects
+of evaluation is planned, not fixed: every rule is timed from the raw text on a
+bounded sample drawn by a hash, and the rule of most rejections per second of cost comes first; rejections
+of the next are counted among the rows that the earlier ones pass.  The verdict is one CASE chain, so a row stops at the first rule that rejects
 it.  The order changes the cost only, never the verdict.
 """
 
@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, words
+from .common import cut, sampled, words
 
-#: Rows of the sample on which rules are timed (at most twice as many).
+#: Rows of the sample on which rules are timed, about.
 SAMPLE_ROWS = 2000
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -99,24 +99,33 @@ class Estimate:
 
 
 def plan(sample: DataFrame, rules: dict[str, Column]) -> list[Estimate]:
-    """Time and count every rule on ``sample`` (bounded, already computed);
-    best first.  With an empty sample the given order stands."""
-    total = sample.count()
+    """The order of the rules, from a bounded ``sample`` of (doc_id, text), already written.
 
-    def run(rule: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
+    A rule costs what it adds to the counts that every row needs anyway, from the raw text on.  Rejections are those
+    among rows that the base rules and the rules before pass.  With an empty sample the given order stands."""
+    every = measure(sample)
+    base = [F.sum(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    rejects = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+
+    def cost(*more: Column) -> float:
+        best = float("inf")
         for _ in range(2):                     # the second run finds the code compiled
             began = time.perf_counter()
-            hits = sample.agg(F.count_if(F.coalesce(rule, F.lit(False)))).first()[0]
+            every.agg(*base, *more).collect()
             best = min(best, time.perf_counter() - began)
-        return best, hits
+        return best
 
-    idle, _ = run(F.col("n_words") < 0)
-    found = []
-    for name, rule in rules.items():
-        seconds, hits = run(rule)
-        found.append(Estimate(name, max(seconds - idle, 1e-4) / max(total, 1), hits / max(total, 1)))
-    return sorted(found, key=lambda e: -e.worth)
+    idle = cost()
+    seconds = {name: max(cost(F.count_if(r)) - idle, 1e-4) for name, r in rejects.items()}
+    left = cut(every.filter(f"NOT ({BASE_FAILED})").select(*[r.alias(f"_{i}") for i, r in enumerate(rejects.values())]))
+    total, order, names = max(left.count(), 1), [], list(rules)
+    while names:
+        hits = left.agg(*[F.count_if(f"_{list(rules).index(n)}") for n in names]).first()
+        found = [Estimate(n, seconds[n] / total, h / total) for n, h in zip(names, hits)]
+        order.append(max(found, key=lambda e: e.worth))
+        names.remove(order[-1].name)
+        left = left.filter(~F.col(f"_{list(rules).index(order[-1].name)}"))
+    return order
 
 
 def cascade(rules: dict[str, Column], order: list[Estimate]) -> Column:
@@ -128,11 +137,11 @@ def cascade(rules: dict[str, Column], order: list[Estimate]) -> Column:
 
 
 def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """:func:`measure` of (doc_id, text) with ``base_failed`` and ``kept``."""
+    """:func:`measure` of (doc_id, text) with ``base_failed`` and ``kept``.  Rows are judged one by one, ones that repeat
+    or have no id like any other."""
     rules = default_rules() if rules is None else rules
-    sample = cut(measure(bounded_sample(docs.select("doc_id", "text"), sample_rows)))
-    passed = sample.filter(f"NOT ({BASE_FAILED})")
+    sample = cut(sampled(docs.select("doc_id", "text"), sample_rows))
     failed = F.expr(BASE_FAILED)
     return measure(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(cascade(rules, plan(passed, rules))).alias("kept"))
+        F.when(failed, F.lit(False)).otherwise(cascade(rules, plan(sample, rules))).alias("kept"))
