@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import cut, sampled
 from .rules import let
 
 #: Fixed values of the task.  The group-2 value of an assignment counts from 8
@@ -35,26 +35,43 @@ RUN = 20
 RUNS = "[A-Za-z0-9+/_=-]{%d,}"
 DISTINCT = 8
 THRESHOLD = 0.75
-#: Rows of the sample of texts (at most twice as many), and digests per alphabet.
+#: Rows of the sample of texts, about, and digests per alphabet.
 SAMPLE_ROWS = 1000
 RANDOM_STRINGS = 2000
 #: Rows of the sample whose words are also joined as in identifiers.
 COMPOUND_ROWS = 200
 
+#: Items of a run of a long array, and characters of a page of a long text.
+RUN_ITEMS = 500
+PAGE = 4096
+
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _before(values: Column, add) -> Column:
+    """For each of ``values`` (whole numbers) the fold of all before it, from 0.  In two levels: within runs of
+    ``RUN_ITEMS``, and over the runs, as an array that grows by one copies itself each time."""
+    def fold(items: Column, start: Column) -> Column:
+        return F.aggregate(items, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+                           lambda acc, v: F.struct(add(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+                           lambda acc: acc["out"])
+
+    cut = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN_ITEMS).cast("int")),
+                                            lambda i: F.slice(v, i * RUN_ITEMS + 1, F.lit(RUN_ITEMS))))
+    whole = let(cut, lambda runs: let(
+        F.transform(runs, lambda r: F.aggregate(r, F.lit(0), add)),
+        lambda tops: F.flatten(F.zip_with(runs, fold(tops, F.lit(0)), fold))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(text: Column, pattern: str, kind: int, good=None) -> Column:
     """Spans of the matches of ``pattern``; ``good(match number)`` may drop some."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = let(F.struct(F.split(text, pattern, -1).alias("pieces"), matches.alias("matches")), lambda x: F.aggregate(
-        F.sequence(F.lit(0), F.size(x["matches"]) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, i: let(acc["at"] + F.char_length(F.get(x["pieces"], i)), lambda start: F.struct(
-            (start + F.char_length(F.get(x["matches"], i))).alias("at"),
-            F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"),
-                                                (start + F.char_length(F.get(x["matches"], i))).alias("end"))).alias("out"))),
-        lambda acc: acc["out"]))
+    size = lambda a: F.transform(a, lambda x: F.char_length(x))
+    found = let(F.struct(size(F.split(text, pattern, -1)).alias("gaps"), size(matches).alias("sizes")), lambda x: let(
+        _before(F.transform(x["sizes"], lambda n, i: n + F.get(x["gaps"], i)), lambda a, v: a + v),
+        lambda at: F.transform(x["sizes"], lambda n, i: F.struct(
+            (F.get(at, i) + F.get(x["gaps"], i)).alias("start"), F.lit(kind).alias("kind"), (F.get(at, i) + F.get(x["gaps"], i) + n).alias("end")))))
     if good is not None:
         found = F.filter(found, lambda s, i: good(i))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
@@ -82,20 +99,20 @@ def _transitions(strings: DataFrame) -> np.ndarray:
 def train(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[float]:
     """Log ratios of transition probabilities, row by row of the alphabet, the
     diagonal square of ``len(ALPHABET)`` squared numbers.  An empty table leaves the
-    identifiers uniform."""
-    sample = bounded_sample(docs.select("text").filter("text IS NOT NULL"), rows)
+    identifiers uniform.  The same rows in another order or partitioning give the same ratios."""
+    sample = cut(sampled(docs.select("doc_id", "text"), rows).filter("text IS NOT NULL").select("text"))
     digest = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     plain = F.regexp_replace(b64, "[^A-Za-z0-9]", "")
     random = digest.select(F.explode(F.array("h", F.upper("h"), b64, F.translate(b64, "+/", "-_"), plain, F.upper(plain))).alias("s"))
-    known = sample.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: F.col("text").substr(
-        s["start"] + 1, s["end"] - s["start"]))).alias("s"))
+    values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= ASSIGN_VALUE)
+    known = sample.select(F.explode(F.concat(values, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)))).alias("s"))
     known = known.select(F.explode(F.regexp_extract_all("s", F.lit(RUNS % 16), F.lit(0))).alias("s"))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(RUNS % 4), F.lit(0))).alias("s"))
     # words joined the ways identifiers are
     line = F.explode(F.split("text", "\n"))
-    lines = sample.limit(COMPOUND_ROWS).select(line.alias("x"))
+    lines = sample.orderBy(F.xxhash64("text"), "text").limit(COMPOUND_ROWS).select(line.alias("x"))
     camel = F.regexp_replace(F.initcap(F.regexp_replace("x", "[^A-Za-z]+", " ")), " ", "")
     snake = F.regexp_replace(F.lower("x"), "[^a-z]+", "_")
     compound = lines.select(F.explode(F.array(camel, snake, F.upper(snake), F.translate(snake, "_", "-"),
@@ -122,16 +139,32 @@ def model_spans(text: Column, ratios: list[float]) -> Column:
         text, RUNS % RUN, 3, lambda i: is_random(F.get(r, i))))).otherwise(F.array().cast(_SPANS))
 
 
+def _rebuilt(text: Column, spans: Column, instead) -> Column:
+    """``text`` with every span replaced: ``instead(start, end, done)`` stands for a span from ``start``
+    to ``end`` whose characters before ``done`` earlier spans have replaced.  The text is cut into pages
+    once, so that a place is found without reading the text from its start."""
+    def part(pages: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
+        page = lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+        return F.when(first == last, page(first).substr(a % PAGE + 1, b - a)).otherwise(F.concat(
+            page(first).substr(a % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, first + 2, last - first - 1), ""),
+            page(last).substr(F.lit(1), b % PAGE)))
+
+    def put(x: Column) -> Column:
+        done = _before(F.transform(x["spans"], lambda s: s["end"]), lambda a, v: F.greatest(a, v))
+        pieces = let(done, lambda at: F.transform(x["spans"], lambda s, i: F.concat(
+            F.when(s["start"] > F.get(at, i), part(x["pages"], F.get(at, i), s["start"])).otherwise(F.lit("")), instead(s["start"], s["end"], F.get(at, i)))))
+        end = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), part(x["pages"], end, x["length"]))
+
+    pages = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+    made = let(F.struct(pages.alias("pages"), spans.alias("spans"), F.char_length(text).alias("length")), put)
+    return F.when(F.size(spans) > 0, made).otherwise(text)
+
+
 def blanked(text: Column, spans: Column) -> Column:
     """``text`` with blanks at all places of ``spans`` (by start): places stay."""
-    done = F.aggregate(
-        spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]),
-                                         F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"])))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at")),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rebuilt(text, spans, lambda start, end, done: F.repeat(F.lit(" "), F.greatest(F.lit(0), end - F.greatest(start, done))))
 
 
 def find(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -154,11 +187,4 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every span, overlapping ones together, replaced by ``mark``."""
-    done = F.aggregate(
-        spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
-            s["end"].alias("at"))).otherwise(F.struct(
-                acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rebuilt(text, spans, lambda start, end, done: F.when(start >= done, F.lit(mark)).otherwise(F.lit("")))
