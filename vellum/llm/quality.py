@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_sample
+from .common import cut, sampled
 
-#: Bounds of the training sample: positives and unlabelled rows (at most twice
-#: as many of either reach the driver, as feature vectors of N_FEATURES floats).
+#: Sizes of the training sample, about: positives and unlabelled rows, drawn by a hash of their id and text.
+#: They reach the driver as feature vectors of N_FEATURES floats.
 SAMPLE_POSITIVE = 4000
 SAMPLE_UNLABELLED = 8000
 N_FEATURES = 256 + 9
@@ -99,23 +99,28 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 200) -> float:
     return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
 
 
+def risk(xp: np.ndarray, xu: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float]:
+    """The two parts of the risk: of positives, and the estimate of that of negatives (which may be below zero)."""
+    loss = lambda g: np.logaddexp(0, -g).mean()
+    gp, gu = xp @ w + b, xu @ w + b
+    return prior * loss(gp), loss(-gu) - prior * loss(-gp)
+
+
+def gradient(xp: np.ndarray, xu: np.ndarray, prior: float, w: np.ndarray, b: float) -> np.ndarray:
+    """The step of non-negative learning: the risk's gradient, or against that of the negative part where it is below zero."""
+    sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
+    negative = _grad(xu, su) - prior * _grad(xp, sp)
+    if risk(xp, xu, prior, w, b)[1] < 0:
+        return -negative
+    return prior * _grad(xp, sp - 1) + negative
+
+
 def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Model:
     mean, scale = u.mean(0), np.maximum(u.std(0), 1e-3)
     xp, xu = ((z - mean) / scale for z in (p.astype(float), u.astype(float)))
     xp, xu = np.clip(xp, -CLIP, CLIP), np.clip(xu, -CLIP, CLIP)
     prior = estimate_prior(xp, xu)
-
-    def gradient(w, b):
-        sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
-        loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()  # noqa: E731  l(-g)
-        negative = _grad(xu, su) - prior * _grad(xp, sp)
-        if loss(su) - prior * loss(sp) < 0:
-            step = -negative
-        else:
-            step = prior * _grad(xp, sp - 1) + negative
-        return step + np.append(decay * w, 0)
-
-    w, b = _descend(gradient, p.shape[1], steps)
+    w, b = _descend(lambda w, b: gradient(xp, xu, prior, w, b) + np.append(decay * w, 0), p.shape[1], steps)
     return Model(mean, scale, w, b, prior)
 
 
@@ -130,12 +135,19 @@ def _featurise():
 
 def fit(documents: DataFrame, positives: DataFrame, seed: int = 11) -> Model | None:
     """``documents``: doc_id, text, the unlabelled rows; ``positives``: doc_id of
-    trusted ones (repeats and nulls do not matter).  None when either is empty."""
-    f = _featurise()
-    ids = bounded_sample(positives.select("doc_id").filter("doc_id IS NOT NULL").distinct(), SAMPLE_POSITIVE, seed=seed)
-    p = documents.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * SAMPLE_POSITIVE).select(f("text").alias("x"))
-    u = bounded_sample(documents.select("text"), SAMPLE_UNLABELLED, seed=seed).select(f("text").alias("x"))
-    p, u = (np.array(z.toArrow().column("x").to_pylist(), np.float32).reshape(-1, N_FEATURES) for z in (p, u))
+    trusted ones (repeats and nulls do not matter).  None when either is empty.  The same rows in another order
+    or partitioning give the same model."""
+    ids = cut(sampled(positives.select("doc_id").filter("doc_id IS NOT NULL").distinct(), SAMPLE_POSITIVE, seed))
+    d = documents.select("doc_id", "text")
+    n = max(1, d.count())
+    h = F.xxhash64(F.lit(seed), "doc_id", "text")
+    drawn = F.pmod(h, F.lit(1 << 30)) < min(1.0, SAMPLE_UNLABELLED / n) * (1 << 30)
+    # one scan for both samples; of an id that repeats, one text
+    both = d.withColumn("h", h).withColumn("u", drawn).join(F.broadcast(ids.withColumn("p", F.lit(True))), "doc_id", "left").filter("p OR u")
+    one = both.groupBy("doc_id").agg(F.min_by(F.struct("text", "u", "p", "h"), F.struct("h", "text")).alias("r")).select("r.*")
+    t = one.select("u", "p", "h", _featurise()("text").alias("x")).toArrow().sort_by("h")
+    x = np.array(t.column("x").to_pylist(), np.float32).reshape(-1, N_FEATURES)
+    p, u = (x[t.column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)] for c in ("p", "u"))
     return fit_arrays(p, u) if len(p) > 1 and len(u) > 1 else None
 
 
