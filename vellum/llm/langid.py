@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import cut
+
 ORDER = 4
 #: Bounds of the training sample, for each language: rows (twice as many at
 #: most, as rows are drawn at random) and bytes after which no further text is taken.
 SAMPLE_ROWS = 500
 SAMPLE_BYTES = 4 << 20
+#: Bytes of the model that tasks get, and languages learned at most (those with most rows).
+MODEL_BYTES = 256 << 20
+LANGUAGES = 1000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -173,19 +178,24 @@ class Scorer:
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, seed: int = 7) -> Model:
     """Learn from ``labelled`` (columns ``text``, ``lang``); rows with a null in
-    either, and empty texts, teach nothing.  The grams are counted on Spark;
-    the driver gets their counts over the bounded sample only."""
+    either, empty texts and ones of over a quarter of ``size`` bytes teach nothing; a text that repeats teaches once.  The grams are counted on Spark;
+    the driver gets their counts over the bounded sample only.  The sample is drawn by a hash: the same rows in
+    another order or partitioning give the same model."""
     known = labelled.select("text", "lang").filter("text IS NOT NULL AND text != '' AND lang IS NOT NULL")
-    found = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = {r["lang"]: r["n"] for r in most}
     langs = sorted(found, key=lambda s: s.encode())
     number = {s: i for i, s in enumerate(langs)}
     if not langs:
         return Model([], *[[np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0), np.float32)] * (ORDER + 1)] * 2)
-    sample = known.sampleBy("lang", {s: min(1.0, rows / n) for s, n in found.items()}, seed)
+    share = labelled.sparkSession.createDataFrame([(s, min(1.0, rows / n)) for s, n in found.items()], "lang string, _share double")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "text", "lang"), F.lit(1 << 30)) / (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = (sample.withColumn("_n", F.row_number().over(order))
-              .withColumn("_before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text"))
-              .filter((F.col("_n") <= 2 * rows) & (F.col("_before") < size)).select("text", "lang"))
+    fits = F.octet_length("text") <= size // 4
+    drawn = known.join(F.broadcast(share), "lang").filter((draw < F.col("_share")) & fits).select("text", "lang").distinct()
+    drawn = cut(drawn.withColumn("_n", F.row_number().over(order))
+                .withColumn("_end", F.sum(F.octet_length("text")).over(order))
+                .filter((F.col("_n") <= 2 * rows) & (F.col("_end") <= size)))
 
     def count(batches):
         for batch in batches:
@@ -203,8 +213,14 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES,
                         [pa.array(np.full(len(gram), i), pa.int32()), pa.array(np.full(len(gram), k), pa.int32()),
                          pa.array(gram.astype(np.int64)), pa.array(c, pa.int64())], ["lang", "k", "gram", "c"])
 
-    counted = (sample.mapInArrow(count, "lang int, k int, gram bigint, c bigint")
-               .groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")).toArrow())
+    while True:
+        # fewer bytes a language until the model, a row of bits for every gram, keeps its bound
+        sample = drawn.filter(F.col("_end") <= size).select("text", "lang")
+        counted = cut(sample.mapInArrow(count, "lang int, k int, gram bigint, c bigint").groupBy("lang", "k", "gram").agg(F.sum("c").alias("c")))
+        if size <= 1 or 8 * len(langs) * counted.select("k", "gram").distinct().count() <= MODEL_BYTES:
+            break
+        size //= 2
+    counted = counted.toArrow()
     lang, k, gram, c = (counted.column(x).to_numpy() for x in ("lang", "k", "gram", "c"))
     counts = []
     for order_k in range(ORDER + 1):
