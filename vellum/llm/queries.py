@@ -1,4 +1,7 @@
-"""Registered queries of this subpackage: one per operator, over whole tables."""
+"""Registered queries of this subpackage: one per operator, over whole tables.
+
+Queries that answer per document give a row for every row: one without an id is answered like any other,
+with a null id (its check sum is that of the empty text), and rows that repeat are answered each."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
