@@ -36,6 +36,8 @@ SHINGLE = 3
 FILTER_BITS = 1 << 26
 #: Windows up to this many are broadcast to the documents' candidate places (about 200 bytes each).
 BROADCAST_WINDOWS = 100_000
+#: Results of texts, and items they list, that are broadcast to the documents (about 50 bytes each).
+BROADCAST_TEXTS = 500_000
 
 
 def _item_windows(window: int):
@@ -164,8 +166,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         .groupBy("d1", "d2").agg(F.sum("more").alias("n_hit"))
     named = hits.select("d1", "d2", "w").distinct().join(windows.filter("item_id IS NOT NULL").select("w", "item_id"), "w") \
         .groupBy("d1", "d2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    texts = covered.join(named, ["d1", "d2"], "left")
-    out = asked.select("doc_id", "n_words", "d1", "d2").join(texts, ["d1", "d2"], "left")
+    texts = cut(covered.join(named, ["d1", "d2"], "left"))
+    n, listed = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0))).first()
+    few = n + listed <= BROADCAST_TEXTS
+    out = asked.select("doc_id", "n_words", "d1", "d2").join(F.broadcast(texts) if few else texts, ["d1", "d2"], "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
