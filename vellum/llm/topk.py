@@ -11,7 +11,9 @@ bound is below the query's k-th score so far.
 The work is split both ways, as in a blocked matrix product: a cell is a group of
 ``GROUP_BLOCKS`` neighbouring blocks against a slice of ``SLICE`` queries, so no task holds
 more than one group and one slice, however large either table is.  Every query starts from
-a floor, its k-th score among a bounded random sample of rows.
+a floor, its k-th score among a bounded random sample of rows.  Groups have bounds like blocks: a query meets its group of
+highest bound first, which raises the floor, and then only groups whose bound reaches it; vectors are
+copied to the slices that have such a query, and to no others.
 Cells return their k best rows per query; a window ranks them.
 """
 
@@ -23,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh
 from .common import bounded_sample, cut
 
 SCALE = 64
@@ -31,6 +34,9 @@ GROUP_BLOCKS = 32
 SLICE = 1024
 #: Rows of the sample that floors come from (at most twice as many reach the driver and are broadcast).
 FLOOR_ROWS = 2048
+#: Bytes of the bounds of groups that queries are held against in a task, and pairs of a group and a slice that are broadcast.
+BOUND_BYTES = 64 << 20
+BROADCAST_CELLS = 500_000
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -46,7 +52,8 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCAL
 def _matrix(column) -> np.ndarray:
     """Rows of equal length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(flat), len(values) // max(1, len(flat)))
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,7 +106,36 @@ def search_cell(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarr
     return i, row[i, j], best[i, j]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def _group_bounds(batches):
+    """(g, dim, top, bottom): the largest and smallest value of every dimension among a group's rows."""
+    held: dict = {}
+    for b in batches:
+        g, dim = b.column("g").to_numpy(), b.column("dim").to_numpy()
+        for key in set(zip(g.tolist(), dim.tolist())):
+            v = _matrix(b.column("v").filter(pa.array((g == key[0]) & (dim == key[1])))).astype(np.int64)
+            top, bottom = held.get(key, (v[0], v[0]))
+            held[key] = (np.maximum(top, v.max(0)), np.minimum(bottom, v.min(0)))
+    keys = list(held)
+    kind = pa.list_(pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                                      pa.array([held[k][0] for k in keys], kind), pa.array([held[k][1] for k in keys], kind)], ["g", "dim", "top", "bottom"])
+
+
+def _merged_bounds(bounds: DataFrame, groups: int) -> tuple[int, dict]:
+    """By dimension: numbers and bounds of groups, ``merge`` neighbours as one where all would not fit ``BOUND_BYTES``."""
+    size = bounds.agg(F.coalesce(F.sum(16 * F.col("dim")), F.lit(0))).first()[0]
+    merge = max(1, math.ceil(size / BOUND_BYTES))
+    rows = bounds.withColumn("g", F.floor(F.col("g") / merge).cast("int")) if merge > 1 else bounds
+    out: dict = {}
+    for batch in rows.orderBy("dim", "g").toArrow().to_batches():
+        for g, dim, top, bottom in zip(*(batch.column(c).to_pylist() for c in ("g", "dim", "top", "bottom"))):
+            known = out.setdefault(dim, {})
+            known[g] = (np.maximum(known[g][0], top), np.minimum(known[g][1], bottom)) if g in known else (np.array(top), np.array(bottom))
+    return merge, {dim: (np.array(sorted(x)), np.stack([x[g][0] for g in sorted(x)]).astype(float), np.stack([x[g][1] for g in sorted(x)]).astype(float))
+                   for dim, x in out.items()}
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, stats: dict | None = None) -> DataFrame:
     """``vectors`` and ``queries`` as :func:`quantise` gives them.  Returns query_id,
     rank (from 1), vec_id, score: for every query the k greatest scores (all,
     if fewer) among the rows of its dimension other than its own id,
@@ -135,13 +171,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 out[mine] = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
             yield from t.append_column("floor", pa.array(out)).to_batches()
 
-    # neighbours in id order form a group; the group number is the range partition
-    placed = (v.repartitionByRange(groups, F.col("id"), F.xxhash64("v")).sortWithinPartitions("id")
-              .select(F.spark_partition_id().alias("g"), "id", "dim", "v"))
-    asked = q.mapInArrow(with_floor, "id bigint, dim int, v array<bigint>, floor bigint") \
-        .withColumn("s", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int"))
-    left = placed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # neighbours in id order form a group; the group number is the range partition.  Values travel as 16 bits where they fit
+    widest = v.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 0
+    kind = "array<smallint>" if widest < 1 << 15 else "array<bigint>"
+    placed = cut(v.repartitionByRange(groups, F.col("id"), F.xxhash64("v")).sortWithinPartitions("id")
+                 .select(F.spark_partition_id().alias("g"), "id", "dim", F.col("v").cast(kind).alias("v")))
+    merge, bounds = _merged_bounds(placed.mapInArrow(_group_bounds, "g int, dim int, top array<bigint>, bottom array<bigint>"), groups)
+    reach = spark.sparkContext.broadcast(bounds)
+    asked = cut(q.mapInArrow(with_floor, "id bigint, dim int, v array<bigint>, floor bigint")
+                .withColumn("s", F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int")))
+
+    def reached(first: bool):
+        """Adds ``gs``: the groups of each query, by bound, of which the best (``first``) or the others reach its floor."""
+        def run(batches):
+            for b in batches:
+                dims, floor = b.column("dim").to_numpy(), b.column("floor").to_numpy()
+                out = [[] for _ in range(len(b))]
+                for dim in np.unique(dims):
+                    if dim not in reach.value:
+                        continue
+                    g, top, bottom = reach.value[dim]
+                    mine = np.flatnonzero(dims == dim)
+                    x = _matrix(b.column("v").take(pa.array(mine))).astype(float)
+                    bound = np.maximum(x, 0) @ top.T + np.minimum(x, 0) @ bottom.T
+                    bound += 1e-9 * np.abs(bound) + 1e-6
+                    best = bound.argmax(1)
+                    for i, row in enumerate(mine):
+                        hit = bound[i] >= floor[row]
+                        if first:
+                            out[row] = [int(g[best[i]])] if hit[best[i]] else []
+                        else:
+                            hit[best[i]] = False
+                            out[row] = g[hit].tolist()
+                yield b.append_column("gs", pa.array(out, pa.list_(pa.int32())))
+        return run
 
     def cell(rows: pa.Table, some: pa.Table) -> pa.Table:
         if not len(rows) or not len(some):
@@ -149,10 +212,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                              "score": pa.array([], pa.int64())})
         rows = rows.sort_by("id")
         ids, qid = rows.column("id").to_numpy(), some.column("id").to_numpy()
-        i, j, s = search_cell(qid, _matrix(some.column("v")), some.column("floor").to_numpy(), ids, _matrix(rows.column("v")), k)
+        i, j, s = search_cell(qid, _matrix(some.column("v")).astype(np.int64), some.column("floor").to_numpy(), ids,
+                              _matrix(rows.column("v")).astype(np.int64), k)
         return pa.table({"query_id": qid[i], "vec_id": ids[j], "score": s})
 
-    hits = left.groupBy("dim", "g", "s").cogroup(right.groupBy("dim", "g", "s")) \
-        .applyInArrow(cell, "query_id bigint, vec_id bigint, score bigint")
+    def wave(some: DataFrame, first: bool) -> DataFrame:
+        """The hits of the groups that queries reach; a vector meets only slices with such a query, and a query only such groups."""
+        right = some.mapInArrow(reached(first), "id bigint, dim int, v array<bigint>, floor bigint, s int, gs array<int>")
+        right = right.withColumn("m", F.explode("gs")).drop("gs")
+        right = right.withColumn("g", F.explode(F.sequence(F.col("m") * merge, F.col("m") * merge + merge - 1))) if merge > 1 else right.withColumnRenamed("m", "g")
+        right = cut(right.select("id", "dim", F.col("v").cast(kind).alias("v"), "floor", "s", "g"))
+        met = fresh(cut(right.select("dim", "g", "s").distinct()))
+        if stats is not None:
+            stats.setdefault("met", []).append((met.count(), groups * slices))
+        few = met.count() <= BROADCAST_CELLS
+        left = placed.join(F.broadcast(met) if few else met, ["dim", "g"])
+        return left.groupBy("dim", "g", "s").cogroup(right.groupBy("dim", "g", "s")).applyInArrow(cell, "query_id bigint, vec_id bigint, score bigint")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # first each query's group of highest bound: its k-th score there is the floor for the others
+    found = cut(wave(asked, True).withColumn("rank", rank).filter(F.col("rank") <= k))
+    kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    again = asked.join(kth, "id", "left").select("id", "dim", "v", F.greatest("floor", F.coalesce("kth", "floor")).alias("floor"), "s")
+    hits = found.drop("rank").unionByName(wave(again, False))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
