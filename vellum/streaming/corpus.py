@@ -25,9 +25,11 @@ The result depends on the events alone, not on their arrival, batching or restar
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +120,8 @@ def corpus_stream(spark: SparkSession, source: str, root: str, *, checkpoint: st
     Needs the RocksDB state store (set for the session where another is configured)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # the process that sets up the stream's state does not see files added to the session: it gets the class itself
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     feed = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     # events without a seq or a key have no place in the order
     whole = feed.filter("seq IS NOT NULL AND library_id IS NOT NULL AND document_id IS NOT NULL AND (kind = 'document' OR chunk_id IS NOT NULL)")
