@@ -196,3 +196,12 @@ def test_add_reports_ids_given_twice(spark):
     ci, cells, twice = add_to_cells(ci, cells, new.unionByName(new).unionByName(other), report=True)
     assert ci.count() == 39 and sum(r["n"] for r in cells.collect()) == 39
     assert [(r["chunk_id"], r["reason"]) for r in twice.collect()] == [("v30", "duplicate_in_batch")]
+
+
+@pytest.mark.parametrize("split", ["median", "approx"])
+def test_levels_are_tables_without_the_constraints_of_earlier_ones(spark, split):
+    r = np.random.default_rng(4)
+    ids = [f"v{i:03d}" for i in range(60)]
+    index, _ = build_cells(_index(spark, ids, r.standard_normal((60, 3))), leaf_size=20, split=split)
+    # a checkpoint keeps the constraints of its plan, which multiplied from level to level; a file has none
+    assert index.inputFiles() and index.count() == 60

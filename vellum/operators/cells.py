@@ -10,7 +10,7 @@ libraries at once (``'median'``, ``'approx'``), never in a loop over cells:
 3. the split axis is the dimension of largest variance, lowest index on ties;
 4. the row at position ``floor(n/2)`` by ``(unit[axis], chunk_id)`` is selected by
    histogram refinement, and rows before it go left: ``cell -> 2*cell`` or ``2*cell + 1``;
-5. the level is checkpointed (lineage cut; survives executor loss).
+5. the level is written and read back (lineage and constraints cut; survives executor loss).
 
 A leaf cell gets its normalised centroid, its radius as the reference keeps
 it (largest cosine distance to the centroid) and its *angular* radius, which
@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vector import vec_dot, vec_normalize
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
-from ..session import ensure_checkpoint_dir, fresh
+from ..session import ensure_checkpoint_dir, fresh, stored
 from .knn import (_MAX_SCORE_CELLS, CAND_SCHEMA, QUERY_KEY, _emit, _salt_for, _unit_rows, arrow_matrix, grid_cogroup, inv_norms,
                   merge_topk, raw_scores)
 from .rank import at_rank
@@ -243,7 +243,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
             .withColumn("cell", F.lit(1).cast("long")).withColumn("_final", F.lit(False)))
     for level in range(max_levels + 1):
         sizes = rows.filter(~F.col("_final")).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-        active = sizes.filter(F.col("n") > leaf_size)
+        active = stored(sizes.filter(F.col("n") > leaf_size))
         if active.isEmpty():
             break
         if level == max_levels:
@@ -258,7 +258,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
         parts = (parts.withColumn("_final", F.col("side").isNull())
                  .withColumn("cell", F.when(F.col("side").isNull(), F.col("cell"))
                              .otherwise(F.col("cell") * 2 + F.col("side"))))
-        rows = rest.unionByName(parts.select(*rows.columns)).checkpoint(eager=True)
+        rows = stored(rest.unionByName(parts.select(*rows.columns)))
     rows = rows.drop("_final")
     lib_n = rows.groupBy("library_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nb"))
     if split == "median":
@@ -266,7 +266,7 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
     else:
         cblock = F.pmod(F.xxhash64("cell"), F.col("_nb"))
     rows = rows.join(lib_n, "library_id").withColumn("cblock", cblock.cast("int")).drop("_nb")
-    rows = rows.checkpoint(eager=True)
+    rows = stored(rows)
     with_unit = rows.withColumn("unit", unit_expr())
     stats = component_stats(with_unit, g)
     cents = centroids(stats, g)

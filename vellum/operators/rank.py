@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 
 def positions(df: DataFrame, order_cols: list, group_cols: list[str] | None = None,
@@ -74,11 +74,10 @@ def at_rank(rows: DataFrame, group_cols: list[str], value: str, key: str, target
     ensure_checkpoint_dir(spark)
     g = list(group_cols)
     # the three columns that every round reads, written once
-    x = rows.select(*g, F.col(value).alias("_v"), F.col(key).alias("_k")).checkpoint()
-    state = (x.groupBy(*g).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("cnt"))
+    x = stored(rows.select(*g, F.col(value).alias("_v"), F.col(key).alias("_k")))
+    state = stored(x.groupBy(*g).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("cnt"))
              .join(targets.select(*g, "target"), g)
-             .select(*g, "lo", "hi", "cnt", "target", F.lit(0).cast("long").alias("before"), F.lit("").alias("pre"), F.lit(False).alias("one"))
-             .checkpoint())
+             .select(*g, "lo", "hi", "cnt", "target", F.lit(0).cast("long").alias("before"), F.lit("").alias("pre"), F.lit(False).alias("one")))
 
     def inside(some: DataFrame) -> DataFrame:
         return x.join(some, g).filter(F.col("_v").between(F.col("lo"), F.col("hi")) & F.when(F.col("one"), F.col("_k") == F.col("pre")).otherwise(F.col("_k").startswith(F.col("pre"))))
@@ -104,6 +103,6 @@ def at_rank(rows: DataFrame, group_cols: list[str], value: str, key: str, target
             parts.append(narrowed(state.filter(large & ~spread_), longer, pre=F.col("_b"), one=F.length("_b") < F.length("pre") + 2))
         for more in parts[1:]:
             parts[0] = parts[0].unionByName(more)
-        state = parts[0].checkpoint()
+        state = stored(parts[0])
     last = inside(state).withColumn("_p", F.row_number().over(Window.partitionBy(*g).orderBy("_v", "_k")) - 1 + F.col("before"))
     return last.filter(F.col("_p") == F.col("target")).select(*g, F.col("_v").alias("_t"), F.col("_k").alias("_id"))

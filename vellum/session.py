@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -88,6 +89,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df):
+    """``df`` written once as Parquet under the checkpoint folder and read back.  A checkpoint also cuts the
+    lineage, but its frame keeps the constraints of the plan, and in a loop they multiply from turn to turn."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df):
     """``df`` with every column re-aliased, so it can be joined with a frame
     of the same lineage without ambiguous self-join references."""
