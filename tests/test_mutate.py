@@ -196,3 +196,22 @@ def test_gate_rejects_different_rows_of_one_seq(spark):
         clean, twice = gate(df, ["key"])
         assert sorted(map(tuple, clean.collect()), key=str) == [("b", 5, "x"), ("c", 2, "y"), ("d", 2, "z"), ("e", None, "x")]
         assert sorted(r["key"] for r in twice.collect()) == ["a", "f"]
+
+
+def test_added_chunks_are_read_twice_at_most(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    libs, docs = spark.createDataFrame([("l", {})], LIBRARIES), spark.createDataFrame([("l", "d", 0, {})], DOCUMENTS)
+    stored = spark.createDataFrame([("l", "d", f"c{i}", i, "old", [1.0], {}) for i in range(4)], CHUNKS)
+    batch = [("l", "d", "c0", 9, "new", [2.0], {}, 1), ("l", "d", "c0", 9, "new", [2.0], {}, 1), ("l", "d", "c1", 9, "x", [2.0], {}, 1), ("l", "d", "c1", 9, "y", [2.0], {}, 1),
+             ("l", "d", "c2", 9, "x", [2.0], {}, 1), ("l", "d", "c2", 9, "y", [2.0], {}, 2), ("l", "gone", "c", 9, "x", [2.0], {}, 1), ("none", "d", "c", 9, "x", [2.0], {}, 1)]
+    new = spark.createDataFrame(batch, "library_id string, document_id string, chunk_id string, chunk_pos long, text string, embedding array<float>, metadata map<string,string>, seq int")
+    out, bad = M.add_chunks(Corpus3(libs, docs, stored), new.withColumn("text", counted("text")))
+    assert sorted(map(tuple, out.chunks.select("chunk_id", "chunk_pos", "text").collect())) == [("c0", 4, "new"), ("c1", 1, "old"), ("c2", 5, "y"), ("c3", 3, "old")]
+    assert sorted(map(tuple, bad.collect())) == [("Document", "gone"), ("DuplicateChunk", "c1"), ("Library", "none")]
+    assert made.value <= 2 * len(batch)

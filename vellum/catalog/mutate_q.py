@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mutate as M
 from ..plans.index import build_index
+from ..session import stored
 from ..sources import tables
 from . import register
 from .common import with_chunks
@@ -295,6 +296,8 @@ def add_chunks_tied(spark, sf):
     """V8 + U12: every chunk is sent twice in one batch.  Equal rows of one ``seq`` count once; different
     rows of one ``seq`` are rejected, and the stored chunk stays; a higher ``seq`` wins."""
     c3 = _corpus3(spark, sf)
+    # written once: the batch is made of the stored chunks twice over
+    c3 = M.Corpus3(c3.libraries, c3.documents, stored(c3.chunks))
     label = F.element_at("metadata", "label").cast("int") % 3
     first = c3.chunks.withColumn("seq", F.lit(1))
     text = F.when(label == 0, F.col("text")).when(label == 1, F.concat("text", F.lit(" [clash]"))).otherwise(F.concat("text", F.lit(" [second]")))

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh, stored
 from .reshape import next_positions
 
 LIB = ["library_id"]
@@ -85,6 +86,23 @@ def gate(batch: DataFrame, keys: list[str], equal_once: bool = False) -> tuple[D
     return clean.select(*batch.columns), one.filter(~fine).select(*keys)
 
 
+def _gated_keys(batch: DataFrame, keys: list[str], order_col: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`gate` by keys and hashes alone, written once: (keys that go on with ``order_col`` and, where there is a
+    ``seq``, what tells their row: ``_seq``, ``_h``; keys rejected)."""
+    payload = [c for c in batch.columns if c not in keys]
+    order = F.col(order_col) if order_col in batch.columns else F.lit(0)
+    if "seq" in batch.columns:
+        x = batch.select(*keys, F.col("seq").alias("_seq"), content_hash(batch, payload).alias("_h"), order.alias("_o")).withColumn("_not_h", F.bitwise_not("_h"))
+        top = F.struct("_seq", "_h")
+        one = x.groupBy(*keys).agg(F.max(top).alias("_top"), F.max_by("_o", top).alias(order_col), F.max(F.struct("_seq", "_not_h"))["_not_h"].alias("_low"))
+        one = one.select(*keys, order_col, F.col("_top._seq").alias("_seq"), F.col("_top._h").alias("_h"),
+                         (F.col("_top._h") == F.bitwise_not("_low")).alias("_fine"))
+    else:
+        one = batch.select(*keys, order.alias("_o")).groupBy(*keys).agg(F.first("_o").alias(order_col), (F.count(F.lit(1)) == 1).alias("_fine"))
+    one = stored(one)
+    return one.filter("_fine").drop("_fine"), one.filter("NOT _fine").select(*keys)
+
+
 def _twice(rejected: DataFrame, rtype: str, id_col: str) -> DataFrame:
     """Keys that :func:`gate` rejected, as report rows (``Duplicate...``)."""
     return rejected.select(F.lit(f"Duplicate{rtype}").alias("resource_type"), F.col(id_col).alias("resource_id"))
@@ -267,16 +285,23 @@ def delete_documents(c: Corpus3, ids: DataFrame) -> tuple[Corpus3, DataFrame]:
 
 def add_chunks(c: Corpus3, chunks: DataFrame, order_col: str = "seq") -> tuple[Corpus3, DataFrame]:
     """Add chunks to existing documents (V7: library and document).  A
-    chunk id already in the document is replaced and moves to the end."""
-    chunks, twice = gate(chunks, CHUNK)
-    if order_col not in chunks.columns:
-        chunks = chunks.withColumn(order_col, F.lit(0))
+    chunk id already in the document is replaced and moves to the end.  Keys and hashes alone
+    are checked and numbered; texts and vectors meet the keys that are added once."""
+    one, twice = _gated_keys(chunks, CHUNK, order_col)
     # the library is checked first: a chunk of an unknown one reports the library
-    known, no_library = _parent_check(chunks, c.libraries, LIB, "Library", "library_id")
+    known, no_library = _parent_check(one, c.libraries, LIB, "Library", "library_id")
     ok, bad = _parent_check(known, c.documents, DOC, "Document", "document_id")
     bad = bad.unionByName(no_library).unionByName(_twice(twice, "Chunk", "chunk_id"))
     keep = c.chunks.join(ok.select(*CHUNK), CHUNK, "left_anti")
-    placed = next_positions(keep, ok.drop("chunk_pos"), DOC, "chunk_pos", order_col)
+    at = next_positions(keep, ok, DOC, "chunk_pos", order_col)
+    if "seq" not in chunks.columns:
+        placed = chunks.drop("chunk_pos").join(fresh(at.select(*CHUNK, "chunk_pos")), CHUNK)
+    else:
+        at = at.select(*CHUNK, "chunk_pos", F.col("_seq").alias("_at_seq"), F.col("_h").alias("_at_h"))
+        hashed = chunks.withColumn("_h", content_hash(chunks, [x for x in chunks.columns if x not in CHUNK])).drop("chunk_pos")
+        same = hashed.join(fresh(at), CHUNK).filter(F.col("seq").eqNullSafe(F.col("_at_seq")) & (F.col("_h") == F.col("_at_h")))
+        more = [x for x in c.chunks.columns if x not in CHUNK]
+        placed = same.groupBy(*CHUNK).agg(F.first(F.struct(*more)).alias("_p")).select(*CHUNK, *[F.col("_p")[x].alias(x) for x in more])
     return Corpus3(c.libraries, c.documents,
                    keep.unionByName(placed.select(*c.chunks.columns))), bad
 
