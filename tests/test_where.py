@@ -111,3 +111,26 @@ def test_search_before_equals_brute_force(spark, monkeypatch):
         for x in where.knn_where(rows, q).orderBy("query_id", "rank").collect():
             got.setdefault(x["query_id"], []).append(x["chunk_id"])
         assert got == want
+
+
+def test_queries_are_made_once_and_tasks_do_not_grow_with_the_rows(spark, monkeypatch):
+    made, tasks, real = spark.sparkContext.accumulator(0), [], where.merge_topk
+
+    def watched(cands, *more):
+        tasks.append(cands.rdd.getNumPartitions())
+        return real(cands, *more)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(where, "merge_topk", watched)
+    monkeypatch.setattr(where, "PASS_QUERIES", 10)
+    rows = spark.createDataFrame([("l", f"c{i:02d}", [1.0, float(i)], 1.0, {"n": str(i)}) for i in range(40)],
+                                 "library_id string, chunk_id string, vector array<float>, inv_norm double, metadata map<string,string>").repartition(40)
+    q = spark.createDataFrame([(f"q{i:02d}", "l", [1.0, 0.0]) for i in range(30)], "query_id string, library_id string, embedding array<float>")
+    q = q.select(counted("query_id").alias("query_id"), "library_id", "embedding", P.literal(P.between("n", 5)).alias("predicate"))
+    hits = where.knn_where(rows, q, k=2).collect()
+    assert len(hits) == 60 and made.value == 30
+    assert len(tasks) >= 3 and max(tasks) <= spark.sparkContext.defaultParallelism

@@ -10,6 +10,7 @@ from ..functions import predicates as P
 from ..plans import where
 from ..plans.index import build_index
 from ..plans.search import search
+from ..session import stored
 from ..sources import tables
 from ..sources.snapshot import scratch_root
 from . import register
@@ -70,6 +71,7 @@ def search_where_before(spark, sf):
     """Pre-filter: the 10 best of the rows that satisfy each query's own predicate, read from files whose statistics
     allow a match."""
     c, chunks, q = _inputs(spark, sf)
+    q = stored(q)
     b = build_index(c.chunks, c.libraries)
     root = scratch_root(spark, f"filterable-{uuid.uuid4().hex}")
     rows = b.index.drop("build_id").join(chunks.select("library_id", "chunk_id", "metadata"), ["library_id", "chunk_id"])

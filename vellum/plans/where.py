@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import predicates as P
 from ..operators.knn import CAND_SCHEMA, QUERY_KEY, _emit, _reduce_candidates, _salt_for, arrow_matrix, block_topk, inv_norms, merge_topk
 from ..schema import DEFAULT_K
-from ..session import fresh
+from ..session import fresh, stored
 from ..sources import fs
 from ..sources.snapshot import manifest_name, versions
 
@@ -42,7 +42,7 @@ FILE_ROWS = 1_000_000
 def _numbered(queries: DataFrame) -> tuple[DataFrame, int]:
     """Queries with ``_p``, the number of their predicate, and how many passes answer them."""
     text = F.coalesce(F.to_json("predicate"), F.lit("[]"))
-    q = queries.withColumn("_text", text)
+    q = stored(queries.withColumn("_text", text))
     n, size, kinds = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))), F.lit(0)),
                            F.count_distinct("_text")).first()
     passes = max(1, math.ceil(n / PASS_QUERIES), math.ceil(size / PASS_BYTES), math.ceil(kinds / PASS_PREDICATES))
@@ -57,7 +57,9 @@ def knn_where(rows: DataFrame, queries: DataFrame, k: int | None = None) -> Data
     :func:`vellum.operators.knn.knn_join`; a query that too few rows match gets fewer."""
     queries = queries.withColumn("k", F.coalesce(F.lit(k) if k is not None else F.col("k"), F.lit(DEFAULT_K)).cast("int"))
     q, passes = _numbered(queries.select("query_id", "library_id", "embedding", "k", "predicate"))
-    found = [_one_pass(rows, q.filter(F.col("_pass") == i)) for i in range(passes)]
+    # one pass at a time: a pass's queries and candidates are gone when the next one begins
+    keep = stored if passes > 1 else lambda x: x
+    found = [keep(_one_pass(rows, q.filter(F.col("_pass") == i))) for i in range(passes)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -81,6 +83,8 @@ def _one_pass(rows: DataFrame, q: DataFrame) -> DataFrame:
         if texts else F.array().cast("array<int>")
     libs = [x for x in packed if x is not None]
     some = rows.filter(F.col("library_id").isin(libs)).select("library_id", "chunk_id", "vector", "inv_norm", satisfied.alias("_m")).filter(F.size("_m") > 0)
+    # a task hands on k hits a query, so there are no more tasks than run at once, however many rows
+    some = some.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     shared = rows.sparkSession.sparkContext.broadcast(packed)
     arrow_schema = to_arrow_schema(CAND_SCHEMA)
 
