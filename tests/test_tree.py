@@ -147,3 +147,19 @@ def test_moments_equal_numpy(spark, monkeypatch):
             assert x["n"] == len(mine) and np.allclose(x["mean"], mine.mean(0)) and np.allclose(x["var"], mine.var(0))
         for x in CL.split_axis(stats, ["g", "h"]).collect():
             assert x["axis"] == int(np.argmax(m[g == x["g"]].var(0)))
+
+
+def test_large_batches_are_searched_part_by_part_on_blocks(spark, monkeypatch):
+    def plainer(*a, **k):
+        raise AssertionError("cells one by one")
+
+    monkeypatch.setattr(CL, "knn_cells", plainer)
+    ids, vecs = clustered(300, 6, 9)
+    blocks = TR.build_blocks(index_of(spark, {"l": (ids, vecs)}), 20)
+    rows = [(f"q{j:04d}", "l", [float(x) for x in vecs[j % 300]], 3) for j in range(1_500)]
+    got = {}
+    for x in TR.knn_tree(blocks, queries_of(spark, rows), broadcast_rows=0).orderBy("rank").collect():
+        got.setdefault(x["query_id"], []).append(x["chunk_id"])
+    assert len(got) == 1_500
+    for q, _, v, k in rows[::97]:
+        assert got[q] == [i for i, _ in brute_topk(ids, vecs, np.asarray(v, dtype=np.float32), k)]

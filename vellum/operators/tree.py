@@ -20,7 +20,7 @@ looked at (``cos(angle to centroid - angle of the node)`` against the query's k-
 left are scored; where they hold most of the block, the whole block is one product, as in the exact
 scan, so a tree that prunes nothing costs its bounds and no more.  Where there are many blocks, each query's most promising
 blocks are searched first, and only blocks whose own bound reaches the floor so found are read.
-Larger batches of queries take the co-group search of :mod:`vellum.operators.cells`.
+Larger batches of queries are searched part by part, each of a size that is broadcast.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
-from ..session import ensure_checkpoint_dir, fresh
+from ..session import ensure_checkpoint_dir, fresh, stored
 from .knn import _MAX_SCORE_CELLS, CAND_SCHEMA, _salt_for, arrow_matrix, bounded_queries, inv_norms, merge_topk, raw_scores
 
 ANGLE_SLACK = 1e-6
@@ -459,18 +459,34 @@ def _reached(blocks: DataFrame, packed: dict) -> DataFrame:
     return blocks.select("library_id", "block", "dim", "center", "angle").mapInArrow(run, "library_id string, block bigint")
 
 
+def _in_parts(blocks: DataFrame, queries: DataFrame, most_rows: int, most_bytes: int, scored) -> DataFrame:
+    """:func:`knn_tree` of a batch of any size, part by part; a part's hits are written before the next begins."""
+    q = queries.select("query_id", "library_id", "embedding", "k")
+    n, size, widest = q.agg(F.count(F.lit(1)), F.sum(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))),
+                            F.max(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0)))).first()
+    most_rows = max(1_000, most_rows)
+    # a quarter to spare, since a hash does not part evenly
+    parts = max(2, math.ceil(n / most_rows * 1.25), math.ceil(size / max(1, most_bytes) * 1.25))
+    q = stored(q.withColumn("_part", F.pmod(F.xxhash64("library_id", "query_id"), F.lit(parts))))
+    out = None
+    for part in range(parts):
+        # one that came out larger all the same is parted again
+        some = stored(knn_tree(blocks, q.filter(F.col("_part") == part).drop("_part"), broadcast_rows=2 * most_rows,
+                               broadcast_bytes=2 * most_bytes + 1_000 * widest, scored=scored))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def knn_tree(blocks: DataFrame, queries: DataFrame, k: int | None = None, *, broadcast_rows: int = 20_000, broadcast_bytes: int = 32 << 20,
              scored=None) -> DataFrame:
     """Exact top-k per query down the tree of ``blocks``; same output as :func:`vellum.operators.knn.knn_join`.
     ``scored``, an accumulator of a pair of numbers, receives the scored and all (query, vector) pairs."""
-    from .cells import cells_of_blocks, knn_cells
-
     if k is not None:
         queries = queries.withColumn("k", F.lit(int(k)).cast("int"))
     queries = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int"))
     rows = bounded_queries(queries, broadcast_rows, broadcast_bytes)
     if rows is None:
-        return knn_cells(*cells_of_blocks(blocks), queries)
+        return _in_parts(blocks, queries, broadcast_rows, broadcast_bytes, scored)
     kmax = max([1, *rows.column("k").to_pylist()])
     libraries = sorted({x for x in rows.column("library_id").to_pylist() if x is not None})
     blocks = blocks.filter(F.col("library_id").isin(libraries))
