@@ -138,3 +138,12 @@ def test_embed_and_insert_without_generation(spark):
     out, rej = embed_and_insert(Corpus3(c.libraries, c.documents, c.chunks), new, generate=False)
     row = out.chunks.filter("chunk_id = 'n1'").first()
     assert row["embedding"] == [] and rej.count() == 0     # flag off: added with an empty vector
+
+
+def test_provider_memory_does_not_grow_with_the_words(spark):
+    p = HashingProvider()
+    p.embed([" ".join(f"w{i}" for i in range(s, s + 10_000)) for s in range(0, 100_000, 10_000)])
+    assert len(p._memo) <= 1 << 16
+    d = spark.createDataFrame([(i, None if i == 1 else f"w{i}") for i in range(5)], "id int, text string")
+    got = {r["id"]: r["embedding"] for r in embed_column(d, "text", batch_size=2).collect()}
+    assert {i: len(v) for i, v in got.items()} == dict.fromkeys(range(5), 64) and sum(got[1]) == 0 and sum(got[2]) == 1

@@ -2,7 +2,7 @@
 
 A *provider* turns a list of texts into a list of vectors; any model client
 fits (a hosted API, a local ONNX model...).  :func:`embed_column` runs it in
-Arrow batches through an iterator pandas UDF: one provider per task, or per
+Arrow batches through an iterator Arrow UDF, which holds the texts of one call and the vectors as floats: one provider per task, or per
 Python worker where it has a name (created from a picklable factory, so clients
 are not shipped with the closure), texts sent in batches of ``batch_size``, order kept.  As in
 the reference, a batch whose call fails yields empty vectors for all its
@@ -22,9 +22,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema import VECTOR
 from ..session import ensure_checkpoint_dir
@@ -45,7 +46,7 @@ HASH_HEX_DIGITS = 8
 class HashingProvider:
     """Deterministic feature-hashing embeddings (no model, no network)."""
 
-    def __init__(self, dim: int = 64, memo_size: int = 1 << 20):
+    def __init__(self, dim: int = 64, memo_size: int = 1 << 16):
         self.dim = dim
         self._memo: dict[str, int] = {}
         self._memo_size = memo_size
@@ -103,22 +104,23 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
     provider; one with a ``name`` stays in the worker and serves later tasks that
     ask for that name."""
 
-    @F.pandas_udf(VECTOR)
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = to_arrow_type(VECTOR)
+
+    @F.arrow_udf(VECTOR)
+    def _embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         prov = _provider(factory, name)
         for texts in batches:
-            vals = texts.fillna("").tolist()
             out: list = []
-            for s in range(0, len(vals), batch_size):
-                part = vals[s:s + batch_size]
+            for s in range(0, len(texts), batch_size):
+                part = [t or "" for t in texts.slice(s, batch_size).to_pylist()]
                 try:
                     vecs = prov.embed(part)
                     if len(vecs) != len(part):
                         raise ValueError("provider returned a different number of vectors")
+                    out.append(pa.array([np.asarray(v, np.float32) if v is not None else None for v in vecs], kind))
                 except Exception:  # noqa: BLE001 - the reference returns empty vectors
-                    vecs = [[] for _ in part]
-                out.extend(vecs)
-            yield pd.Series(out)
+                    out.append(pa.array([[] for _ in part], kind))
+            yield pa.chunked_array(out, kind).combine_chunks()
 
     return (df.repartition(partitions) if partitions else df).withColumn(out_col, _embed(F.col(text_col)))
 
