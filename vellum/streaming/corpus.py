@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import STR_MAP, VECTOR
+from ..session import stored
 from . import log
 from .ingest import started, stream_id
 
@@ -63,7 +64,7 @@ class HoldChunks(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = self.doc.get() if self.doc.exists() else (None, False)
+        now = self.doc.get() or (None, False)
         epoch, lives = now[0], now[1]
         held: list[tuple] = []
         for pdf in rows:
@@ -130,7 +131,8 @@ def corpus_stream(spark: SparkSession, source: str, root: str, *, checkpoint: st
     body = T.StructType([f for f in EVENTS.fields if f.name in ("op", "chunk_id", "text", "embedding", "metadata")])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("b", F.from_json("body", body)).select(*DOC, "seq", "kind", "b.*")
+        # written once: every action on the batch itself would run the stateful operator over all of it again
+        rows = stored(batch).withColumn("b", F.from_json("body", body)).select(*DOC, "seq", "kind", "b.*")
         # an add or delete and an update of one key are kept side by side
         rows = rows.withColumn("later", F.col("op") == "update")
         sid = stream_id(spark, checkpoint)
