@@ -129,3 +129,20 @@ def test_data_source(spark):
         rows.select("id").write.format("vellum").mode("append").save(root)
     rows.limit(0).write.format("vellum").mode("overwrite").save(root)
     assert back().count() == 0
+
+
+def test_graph_hands_on_only_what_reaches_the_floor():
+    import pyarrow as pa
+
+    v = np.array([[1, 0], [0.8, 0.6], [0, 1]], dtype=np.float32)
+    run = pa.RecordBatch.from_arrays([pa.array(["l"] * 3), pa.array(["hub"] * 3), pa.array(["a", "b", "c"]), pa.array(list(v), pa.list_(pa.float32())),
+                                      pa.array([1.0] * 3), pa.array([0.7, -np.inf, 0.9])], ["library_id", "hub", "chunk_id", "vector", "inv_norm", "floor"])
+    [met] = G._meet("hub", 2)([run])
+    assert sorted(zip(met["node"].to_pylist(), met["neighbour"].to_pylist())) == [("a", "b"), ("b", "a"), ("b", "c")]
+    near = [[{"_id": i, "vector": x, "inv_norm": 1.0} for i, x in zip("abc", v.tolist())], [{"_id": "d", "vector": [1.0, 0.0, 0.0], "inv_norm": 1.0}]]
+    kind = pa.list_(pa.struct([("_id", pa.string()), ("vector", pa.list_(pa.float32())), ("inv_norm", pa.float64())]))
+    asked = pa.RecordBatch.from_arrays([pa.array(["l", "m"]), pa.array(["q", "r"]), pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float32())), pa.array([1.0, 1.0]),
+                                        pa.array([0.75, -np.inf]), pa.array(near, kind)], ["library_id", "query_id", "embedding", "_q_inv", "floor", "near"])
+    [found] = G._scores([asked])        # vectors of another dimension are not compared
+    assert found["query_id"].to_pylist() == ["q", "q"] and found["chunk_id"].to_pylist() == ["a", "b"]
+    assert np.allclose(found["score"].to_pylist(), [1.0, 0.8])
