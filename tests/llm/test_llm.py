@@ -637,3 +637,13 @@ def test_queries_answer_rows_without_an_id_and_repeated_rows(spark, tmp_path):
         assert all(n % 2 == 0 for n in by.values()), name                      # equal rows have equal answers
         if "held_out" in out[0]:
             assert not any(r["held_out"] for r in out if r["doc_id"] is None)
+
+
+def test_encoder_memory_is_bounded():
+    import sys
+
+    from vellum.llm import bpe
+
+    # what a worker keeps of pre-tokens, each with its ids, when the table is full
+    one = sys.getsizeof("abcdefgh") + sys.getsizeof(bytes(12)) + sys.getsizeof(dict.fromkeys(range(100_000))) // 100_000
+    assert bpe.MEMO_ENTRIES * one <= 64 << 20

@@ -26,7 +26,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
 MEMO_BYTES = 64
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 1 << 18
 #: Largest vocabulary file that is broadcast, in bytes.
 MAX_VOCAB_BYTES = 64 << 20
 LONG_TEXT = 1 << 20
