@@ -217,24 +217,23 @@ def test_corpus_stream_in_any_order_and_over_a_restart(spark):
     assert play() == want and len(want[0]) > 2 and len(want[1]) > 5
 
 
-def test_corpus_stream_computes_a_batch_once(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def test_a_document_costs_one_frame_and_few_calls_to_the_state():
+    import pandas as pd
 
     from vellum.streaming import corpus as C
 
-    made = spark.sparkContext.accumulator(0)
-
-    @F.udf("string")
-    def counted(x):
-        made.add(1)
-        return x
-
-    monkeypatch.setattr(C, "started", lambda passed, apply, checkpoint, processing_time: apply)
-    root = scratch_root(spark, f"once-{uuid.uuid4().hex}")
-    spark.createDataFrame([], C.EVENTS).write.parquet(f"{root}/source")
-    apply = C.corpus_stream(spark, f"{root}/source", root, checkpoint=f"{root}/checkpoint", buckets=2)
-    rows = [("l", "d", 1, "document", '{"op":"add","metadata":{"x":"1"}}'), ("l", "d", 2, "chunk", '{"op":"add","chunk_id":"c","text":"t","embedding":[1.0],"metadata":{}}')]
-    apply(spark.createDataFrame(rows, C._PASSED).withColumn("body", counted("body")), 0)
-    assert made.value == len(rows)
-    documents, chunks = C.corpus(spark, root)
-    assert documents.count() == 1 and [x["text"] for x in chunks.collect()] == ["t"]
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *a: calls.append((self.name, call)) or (False if call == "exists" else None)
+
+    hold = C.HoldChunks()
+    hold.doc, hold.waiting = State("doc"), State("waiting")
+    events = pd.DataFrame({"seq": [3, 1, 2, 9], "kind": ["chunk", "document", "chunk", "document"], "op": ["add", "add", "add", "update"], "body": list("abcd")})
+    out = pd.concat(hold.handleInputRows(("l", "d"), iter([events]), None))
+    assert sorted(out["body"]) == list("abcd") and set(out["document_id"]) == {"d"} and out["seq"].dtype == "int64"
+    assert calls == [("doc", "get"), ("doc", "update"), ("waiting", "exists")]

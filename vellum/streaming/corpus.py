@@ -28,6 +28,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import STR_MAP, VECTOR
-from ..session import stored
 from . import log
 from .ingest import started, stream_id
 
@@ -66,19 +66,25 @@ class HoldChunks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = self.doc.get() or (None, False)
         epoch, lives = now[0], now[1]
+        docs: list[tuple] = []
         held: list[tuple] = []
         for pdf in rows:
-            docs = pdf[pdf["kind"] == "document"]
-            for seq, op in zip(docs["seq"], docs["op"]):
-                if op != "update" and (epoch is None or seq > epoch):
-                    epoch, lives = int(seq), op == "add"
-            if len(docs):
+            # plain lists: most documents have a handful of events, and a frame costs more than they do
+            for seq, kind, op, body in zip(*(pdf[c].tolist() for c in ("seq", "kind", "op", "body"))):
+                if kind == "document":
+                    if op != "update" and (epoch is None or seq > epoch):
+                        epoch, lives = int(seq), op == "add"
+                    docs.append((seq, kind, body))
+                elif kind == "chunk":
+                    held.append((int(seq), kind, body))
+            if len(docs) >= _FRAME:
                 yield self._out(key, docs)
-            chunks = pdf[pdf["kind"] == "chunk"]
-            held += list(zip(chunks["seq"].astype(int), chunks["kind"], chunks["body"]))
+                docs = []
             if len(held) >= _FRAME:
                 yield from self._settle(key, held, epoch, lives)
                 held = []
+        if docs:
+            yield self._out(key, docs)
         yield from self._settle(key, held, epoch, lives)
         if (epoch, lives) != (now[0], now[1]):
             self.doc.update((epoch, lives))
@@ -91,7 +97,7 @@ class HoldChunks(StatefulProcessor):
         if not events:
             return
         if lives:
-            yield self._out(key, pd.DataFrame(events, columns=["seq", "kind", "body"]))
+            yield self._out(key, events)
         else:
             self.waiting.appendList(events)
 
@@ -101,15 +107,15 @@ class HoldChunks(StatefulProcessor):
             if e[0] > epoch:
                 some.append(tuple(e))
             if len(some) >= _FRAME:
-                yield self._out(key, pd.DataFrame(some, columns=["seq", "kind", "body"]))
+                yield self._out(key, some)
                 some = []
         if some:
-            yield self._out(key, pd.DataFrame(some, columns=["seq", "kind", "body"]))
+            yield self._out(key, some)
         self.waiting.clear()
 
-    def _out(self, key, events: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"library_id": key[0], "document_id": key[1], "seq": events["seq"].astype("int64"),
-                             "kind": events["kind"], "body": events["body"]})
+    def _out(self, key, events: list[tuple]) -> pd.DataFrame:
+        seq, kind, body = zip(*events)
+        return pd.DataFrame({"library_id": key[0], "document_id": key[1], "seq": np.array(seq, np.int64), "kind": kind, "body": body})
 
     def close(self) -> None:
         pass
@@ -131,8 +137,7 @@ def corpus_stream(spark: SparkSession, source: str, root: str, *, checkpoint: st
     body = T.StructType([f for f in EVENTS.fields if f.name in ("op", "chunk_id", "text", "embedding", "metadata")])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # written once: every action on the batch itself would run the stateful operator over all of it again
-        rows = stored(batch).withColumn("b", F.from_json("body", body)).select(*DOC, "seq", "kind", "b.*")
+        rows = batch.withColumn("b", F.from_json("body", body)).select(*DOC, "seq", "kind", "b.*")
         # an add or delete and an update of one key are kept side by side
         rows = rows.withColumn("later", F.col("op") == "update")
         sid = stream_id(spark, checkpoint)
