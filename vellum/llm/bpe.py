@@ -42,13 +42,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Packed ids by pre-token, filled on demand; long pre-tokens are not kept."""
+    """Packed ids by pre-token, filled on demand; long pre-tokens are not kept.  A full table becomes the older
+    half, from which what is asked for again is taken over: frequent pre-tokens outlive the others."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is not None:
+            self[piece] = packed
+            return packed
         raw = piece.encode()
         ids = self.merge(raw)
         packed = struct.pack(f"<{len(ids)}I", *ids)
@@ -140,16 +150,16 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers (null: none)."""
         if not text:
             return b""
-        if len(self.memo) >= MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.memo) >= MEMO_ENTRIES // 2:
+            self.memo.turn()
         packed = self.memo.__getitem__
         if len(text) <= LONG_TEXT:
             return b"".join(map(packed, self.find.findall(text)))
         out, pieces = [], (m.group() for m in self.find.finditer(text))
         for some in itertools.batched(pieces, LONG_TEXT // 8):
             out.append(b"".join(map(packed, some)))
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+            if len(self.memo) >= MEMO_ENTRIES // 2:
+                self.memo.turn()
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> bytes:
