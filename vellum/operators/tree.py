@@ -468,6 +468,8 @@ def _in_parts(blocks: DataFrame, queries: DataFrame, most_rows: int, most_bytes:
     # a quarter to spare, since a hash does not part evenly
     parts = max(2, math.ceil(n / most_rows * 1.25), math.ceil(size / max(1, most_bytes) * 1.25))
     q = stored(q.withColumn("_part", F.pmod(F.xxhash64("library_id", "query_id"), F.lit(parts))))
+    # every task at work in every part: the blocks may have come out of a build in few partitions
+    blocks = blocks.repartition(blocks.sparkSession.sparkContext.defaultParallelism).checkpoint()
     out = None
     for part in range(parts):
         # one that came out larger all the same is parted again
