@@ -647,3 +647,43 @@ def test_encoder_memory_is_bounded():
     # what a worker keeps of pre-tokens, each with its ids, when the table is full
     one = sys.getsizeof("abcdefgh") + sys.getsizeof(bytes(12)) + sys.getsizeof(dict.fromkeys(range(100_000))) // 100_000
     assert bpe.MEMO_ENTRIES * one <= 64 << 20
+
+
+def test_new_pre_tokens_of_several_texts_share_a_queue():
+    codec = Codec(RANKS, P.PATTERN)
+    calls, merge = [], codec.merge
+    codec.merge = lambda pieces: calls.append(len(pieces)) or merge(pieces)
+    texts = [*TEXTS, *(f"{prose(20, i)} zq{i}xv wgk{i}jh" for i in range(30)), "qzxvwkj" * 20_000]
+    for t, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == TOKENS.encode_ordinary(t or "")
+    assert len(calls) <= 4 and max(calls) > 30
+    assert not any(codec.low)
+
+
+def lowest_first(piece, ranks):
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [bytes([b]) for b in piece]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_shared_queue_with_ranks_in_any_order():
+    for seed in range(40):
+        r = random.Random(seed)
+        tokens = sorted({bytes([b]) for b in range(256)} | {b"\xff\xff", b"a\xff"}
+                        | {bytes(r.choice(b"abc\xc3\xa9") for _ in range(r.randint(2, 6))) for _ in range(60)})
+        r.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        codec = Codec(ranks, r"\S+")
+        texts = ["".join(r.choice("aabcé ") for _ in range(r.randint(0, 60))) for _ in range(20)]
+        for t, ids in zip(texts, codec.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [i for p in t.split() for i in lowest_first(p.encode(), ranks)]
+
+
+def test_pipeline_scores_the_language_of_a_text_once(spark):
+    out = corpus_pipeline.identify_language(spark, docs(spark, [prose(40, i) for i in range(20)]), "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert out.count() == 20
