@@ -32,8 +32,8 @@ MEMO_ENTRIES = 1 << 18
 MAX_VOCAB_BYTES = 64 << 20
 LONG_TEXT = 1 << 20
 #: Characters of texts whose new pre-tokens are merged together, and bytes of pre-tokens in one queue.
-GROUP_CHARS = 1 << 18
-MERGE_BYTES = 1 << 16
+GROUP_CHARS = 1 << 16
+MERGE_BYTES = 1 << 13
 FENCE = b"\xff"
 
 
