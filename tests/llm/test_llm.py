@@ -687,3 +687,18 @@ def test_pipeline_scores_the_language_of_a_text_once(spark):
     out = corpus_pipeline.identify_language(spark, docs(spark, [prose(40, i) for i in range(20)]), "")
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
     assert out.count() == 20
+
+
+def test_a_worker_lets_go_of_what_it_kept_for_another_operator():
+    import weakref
+
+    from vellum.llm.bpe import _codec
+    from vellum.llm.common import held
+
+    class Shared:
+        value = RANKS
+
+    kept = weakref.ref(_codec(("k",), Shared, P.PATTERN))
+    assert kept() is _codec(("k",), Shared, P.PATTERN)
+    held("langid")
+    assert kept() is None

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
+from .common import held
+
 MEMO_BYTES = 64
 MEMO_ENTRIES = 1 << 18
 #: Largest vocabulary file that is broadcast, in bytes.
@@ -213,16 +215,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(key: tuple, ranks, pattern: str) -> Codec:
     """One codec a worker and vocabulary, so its memo outlives the task.  ``ranks`` is a broadcast, unpacked only
     for a new codec."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks.value, pattern)
-    return _CODECS[key]
+    codecs = held("bpe")
+    if key not in codecs:
+        codecs.clear()
+        codecs[key] = Codec(ranks.value, pattern)
+    return codecs[key]
 
 
 class ByteBPE:

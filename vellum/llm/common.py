@@ -17,6 +17,17 @@ ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What this Python worker keeps for later tasks of an operator.  Workers outlive a stage: what it kept
+    for other operators is let go."""
+    for other in [o for o in _HELD if o != operator]:
+        del _HELD[other]
+    return _HELD.setdefault(operator, {})
+
+
 def ready(spark: SparkSession) -> None:
     """Ship the package, make sure a checkpoint folder is set, and keep Arrow
     batches small enough for long texts."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut
+from .common import cut, held
 
 ORDER = 4
 #: Bounds of the training sample, for each language: rows (twice as many at
@@ -243,6 +243,7 @@ def predict(spark: SparkSession, model: Model, text) -> Column:
 
     @arrow_udf("struct<lang:string,score:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("langid")
         scorer = Scorer(shared.value)
         for texts in batches:
             lang, score = scorer.predict(texts.to_pylist())

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Tables
+from .common import Tables, held
 
 SKETCH = 64
 LISTED = 32
@@ -85,6 +85,7 @@ def parity_bits(values: np.ndarray) -> np.ndarray:
 def _sketcher(width: int):
     @arrow_udf("struct<n:bigint,d1:bigint,d2:bigint,sketch:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("neardup")
         for texts in batches:
             n, digest, sketch = [], [], []
             for text in texts.to_pylist():
@@ -103,6 +104,7 @@ def _sketcher(width: int):
 def _full_sets(width: int):
     @arrow_udf("struct<set:array<bigint>,bits:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("neardup")
         for texts in batches:
             sets = [shingle_set(t, width) for t in texts.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array(sets, pa.list_(pa.int64())),
