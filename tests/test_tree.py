@@ -163,3 +163,15 @@ def test_large_batches_are_searched_part_by_part_on_blocks(spark, monkeypatch):
     assert len(got) == 1_500
     for q, _, v, k in rows[::97]:
         assert got[q] == [i for i, _ in brute_topk(ids, vecs, np.asarray(v, dtype=np.float32), k)]
+
+
+def test_large_cells_are_split_by_all_their_rows(spark, monkeypatch):
+    from .test_cells import numpy_cells
+
+    monkeypatch.setattr(TR, "GROUP_VALUES", 200)
+    monkeypatch.setattr(TR, "FIT_ROWS", 16)
+    ids, vecs = clustered(700, 4, 1)
+    ids, vecs = [*ids, *[f"w{i:03d}" for i in range(150)]], np.concatenate([vecs, np.repeat(vecs[:1], 150, axis=0)])     # many of one value
+    blocks = TR.build_blocks(index_of(spark, {"a": (ids, vecs), "small": clustered(30, 4, 5)}).repartition(6), 8)
+    got = {r["chunk_id"]: r["cell"] for r in TR.block_rows(blocks).filter("library_id = 'a'").collect()}
+    assert got == numpy_cells(ids, vecs, 8)

@@ -1,7 +1,7 @@
 """Cell index: recursive max-variance median split (X3, A3-A6, W2) and
 exact cell-pruned top-k search (X4, T4).
 
-Build (X3): in one pass by :mod:`vellum.operators.tree` (``split='local'``), or level by level over *all*
+Build (X3): by :mod:`vellum.operators.tree` (``split='local'``, one pass below cells of a task's size), or level by level over *all*
 libraries at once (``'median'``, ``'approx'``), never in a loop over cells:
 
 1. cells still larger than ``leaf_size`` are active;
@@ -84,6 +84,13 @@ def _merged(group_cols: list[str]):
     return run
 
 
+def _same_length(b: pa.RecordBatch, vec: str) -> list[pa.RecordBatch]:
+    """A batch by the length of its vectors: libraries may differ in it."""
+    size = b.column(vec).value_lengths().to_numpy()
+    each = np.unique(size)
+    return [b] * len(each) if len(each) < 2 else [b.take(pa.array(np.flatnonzero(size == x))) for x in each]
+
+
 def component_stats(rows: DataFrame, group_cols: list[str], vec: str = "unit") -> DataFrame:
     """A3/A5 inputs: per group ``n``, and the arrays ``mean`` and ``var`` (population variance) of its
     vectors.  A task adds up whole vectors by group and hands on one partial (count,
@@ -103,9 +110,7 @@ def component_stats(rows: DataFrame, group_cols: list[str], vec: str = "unit") -
             return pa.RecordBatch.from_arrays([*cols, pa.array([int(v[0]) for v in sums], pa.int64()), pa.array([v[1] for v in sums], arrow.field("mean").type),
                                                pa.array([v[2] for v in sums], arrow.field("m2").type)], schema=arrow)
 
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (some for whole in batches for some in _same_length(whole, "_x")):
             keys = list(zip(*(b.column(f.name).to_pylist() for f in kinds)))
             number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
             code = np.fromiter((number[k] for k in keys), np.int64, len(keys))
@@ -220,10 +225,9 @@ def build_cells(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE, block_rows
                 max_levels: int = 62, split: str = "local") -> tuple[DataFrame, DataFrame]:
     """Returns ``(cell_index, cells)``.
 
-    ``split='local'``: one pass (:mod:`vellum.operators.tree`).  The top of a large library's tree is
-    fitted on a sample; below, and throughout a library that one task holds, it is the
-    reference's rule (first floor(n/2) rows by the axis value go left).  ``split='median'`` is that rule at every level,
-    a selection and a rewrite of the rows per level.  ``split='approx'``
+    ``split='local'``: the reference's rule (first floor(n/2) rows by the axis value go left) throughout
+    (:mod:`vellum.operators.tree`): cells too large for one task by a selection over all their rows, level by level, the rest
+    in one pass.  ``split='median'`` is that rule by a selection and a rewrite of the rows at every level.  ``split='approx'``
     splits level by level at an approximate median from a sketch.  Search stays exact in any case, since pruning
     uses each cell's measured angle.
 

@@ -1,18 +1,18 @@
-"""Cell tree in one pass (X3), and exact top-k search down the tree.
+"""Cell tree (X3), and exact top-k search down the tree.
 
 Build.  A cell is a heap number: root 1, children 2c and 2c+1; a node is split at the median
 of its axis of largest variance, equal values by chunk_id.
 
-1. Top.  Cells of more than ``GROUP_VALUES`` vector components get a split tree fitted on a sample of
-   about ``FIT_ROWS`` of their rows, drawn by a hash of the id (so the same whatever the
-   partitioning).  The trees are broadcast, and every row is routed to the cell it ends in; identical
-   vectors are told apart by their ids, so no cell stays hot.  One round does for some
-   hundreds of millions of rows, each further one for some hundred times as many.
+1. Top.  Cells of more than ``GROUP_VALUES`` vector components are halved level by level, all cells of a level at once:
+   the axis by the moments of all rows of a cell (one partial a task and cell), the median row by a
+   selection over all of them.  A row is compared with its cell's median and no cell is sorted or shuffled whole; identical
+   vectors are told apart by their ids, so no cell stays hot.  Levels: log2 of the components of a library by
+   ``GROUP_VALUES``.
 2. Rest.  A cell's rows meet in one task and are split down to the leaves exactly.  The task also measures centroid,
    radius and angle of every node over all its rows, and packs nodes, ids and vectors of a subtree of
    at most ``BLOCK_VALUES`` components into one row, a *block*.
 
-A library of one such cell is split by the exact rule throughout.
+So every library, of whatever size, is split by the exact rule throughout.
 
 Search.  A batch of queries of a checked size is broadcast and blocks are read in place.  In a
 block the queries go down level by level: only children of a node that can still hold a hit are
@@ -25,7 +25,6 @@ Larger batches of queries are searched part by part, each of a size that is broa
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -36,17 +35,15 @@ from pyspark.sql import functions as F
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh, stored
 from .knn import _MAX_SCORE_CELLS, CAND_SCHEMA, _salt_for, arrow_matrix, bounded_queries, inv_norms, merge_topk, raw_scores
+from .rank import at_rank
 
 ANGLE_SLACK = 1e-6
 #: Components (rows x dimension) that one task splits by itself: 32 MB as doubles.
 GROUP_VALUES = 1 << 22
 #: Components of a block: 1 MB as floats.
 BLOCK_VALUES = 1 << 18
-#: Rows of the sample that a cell's split tree is fitted on, about, and the least of them in a part.
+#: Rows around the median of a large cell that are ranked; while there are more, a histogram narrows them.
 FIT_ROWS = 16_384
-LEAF_SAMPLES = 32
-#: Nodes of split trees broadcast at once (some 50 bytes each).
-MAX_NODES = 1_000_000
 #: Blocks above which the most promising ones are searched first.
 PROBE_BLOCKS = 64
 #: Block names up to this many are broadcast (40 bytes each).
@@ -55,7 +52,6 @@ BROADCAST_NAMES = 200_000
 WHOLE = 0.5
 
 _ROW = "library_id string, chunk_id string, vector array<float>, inv_norm double, cell bigint"
-_SPLITS = "library_id string, cell bigint, depth int, axis array<int>, value array<double>, id array<string>"
 BLOCK = ("library_id string, block bigint, dim int, n int, center array<double>, angle double, chunk_ids array<string>, vectors array<float>, "
          "inv_norms array<double>, node_ids array<bigint>, node_start array<int>, node_end array<int>, node_centers array<double>, "
          "node_angles array<double>, node_radii array<double>")
@@ -83,53 +79,22 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _fit(t: pa.Table) -> pa.Table:
-    """A complete split tree for one cell, from a sample of its rows."""
-    n, unit = t.column("n")[0].as_py(), _units(t)
-    ids = t.column("chunk_id").to_numpy()
-    need = math.ceil(math.log2(max(2.0, 2 * n * unit.shape[1] / GROUP_VALUES)))
-    depth = max(min(1, len(ids) - 1), min(need, int(math.log2(max(1, len(ids) // LEAF_SAMPLES)))))      # goes on in any case
-    axis, value, at = np.zeros(1 << depth, np.int32), np.zeros(1 << depth), np.full(1 << depth, "", object)
-    rank, parts = _ranks(ids), {1: np.arange(len(ids))}
-    for node in range(1, 1 << depth):
-        axis[node], rows = _halves(unit, rank, parts.pop(node))
-        half = len(rows) // 2
-        value[node], at[node] = unit[rows[half], axis[node]], ids[rows[half]]
-        parts[2 * node], parts[2 * node + 1] = rows[:half], rows[half:]
-    return pa.table({"library_id": t.column("library_id")[:1], "cell": t.column("cell")[:1], "depth": pa.array([depth], pa.int32()),
-                     "axis": pa.array([axis]), "value": pa.array([value]), "id": pa.array([at.tolist()], pa.list_(pa.string()))})
-
-
-def _route(unit: np.ndarray, ids: np.ndarray, tree: dict) -> np.ndarray:
-    """The part (0 to 2^depth - 1) of each row: right of a node from its (value, id) on."""
-    node = np.ones(len(ids), np.int64)
-    for _ in range(tree["depth"]):
-        v = unit[np.arange(len(ids)), tree["axis"][node]]
-        same = v == tree["value"][node]
-        right = v > tree["value"][node]
-        for i in np.flatnonzero(same):
-            right[i] = ids[i].encode() >= tree["id"][node[i]].encode()
-        node = 2 * node + right
-    return node - (1 << tree["depth"])
-
-
-def _routed(rows: DataFrame, trees: list[dict]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast({(t["library_id"], t["cell"]): t for t in trees})
+def _split_large(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` with the cells of ``large`` (``library_id, cell``, and their rows ``n``) halved: axis by the moments of
+    all rows of a cell, the row at floor(n/2) by (value, id) by selection over all of them."""
+    from .cells import component_stats, split_axis, unit_expr      # which builds on this module
 
-    def run(batches):
-        for b in batches:
-            lib, cell = b.column("library_id").to_numpy(zero_copy_only=False), b.column("cell").to_numpy().copy()
-            ids = b.column("chunk_id").to_numpy(zero_copy_only=False)
-            names, group = np.unique(np.array([f"{c}:{x}" for x, c in zip(lib, cell)]), return_inverse=True)
-            for g in range(len(names)):
-                mine = np.flatnonzero(group == g)
-                tree = shared.value.get((lib[mine[0]], int(cell[mine[0]])))
-                if tree is not None:
-                    some = pa.Table.from_batches([b]).take(pa.array(mine))
-                    cell[mine] = (cell[mine] << tree["depth"]) + _route(_units(some), ids[mine], tree)
-            yield b.set_column(b.schema.get_field_index("cell"), "cell", pa.array(cell))
-
-    return rows.mapInArrow(run, _ROW)
+    g = ["library_id", "cell"]
+    mine = rows.join(fresh(large), g, "left_semi")
+    # small tables, written: their size is known, so they are broadcast and no hot cell is shuffled
+    axes = fresh(stored(split_axis(component_stats(mine.withColumn("unit", unit_expr()), g), g).select(*g, "axis")))
+    value = F.element_at("vector", F.col("axis") + 1).cast("double") * F.col("inv_norm")
+    targets = large.select(*g, F.floor(F.col("n") / 2).alias("target"))
+    first = stored(at_rank(rows.join(axes, g).withColumn("_v", value), g, "_v", "chunk_id", targets, small=FIT_ROWS))
+    cuts = fresh(axes.join(fresh(first), g))
+    right = (value > F.col("_t")) | ((value == F.col("_t")) & (F.col("chunk_id") >= F.col("_id")))
+    cell = F.when(F.col("_t").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("long"))
+    return stored(rows.join(cuts, g, "left").select("library_id", "chunk_id", "vector", "inv_norm", cell.alias("cell")))
 
 
 def split_tree(unit: np.ndarray, rank: np.ndarray, leaf_size: int, root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,24 +165,18 @@ def build_blocks(index: DataFrame, leaf_size: int = DEFAULT_LEAF_SIZE) -> DataFr
     ensure_checkpoint_dir(index.sparkSession)
     g = ["library_id", "cell"]
     rows = index.select("library_id", "chunk_id", "vector", "inv_norm").withColumn("cell", F.lit(1).cast("long"))
-    for turn in itertools.count():
-        big = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).filter(
-            (F.col("n") * F.col("dim") > GROUP_VALUES) & (F.col("n") > 2 * leaf_size)).select(*g, "n")
-        if turn == 0:
-            if not (known := big.count()):
-                break
-            rows = rows.checkpoint()
-        elif not (known := big.count()):
-            break
-        draw = F.pmod(F.xxhash64(F.lit(turn), "chunk_id"), F.lit(1 << 30)) / (1 << 30)
-        sample = rows.join(fresh(big), g).filter(draw * F.col("n") < FIT_ROWS)
-        trees = sample.groupBy(*g).applyInArrow(_fit, _SPLITS).checkpoint()
-        nodes = trees.agg(F.sum(F.size("axis"))).first()[0] or 0
-        parts = max(1, math.ceil(nodes / MAX_NODES), math.ceil(known / MAX_NODES))
-        for part in range(parts):
-            some = trees.filter(F.pmod(F.xxhash64(*g), F.lit(parts)) == part).toArrow().to_pylist()
-            rows = _routed(rows, [{**x, **{c: np.array(x[c], object if c == "id" else None) for c in ("axis", "value", "id")}} for x in some])
-        rows = rows.checkpoint()
+
+    def large(cells: DataFrame) -> DataFrame:
+        return stored(cells.filter((F.col("n") * F.col("dim") > GROUP_VALUES) & (F.col("n") > leaf_size)))
+
+    cells = large(rows.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")))
+    if not cells.isEmpty():
+        rows = stored(rows)
+    while not cells.isEmpty():
+        rows = _split_large(rows, cells)
+        left = F.floor(F.col("n") / 2)
+        halves = F.array(F.struct((F.col("cell") * 2).alias("cell"), left.alias("n")), F.struct((F.col("cell") * 2 + 1).alias("cell"), (F.col("n") - left).alias("n")))
+        cells = large(cells.select("library_id", "dim", F.explode(halves).alias("h")).select("library_id", "h.cell", "h.n", "dim"))
     return rows.groupBy(*g).applyInArrow(_local(leaf_size), BLOCK).checkpoint()
 
 
