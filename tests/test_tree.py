@@ -175,3 +175,57 @@ def test_large_cells_are_split_by_all_their_rows(spark, monkeypatch):
     blocks = TR.build_blocks(index_of(spark, {"a": (ids, vecs), "small": clustered(30, 4, 5)}).repartition(6), 8)
     got = {r["chunk_id"]: r["cell"] for r in TR.block_rows(blocks).filter("library_id = 'a'").collect()}
     assert got == numpy_cells(ids, vecs, 8)
+
+
+def test_blocks_go_round_past_more_queries(spark, monkeypatch):
+    from vellum.operators import rounds as RO
+
+    ids, vecs = clustered(900, 6, 11)
+    vecs[40:80] = vecs[40]          # equal scores
+    vecs[7] = 0
+    blocks = TR.build_blocks(index_of(spark, {"l": (ids, vecs), "m": clustered(60, 3, 12)}), 20)
+    rows = [(f"q{j:04d}", "l", [float(x) for x in vecs[j % 900]], 1 + j % 12) for j in range(2_600)]
+    rows += [("m1", "m", [1.0, 0.0, 0.0], 100), ("none", "n", [1.0], 3), ("other", "l", [1.0, 0.0], 3), ("gone", None, [1.0], 3)]
+
+    def lists(frame):
+        got = {}
+        for x in frame.orderBy("rank").collect():
+            got.setdefault((x["library_id"], x["query_id"]), []).append(x["chunk_id"])
+        return got
+
+    def spread(*a, **k):
+        raise AssertionError("queries were sent to the blocks")
+
+    with monkeypatch.context() as one:
+        one.setattr(TR, "_candidates", spread)
+        got = lists(TR.knn_tree(blocks, queries_of(spark, rows), broadcast_rows=0, broadcast_bytes=40_000))     # several parts
+    assert len(got) == 2_601 and len(got["m", "m1"]) == 60
+    for q, lib, v, k in [*rows[::53], *rows[40:44], rows[7]]:
+        if lib == "l":
+            assert got[lib, q] == [i for i, _ in brute_topk(ids, vecs, np.asarray(v, dtype=np.float32), k)], q
+    # where the blocks are the larger side the queries go round
+    monkeypatch.setattr(TR, "parts_of", lambda total, most: 1 << 30)
+    monkeypatch.setattr(TR, "search_rounds", spread)
+    assert lists(TR.knn_tree(blocks, queries_of(spark, rows[:2_600]), broadcast_rows=0)) == {k: v for k, v in got.items() if k[0] == "l"}
+    assert RO.parts_of(None, 1) == 1
+
+
+def test_float_products_lose_no_hit():
+    from vellum.operators.rounds import Asked, unit_floats
+
+    r = np.random.default_rng(5)
+    v = (r.standard_normal((500, 24)) * 10.0 ** r.integers(-25, 25, (500, 1))).astype(np.float32)
+    v[100:140], v[9] = v[100] * np.float32(2), 0
+    ids = np.array([f"{i * 7919 % 500:03d}" for i in range(500)], object)
+    inv = 1 / np.maximum(np.sqrt((v.astype(np.float64) ** 2).sum(1)), 1e-300) * (v != 0).any(1)
+    q = Asked(np.arange(60), v[80:140].astype(np.float64), r.integers(1, 30, 60))
+    for s in range(0, 500, 90):
+        qi, ci, score = q.hits(np.arange(60), unit_floats(v[s:s + 90], inv[s:s + 90]), v[s:s + 90], inv[s:s + 90])
+        q.keep(qi, ids[s:s + 90][ci], score)
+    q.merge()
+    exact = np.einsum("qd,nd->qn", v[80:140].astype(np.float64), v.astype(np.float64)) * inv * inv[80:140, None]
+    for i in range(60):
+        want = sorted(range(500), key=lambda n: (-round(exact[i, n], 12), ids[n]))[:q.k[i]]
+        mine = [(x, y) for o, x, y in zip(*q.best) if o == i]
+        assert sorted(x for x, _ in mine) == sorted(ids[n] for n in want), i
+        assert np.allclose(sorted(y for _, y in mine), sorted(exact[i, want]), atol=1e-12)

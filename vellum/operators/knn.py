@@ -41,6 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.vector import inv_norm, literal_vector, vec_dot
 from ..schema import DEFAULT_K
 from ..session import fresh
+from .rounds import inv_norms
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType(), False),
@@ -91,14 +92,6 @@ def _as_matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def inv_norms(m: np.ndarray) -> np.ndarray:
-    """1/|row| in double, 0 for a zero row (same rule as the index column)."""
-    if m.size == 0:
-        return np.zeros(len(m))
-    n = np.sqrt(np.einsum("ij,ij->i", m, m))
-    return np.divide(1.0, n, out=np.zeros_like(n), where=n > 0)
-
-
 def raw_scores(q_raw: np.ndarray, q_inv: np.ndarray, c_raw: np.ndarray, c_inv: np.ndarray) -> np.ndarray:
     """Cosine scores as the SQL form computes them: the raw dot product
     first, then the two inverse norms (dot * 1/|c| * 1/|q|).  Normalising

@@ -17,10 +17,11 @@ So every library, of whatever size, is split by the exact rule throughout.
 Search.  A batch of queries of a checked size is broadcast and blocks are read in place.  In a
 block the queries go down level by level: only children of a node that can still hold a hit are
 looked at (``cos(angle to centroid - angle of the node)`` against the query's k-th best so far).  The leaves that are
-left are scored; where they hold most of the block, the whole block is one product, as in the exact
+left are scored; a query that needs most of the block gets the whole block in one product, as in the exact
 scan, so a tree that prunes nothing costs its bounds and no more.  Where there are many blocks, each query's most promising
 blocks are searched first, and only blocks whose own bound reaches the floor so found are read.
-Larger batches of queries are searched part by part, each of a size that is broadcast.
+Larger batches stay where they are, and the blocks go round part by part (:mod:`vellum.operators.rounds`); where the blocks
+are the larger side, the queries do.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_K, DEFAULT_LEAF_SIZE
 from ..session import ensure_checkpoint_dir, fresh, stored
-from .knn import _MAX_SCORE_CELLS, CAND_SCHEMA, _salt_for, arrow_matrix, bounded_queries, inv_norms, merge_topk, raw_scores
+from .knn import CAND_SCHEMA, _salt_for, arrow_matrix, bounded_queries, inv_norms, merge_topk
 from .rank import at_rank
+from .rounds import Asked, id_ranks, parts_of, search_rounds, unit_floats
 
 ANGLE_SLACK = 1e-6
 #: Components (rows x dimension) that one task splits by itself: 32 MB as doubles.
@@ -71,14 +73,6 @@ def _halves(unit: np.ndarray, rank: np.ndarray, rows: np.ndarray) -> tuple[int,
     return axis, rows[np.lexsort((rank[rows], unit[rows, axis]))]
 
 
-def _ranks(ids: np.ndarray) -> np.ndarray:
-    """Places of the ids in ascending order (byte-wise, as Spark's)."""
-    order = np.argsort(np.array([i.encode() for i in ids], dtype=object), kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    return rank
-
-
 def _split_large(rows: DataFrame, large: DataFrame) -> DataFrame:
     """``rows`` with the cells of ``large`` (``library_id, cell``, and their rows ``n``) halved: axis by the moments of
     all rows of a cell, the row at floor(n/2) by (value, id) by selection over all of them."""
@@ -133,7 +127,7 @@ def _local(leaf_size: int):
     def run(t: pa.Table) -> pa.Table:
         unit, dim = _units(t), len(t.column("vector")[0])
         ids = t.column("chunk_id").to_numpy()
-        node, start, end, order = split_tree(unit, _ranks(ids), leaf_size, t.column("cell")[0].as_py())
+        node, start, end, order = split_tree(unit, id_ranks(ids), leaf_size, t.column("cell")[0].as_py())
         unit = unit[order]
         center, angle, radius = node_bounds(unit, start, end)
         t = t.take(pa.array(order))
@@ -220,6 +214,9 @@ def block_cells(blocks: DataFrame) -> DataFrame:
 class _Block:
     """Arrays of one block row of a record batch."""
 
+    def search(self, q: Asked, stats: dict) -> None:
+        search_block(q, self, stats)
+
     def __init__(self, batch: pa.RecordBatch, at: int):
         get = lambda c: batch.column(c)[at].values
         self.library, self.dim, self.n = batch.column("library_id")[at].as_py(), batch.column("dim")[at].as_py(), batch.column("n")[at].as_py()
@@ -235,7 +232,7 @@ class _Block:
 
     def vectors(self) -> np.ndarray:
         if self.raw is None:
-            self.raw = self.flat.to_numpy().reshape(self.n, -1).astype(np.float64)
+            self.raw = self.flat.to_numpy().reshape(self.n, -1)
         return self.raw
 
 
@@ -245,64 +242,46 @@ def upper(cos: np.ndarray, angle: np.ndarray) -> np.ndarray:
     return np.where(cos >= np.cos(a), 1.0, cos * np.cos(a) + np.sqrt(np.maximum(0.0, 1.0 - cos * cos)) * np.sin(a))
 
 
-class _Asked:
-    """The queries of one library in a task, with their best hits so far."""
-
-    def __init__(self, ids, raw, k, floors):
-        self.ids, self.raw, self.k = ids, raw, k
-        self.inv = inv_norms(raw)
-        self.unit = raw * self.inv[:, None]
-        self.floor = np.array(floors, dtype=np.float64)
-        self.none = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)]
-        self.best = list(self.none)
-
-    def keep(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Merges hits in; a query's k-th best becomes its floor."""
-        if not len(qi):
-            return
-        qi, ids, score = (np.concatenate(x) for x in zip(self.best, (qi, ids, score)))
-        name = _ranks(ids)
-        order = np.lexsort((name, -score, qi))
-        place = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
-        keep = order[place < self.k[qi[order]]]
-        self.best = [qi[keep], ids[keep], score[keep]]
-        last = order[place == self.k[qi[order]] - 1]
-        self.floor[qi[last]] = np.maximum(self.floor[qi[last]], score[last])
-
-
-def _score(q: _Asked, b: _Block, who: np.ndarray, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hits of queries ``who`` among rows of a block that reach the floor, at most about k a query and ties."""
-    v, inv = b.vectors()[rows], b.inv[rows]
-    out = []
-    step = max(1, _MAX_SCORE_CELLS // len(v))
-    for s in range(0, len(who), step):
-        w = who[s:s + step]
-        x = raw_scores(q.raw[w], q.inv[w], v, inv)
-        least = q.floor[w] - 1e-12
-        k = int(q.k[w].max())
-        if k < len(v):
-            least = np.maximum(least, np.partition(x, len(v) - k, axis=1)[:, len(v) - k] - 1e-12)
-        i, j = np.nonzero(x >= least[:, None])
-        # one rounding for every pair, whatever product it came from: exact ties stay ties
-        out.append((w[i], j + rows.start, np.einsum("ij,ij->i", q.raw[w[i]], v[j]) * inv[j] * q.inv[w[i]]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def search_block(q: _Asked, b: _Block, stats: dict | None = None) -> None:
+def _kept(q: Asked, b: _Block) -> np.ndarray:
+    """(nodes x queries) whether a node can hold a hit, and all above it: the angle to its centre is at most the node's and the
+    floor's together, cos(centre) >= cos(node) floor - sin(node) sin(floor).  Nodes or floors wider than a right angle are kept."""
+    angle = b.angles + ANGLE_SLACK
+    wide = angle >= np.pi / 2
+    node = np.column_stack([b.centers, np.cos(angle), np.sin(angle)]).astype(np.float32)
+    node[wide, :-1], node[wide, -1] = 0, 1
+    floor = np.clip(q.floor, 0.0, 1.0)
+    asked = np.column_stack([q.floats, -floor, np.sqrt(1.0 - floor * floor)]).astype(np.float32)
+    asked[floor == 0, :-1] = 0
+    kept = node @ asked.T >= np.float32(-4 * q.slack)
+    level = np.frexp(b.nodes.astype(np.float64))[1]
+    for x in np.unique(level)[1:]:
+        cols = np.flatnonzero(level == x)
+        kept[cols] &= kept[b.parent[cols]]
+    return kept
+
+
+def search_block(q: Asked, b: _Block, stats: dict | None = None) -> None:
     """The hits of one block, merged into ``q``."""
     if not b.n or b.dim != q.raw.shape[1]:
         return
-    def take(who, rows):
-        qi, ci, s = _score(q, b, who, rows)
+    floats = unit_floats(b.vectors(), b.inv)
+
+    def take(who, s, e, without=None):
+        qi, ci, score = q.hits(who, floats[s:e], b.vectors()[s:e], b.inv[s:e])
+        ci = ci + s
+        if without is not None:
+            # what the dive found is found again
+            new = (without[qi] < 0) | (ci < b.start[without[qi]]) | (ci >= b.end[without[qi]])
+            qi, ci, score = qi[new], ci[new], score[new]
         if stats is not None:
-            stats["scored"] = stats.get("scored", 0) + len(who) * (rows.stop - rows.start)
-        return qi, b.ids.take(pa.array(ci)).to_numpy(zero_copy_only=False), s
+            stats["scored"] = stats.get("scored", 0) + len(who) * int(e - s)
+        q.keep(qi, b.ids.take(pa.array(ci)).to_numpy(zero_copy_only=False), score)
 
     if stats is not None:
         stats["all"] = stats.get("all", 0) + len(q.ids) * b.n
-    active = np.flatnonzero(upper(q.unit @ b.centers[0], b.angles[0]) >= q.floor - 1e-12)
+    q.merge()
     dived = np.full(len(q.ids), -1)
-    fresh_ones = active[np.isneginf(q.floor[active])]
+    fresh_ones = np.flatnonzero(np.isneginf(q.floor))
     if len(fresh_ones) and len(b.nodes) > 1:
         # a query without a floor goes straight down to its most promising leaf first
         node = np.zeros(len(fresh_ones), np.int64)
@@ -313,33 +292,20 @@ def search_block(q: _Asked, b: _Block, stats: dict | None = None) -> None:
             better = upper(np.einsum("ij,ij->i", u, b.centers[right]), b.angles[right]) > upper(np.einsum("ij,ij->i", u, b.centers[left]), b.angles[left])
             node[open_] = np.where(better, right, left)
         dived[fresh_ones] = node
-        got = [take(fresh_ones[node == x], slice(b.start[x], b.end[x])) for x in np.unique(node)]
-        q.keep(*(np.concatenate(x) for x in zip(*got)))
-    # level by level: a node is looked at where its parent can hold a hit
-    level = np.frexp(b.nodes.astype(np.float64))[1]
-    mask = np.zeros((len(active), len(b.nodes)), bool)
-    mask[:, 0] = True
-    floor = q.floor[active] - 1e-12
-    for x in np.unique(level)[1:]:
-        cols = np.flatnonzero(level == x)
-        cand = mask[:, b.parent[cols]]
-        who, which = np.flatnonzero(cand.any(1)), np.flatnonzero(cand.any(0))
-        if not len(who):
-            break
-        bound = upper(q.unit[active[who]] @ b.centers[cols[which]].T, b.angles[cols[which]][None, :])
-        mask[np.ix_(who, cols[which])] = cand[np.ix_(who, which)] & (bound >= floor[who, None])
+        for x in np.unique(node):
+            take(fresh_ones[node == x], b.start[x], b.end[x])
+        q.merge()
     leaves = np.flatnonzero(b.leaf)
-    mask = mask[:, leaves] & (dived[active][:, None] != leaves[None, :])
-    share = (mask * (b.end - b.start)[leaves]).sum() / max(1, len(active) * b.n)
-    if share > WHOLE:
-        # what the dive found is found again
-        again = np.isin(q.best[0], active) & np.isin(q.best[1], b.ids.to_numpy(zero_copy_only=False))
-        q.best = [x[~again] for x in q.best]
-        q.keep(*take(active, slice(0, b.n)))
-        return
-    got = [take(active[np.flatnonzero(mask[:, i])], slice(b.start[x], b.end[x])) for i, x in enumerate(leaves) if mask[:, i].any()]
-    if got:
-        q.keep(*(np.concatenate(x) for x in zip(*got)))
+    kept = _kept(q, b)[leaves]
+    kept[np.searchsorted(leaves, dived[fresh_ones]), fresh_ones] &= dived[fresh_ones] < 0
+    share = ((b.end - b.start)[leaves].astype(np.float32) / b.n) @ kept.astype(np.float32)
+    # a query that needs most of the block takes it whole
+    whole = share > WHOLE
+    if whole.any():
+        take(np.flatnonzero(whole), 0, b.n, dived)
+    kept &= ~whole
+    for i in np.flatnonzero(kept.any(axis=1)):
+        take(np.flatnonzero(kept[i]), b.start[leaves[i]], b.end[leaves[i]])
 
 
 def _by_library(rows: pa.Table, floors: dict) -> dict:
@@ -364,9 +330,10 @@ def _candidates(blocks: DataFrame, packed: dict, scored) -> DataFrame:
                 if lib not in shared.value:
                     continue
                 if lib not in asked:
-                    asked[lib] = _Asked(*shared.value[lib])
+                    asked[lib] = Asked(*shared.value[lib])
                 search_block(asked[lib], _Block(batch, x), stats)
         for lib, q in asked.items():
+            q.merge()
             qi, ids, score = q.best
             yield pa.RecordBatch.from_arrays([pa.array(q.ids[qi], pa.string()), pa.array([lib] * len(qi), pa.string()), pa.array(ids, pa.string()),
                                               pa.array(score), pa.array(q.k[qi].astype(np.int32))], [f.name for f in CAND_SCHEMA.fields])
@@ -418,14 +385,28 @@ def _reached(blocks: DataFrame, packed: dict) -> DataFrame:
     return blocks.select("library_id", "block", "dim", "center", "angle").mapInArrow(run, "library_id string, block bigint")
 
 
+def _opened(batches: list[pa.RecordBatch]):
+    """The blocks of a part: (library, dimension, block)."""
+    for b in batches:
+        for x in range(len(b)):
+            one = _Block(b, x)
+            yield one.library, one.dim, one
+
+
 def _in_parts(blocks: DataFrame, queries: DataFrame, most_rows: int, most_bytes: int, scored) -> DataFrame:
-    """:func:`knn_tree` of a batch of any size, part by part; a part's hits are written before the next begins."""
+    """:func:`knn_tree` of a batch of any size.  Of blocks and queries, those that make fewer parts are broadcast part by
+    part: blocks past the queries, which stay with their hits (:mod:`vellum.operators.rounds`), or queries past the blocks, a part's
+    hits written before the next begins."""
     q = queries.select("query_id", "library_id", "embedding", "k")
-    n, size, widest = q.agg(F.count(F.lit(1)), F.sum(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))),
-                            F.max(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0)))).first()
+    n, size, widest, kmax = q.agg(F.count(F.lit(1)), F.sum(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))),
+                                  F.max(F.lit(64) + 8 * F.coalesce(F.size("embedding"), F.lit(0))), F.max("k")).first()
     most_rows = max(1_000, most_rows)
     # a quarter to spare, since a hash does not part evenly
     parts = max(2, math.ceil(n / most_rows * 1.25), math.ceil(size / max(1, most_bytes) * 1.25))
+    held = F.col("n") * (F.col("dim") * 4 + 40) + F.size("node_ids") * (F.col("dim") * 8 + 40)
+    rounds = parts_of(blocks.agg(F.sum(held)).first()[0], most_bytes)
+    if rounds <= parts:
+        return merge_topk(search_rounds(blocks, ["library_id", "block"], rounds, _opened, q, n, scored), max(1, kmax))
     q = stored(q.withColumn("_part", F.pmod(F.xxhash64("library_id", "query_id"), F.lit(parts))))
     # every task at work in every part: the blocks may have come out of a build in few partitions
     blocks = blocks.repartition(blocks.sparkSession.sparkContext.defaultParallelism).checkpoint()
