@@ -162,3 +162,25 @@ def test_one_query_id_in_two_libraries(spark, kernel):
         got = knn_join(idx, q, kernel=kernel, **opts).orderBy("library_id", "rank").collect()
         assert [(r["library_id"], r["rank"], r["chunk_id"]) for r in got] == [
             ("A", 1, "a1"), ("A", 2, "a2"), ("B", 1, "b1"), ("B", 2, "b2")]
+
+
+def test_large_batches_are_searched_in_rounds(spark, monkeypatch):
+    from vellum.operators import knn as K
+
+    def copied(*a, **k):
+        raise AssertionError("rows were copied to blocks")
+
+    monkeypatch.setattr(K, "grid_cogroup", copied)
+    rng = np.random.default_rng(3)
+    vecs = rng.standard_normal((300, 6)).astype(np.float32)
+    vecs[20:50], vecs[5] = vecs[20], 0          # equal scores, a zero vector
+    ids = [f"v{i * 101 % 300:03d}" for i in range(300)]
+    idx = _index(spark, ids, vecs).unionByName(_index(spark, ["s1", "s2"], [[1, 0], [0, 1]], lib="small"))
+    asked = [(f"q{j:04d}", "lib", [float(x) for x in vecs[j % 300]], 1 + j % 9) for j in range(1_300)]
+    asked += [("s", "small", [1.0, 0.0], 5), ("wrong", "small", [1.0, 0.0, 0.0], 5), ("null", "lib", None, 5), ("n", "nowhere", [1.0], 5)]
+    q = spark.createDataFrame(asked, "query_id string, library_id string, embedding array<float>, k int")
+    got = _got(knn_join(idx, q, broadcast_rows=1_000, broadcast_bytes=20_000))      # several parts
+    assert len(got) == 1_301 and [c for c, _ in got["s"]] == ["s1", "s2"]
+    for name, lib, v, k in [*asked[:60], *asked[1_000:1_300:37]]:
+        want = [(i, round(s, 6)) for i, s in brute_topk(ids, vecs, np.asarray(v, dtype=np.float32), k)]
+        assert [c for c, _ in got[name]] == [c for c, _ in want] and np.allclose([s for _, s in got[name]], [s for _, s in want], atol=2e-6), name
