@@ -146,3 +146,37 @@ def test_graph_hands_on_only_what_reaches_the_floor():
     [found] = G._scores([asked])        # vectors of another dimension are not compared
     assert found["query_id"].to_pylist() == ["q", "q"] and found["chunk_id"].to_pylist() == ["a", "b"]
     assert np.allclose(found["score"].to_pylist(), [1.0, 0.8])
+
+
+def test_graph_search_reads_a_node_once_a_round(spark, monkeypatch):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("_id", pa.string()), ("vector", pa.list_(pa.float32())), ("inv_norm", pa.float64())]))
+    one = lambda *ids: [{"_id": i, "vector": [float(i == "a"), float(i != "a")], "inv_norm": 1.0} for i in ids]
+    rows = [("l", "x", one("a", "b"), None), ("l", "x", None, "q1"), ("l", "x", None, "q2"), ("l", "y", None, "q3"), ("m", "x", None, "q4"), ("m", "z", one("c"), None), ("m", "z", None, "q5")]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], kind), pa.array([r[3] for r in rows]),
+         pa.array([None if r[3] is None else [1.0, 0.5] for r in rows], pa.list_(pa.float32())), pa.array([None if r[3] is None else 1.0 for r in rows]),
+         pa.array([None if r[3] is None else -9.0 for r in rows])], ["library_id", "chunk_id", "near", "query_id", "embedding", "_q_inv", "floor"])
+    want = {("q1", "a"), ("q1", "b"), ("q2", "a"), ("q2", "b"), ("q5", "c")}       # y has no neighbours, m's x neither
+    for size in (7, 3, 2, 1):       # a node's queries may come in later batches
+        got = [(q, c) for f in G._at_nodes(batch.slice(s, size) for s in range(0, 7, size)) for q, c in zip(f["query_id"].to_pylist(), f["chunk_id"].to_pylist())]
+        assert sorted(got) == sorted(want), size
+    # rows with neighbours that are scored: every asked node of a round once, not once a query
+    seen = spark.sparkContext.accumulator(np.zeros(2, np.int64), Pair())
+    plain = G._at_nodes
+
+    def counted(batches):
+        held = []
+        for b in batches:
+            held.append(b)
+            seen.add(np.array([b.num_rows - b.column("near").null_count, b.column("near").null_count]))
+        yield from plain(held)
+
+    monkeypatch.setattr(G, "_at_nodes", counted)
+    ids, v = clustered(300, 8, 3)
+    index = index_of(spark, {"lib": (ids, v), "one": (["x"], np.ones((1, 4), np.float32))}).checkpoint()
+    queries = [(f"q{j}", "lib", [float(x) for x in v[j]], 5) for j in range(300)] + [("o", "one", [1.0] * 4, 2)]
+    got = found(G.knn_graph(G.build_graph(index, degree=8), index, queries_of(spark, queries)))
+    assert got["one", "o"] == ["x"] and len(got) == 301
+    assert seen.value[0] * 3 < seen.value[1]
